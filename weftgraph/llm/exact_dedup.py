@@ -6,8 +6,9 @@
    bits into blocks; blocks are shuffled and merged without loss.  A hot text is one slot with a
    counter in each partition's filter, never many rows.
 3. Fingerprints with a count above one route their documents to byte verification: whole normalised
-   texts are the grouping key of an aggregate that combines before its shuffle, so of a group of
-   copies each task ships one text.  Equal fingerprints of different texts part here.
+   texts, dealt by fingerprint and a salt of the id, are the grouping key of an aggregate that combines
+   before its own shuffle, so of a group of copies each task ships one text.  Equal fingerprints of
+   different texts part here.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from weftgraph.llm.common import normalise_space, only, stored, text_of
 
 #: Fingerprints that one merged block should hold, and that one partition gathers before it flushes.
 BLOCK, FLUSH = 1 << 16, 1 << 22
+#: Into how many parts each fingerprint's texts are dealt on their way to verification.
+SALTS = 32
 
 
 def repeated_fingerprints(fps: DataFrame, block_bits: int) -> DataFrame:
@@ -78,8 +81,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = stored(own.select("_id", F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha")), "exact")
     block_bits = max(0, (narrow.count() // BLOCK).bit_length() + 2)
     repeated = repeated_fingerprints(narrow.select("fp"), block_bits).select("fp")
+    salted = repeated.select(F.col("fp").alias("_fp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     groups = (
-        own.join(repeated.withColumnRenamed("fp", "_fp"), "_fp", "left_semi")
+        own.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["_fp", "_salt"], "left_semi")
         .groupBy("_fp", "_norm")
         .agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("size"))
         .select(F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha"), "keep", "size")
