@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.common import documents
 from weftgraph.llm.exact_dedup import exact_dedup
+from weftgraph.llm.packing import pack_documents
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,3 +37,8 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """
+
+
+@_query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
