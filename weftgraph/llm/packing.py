@@ -78,6 +78,7 @@ def place(pieces: DataFrame, keys: list[str], capacity: int, buckets: int = BUCK
     within = Window.partitionBy("length", "_bucket").orderBy(*keys)
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["length", "_bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    own = list(pieces.columns)
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def place(pieces: DataFrame, keys: list[str], capacity: int, buckets: int = BUCK
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             at = np.searchsorted(starts, (length << 44) | rank, side="right") - 1
             found = [firsts[at] + rank - (starts[at] & ((1 << 44) - 1)), offs[at]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in pieces.columns), *map(pa.array, found)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), *map(pa.array, found)], names=[*own, "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, schema)
 
