@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftgraph.llm.common import documents
 from weftgraph.llm.exact_dedup import exact_dedup
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.warc import warc_round_trip
 
 
 def tokenizer_file(name: str) -> str:
@@ -42,3 +43,8 @@ FROM n
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+@_query
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
