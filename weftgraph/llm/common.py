@@ -1,55 +1,16 @@
-"""What the operators of this subpackage share: tables in the shared folder, null rules, column checks.
-
-Lineage is cut with Parquet tables below the folder that ``spark.checkpoint.dir`` names, so a lost
-executor never loses an intermediate result.  Only where that setting is absent and the master is a
-plain ``local`` one (tests) does this module pick a folder itself.
-"""
+"""What the operators of this subpackage share: null rules, text rules, column checks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.storage import discard, new_path, shared_dir, stored  # noqa: F401
+
 #: ASCII white space of every text contract here, as a Java/RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_scratch: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; raises on a cluster that names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        _scratch[app] = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-    return _scratch[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def text_of(col: str | Column) -> Column:
     """The whole text; null counts as empty."""
