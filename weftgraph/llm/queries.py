@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm.common import documents
 from weftgraph.llm.exact_dedup import exact_dedup
+from weftgraph.llm.minhash import minhash_components
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.warc import warc_round_trip
 
@@ -48,3 +49,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+
+
+@_query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(documents(spark, sf_dir), width=3, num=85, den=100)
