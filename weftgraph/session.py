@@ -24,3 +24,15 @@ def get_spark(app: str = "weftgraph", cpus: int | str | None = None, shuffle_par
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers that share this machine's files import the package from where it lies.
+
+    On a cluster ship the package as usual (``--py-files``); a path that isn't there does no harm.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
+    return spark
