@@ -10,7 +10,10 @@ from weftgraph.llm.common import documents
 from weftgraph.llm.exact_dedup import exact_dedup
 from weftgraph.llm.minhash import minhash_components
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.token_counts import token_counts
+from weftgraph.llm.toxicity import toxicity
 from weftgraph.llm.warc import warc_round_trip
+from weftgraph.session import reach
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,7 +27,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(reach(spark), sf_dir)
     return f
 
 
@@ -54,3 +57,13 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(documents(spark, sf_dir), width=3, num=85, den=100)
+
+
+@_query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+@_query
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
