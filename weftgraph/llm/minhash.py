@@ -6,11 +6,12 @@
    signature.  ``rows`` bytes of it make a band key.  Classes that share a key share a bucket.
 3. Buckets give candidates in two passes.  The first deals a bucket into blocks at random and takes for
    each member the few partners in its block that the signatures hold most similar: linear in the
-   bucket.  These are confirmed on full sets and joined into components.  The second takes buckets in
-   which more than one component is left, and compares members of all but the largest component with
-   everything else there, block by block; pairs that are connected already are not looked at, and a
-   pair is given out in the first bucket that it shares.  So of a group of thousands of near copies no
-   more than a few pairs for each member ever become rows, and yet no bucket's pair is left unseen.
+   bucket.  These are confirmed on full sets and joined into components.  The second takes buckets where
+   the first took less than all and more than one component is left.  It compares members of all but the
+   largest component with everything else there, block by block, by signatures and then by sets of 32-bit
+   hashes inside the task, and gives out what is linked.  So of a group of thousands of near copies no
+   more than a few pairs for each member ever become rows, and yet no bucket's pair is left unseen.  A
+   pair is looked at in the first bucket that it shares.
 4. Similarity is estimated from the number of equal bytes, corrected for bytes that are equal by chance.
    Only pairs that lie ``z`` standard errors below the threshold are passed over.
 5. Links are confirmed exactly, and components of all links are the groups.
@@ -26,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftgraph.llm.common import only, stored, text_of
 from weftgraph.llm.wordhash import shingle_sets
@@ -34,6 +34,8 @@ from weftgraph.operators.components import connected_components
 
 #: Members that one block of a bucket should hold, and partners that the first pass takes for each.
 BLOCK, PARTNERS = 1024, 3
+#: The bitmap that singles out the texts whose sets are needed has 2 ** FILTER bits: 4 MB.
+FILTER = 25
 #: Chance that one byte of two different minima is equal.
 CHANCE = 1 / 256
 
@@ -132,65 +134,109 @@ def _equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 8 * a.shape[1] - out
 
 
-class _Block:
-    """Members of one block of a bucket, as arrays."""
-
-    def __init__(self, table: pa.Table, k: int):
-        self.id = table.column("id").to_numpy().astype(np.int64)
-        self.n = table.column("n").to_numpy().astype(np.int64)
-        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, k)
-        self.lanes = np.ascontiguousarray(np.pad(self.sig, ((0, 0), (0, -k % 8)))).view(np.uint64)
-
-
-def _close(a: _Block, b: _Block, key: int, bands: int, rows: int, least: int, num: int, den: int) -> np.ndarray:
-    """(len(a), len(b)) estimates in equal bytes; 0 where a pair is too far apart, or met in an earlier bucket."""
-    k = bands * rows
-    pad = -k % 8  # padding bytes are always equal
-    equal = _equal_bytes(a.lanes, b.lanes) - pad
+def _close(sig_a: np.ndarray, n_a: np.ndarray, sig_b: np.ndarray, n_b: np.ndarray, band: int, rows: int, least: int, num: int, den: int) -> np.ndarray:
+    """(len(a), len(b)) estimates in equal bytes; 0 where a pair is too far apart, or met in an earlier band."""
+    if len(sig_a) * len(sig_b) <= 1024:
+        equal = (sig_a[:, None, :] == sig_b[None, :, :]).sum(axis=2, dtype=np.int32)
+    else:
+        k = sig_a.shape[1]
+        lanes = [np.ascontiguousarray(np.pad(x, ((0, 0), (0, -k % 8)))).view(np.uint64) for x in (sig_a, sig_b)]
+        equal = _equal_bytes(*lanes) - (-k % 8)  # padding bytes are always equal
     equal[equal < least] = 0
-    small, big = np.minimum(a.n[:, None], b.n[None, :]), np.maximum(a.n[:, None], b.n[None, :])
-    equal[small * den < num * big] = 0
-    band = (key >> (8 * rows)) & 0xFFFF
-    if band and (hits := np.argwhere(equal)).size:
-        same = a.sig[hits[:, 0], : band * rows] == b.sig[hits[:, 1], : band * rows]
+    if not equal.any():
+        return equal
+    equal[np.minimum(n_a[:, None], n_b[None, :]) * den < num * np.maximum(n_a[:, None], n_b[None, :])] = 0
+    if band and len(hits := np.argwhere(equal)):
+        same = sig_a[hits[:, 0], : band * rows] == sig_b[hits[:, 1], : band * rows]
         seen = same.reshape(len(hits), band, rows).all(axis=2).any(axis=1)
         equal[hits[seen, 0], hits[seen, 1]] = 0
     return equal
 
 
-_PAIRS = "a bigint, b bigint"
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The groups of batches that are sorted by ``by``; a group may go on in the next batch."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        marks = [table.column(c).to_numpy() for c in by]
+        new = np.zeros(len(table), bool)
+        for m in marks:
+            new[1:] |= m[1:] != m[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()] if len(table) else []
+        whole = table.combine_chunks()
+        for a, b in zip(cuts, cuts[1:]):
+            yield whole.slice(a, b - a)
+        rest = whole.slice(cuts[-1]) if cuts else None
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _ints(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
+
+
+def _sigs(table: pa.Table, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, k)
+
+
+_FOUND = "a bigint, b bigint, full_key bigint"
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+def _give(rows: list[tuple[np.ndarray, np.ndarray]], keys: list[int]) -> pa.RecordBatch:
+    """Pairs, smaller id first, and then keys of buckets that have more to give."""
+    a = np.concatenate([x for x, _ in rows]) if rows else np.zeros(0, np.int64)
+    b = np.concatenate([x for _, x in rows]) if rows else np.zeros(0, np.int64)
+    n, m = len(a), len(keys)
+    none = pa.nulls(m, pa.int64())
+    cols = [pa.concat_arrays([pa.array(f(a, b), pa.int64()), none]) for f in (np.minimum, np.maximum)]
+    return pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(keys, pa.int64())])], names=["a", "b", "full_key"])
 
 
 def near_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The ``pairs`` (a, b) with den * intersection >= num * union, on full ``sets`` (id, shingles)."""
     sa, sb = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
-    both = pairs.join(sa, "a").join(sb, "b")
+    both = pairs.join(sa.hint("merge"), "a").join(sb.hint("merge"), "b")
     inter = F.size(F.array_intersect("_a", "_b"))
     counted = both.select("a", "b", inter.cast("long").alias("i"), (F.size("_a") + F.size("_b")).cast("long").alias("s"))
     return counted.where(F.lit(den) * F.col("i") >= F.lit(num) * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, shingles): the sorted set of each text, as bigint."""
-    own = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("_text"))
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """``1 << FILTER`` bits, of which those at the ids' hashes are set; of a fixed size whatever the ids."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER))
+    got = ids.select((at + 1).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits")).collect()
+    out = np.zeros((1 << FILTER) // 8, np.uint8)
+    for r in got:
+        start = (r["_b"] - 1) * len(r["_bits"])
+        out[start : start + len(r["_bits"])] = np.frombuffer(r["_bits"], np.uint8)
+    return out
+
+
+def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int, ids: DataFrame) -> DataFrame:
+    """(id, shingles): the sorted sets, as bigint, of the texts whose id is in ``ids`` (id).
+
+    A bitmap of a fixed size keeps most other texts from being looked at and shuffled; the join after
+    it is exact.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    own = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("_text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << FILTER)).alias("_at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, held, size = 0, [], 0
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            begin, held, size = 0, [], 0
             for s in shingle_sets(batch.column(1), width):
                 held.append(s.view(np.int64))
                 size += len(s)
                 if size > 1 << 19:
-                    yield _sets(batch.column(0).slice(at, len(held)), held)
-                    at, held, size = at + len(held), [], 0
+                    yield _sets(batch.column(0).slice(begin, len(held)), held)
+                    begin, held, size = begin + len(held), [], 0
             if held:
-                yield _sets(batch.column(0).slice(at, len(held)), held)
+                yield _sets(batch.column(0).slice(begin, len(held)), held)
 
-    return own.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return own.where("id is not null").mapInArrow(run, "id bigint, shingles array<bigint>").join(ids.distinct(), "id", "left_semi")
 
 
 def _sets(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -229,73 +275,90 @@ def minhash_components(
     keys = band_table(reps, bands, rows)
     busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     # bucket members with their signatures; only buckets of two or more
-    members = stored(keys.join(busy, "key").join(reps, "id"), "buckets")
-    blocks = F.ceil(F.col("m") / F.lit(block))
-
-    def best(table: pa.Table) -> pa.Table:
-        one = _Block(table, k)
-        close = _close(one, one, table.column("key")[0].as_py(), bands, rows, least, num, den)
-        np.fill_diagonal(close, 0)
-        close[one.id[:, None] == one.id[None, :]] = 0
-        top = min(PARTNERS, len(one.id) - 1)
-        if top < 1 or not close.any():
-            return _pairs(*[np.zeros(0, np.int64)] * 2)
-        at = np.argpartition(-close, top - 1, axis=1)[:, :top]
-        i, j = np.nonzero(np.take_along_axis(close, at, 1))
-        return _pairs(one.id[i], one.id[at[i, j]])
-
-    first = members.withColumn("_part", _part("id", blocks)).groupBy("key", "_part").applyInArrow(best, _PAIRS)
-    first = stored(first.distinct(), "pairs")
-    links = _confirm(docs, first, id_col, text_col, width, num, den)
+    members = stored(keys.join(busy.hint("merge"), "key").join(reps.hint("merge"), "id"), "buckets")
+    sets = stored(shingle_table(docs, id_col, text_col, width, members.select("id")), "sets")
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_, keys_, held = [], [], 0
+        for table in _runs(batches, ["key", "_part"]):
+            if len(table) < 2:
+                continue
+            key, id_, n, sig = table.column("key")[0].as_py(), _ints(table, "id"), _ints(table, "n"), _sigs(table, k)
+            close = _close(sig, n, sig, n, (key >> (8 * rows)) & 0xFFFF, rows, least, num, den)
+            np.fill_diagonal(close, 0)
+            if not close.any():
+                continue
+            top = min(PARTNERS, len(id_) - 1)
+            at = np.argpartition(-close, top - 1, axis=1)[:, :top]
+            i, j = np.nonzero(np.take_along_axis(close, at, 1))
+            rows_.append((id_[i], id_[at[i, j]]))
+            if ((close > 0).sum(axis=1) > top).any():
+                keys_.append(key)
+            held += len(i)
+            if held > 50_000:
+                yield _give(rows_, keys_)
+                rows_, keys_, held = [], [], 0
+        yield _give(rows_, keys_)
+
+    def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.repartition(tasks, *by).sortWithinPartitions(*by)
+
+    parted = members.select("key", "id", "n", "sig", _part("id", blocks).alias("_part"))
+    first = stored(dealt(parted, ["key", "_part"]).mapInArrow(best, _FOUND).distinct(), "pairs")
+    pairs = first.where("full_key is null").select("a", "b")
+    links = stored(near_links(pairs, sets, num, den), "links")
     found = stored(connected_components(links, "a", "b"), "found")
 
-    # buckets in which more than one component is left
-    placed = members.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    # buckets that have more to give, and in which more than one component is left
+    full = first.where("full_key is not null").select(F.col("full_key").alias("key")).unionByName(busy.where(F.col("m") > block).select("key")).distinct()
+    placed = members.join(full, "key", "left_semi").join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     placed = stored(placed, "placed")
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     split = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all")).where("comps > 1")
     split = split.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("few"))
-    rest = placed.join(split, "key")
-    few_blocks, all_blocks = F.ceil(F.col("few") / F.lit(block)).cast("int"), blocks.cast("int")
+    short = sets.select("id", F.transform("shingles", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("short"))
+    rest = placed.join(split, "key").join(short, "id")
+    few_blocks = F.ceil(F.col("few") / F.lit(block)).cast("int")
     minor = F.col("comp") != F.col("main")
     spread = lambda n: F.sequence(F.lit(0), n - 1)
-    cols = ["key", "id", "n", "sig", "comp"]
-    left = rest.where(minor).select(*cols, _part("id", few_blocks).alias("_i"), F.explode(spread(all_blocks)).alias("_j"), F.lit(True).alias("_left"))
-    right = rest.select(*cols, F.explode(spread(few_blocks)).alias("_i"), _part("id", all_blocks).alias("_j"), F.lit(False).alias("_left"))
-
-    def across(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("_left").to_pylist(), bool)
-        key = table.column("key")[0].as_py()
-        l, r = table.filter(pa.array(side)), table.filter(pa.array(~side))
-        if not len(l) or not len(r):
-            return _pairs(*[np.zeros(0, np.int64)] * 2)
-        lc, rc = (np.array(t.column("comp").to_pylist(), np.int64) for t in (l, r))
-        b, outs = _Block(r, k), []
-        for at in range(0, len(l), 256):
-            a = _Block(l.slice(at, 256), k)
-            close = _close(a, b, key, bands, rows, least, num, den)
-            close[lc[at : at + 256, None] == rc[None, :]] = 0
-            i, j = np.nonzero(close)
-            outs.append(_pairs(a.id[i], b.id[j]))
-        return pa.concat_tables(outs)
-
-    second = left.unionByName(right).groupBy("key", "_i", "_j").applyInArrow(across, _PAIRS).distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirm(docs, stored(second, "pairs"), id_col, text_col, width, num, den)
+    cols = ["key", "id", "n", "sig", "comp", "short"]
+    left = rest.where(minor).select(*cols, _part("id", few_blocks).alias("_i"), F.explode(spread(blocks)).alias("_j"), F.lit(1).alias("_left"))
+    right = rest.select(*cols, F.explode(spread(few_blocks)).alias("_i"), _part("id", blocks).alias("_j"), F.lit(0).alias("_left"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["key", "_i", "_j"]):
+            side, band = _ints(table, "_left") == 1, (table.column("key")[0].as_py() >> (8 * rows)) & 0xFFFF
+            id_, n, sig, comp = _ints(table, "id"), _ints(table, "n"), _sigs(table, k), _ints(table, "comp")
+            short_ = table.column("short")
+            l, r = np.flatnonzero(side), np.flatnonzero(~side)
+            if not len(l) or not len(r):
+                continue
+            out = []
+            for at in range(0, len(l), 256):
+                part = l[at : at + 256]
+                close = _close(sig[part], n[part], sig[r], n[r], band, rows, least, num, den)
+                close[comp[part][:, None] == comp[r][None, :]] = 0
+                for i in np.flatnonzero(close.any(axis=1)):
+                    mine = np.sort(short_[int(part[i])].values.to_numpy())
+                    others = r[close[i] > 0]
+                    theirs = [short_[int(o)].values.to_numpy() for o in others]
+                    flat = np.concatenate(theirs)
+                    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    inter = np.add.reduceat(hit, np.cumsum([0, *(len(x) for x in theirs[:-1])]), dtype=np.int64)
+                    union = len(mine) + np.array([len(x) for x in theirs]) - inter
+                    near = (inter + 2 + union // 100) * den >= num * union  # 32-bit hashes can meet by chance
+                    if near.any():
+                        out.append((np.full(int(near.sum()), id_[part[i]]), id_[others[near]]))
+            if out:
+                yield _give(out, [])
+
+    second = dealt(left.unionByName(right), ["key", "_i", "_j"]).mapInArrow(across, _FOUND).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = near_links(stored(second, "pairs"), sets, num, den)
     groups = connected_components(links.unionByName(more), "a", "b")
     by_digest = classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     own = F.col(id_col).cast("long")
     empty = sigs.where("n = 0").select(id_col, F.col("n").alias("n_shingles"), own.alias("component_id"))
     full = sigs.where("n > 0").join(by_digest, "digest", "left").select(id_col, F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(empty).withColumn("kept", own.eqNullSafe(F.col("component_id")))
-
-
-def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """The pairs that are links, stored.  Sets are made again, of the documents in a pair only.
-
-    Where rows share an id, a link of one of them counts for all.
-    """
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = only(docs, id_col, text_col).withColumn("_key", F.col(id_col).cast("long"))
-    texts = own.join(wanted.withColumnRenamed("id", "_key"), "_key", "left_semi").select(F.col("_key").alias("id"), text_col)
-    sets = shingle_table(texts, "id", text_col, width)
-    return stored(near_links(pairs, stored(sets, "sets"), num, den), "links").distinct()
