@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm.common import documents
 from weftgraph.llm.exact_dedup import exact_dedup
+from weftgraph.llm.licenses import license_scan, license_sql
 from weftgraph.llm.minhash import minhash_components
+from weftgraph.llm.mixing import mix_sources, mixing_sql
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.secrets import secret_scan, secret_sql
 from weftgraph.llm.token_counts import token_counts
 from weftgraph.llm.toxicity import toxicity
 from weftgraph.llm.warc import warc_round_trip
@@ -67,3 +71,45 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: Domains of the sources and integer weights by path of the mix.
+DOMAINS = {"web": ["src0", "src1", "src2", "src3", "src4", "src5", "src6", "src7"], "books": ["src8", "src9", "src10", "src11"], "forums": ["src12", "src13", "src14", "src15"]}
+WEIGHTS: dict[tuple[str, ...], int] = {("web",): 40, ("books",): 35, ("forums",): 15, ("other",): 10}
+WEIGHTS |= {(d, lang): w for d in ("web", "books", "forums", "other") for lang, w in (("en", 6), ("de", 2), ("fr", 2), ("es", 1))}
+WEIGHTS |= {("web", "en", "src0"): 3, ("books", "en", "src8"): 2, ("forums", "de", "src12"): 4}
+MIX = {"max_epochs": 4, "numerator": 3, "denominator": 5, "seed": 7}
+
+
+def domain_of():
+    out = F.lit("other")
+    for name, sources in DOMAINS.items():
+        out = F.when(F.col("source").isin(sources), name).otherwise(out)
+    return out
+
+
+DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(s) for s in v)}) THEN '{k}'" for k, v in DOMAINS.items()) + " ELSE 'other' END"
+
+
+@_query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir), WEIGHTS, domain_of(), **MIX)
+
+
+ORACLE_SQL["op1_source_mixing"] = mixing_sql(WEIGHTS, DOMAIN_SQL, **MIX)
+
+
+@_query
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op3_license_digests"] = license_sql()
+
+
+@_query
+def op5_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir), scope=200)
+
+
+ORACLE_SQL["op5_secret_linking"] = secret_sql(200)
