@@ -13,6 +13,7 @@ from weftgraph.llm.licenses import license_scan, license_sql
 from weftgraph.llm.minhash import minhash_components
 from weftgraph.llm.mixing import mix_sources, mixing_sql
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.quality import quality_rules, quality_sql
 from weftgraph.llm.secrets import secret_scan, secret_sql
 from weftgraph.llm.token_counts import token_counts
 from weftgraph.llm.toxicity import toxicity
@@ -113,3 +114,11 @@ def op5_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op5_secret_linking"] = secret_sql(200)
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLE_SQL["op4_quality_rules"] = quality_sql()
