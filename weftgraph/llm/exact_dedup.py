@@ -101,13 +101,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns but without the rows that an equal text of a smaller id replaces.
 
-    Of rows that repeat an id and a text one stays, whichever.
+    Of rows that repeat an id and a text one stays, whichever.  Where ids are keys, whole rows move once.
     """
-    found = exact_dedup(docs, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    twice = found.where("kept and group_size > 1").groupBy(id_col, "text_sha256").count().where("count > 1").select(F.col(id_col).alias("_twice"))
-    rest = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    ties = rest.join(twice, rest[id_col].eqNullSafe(twice["_twice"]), "left_semi")
-    plain = rest.join(twice, rest[id_col].eqNullSafe(twice["_twice"]), "left_anti")
-    key = normalise_space(text_of(ties[text_col]))
-    return plain.unionByName(ties.withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key"))
+    found = stored(exact_dedup(docs, id_col, text_col), "verdicts")
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    # an id alone names the row unless it has several texts
+    several = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col(id_col).alias("_id2"))
+    if several.isEmpty():
+        return drop_ids(docs, gone.select("_gone"), id_col)
+    key = F.sha2(normalise_space(text_of(docs[text_col])), 256)
+    hashed = docs.withColumn("_key", key)
+    rest = hashed.join(gone, hashed[id_col].eqNullSafe(gone["_gone"]) & (hashed["_key"] == gone["_sha"]), "left_anti")
+    ties = rest.join(several, rest[id_col].eqNullSafe(several["_id2"]), "left_semi").dropDuplicates([id_col, "_key"])
+    return rest.join(several, rest[id_col].eqNullSafe(several["_id2"]), "left_anti").unionByName(ties).drop("_key")
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs``, all columns, without the rows whose id is in the one column of ``gone``.
+
+    The ids are the hashed side, so whole rows are shuffled once and never sorted.
+    """
+    ids = gone.toDF("_gone").distinct().hint("shuffle_hash")
+    return docs.join(ids, docs[id_col].eqNullSafe(ids["_gone"]), "left_anti")
