@@ -39,6 +39,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(owners), (np.concatenate(ids) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+@dataclass
+class Sample:
+    """Documents as one array of feature ids; ``owner`` says whose each is.  Ids of a document are distinct."""
+
+    ids: np.ndarray  # int32
+    owner: np.ndarray  # int32
+    n: int
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Sample:
+        ids = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+        return cls(ids, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), len(rows))
+
+
 @dataclass
 class Linear:
     """A logistic model on the presence of ``ids`` and on the values of earlier categories."""
@@ -48,36 +62,35 @@ class Linear:
     earlier: np.ndarray
     bias: float
 
-    def scores(self, hits: list[np.ndarray], before: np.ndarray) -> np.ndarray:
-        table = np.zeros(1 << BITS)
+    def scores(self, sample: Sample, before: np.ndarray) -> np.ndarray:
+        table = np.zeros(1 << BITS, np.float32)
         table[self.ids] = self.weights
-        sums = np.array([table[h].sum() for h in hits]) if hits else np.zeros(0)
+        hit = np.flatnonzero(table[sample.ids])
+        sums = np.bincount(sample.owner[hit], table[sample.ids[hit]], sample.n)
         return 1 / (1 + np.exp(-np.clip(sums + before @ self.earlier + self.bias, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, keep: int = 2000, least: int = 3, l2: float = 0.5, steps: int = 300) -> Linear:
-    """A model of ``y`` on sorted distinct feature ids; features are screened by a two-proportion score."""
-    n, pos = len(y), int(y.sum())
+def fit(sample: Sample, use: np.ndarray, before: np.ndarray, y: np.ndarray, keep: int = 2000, least: int = 3, l2: float = 0.5, steps: int = 300) -> Linear:
+    """A model of ``y`` on the documents that ``use`` marks; features are screened by a two-proportion score."""
+    n, pos = int(use.sum()), int(y[use].sum())
     if not 0 < pos < n:
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), 8.0 if n and pos else -8.0)
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    df = np.bincount(flat, minlength=1 << BITS).astype(float)
-    df1 = np.bincount(flat, y[owner], minlength=1 << BITS)
+    df, df1 = (np.bincount(sample.ids[mask[sample.owner]], minlength=1 << BITS).astype(np.float32) for mask in (use, use & (y > 0)))
     share = (df + 1) / (n + 2)
     score = np.abs(df1 / pos - (df - df1) / (n - pos)) / np.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
     score[df < least] = 0
     ids = np.sort(np.argsort(-score, kind="stable")[:keep])
     ids = ids[score[ids] > 3]
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[ids] = np.arange(len(ids))
-    at = place[flat]
-    owner, at = owner[at >= 0], at[at >= 0]
+    hit = np.flatnonzero((place[sample.ids] >= 0) & use[sample.owner])
+    owner, at = sample.owner[hit], place[sample.ids[hit]]
     k, m = len(ids), before.shape[1]
     w, b = np.zeros(k + m), float(np.log(pos / (n - pos)))
     first, second = np.zeros(k + m + 1), np.zeros(k + m + 1)
     for t in range(1, steps + 1):  # Adam on the whole sample
-        z = np.bincount(owner, w[at], n) + before @ w[k:] + b
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        z = np.bincount(owner, w[at], sample.n) + before @ w[k:] + b
+        error = np.where(use, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0.0)
         g = np.concatenate([np.bincount(at, error[owner], k) + l2 * w[:k], before.T @ error + l2 * w[k:], [error.sum()]]) / n
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
@@ -85,7 +98,7 @@ def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, keep: int = 2
     return Linear(ids, w[:k], w[k:], b)
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> tuple[list[Linear], np.ndarray]:
+def fit_chain(sample: Sample, labels: np.ndarray, folds: np.ndarray) -> tuple[list[Linear], np.ndarray]:
     """The models of the columns of ``labels`` in order, and all out-of-fold predictions."""
     n, k = labels.shape
     held = np.zeros((n, k))
@@ -97,9 +110,8 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
             if out.all():  # a single fold has nothing else to learn from
                 held[:, c] = y.mean()
                 continue
-            model = fit([rows[i] for i in np.flatnonzero(~out)], before[~out], y[~out])
-            held[out, c] = model.scores([rows[i] for i in np.flatnonzero(out)], before[out])
-        models.append(fit(rows, before, y))
+            held[out, c] = fit(sample, ~out, before, y).scores(sample, before)[out]
+        models.append(fit(sample, np.ones(n, bool), before, y))
     return models, held
 
 
@@ -140,7 +152,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return found.dropDuplicates([id_col]).limit(max_labelled)
 
 
-def train(docs: DataFrame, labels: DataFrame, decide: str, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 12_000, n_folds: int = 5) -> tuple[list[str], list[Linear], float, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, decide: str, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, n_folds: int = 5) -> tuple[list[str], list[Linear], float, np.ndarray, np.ndarray]:
     """(categories in the chain's order, models, threshold, held-out predictions, labels).
 
     ``labels`` has the id and one 0/1 column per category; ``decide`` comes last in the chain.  The
@@ -152,12 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, decide: str, id_col: str = "doc_id
     ids = got.column(id_col).to_numpy()[order].astype(np.int64)
     y = np.stack([got.column(c).to_numpy()[order] > 0 for c in names], axis=1) if len(ids) else np.zeros((0, len(names)), bool)
     raw = got.column("features")
-    rows = [np.frombuffer(raw[int(i)].as_py(), "<i4").astype(np.int64) for i in order]
-    if not rows:
+    sample = Sample.of([np.frombuffer(raw[int(i)].as_py(), "<i4") for i in order])
+    if not sample.n:
         none = [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(c), -8.0) for c in range(len(names))]
         return names, none, 1.1, np.zeros((0, len(names))), y
     folds = (ids * 0x9E3779B1 >> 7) % n_folds
-    models, held = fit_chain(rows, y, folds)
+    del got, raw
+    models, held = fit_chain(sample, y, folds)
     return names, models, best_threshold(held[:, -1], y[:, -1].astype(float)), held, y
 
 
@@ -200,7 +213,7 @@ def chain_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.select(id_col, (F.lit(1) - F.col("quality")).alias("junk"), F.col("toxic"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 12_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000) -> DataFrame:
     """One row per row of ``docs``: id, p_junk, p_toxic, toxic, kept.
 
     Null, empty and blank texts have no features and get the models' biases.  Null labels count as 0,
