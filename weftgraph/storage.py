@@ -37,11 +37,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: computed once, lineage cut."""
+def width(like: DataFrame, target: int = 128 << 20) -> int:
+    """Into how many files a table made from ``like`` should go: a multiple of the cluster's cores with
+    about ``target`` bytes of input each, at least one file a core."""
+    cores = max(1, like.sparkSession.sparkContext.defaultParallelism)
+    size = int(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return cores * max(1, min(1 << 20, -(-size // (target * cores))))
+
+
+def tidy(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than ``width`` says, so that small splits don't become small files."""
+    return df.coalesce(width(like))
+
+
+def stored(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: computed once, lineage cut.
+
+    ``like``: the table that ``df`` is a scan of, whose size bounds the number of files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if like is None else tidy(df, like)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
