@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import cqf
-from weftgraph.llm.common import normalise_space, only, stored, text_of
+from weftgraph.llm.common import normalise_space, only, stored, text_of, tidy
 
 #: Fingerprints that one merged block should hold, and that one partition gathers before it flushes.
 BLOCK, FLUSH = 1 << 16, 1 << 22
@@ -78,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = only(docs, id_col, text_col).select(F.col(id_col).alias("_id"), normalise_space(text_of(text_col)).alias("_norm"))
     own = own.withColumn("_fp", (fingerprint or F.xxhash64)(F.col("_norm")))
-    narrow = stored(own.select("_id", F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha")), "exact")
+    narrow = stored(own.select("_id", F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha")), "exact", docs)
     block_bits = max(0, (narrow.count() // BLOCK).bit_length() + 2)
     repeated = repeated_fingerprints(narrow.select("fp"), block_bits).select("fp")
     salted = repeated.select(F.col("fp").alias("_fp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
@@ -103,7 +103,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows that repeat an id and a text one stays, whichever.  Where ids are keys, whole rows move once.
     """
-    found = stored(exact_dedup(docs, id_col, text_col), "verdicts")
+    found = stored(exact_dedup(docs, id_col, text_col), "verdicts", docs)
     gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
     # an id alone names the row unless it has several texts
     several = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col(id_col).alias("_id2"))
@@ -122,4 +122,4 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFr
     The ids are the hashed side, so whole rows are shuffled once and never sorted.
     """
     ids = gone.toDF("_gone").distinct().hint("shuffle_hash")
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_gone"]), "left_anti")
+    return tidy(docs.join(ids, docs[id_col].eqNullSafe(ids["_gone"]), "left_anti"), docs)

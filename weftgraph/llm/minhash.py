@@ -269,14 +269,14 @@ def minhash_components(
         raise ValueError("a band key has up to six rows in 64 bits")
     k, share = bands * rows, num / den
     least = math.floor(k * (share + (1 - share) * CHANCE - z * math.sqrt(share * (1 - share) / k)))
-    sigs = stored(signature_table(docs, id_col, text_col, width, k), "minhash")
-    classes = stored(sigs.where("n > 0").groupBy("digest").agg(F.min(F.col(id_col).cast("long")).alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "classes")
+    sigs = stored(signature_table(docs, id_col, text_col, width, k), "minhash", docs)
+    classes = stored(sigs.where("n > 0").groupBy("digest").agg(F.min(F.col(id_col).cast("long")).alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "classes", docs)
     reps = classes.where("id is not null").select("id", "n", "sig")
     keys = band_table(reps, bands, rows)
     busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     # bucket members with their signatures; only buckets of two or more
-    members = stored(keys.join(busy.hint("merge"), "key").join(reps.hint("merge"), "id"), "buckets")
-    sets = stored(shingle_table(docs, id_col, text_col, width, members.select("id")), "sets")
+    members = stored(keys.join(busy.hint("merge"), "key").join(reps.hint("merge"), "id"), "buckets", docs)
+    sets = stored(shingle_table(docs, id_col, text_col, width, members.select("id")), "sets", docs)
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -306,15 +306,15 @@ def minhash_components(
         return df.repartition(tasks, *by).sortWithinPartitions(*by)
 
     parted = members.select("key", "id", "n", "sig", _part("id", blocks).alias("_part"))
-    first = stored(dealt(parted, ["key", "_part"]).mapInArrow(best, _FOUND).distinct(), "pairs")
+    first = stored(dealt(parted, ["key", "_part"]).mapInArrow(best, _FOUND).distinct(), "pairs", docs)
     pairs = first.where("full_key is null").select("a", "b")
-    links = stored(near_links(pairs, sets, num, den), "links")
+    links = stored(near_links(pairs, sets, num, den), "links", docs)
     found = stored(connected_components(links, "a", "b"), "found")
 
     # buckets that have more to give, and in which more than one component is left
     full = first.where("full_key is not null").select(F.col("full_key").alias("key")).unionByName(busy.where(F.col("m") > block).select("key")).distinct()
     placed = members.join(full, "key", "left_semi").join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    placed = stored(placed, "placed")
+    placed = stored(placed, "placed", docs)
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     split = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all")).where("comps > 1")
     split = split.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("few"))
@@ -355,7 +355,7 @@ def minhash_components(
                 yield _give(out, [])
 
     second = dealt(left.unionByName(right), ["key", "_i", "_j"]).mapInArrow(across, _FOUND).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = near_links(stored(second, "pairs"), sets, num, den)
+    more = near_links(stored(second, "pairs", docs), sets, num, den)
     groups = connected_components(links.unionByName(more), "a", "b")
     by_digest = classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     own = F.col(id_col).cast("long")

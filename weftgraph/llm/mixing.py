@@ -124,7 +124,7 @@ def mix_sources(
         F.coalesce(F.col(language_col), F.lit("")).alias("language"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
     )
-    own = stored(own, "mix")
+    own = stored(own, "mix", docs)
     leaves = own.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     plan = leaf_budgets(leaves, weights, max_epochs, numerator, denominator)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
@@ -133,7 +133,7 @@ def mix_sources(
     # a leaf's plan goes to its documents; the hot leaf's side may be split, it is only looked up
     placed = own.join(plan.select(*LEAF, F.col("budget").alias("leaf_budget"), "whole_epochs", "_prefix"), LEAF)
     placed = placed.withColumn("_hash", epoch_hash(seed, F.col("whole_epochs"), F.col("_id")))
-    placed = stored(placed.withColumn("_bucket", F.shiftright("_hash", 48 - BUCKET_BITS)), "mix-placed")
+    placed = stored(placed.withColumn("_bucket", F.shiftright("_hash", 48 - BUCKET_BITS)), "mix-placed", docs)
     sums = placed.groupBy(*LEAF, "_bucket").agg(F.sum("n_tokens").alias("_n"))
     ahead = Window.partitionBy(*LEAF).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*LEAF, "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))

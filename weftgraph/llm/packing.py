@@ -99,7 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     packed once each.  Very long texts are tokenised whole and cut into full pieces.  An empty table
     gives an empty result.  Columns other than the two named ones are ignored, whatever their names.
     """
-    pieces = stored(tokenize_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces")
+    pieces = stored(tokenize_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces", docs)
     return place(pieces, [id_col, "piece"], capacity)
 
 

@@ -126,7 +126,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     its texts are judged by the base alone.  An empty table gives an empty result.  Other columns are
     ignored, whatever their names.
     """
-    found = stored(features(only(docs, *dict.fromkeys([id_col, text_col, stratum_col])), id_col, text_col, F.col(stratum_col)), "quality")
+    found = stored(features(only(docs, *dict.fromkeys([id_col, text_col, stratum_col])), id_col, text_col, F.col(stratum_col)), "quality", docs)
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("q")).where("q = 1").select("_id")
     cuts = thresholds(found.join(marks, "_id", "left_semi"), risk, level)
     failed = F.filter(F.array(*[F.when(F.col(a) * 1000 > F.col(b) * F.col(f"cut_{r}"), F.lit(r)) for r, (a, b) in RULES.items()]), lambda x: x.isNotNull())
