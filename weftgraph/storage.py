@@ -41,7 +41,7 @@ def width(like: DataFrame, target: int = 128 << 20) -> int:
     """Into how many files a table made from ``like`` should go: a multiple of the cluster's cores with
     about ``target`` bytes of input each, at least one file a core."""
     cores = max(1, like.sparkSession.sparkContext.defaultParallelism)
-    size = int(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return cores * max(1, min(1 << 20, -(-size // (target * cores))))
 
 
