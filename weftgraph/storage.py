@@ -45,19 +45,15 @@ def width(like: DataFrame, target: int = 128 << 20) -> int:
     return cores * max(1, min(1 << 20, -(-size // (target * cores))))
 
 
-def tidy(df: DataFrame, like: DataFrame) -> DataFrame:
-    """``df`` in no more partitions than ``width`` says, so that small splits don't become small files."""
-    return df.coalesce(width(like))
-
-
 def stored(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: computed once, lineage cut.
 
-    ``like``: the table that ``df`` is a scan of, whose size bounds the number of files.
+    ``like``: the table that ``df`` is a scan of, whose size bounds the number of files.  Leave it out behind
+    joins and aggregates: a task that works off several of their partitions holds the memory of all.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df if like is None else tidy(df, like)).write.parquet(path)
+    (df if like is None else df.coalesce(width(like))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
