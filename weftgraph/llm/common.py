@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.storage import discard, new_path, shared_dir, stored, tidy  # noqa: F401
+from weftgraph.storage import discard, new_path, shared_dir, stored, width  # noqa: F401
 
 #: ASCII white space of every text contract here, as a Java/RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import cqf
-from weftgraph.llm.common import normalise_space, only, stored, text_of, tidy
+from weftgraph.llm.common import normalise_space, only, stored, text_of, width
 
 #: Fingerprints that one merged block should hold, and that one partition gathers before it flushes.
 BLOCK, FLUSH = 1 << 16, 1 << 22
@@ -103,7 +103,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows that repeat an id and a text one stays, whichever.  Where ids are keys, whole rows move once.
     """
-    found = stored(exact_dedup(docs, id_col, text_col), "verdicts", docs)
+    found = stored(exact_dedup(docs, id_col, text_col), "verdicts")
     gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
     # an id alone names the row unless it has several texts
     several = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col(id_col).alias("_id2"))
@@ -119,7 +119,11 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs``, all columns, without the rows whose id is in the one column of ``gone``.
 
-    The ids are the hashed side, so whole rows are shuffled once and never sorted.
+    The ids are the hashed side, so whole rows are shuffled once and never sorted; they go to as many
+    partitions as their size asks for, which are the files that a caller writes.
     """
-    ids = gone.toDF("_gone").distinct().hint("shuffle_hash")
-    return tidy(docs.join(ids, docs[id_col].eqNullSafe(ids["_gone"]), "left_anti"), docs)
+    n = width(docs)
+    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("_k"), c.isNull().alias("_none")]
+    ids = gone.toDF("_gone").select(*key(F.col("_gone"))).distinct().repartition(n, "_k", "_none").hint("shuffle_hash")
+    rows = docs.select("*", *key(docs[id_col])).repartition(n, "_k", "_none")
+    return rows.join(ids, ["_k", "_none"], "left_anti").select(*docs.columns)
