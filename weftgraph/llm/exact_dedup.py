@@ -27,6 +27,8 @@ from weftgraph.llm.common import normalise_space, only, stored, text_of, width
 BLOCK, FLUSH = 1 << 16, 1 << 22
 #: Into how many parts each fingerprint's texts are dealt on their way to verification.
 SALTS = 32
+#: Ids that are broadcast at most: some 30 MB.
+FEW_IDS = 500_000
 
 
 def repeated_fingerprints(fps: DataFrame, block_bits: int) -> DataFrame:
@@ -119,11 +121,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs``, all columns, without the rows whose id is in the one column of ``gone``.
 
-    The ids are the hashed side, so whole rows are shuffled once and never sorted; they go to as many
-    partitions as their size asks for, which are the files that a caller writes.
+    The ids are stored and counted.  Up to ``FEW_IDS`` of them are broadcast, and whole rows don't move;
+    more are the hashed side of a join that shuffles whole rows once and never sorts them.
     """
-    n = width(docs)
-    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("_k"), c.isNull().alias("_none")]
-    ids = gone.toDF("_gone").select(*key(F.col("_gone"))).distinct().repartition(n, "_k", "_none").hint("shuffle_hash")
-    rows = docs.select("*", *key(docs[id_col])).repartition(n, "_k", "_none")
-    return rows.join(ids, ["_k", "_none"], "left_anti").select(*docs.columns)
+    ids = stored(gone.toDF("_gone").distinct(), "gone")
+    few = ids.count() <= FEW_IDS
+    rows = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs[id_col].eqNullSafe(ids["_gone"]), "left_anti")
+    return rows.coalesce(width(docs)) if few else rows
