@@ -46,6 +46,11 @@ def intersections(directed: DataFrame) -> DataFrame:
     return left.join(right, "t").select("s", "t", F.array_intersect("rest", "theirs").alias("common"))
 
 
+def listed(directed: DataFrame) -> DataFrame:
+    """(s, t, w): every triangle once, from the arrays that edges share; no wedge that doesn't close is a row."""
+    return intersections(directed).select("s", "t", F.explode("common").alias("w"))
+
+
 def bitmap_words(directed: DataFrame, bits: int = 64) -> DataFrame:
     """(s, word, mask): targets as words of ``bits`` bits."""
     at = F.expr(f"shiftleft(1L, cast(t % {bits} as int))")
@@ -72,14 +77,14 @@ def triangle_count(graph: DataFrame, plan: str = "adjacency") -> DataFrame:
 
 def triangles_per_vertex(graph: DataFrame) -> DataFrame:
     """(id, triangles) of vertices that are in one."""
-    rows = triangles(oriented(graph)).select(F.explode(F.array("s", "t", "w")).alias("id"))
+    rows = listed(oriented(graph)).select(F.explode(F.array("s", "t", "w")).alias("id"))
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def edge_support(graph: DataFrame) -> DataFrame:
     """(u, v, support): triangles on each edge that is in one."""
     ends = F.explode(F.array(F.struct(F.col("s").alias("a"), F.col("t").alias("b")), F.struct(F.col("s").alias("a"), F.col("w").alias("b")), F.struct(F.col("t").alias("a"), F.col("w").alias("b"))))
-    rows = triangles(oriented(graph)).select(ends.alias("e")).select(F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v"))
+    rows = listed(oriented(graph)).select(ends.alias("e")).select(F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v"))
     return rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("support"))
 
 
