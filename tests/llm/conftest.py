@@ -10,6 +10,6 @@ def docs_of(spark):
         df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string")
         from pyspark.sql import functions as F
 
-        return df.withColumns({"kept": F.lit("x"), "keep_id": F.lit(1), "n": F.lit(2), "_id": F.lit("y"), "_text": F.lit(3.0), "length": F.lit(9), "key": F.lit("k")})
+        return df.withColumns({"kept": F.lit("x"), "keep_id": F.lit(1), "n": F.lit(2), "_id": F.lit("y"), "_key": F.lit("z"), "_gone": F.lit(0), "_hash": F.lit(0), "_none": F.lit(0), "_text": F.lit(3.0), "length": F.lit(9), "key": F.lit("k")})
 
     return make

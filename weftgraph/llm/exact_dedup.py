@@ -111,11 +111,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     several = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col(id_col).alias("_id2"))
     if several.isEmpty():
         return drop_ids(docs, gone.select("_gone"), id_col)
+    name = "_weft_text_sha256"
     key = F.sha2(normalise_space(text_of(docs[text_col])), 256)
-    hashed = docs.withColumn("_key", key)
-    rest = hashed.join(gone, hashed[id_col].eqNullSafe(gone["_gone"]) & (hashed["_key"] == gone["_sha"]), "left_anti")
-    ties = rest.join(several, rest[id_col].eqNullSafe(several["_id2"]), "left_semi").dropDuplicates([id_col, "_key"])
-    return rest.join(several, rest[id_col].eqNullSafe(several["_id2"]), "left_anti").unionByName(ties).drop("_key")
+    hashed = docs.withColumn(name, key)
+    rest = hashed.join(gone, hashed[id_col].eqNullSafe(gone["_gone"]) & (hashed[name] == gone["_sha"]), "left_anti")
+    ties = rest.join(several, rest[id_col].eqNullSafe(several["_id2"]), "left_semi").dropDuplicates([id_col, name])
+    return rest.join(several, rest[id_col].eqNullSafe(several["_id2"]), "left_anti").unionByName(ties).drop(name)
 
 
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
