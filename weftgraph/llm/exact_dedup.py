@@ -86,7 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = repeated.select(F.col("fp").alias("_fp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     groups = (
         own.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["_fp", "_salt"], "left_semi")
+        .join(salted.hint("shuffle_hash"), ["_fp", "_salt"], "left_semi")  # texts are never sorted
         .groupBy("_fp", "_norm")
         .agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("size"))
         .select(F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha"), "keep", "size")
