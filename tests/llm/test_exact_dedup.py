@@ -56,12 +56,10 @@ def test_filter_of_whole_fingerprints():
     assert values.tolist() == [0, 2**63, 2**64 - 1] and counts.tolist() == [1, 1, 2]
 
 
-def test_ids_are_dropped_alike_by_either_join(docs_of, spark, monkeypatch):
-    from weftgraph.llm import exact_dedup as module
+def test_ids_are_dropped(docs_of, spark):
+    from weftgraph.llm.exact_dedup import drop_ids
 
     docs, gone = docs_of([(1, "a"), (2, "b"), (None, "c"), (3, None), (3, "d")]), spark.createDataFrame([(3,), (None,), (9,), (3,)], "g long")
-    for few in (10, 0):
-        monkeypatch.setattr(module, "FEW_IDS", few)
-        out = module.drop_ids(docs, gone)
-        assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2]
-    assert module.drop_ids(docs, gone.limit(0)).count() == 5
+    out = drop_ids(docs, gone)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+    assert drop_ids(docs, gone.limit(0)).count() == 5

@@ -27,8 +27,6 @@ from weftgraph.llm.common import normalise_space, only, stored, text_of, width
 BLOCK, FLUSH = 1 << 16, 1 << 22
 #: Into how many parts each fingerprint's texts are dealt on their way to verification.
 SALTS = 32
-#: Ids that are broadcast at most: some 30 MB.
-FEW_IDS = 500_000
 
 
 def repeated_fingerprints(fps: DataFrame, block_bits: int) -> DataFrame:
@@ -86,7 +84,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = repeated.select(F.col("fp").alias("_fp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     groups = (
         own.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-        .join(salted.hint("shuffle_hash"), ["_fp", "_salt"], "left_semi")  # texts are never sorted
+        .join(salted, ["_fp", "_salt"], "left_semi")
         .groupBy("_fp", "_norm")
         .agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("size"))
         .select(F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha"), "keep", "size")
@@ -122,10 +120,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs``, all columns, without the rows whose id is in the one column of ``gone``.
 
-    The ids are stored and counted.  Up to ``FEW_IDS`` of them are broadcast, and whole rows don't move;
-    more are the hashed side of a join that shuffles whole rows once and never sorts them.
+    The ids are the hashed side, so whole rows are never sorted.  The anti join is planned below the
+    repartition: rows that stay are dealt once more, to as many partitions as their size asks for, which
+    are the files that a caller writes.
     """
-    ids = stored(gone.toDF("_gone").distinct(), "gone")
-    few = ids.count() <= FEW_IDS
-    rows = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs[id_col].eqNullSafe(ids["_gone"]), "left_anti")
-    return rows.coalesce(width(docs)) if few else rows
+    n = width(docs)
+    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("_weft_k"), c.isNull().alias("_weft_none")]
+    ids = gone.toDF("_gone").select(*key(F.col("_gone"))).distinct().repartition(n, "_weft_k", "_weft_none").hint("shuffle_hash")
+    rows = docs.select("*", *key(docs[id_col])).repartition(n, "_weft_k", "_weft_none")
+    return rows.join(ids, ["_weft_k", "_weft_none"], "left_anti").select(*docs.columns)
