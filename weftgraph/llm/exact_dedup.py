@@ -124,7 +124,7 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFr
     repartition: rows that stay are dealt once more, to as many partitions as their size asks for, which
     are the files that a caller writes.
     """
-    n = width(docs)
+    n = min(width(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a size that Spark doesn't know counts as endless
     key = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("_weft_k"), c.isNull().alias("_weft_none")]
     ids = gone.toDF("_gone").select(*key(F.col("_gone"))).distinct().repartition(n, "_weft_k", "_weft_none").hint("shuffle_hash")
     rows = docs.select("*", *key(docs[id_col])).repartition(n, "_weft_k", "_weft_none")
