@@ -12,14 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stored
+from weftgraph.llm.common import ready, stored
 from weftgraph.llm.exact_dedup import drop_exact_duplicates, drop_ids
 from weftgraph.llm.minhash import minhash_components
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.queries import WEIGHTS, domain_of, tokenizer_file
 from weftgraph.llm.toxicity import toxicity
-from weftgraph.session import reach
 
 #: Of the tokens that reach the mixing stage, three in four are taken, each at most once.
 MIX = {"max_epochs": 1, "numerator": 3, "denominator": 4, "seed": 11}
@@ -56,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", lambda spark, docs, sf_dir: drop_toxic(reach(spark), docs, sf_dir)),
+    ("toxicity", lambda spark, docs, sf_dir: drop_toxic(ready(spark), docs, sf_dir)),
     ("exact_dedup", drop_copies),
     ("near_dedup", drop_near_copies),
     ("mixing", mix),
@@ -69,7 +68,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, in order, on ``documents``."""
-    docs = reach(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import reach
 from weftgraph.storage import discard, new_path, shared_dir, stored, width  # noqa: F401
 
 #: ASCII white space of every text contract here, as a Java/RE2 character class.
@@ -32,3 +33,14 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, with workers that can import the package and Arrow batches of at most 1,000 rows.
+
+    Rows are whole texts here; a batch is held by the JVM and by a Python worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+    return reach(spark)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents
+from weftgraph.llm.common import documents, ready
 from weftgraph.llm.exact_dedup import exact_dedup
 from weftgraph.llm.licenses import license_scan, license_sql
 from weftgraph.llm.minhash import minhash_components
@@ -18,7 +18,6 @@ from weftgraph.llm.secrets import secret_scan, secret_sql
 from weftgraph.llm.token_counts import token_counts
 from weftgraph.llm.toxicity import toxicity
 from weftgraph.llm.warc import warc_round_trip
-from weftgraph.session import reach
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,7 +31,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(reach(spark), sf_dir)
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(ready(spark), sf_dir)
     return f
 
 
