@@ -197,6 +197,45 @@ def test_queue_is_a_max_queue(steps):
         assert len(q) == len(model)
 
 
+def brute_neighbourhoods(a, b):
+    """The means over rows and columns of two {(row, col): val}, all in plain Python."""
+
+    def lists(m):
+        rows = {}
+        for (r, c), v in m.items():
+            rows.setdefault(r, {})[c] = v
+        unit = {r: {c: v / math.sqrt(sum(x * x for x in vs.values())) for c, v in vs.items()} for r, vs in rows.items()}
+        return {q: {r: s for r in unit if (s := sum(v * unit[r].get(c, 0) for c, v in unit[q].items())) > 0} for q in unit}
+
+    def mean(a, b):
+        x, y, cos = lists(a), lists(b), []
+        for q in x.keys() & y.keys():
+            norm = math.sqrt(sum(v * v for v in x[q].values()) * sum(v * v for v in y[q].values()))
+            cos.append(sum(v * y[q].get(r, 0) for r, v in x[q].items()) / norm if norm else 0)
+        return sum(cos) / len(cos)
+
+    flip = lambda m: {(c, r): v for (r, c), v in m.items()}
+    return {"rows": mean(a, b), "cols": mean(flip(a), flip(b))}
+
+
+def test_neighbourhoods_against_brute_force(spark):
+    random.seed(4)
+    a = {(random.randrange(30), random.randrange(12)): float(random.randint(1, 20)) for _ in range(150)}
+    b = {k: v for k, v in a.items() if v > 10} | {(99, 0): 3.0}  # 99 has entries in b only
+    make = lambda m: spark.createDataFrame([(*k, v) for k, v in m.items()], "row long, col long, val double")
+    found = dict(map(tuple, similarity.compare_neighbourhoods(make(a), make(b)).collect()))
+    assert found == pytest.approx(brute_neighbourhoods(a, b), abs=2e-6)
+    alike = dict(map(tuple, similarity.compare_neighbourhoods(make(a), make(a), k=3).collect()))
+    assert alike == {"rows": 1.0, "cols": 1.0}
+
+
+def test_lone_rows_have_a_neighbourhood_of_themselves(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "row long, col long, val double")
+    a, b = make((1, 1, 2.0), (2, 2, 0.0)), make((1, 1, 5.0), (2, 2, 1.0))
+    # row 1 meets itself alone in both; row 2 has no similarity in a, so counts as 0
+    assert dict(map(tuple, similarity.compare_neighbourhoods(a, b).collect())) == {"rows": 0.5, "cols": 0.5}
+
+
 def test_multimap():
     m = MultiMap()
     m.insert(1, 10)

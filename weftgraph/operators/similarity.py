@@ -37,8 +37,11 @@ def neighbours(queries: DataFrame, m: DataFrame, kind: str = "cos", k: int | Non
     q = queries.select(F.col("row").alias("query"), "col", F.col("val").alias("x"))
     c = m.select("row", "col", F.col("val").alias("y"))
     met = q.join(c, "col").groupBy("query", "row").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.least("x", "y")).alias("low"))
-    scored = met.join(_totals(queries, "query", "a"), "query").join(_totals(m, "row", "b"), "row")
-    out = scored.select("query", "row", F.round(_score(kind), 6).alias("sim")).where(F.col("sim") >= least)
+    if kind == "dotp":  # needs no totals
+        scored = met.select("query", "row", F.coalesce("dot", F.lit(0.0)).alias("sim"))
+    else:
+        scored = met.join(_totals(queries, "query", "a"), "query").join(_totals(m, "row", "b"), "row").select("query", "row", _score(kind).alias("sim"))
+    out = scored.withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= least)
     if k is None:
         return out
     order = Window.partitionBy("query").orderBy(F.col("sim").desc(), "row")
@@ -64,25 +67,25 @@ def pair_similarity(a: DataFrame, b: DataFrame, pairs: DataFrame, kind: str = "c
     return sums.select("i1", "i2", F.round(_score(kind), 6).alias("sim"))
 
 
-def _self_scores(m: DataFrame, k: int, least: float) -> DataFrame:
-    unit = normalise(m)
-    return neighbours(unit, unit, "dotp", k, least).where("query <> row")
+def compare_neighbourhoods(a: DataFrame, b: DataFrame, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """(side, mean): how alike the neighbours of a row are in a and in b.
 
-
-def compare_neighbourhoods(a: DataFrame, b: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
-    """(side, mean): how alike the nearest neighbours of a row are in a and in b.
-
-    Each row's neighbours are a vector of similarities; rows that have none in either matrix are left
-    out; ``rows`` compares rows, ``cols`` columns.
+    Each row's neighbours, itself among them, are a vector of cosines of at least ``least``; ``k`` None
+    keeps all, else the k best count.  The mean is over the rows that have entries in both matrices;
+    where their lists don't meet the row counts as 0.  ``rows`` compares rows, ``cols`` columns.
     """
 
     def mean(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
-        p = _self_scores(x, k, least).select("query", "row", F.col("sim").alias("p"))
-        q = _self_scores(y, k, least).select("query", "row", F.col("sim").alias("q"))
-        sq = lambda d, c: d.groupBy("query").agg(F.sum(F.col(c) * F.col(c)).alias(f"_{c}"))
-        dot = p.join(q, ["query", "row"]).groupBy("query").agg(F.sum(F.col("p") * F.col("q")).alias("dot"))
-        rows = sq(p, "p").join(sq(q, "q"), "query").join(dot, "query", "left")
+        common = x.select(F.col("row").alias("query")).distinct().intersect(y.select(F.col("row").alias("query")))
+
+        def scores(m: DataFrame, name: str) -> DataFrame:
+            unit = normalise(m)
+            asked = unit.join(common, unit["row"] == common["query"], "left_semi")
+            return neighbours(asked, unit, "dotp", k, least).withColumnRenamed("sim", name)
+
+        met = scores(x, "p").join(scores(y, "q"), ["query", "row"], "full").groupBy("query")
+        sums = met.agg(F.sum(F.col("p") * F.col("q")).alias("dot"), F.sum(F.col("p") * F.col("p")).alias("_p"), F.sum(F.col("q") * F.col("q")).alias("_q"))
         cos = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("_p") * F.col("_q"))), F.lit(0.0))
-        return rows.agg(F.round(F.avg(cos), 6).alias("mean")).select(F.lit(side).alias("side"), "mean")
+        return common.join(sums, "query", "left").agg(F.round(F.avg(cos), 6).alias("mean")).select(F.lit(side).alias("side"), "mean")
 
     return mean(a, b, "rows").unionByName(mean(transpose(a), transpose(b), "cols"))
