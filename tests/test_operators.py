@@ -236,6 +236,14 @@ def test_lone_rows_have_a_neighbourhood_of_themselves(spark):
     assert dict(map(tuple, similarity.compare_neighbourhoods(a, b).collect())) == {"rows": 0.5, "cols": 0.5}
 
 
+def test_neighbourhoods_are_of_whole_matrices(spark, duck):
+    from weftgraph.plans import registry
+
+    found = dict(map(tuple, registry.queries()["neighbourhood_similarity"](spark, "/root/testdata/sf0.001").collect()))
+    a = {(r, c): v for r, c, v in duck.sql("SELECT o_custkey, l_partkey, sum(l_quantity) FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2").fetchall()}
+    assert found == pytest.approx(brute_neighbourhoods(a, {k: v for k, v in a.items() if v > 10}), abs=2e-6)
+
+
 def test_multimap():
     m = MultiMap()
     m.insert(1, 10)

@@ -138,7 +138,7 @@ for _kind, _x in _SCORE.items():
         for _compat in (False, True):
             _cut = " JOIN (SELECT a, b, least(max(c) FILTER (WHERE hx), max(c) FILTER (WHERE hy)) AS z FROM f GROUP BY 1, 2) USING (a, b) WHERE c <= z" if _compat else ""
             _add(f"sim_pairs_{_kind}" + "_compat" * _compat, lambda s, d, k=_kind, t=_compat: similarity.pair_similarity(fx.cust_part(s, d), fx.cust_part(s, d), fx.cust_part(s, d).where("row > 0").select(F.col("row").alias("i1"), (F.col("row") % 5).alias("i2")).distinct(), k, t), f"WITH {fx.M}, p AS (SELECT DISTINCT r AS a, r % 5 AS b FROM m WHERE r > 0), x AS (SELECT a, b, c, v FROM p JOIN m ON a = r), y AS (SELECT a, b, c, v FROM p JOIN m ON b = r), f AS (SELECT a, b, c, coalesce(x.v, 0) AS x, coalesce(y.v, 0) AS y, x.v IS NOT NULL AS hx, y.v IS NOT NULL AS hy FROM x FULL JOIN y USING (a, b, c)), g AS (SELECT a, b, sum(x * y) AS dot, sum(least(x, y)) AS low, sum(x) AS sa, sum(y) AS sb, sum(x * x) AS qa, sum(y * y) AS qb FROM f{_cut} GROUP BY 1, 2) SELECT a AS i1, b AS i2, round(coalesce(CASE WHEN isfinite({_x}) THEN {_x} END, 0), 6) AS sim FROM g")
-_add("neighbourhood_similarity", lambda s, d: similarity.compare_neighbourhoods(fx.cust_part(s, d).where("row < 150"), fx.cust_part(s, d).where("row < 150 and val > 10"), 8, 0.05))
+_add("neighbourhood_similarity", lambda s, d: similarity.compare_neighbourhoods(fx.cust_part(s, d), fx.cust_part(s, d).where("val > 10")))
 
 # --- iterative graph algorithms -------------------------------------------------------------------
 _add("components", lambda s, d: components.connected_components(fx.strong(s, d), "u", "v"), f"WITH RECURSIVE {fx.STRONG}, {fx.BOTH}, cc(id, component) USING KEY (id) AS (SELECT src, min(least(src, dst)) FROM b GROUP BY src UNION SELECT b.dst, min(cc.component) FROM cc JOIN b ON b.src = cc.id JOIN recurring.cc o ON o.id = b.dst WHERE cc.component < o.component GROUP BY b.dst) SELECT id, component FROM cc")
