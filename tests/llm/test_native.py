@@ -9,7 +9,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm.licenses import TEXTS, license_scan
+from weftgraph.llm.licenses import NAMES, OPENINGS, SPELLINGS, TELLING, TEXTS, canonical_text, known_forms, known_licenses, license_scan
 from weftgraph.llm.mixing import leaf_budgets, mix_sources
 from weftgraph.llm.quality import binomial_cdf, quality_rules
 from weftgraph.llm.secrets import secret_scan
@@ -109,6 +109,23 @@ def test_known_texts_and_variants(docs_of):
     assert [r["n_license_lines"] for r in twice] == [1, 1]
 
 
+def test_every_known_form_is_found(docs_of):
+    notices = [(f"{opening} under {w}", name) for opening in OPENINGS for name, words in NAMES.items() for w in words]
+    rows = [(i, f"text\n* {n.upper()}!\nmore") for i, (n, _) in enumerate(notices)]
+    found = {r["doc_id"]: r["licenses"] for r in license_scan(docs_of(rows)).collect()}
+    assert found == {i: name for i, (_, name) in enumerate(notices)}
+    forms = known_forms()
+    assert len(forms) == len(known_licenses()) and all(re.search(TELLING, t) for t, _ in forms)
+    # no telling string comes from another spelling alone, so one in the canonical form is one in the text
+    assert not any(re.search(TELLING, b) and not re.search(TELLING, a) for a, b in SPELLINGS)
+
+
+def test_own_digests_are_matched_whatever_they_hold(docs_of, spark):
+    known = spark.createDataFrame([(hashlib.sha256(canonical_text(t).encode()).hexdigest(), t) for t in ("Do what you like", "Free for all")], "digest string, license_id string")
+    found = {r["doc_id"]: r[1:] for r in license_scan(docs_of([(1, "Do what you like!"), (2, "a\nfree for ALL\n\nb"), (3, ""), (4, None)]), known=known).collect()}
+    assert found == {1: ("Do what you like", 1, "Do what you like"), 2: (None, 1, "Free for all"), 3: (None, 0, ""), 4: (None, 0, "")}
+
+
 # ---- quality
 
 

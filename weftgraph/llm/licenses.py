@@ -3,8 +3,9 @@
 A unit of text is canonical when copyright lines are gone, letters are lower case, equivalent spellings
 are one spelling and everything between runs of letters and digits is one space.  Units are whole
 documents and whole lines.  Their SHA-256 is joined to the digests of known licence texts and notices.
-Every known text holds one of a few telling strings in each of its spellings, so only units with one of
-these are canonicalised; that leaves nothing out.
+Every known form of ``known_licenses`` holds one of a few telling strings in each of its spellings (a test
+goes through them all), so only units with one of these are canonicalised; that leaves nothing out.  A
+caller's own digests tell nothing of their texts, so with these every unit is.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from weftgraph.llm.common import only, text_of
 COPYRIGHT_LINE = r"(^|\n)[^\w\n]*(copyright|\(c\)|©)[^\n]*"
 RESERVED_LINE = r"(^|\n)[^\w\n]*all rights reserved[^\w\n]*"
 BETWEEN = r"[^\p{L}\p{N}]+"
-TELLING = r"(?i)licen|permission|warrant"
+TELLING = r"(?i)licen|permission|warrant|released|distributed|available"
+#: The SQL looks up the forms that hold one of these only; it has no notices such as "Released under MIT".
+TELLING_SQL = r"(?i)licen|permission|warrant"
 
 # Equivalent spellings, on canonical words.
 SPELLINGS = [
@@ -110,8 +113,8 @@ def canonical_text(text: str) -> str:
     return t.strip()
 
 
-def known_licenses() -> list[tuple[str, str]]:
-    """(canonical digest, licence id) of texts and notices; a notice is an opening and a name, with or without an article."""
+def known_forms() -> list[tuple[str, str]]:
+    """(canonical form, licence id) of texts and notices; a notice is an opening and a name, with or without an article."""
     forms: dict[str, str] = {}
     for name, text in TEXTS.items():
         forms[canonical_text(text)] = name
@@ -125,8 +128,12 @@ def known_licenses() -> list[tuple[str, str]]:
         for w in words:
             forms[canonical_text(f"{w} license" if "licen" not in w.lower() else w)] = name
         forms[canonical_text(f"SPDX-License-Identifier: {name}")] = name
-    telling = re.compile(TELLING)
-    return sorted((hashlib.sha256(t.encode()).hexdigest(), name) for t, name in forms.items() if telling.search(t))
+    return sorted((t, name) for t, name in forms.items())
+
+
+def known_licenses() -> list[tuple[str, str]]:
+    """(canonical digest, licence id) of all known forms."""
+    return sorted((hashlib.sha256(t.encode()).hexdigest(), name) for t, name in known_forms())
 
 
 def canonical(col: Column) -> Column:
@@ -147,14 +154,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text_license is the licence that the whole text is (else null), n_license_lines counts lines that
     are a known text or notice, licenses lists the distinct ids of both, sorted and comma-joined (empty
     string for none).  ``known`` has digest and license_id; where a digest has several ids the smallest
-    counts.  Null and empty texts hold nothing.  Repeated rows are scanned alike, null ids are kept.  An
-    empty table gives an empty result.  Other columns are ignored, whatever their names.
+    counts, and every text and line is looked up, whatever it holds.  Null and empty texts hold nothing.
+    Repeated rows are scanned alike, null ids are kept.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
+    told_by = (lambda c: F.rlike(c, F.lit(TELLING))) if known is None else (lambda c: c != "")
     known = (known if known is not None else known_table(docs.sparkSession)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     own = only(docs, id_col, text_col).select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    own = own.withColumn("_key", F.when(F.rlike("_text", F.lit(TELLING)), F.xxhash64("_text")))
+    own = own.withColumn("_key", F.when(told_by(F.col("_text")), F.xxhash64("_text")))
     told = own.where(F.col("_key").isNotNull())
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(TELLING)))
+    lines = F.filter(F.split("_text", "\n"), told_by)
     units = told.select("_id", "_key", F.posexplode(F.concat(F.array("_text"), lines)).alias("_at", "_unit"))
     digests = units.select("_id", "_key", "_at", F.sha2(canonical(F.col("_unit")), 256).alias("digest")).distinct()
     hits = digests.join(known, "digest").groupBy("_id", "_key").agg(
@@ -180,13 +188,15 @@ def license_sql() -> str:
             t = f"replace({t}, ' {a} ', ' {b} ')"
         return f"trim({t})"
 
-    values = ", ".join(f"('{d}', '{n}')" for d, n in known_licenses())
+    telling = re.compile(TELLING_SQL)
+    forms = sorted((hashlib.sha256(t.encode()).hexdigest(), name) for t, name in known_forms() if telling.search(t))
+    values = ", ".join(f"('{d}', '{n}')" for d, n in forms)
     return f"""
 WITH known AS (SELECT digest, min(license_id) AS license_id FROM (VALUES {values}) v(digest, license_id) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-told AS (SELECT r, t FROM d WHERE regexp_matches(t, {quote(TELLING)})),
+told AS (SELECT r, t FROM d WHERE regexp_matches(t, {quote(TELLING_SQL)})),
 units AS (SELECT r, true AS whole, t AS u FROM told UNION ALL
-          SELECT r, false, u FROM (SELECT r, unnest(string_split(t, chr(10))) AS u FROM told) WHERE regexp_matches(u, {quote(TELLING)})),
+          SELECT r, false, u FROM (SELECT r, unnest(string_split(t, chr(10))) AS u FROM told) WHERE regexp_matches(u, {quote(TELLING_SQL)})),
 hits AS (SELECT r, max(CASE WHEN whole THEN license_id END) AS text_license, count(*) FILTER (WHERE NOT whole) AS n,
          string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses
          FROM (SELECT r, whole, sha256({canon('u')}) AS digest FROM units) JOIN known USING (digest) GROUP BY r)
