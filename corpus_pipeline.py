@@ -12,26 +12,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import ready, stored
+from weftgraph.llm.common import ready, stored, text_of
 from weftgraph.llm.exact_dedup import drop_exact_duplicates, drop_ids
 from weftgraph.llm.minhash import minhash_components
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.queries import WEIGHTS, domain_of, tokenizer_file
 from weftgraph.llm.toxicity import toxicity
+from weftgraph.operators.ordering import with_rank
 
 #: Of the tokens that reach the mixing stage, three in four are taken, each at most once.
 MIX = {"max_epochs": 1, "numerator": 3, "denominator": 4, "seed": 11}
 
 
-def keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the ids that ``verdict`` (doc_id, kept) drops."""
-    return drop_ids(docs, verdict.where(~F.col("kept")).select("doc_id"))
+#: The caller's id, where ``by_row`` has put a row number in its place.
+OWN_ID = "_weft_own_id"
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with ids that are keys: as it is where its ids are keys, else with row numbers as doc_id.
+
+    Numbers go by id, null last, then by text, so the smallest id is still the smallest; the ids
+    themselves are in ``OWN_ID``.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        return docs
+    ranked = with_rank(docs, F.asc_nulls_last("doc_id"), F.sha2(text_of("text"), 256), name="_weft_row")
+    return stored(ranked.withColumns({OWN_ID: F.col("doc_id"), "doc_id": F.col("_weft_row")}).drop("_weft_row"), "rows")
+
+
+def keep(rows: DataFrame, verdict: DataFrame) -> DataFrame:
+    """``rows`` of ``by_row``, with their own ids, without those that ``verdict`` (doc_id, kept) drops."""
+    left = drop_ids(rows, verdict.where(~F.col("kept")).select("doc_id"))
+    return left if OWN_ID not in rows.columns else left.withColumn("doc_id", F.col(OWN_ID)).drop(OWN_ID)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier chain holds toxic."""
-    return keep(docs, toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows, labels = by_row(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if OWN_ID in rows.columns:  # of rows that share an id one is learned from
+        first = rows.groupBy(OWN_ID).agg(F.min("doc_id").alias("_weft_row"))
+        labels = labels.join(first, labels["doc_id"] == first[OWN_ID]).withColumn("doc_id", F.col("_weft_row")).drop("_weft_row", OWN_ID)
+    return keep(rows, toxicity(rows, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +63,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near duplicates: five-word shingles, 0.8 or more."""
-    return keep(docs, minhash_components(docs, width=5, num=80, den=100))
+    rows = by_row(docs)
+    return keep(rows, minhash_components(rows, width=5, num=80, den=100))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix reads, whole: also the one at which a leaf's budget ends."""
-    return keep(docs, mix_sources(docs, WEIGHTS, domain_of(), **MIX))
+    rows = by_row(docs)
+    return keep(rows, mix_sources(rows, WEIGHTS, domain_of(), **MIX))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

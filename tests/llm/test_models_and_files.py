@@ -275,3 +275,26 @@ def test_pipeline_takes_odd_documents(docs_of, spark):
         assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_a_verdict_drops_its_own_row_only(docs_of, spark):
+    sf = "/root/testdata/sf0.001"
+    made = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    verdict = {r["doc_id"]: r["kept"] for r in corpus_pipeline.toxicity(made, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    text = {r["doc_id"]: r["text"] for r in made.collect()}
+    bad, good = ([text[i] for i in sorted(text) if verdict[i] == k and len(text[i]) > 200] for k in (False, True))
+    rest = [(i, text[i]) for i in sorted(text)]
+    docs = docs_of(rest + [(None, bad[0]), (None, good[0]), (900_000, bad[1]), (900_000, good[1])])
+    left = Count((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id", "text").collect())
+    assert left == Count([(i, t) for i, t in rest if verdict[i]] + [(None, good[0]), (900_000, good[1])])
+
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, words), (7, words + " more"), (7, "something else by far"), (None, words + " yet more"), (None, "and one other clean text")]
+    out = corpus_pipeline.drop_near_copies(spark, docs_of(rows), sf)
+    assert Count((r["doc_id"], r["text"]) for r in out.collect()) == Count([rows[0], rows[2], rows[4]])
+    assert out.columns == docs.columns
+
+    # blank rows are never read by the mix; three in four of the other tokens are
+    rows = [(None, ""), (5, " ")] + [(i, "a b c d") for i in (None, None, 5, 5, 6, 7, 8, 9)]
+    taken = Count(r["text"] for r in corpus_pipeline.mix(spark, docs_of(rows), sf).collect())
+    assert taken == {"a b c d": 6}
