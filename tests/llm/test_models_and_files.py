@@ -236,6 +236,27 @@ def test_archives_are_deduplicated(spark, tmp_path):
         assert all(r["digest_ok"] in (True, None) for r in rows)
 
 
+def test_deduplication_carries_all_records_over(spark, tmp_path):
+    def record(kind, name, block, *more):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: 2020-01-0{len(name)}T00:00:00Z", f"Content-Length: {len(block)}", *more]
+        return ("WARC/1.1\r\n" + "\r\n".join(head)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    page, away = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\npage\xff", "WARC-Payload-Digest: sha1:" + "A" * 32
+    here = f"WARC-Payload-Digest: sha1:{warc.digest_of(page[-5:])}"
+    lone = record("revisit", "eeeee", b"", away, "WARC-Refers-To: <urn:uuid:far>", "WARC-Refers-To-Date: 2019-01-01T00:00:00Z")
+    others = [record("warcinfo", "a", b"software: x"), record("request", "ffffff", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:uuid:bb>", "WARC-Concurrent-To: <urn:uuid:ccc>"), record("metadata", "ggggggg", b"k: v")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc").write_bytes(b"".join([*others, record("response", "bb", page), record("response", "ccc", page), record("revisit", "dddd", b"", here, "WARC-Refers-To: <urn:uuid:ccc>"), lone]))
+    warc.deduplicate_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    raw = [x for f in (tmp_path / "out").glob("part*") for x in warc.raw_records_in(f.read_bytes())]
+    whole = [h + b"\r\n\r\n" + b + b"\r\n\r\n" for h, b in raw]
+    assert len(raw) == 7 and all(x in whole for x in [*others, lone])
+    found = {h["warc-record-id"][10:-1]: (h["warc-type"], h.get("warc-refers-to"), h["warc-date"][:10], b) for h, b in ((warc.fields_of(h), b) for h, b in raw)}
+    assert found["bb"] == ("response", None, "2020-01-02", page)
+    assert found["ccc"] == ("revisit", "<urn:uuid:bb>", "2020-01-03", page[:-5])
+    assert found["dddd"] == ("revisit", "<urn:uuid:bb>", "2020-01-04", b"")
+
+
 def test_reader_takes_single_and_many_member_gzip():
     import gzip
 

@@ -127,8 +127,8 @@ def _stream(blob: bytes) -> Iterator[bytes]:
         at -= len(z.unused_data)
 
 
-def records_in(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of one archive."""
+def raw_records_in(blob: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(header as it is, block) of each record of one archive."""
     held, source, more = bytearray(), _stream(blob), True
     while True:
         while more and (end := held.find(b"\r\n\r\n")) < 0 or more and not held:
@@ -151,11 +151,21 @@ def records_in(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             held += piece or b""
         if len(held) < need:
             raise ValueError("an archive ends inside a record's block")
-        fields = (x.split(":", 1) for x in head.decode("utf-8").split("\r\n")[1:] if ":" in x)
-        yield {k.strip().lower(): v.strip() for k, v in fields}, bytes(held[end + 4 : end + 4 + size])
+        yield head, bytes(held[end + 4 : end + 4 + size])
         del held[:need]
 
 
+def records_in(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of one archive."""
+    for head, block in raw_records_in(blob):
+        yield fields_of(head), block
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    fields = (x.split(":", 1) for x in head.decode("utf-8").split("\r\n")[1:] if ":" in x)
+    return {k.strip().lower(): v.strip() for k, v in fields}
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of all archives below ``path`` (columns: ``RECORDS``).
 
@@ -197,18 +207,73 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> None:
-    """Read archives, keep one response per payload, write fresh headers.
+_NUMBER = re.compile(r"<urn:page:(-?\d{1,18})>")
+
+
+def _archived(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """All records below ``path``, of whatever type, with header and block as they are (null without ``blocks``).
+
+    The digest of a response is that of its payload, of another record what its header names; _number is
+    the page of an id that ``write_warc`` gave.
+    """
+    schema = pa.schema([("_id", pa.string()), ("_type", pa.string()), ("_number", pa.int64()), ("_date", pa.string()), ("_uri", pa.string()), ("_content", pa.string()), ("_digest", pa.string()), ("_bytes", pa.int64()), ("_head", pa.binary()), ("_block", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                rows, held = [], 0
+                for raw, block in raw_records_in(blob.as_py()):
+                    head = fields_of(raw)
+                    number = _NUMBER.fullmatch(head.get("warc-record-id", ""))
+                    row = {"_id": head.get("warc-record-id"), "_type": head.get("warc-type"), "_number": int(number[1]) if number else None, "_date": head.get("warc-date"), "_uri": head.get("warc-target-uri"), "_content": head.get("content-type")}
+                    row["_digest"] = head.get("warc-payload-digest", "").removeprefix("sha1:")
+                    if row["_type"] == "response":
+                        payload = block.partition(b"\r\n\r\n")[2]
+                        row |= {"_digest": digest_of(payload), "_bytes": len(payload)}
+                    rows.append(row | ({"_head": raw, "_block": block} if blocks else {}))
+                    held += len(raw) + len(block) if blocks else 0
+                    if len(rows) >= 2000 or held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("content").mapInArrow(run, "_id string, _type string, _number bigint, _date string, _uri string, _content string, _digest string, _bytes bigint, _head binary, _block binary")
 
-    Revisits of the source get their payload's digest from their header; those whose original is in
-    the source become revisits of the record that stays, so no payload is lost or stored twice.
+
+def deduplicate_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 0, per_file: int = PER_FILE) -> None:
+    """Read archives, keep one response per payload of at least ``min_bytes`` bytes, write fresh headers.
+
+    Of equal payloads the response of the smallest page number stays, then of the smallest record id;
+    the others, and revisits whose digest is that of a response in the source, become revisits of it.
+    Ids, dates, URIs and HTTP headers stay.  Revisits whose original is elsewhere, and records of other
+    types, are written as they are.
     """
-    records = read_warc(spark, source)
-    full = records.where("warc_type = 'response'").select(F.regexp_extract("record_id", r"^<urn:page:(.*)>$", 1).cast("long").alias("page_id"), F.col("target_uri").alias("url"), F.col("payload").cast("string").alias("html"), "payload_digest")
-    sizes = full.groupBy("payload_digest").agg(F.min("page_id").alias("_first"))
-    lone = records.where("warc_type = 'revisit'").select(F.regexp_extract("record_id", r"^<urn:page:(.*)>$", 1).cast("long").alias("page_id"), F.col("target_uri").alias("url"), "payload_digest")
-    firsts = full.join(sizes, "payload_digest").where(F.col("page_id") == F.col("_first")).select("payload_digest", "html").dropDuplicates(["payload_digest"])
-    write_warc(full.select("page_id", "url", "html").unionByName(lone.join(firsts, "payload_digest").select("page_id", "url", "html")), target, min_bytes=min_bytes)
+    heads = _archived(spark, source, blocks=False)
+    order = F.struct(F.col("_number").isNull(), "_number", "_id")
+    firsts = heads.where("_type = 'response'").groupBy("_digest").agg(F.min(order)["_id"].alias("_first"), F.max("_bytes").alias("_size"))
+    narrow = heads.where("_type in ('response', 'revisit')").select("_id", "_type", "_digest").distinct().join(firsts, "_digest")
+    again = narrow.where((F.col("_type") == "revisit") | (F.col("_size") >= min_bytes) & ~F.col("_id").eqNullSafe(F.col("_first")))
+    again = again.select(F.coalesce("_id", F.lit("")).alias("_hid"), F.col("_type").alias("_htype"), F.col("_digest").alias("_hdigest"), "_first")
+    own = _archived(spark, source)
+    same = (F.coalesce(own["_id"], F.lit("")) == again["_hid"]) & (own["_type"] == again["_htype"]) & (own["_digest"] == again["_hdigest"])
+    rows = own.join(again.hint("shuffle_hash"), same, "left")
+    revisit, fresh = F.col("_hid").isNotNull(), F.col("_hid").isNotNull() | (F.col("_type") == "response")
+    # of a response that becomes a revisit the HTTP headers stay; a source's revisit has no more
+    text = F.col("_block").cast("string")
+    http = F.when(F.instr(text, "\r\n\r\n") > 0, F.concat(F.substring_index(text, "\r\n\r\n", 1), F.lit("\r\n\r\n"))).otherwise(text)
+    block = F.when(revisit & (F.col("_type") == "response"), http).otherwise(text)
+    line = lambda name, col: F.coalesce(F.concat(F.lit(f"\r\n{name}: "), col), F.lit(""))
+    head = F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
+        line("WARC-Record-ID", F.col("_id")), line("WARC-Date", F.col("_date")), line("WARC-Target-URI", F.col("_uri")),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("_digest"),
+        F.when(revisit, F.concat(line("WARC-Refers-To", F.col("_first")), F.lit(f"\r\nWARC-Profile: {PROFILE}"))).otherwise(""),
+        line("Content-Type", F.col("_content")), F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"),
+    )
+    value = F.concat(F.when(fresh, head).otherwise(F.col("_head").cast("string")), F.lit("\r\n\r\n"), block)
+    rows.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(target)
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
