@@ -43,8 +43,22 @@ def strong(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, w) of strong pairs, both directions, w the number of orders."""
+    return weighted_all(spark, sf_dir).where("w >= 2")
+
+
+def weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, w) of all pairs, both directions, w the number of orders."""
     rows = _pairs(spark, sf_dir, "l_partkey").where("src <> dst").distinct()
-    return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")).where("w >= 2")
+    return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def in_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries part x part, the number of orders in which the one part's line is not behind the other's:
+    all pairs, many one way only."""
+    items = table(spark, sf_dir, "lineitem")
+    a, b = (items.select("l_orderkey", F.col("l_partkey").alias(c), F.col("l_linenumber").alias(n)) for c, n in (("row", "n1"), ("col", "n2")))
+    rows = a.join(b, "l_orderkey").where("row <> col and n1 <= n2").select("l_orderkey", "row", "col").distinct()
+    return rows.groupBy("row", "col").agg(F.count(F.lit(1)).cast("double").alias("val"))
 
 
 def bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:

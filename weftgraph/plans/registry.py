@@ -111,7 +111,9 @@ def _uneven(s: SparkSession, d: str) -> DataFrame:
 
 
 for _op, _x, _join in (("sum", "coalesce(a.v, 0) + coalesce(b.v, 0)", "FULL"), ("min", "least(a.v, b.v)", "INNER"), ("max", "greatest(a.v, b.v)", "FULL"), ("avg", "0.5::DOUBLE * (coalesce(a.v, 0) + coalesce(b.v, 0))", "FULL")):
+    _add(f"mat_symmetrise_{_op}_all_pairs", lambda s, d, op=_op: matrix.make_symmetric(fx.in_line_order(s, d), op))
     _add(f"mat_symmetrise_{_op}", lambda s, d, op=_op: matrix.make_symmetric(_uneven(s, d), op), f'WITH {fx.WEIGHTED}, {_W} SELECT coalesce(a.r, b.c) AS "row", coalesce(a.c, b.r) AS "col", {_x} AS val FROM wt2 a {_join} JOIN wt2 b ON a.r = b.c AND a.c = b.r')
+_add("mat_symmetrise_avg_compat_all_pairs", lambda s, d: matrix.make_symmetric(fx.in_line_order(s, d), "avg", compat=True))
 _add("mat_symmetrise_avg_compat", lambda s, d: matrix.make_symmetric(_uneven(s, d), "avg", compat=True), f'WITH {fx.WEIGHTED}, {_W} SELECT coalesce(a.r, b.c) AS "row", coalesce(a.c, b.r) AS "col", CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 0.25::DOUBLE * a.v + 0.5::DOUBLE * b.v ELSE 0.5::DOUBLE * coalesce(a.v, b.v) END AS val FROM wt2 a FULL JOIN wt2 b ON a.r = b.c AND a.c = b.r')
 for _kind, _x in {
     "maxtf": "0.5::DOUBLE + 0.5::DOUBLE * v / max(abs(v)) OVER (PARTITION BY r)",
@@ -156,6 +158,16 @@ _add("best_first_order", lambda s, d: graph.best_first_order(edges.both_directio
 _add("sssp", lambda s, d: graph.shortest_paths(fx.weighted(s, d), _start(s, d)), f"WITH RECURSIVE {fx.WEIGHTED}, sp(id, dist) USING KEY (id) AS (SELECT min(src), 0::DOUBLE FROM wt WHERE src < dst UNION SELECT wt.dst, min(sp.dist + wt.w) FROM sp JOIN wt ON wt.src = sp.id LEFT JOIN recurring.sp o ON o.id = wt.dst WHERE o.id IS NULL OR sp.dist + wt.w < o.dist GROUP BY wt.dst) SELECT v.id, coalesce(dist, -1) AS dist FROM (SELECT DISTINCT src AS id FROM wt) v LEFT JOIN sp ON sp.id = v.id")
 
 
+def _start_all(s: SparkSession, d: str) -> int:
+    return int(fx.weighted_all(s, d).agg(F.min("src")).first()[0])
+
+
+# over all pairs, where the queries with SQL take those of two orders or more; tests hold them to the same SQL without that cut
+_add("sssp_all_pairs", lambda s, d: graph.shortest_paths(fx.weighted_all(s, d), _start_all(s, d)))
+_add("pagerank_all_pairs", lambda s, d: _r(graph.pagerank(fx.weighted_all(s, d), max_iter=10, fixed=True)[0], "pr"))
+_add("pagerank_personalised_all_pairs", lambda s, d: _r(graph.pagerank(fx.weighted_all(s, d), max_iter=10, fixed=True, restart=s.range(1).select(F.lit(_start_all(s, d)).cast("long").alias("id"), F.lit(1.0).alias("r")))[0], "pr"))
+
+
 def _pr_sql(restart: str) -> str:
     return f"WITH RECURSIVE {fx.WEIGHTED}, n AS (SELECT DISTINCT src AS id FROM wt), r AS ({restart}), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM wt), k(i, id, pr) AS (SELECT 0, id, r FROM r UNION ALL SELECT i, id, pr FROM (SELECT k.i + 1 AS i, p.dst AS id, 0.85::DOUBLE * sum(k.pr * p.p) + 0.15::DOUBLE * any_value(r.r) AS pr FROM k JOIN p ON p.src = k.id JOIN r ON r.id = p.dst WHERE k.i < 10 GROUP BY k.i, p.dst)) SELECT id, round(pr, 6) AS pr FROM k WHERE i = 10"
 
@@ -171,7 +183,7 @@ def _perm(s: SparkSession, d: str) -> DataFrame:
 _PERM = f"{fx.E}, {fx.DEG}, {fx.BOTH}, p AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) - 1 AS place FROM deg)"
 _add("bandwidth_compactness", lambda s, d: graph.compactness(fx.parts_both(s, d), _perm(s, d)), f"WITH {_PERM}, z AS (SELECT abs(x.place - y.place) AS d FROM b JOIN p x ON x.id = src JOIN p y ON y.id = dst) SELECT round(avg(d), 6) AS mean, count(*) FILTER (WHERE d = 1) AS near1, count(*) FILTER (WHERE d = 2) AS near2, count(*) FILTER (WHERE d = 3) AS near3 FROM z")
 _add("centroid_reorder", lambda s, d: graph.centroid_reorder(fx.parts_both(s, d), _perm(s, d)), f"WITH {_PERM}, z AS (SELECT src AS id, avg(y.place) AS m FROM b JOIN p y ON y.id = dst GROUP BY src) SELECT id, row_number() OVER (ORDER BY round(place + 0.5::DOUBLE * (m - place), 9), id) - 1 AS place FROM p JOIN z USING (id)")
-_add("pagerank_report", lambda s, d: graph.pagerank_report(fx.weighted(s, d), graph.pagerank(fx.weighted(s, d), max_iter=10, fixed=True)[0]).select("id", F.round("pr", 6).alias("pr"), "degree", F.round("max_diff", 6).alias("max_diff")))
+_add("pagerank_report", lambda s, d: graph.pagerank_report(fx.weighted_all(s, d), graph.pagerank(fx.weighted_all(s, d), max_iter=10, fixed=True)[0]).select("id", F.round("pr", 6).alias("pr"), "degree", F.round("max_diff", 6).alias("max_diff")))
 
 # --- itemsets and ranked lists --------------------------------------------------------------------
 _add("frequent_itemsets", lambda s, d: mining.frequent_itemsets(fx.baskets(s, d), 5, max_len=3), f"WITH {fx.TX}, f AS (SELECT * FROM tx WHERE item IN (SELECT item FROM tx GROUP BY item HAVING count(*) >= 5)) SELECT [item] AS items, count(*) AS support FROM f GROUP BY item UNION ALL SELECT [a.item, b.item], count(*) FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= 5 UNION ALL SELECT [a.item, b.item, c.item], count(*) FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item JOIN f c ON c.tid = b.tid AND b.item < c.item GROUP BY a.item, b.item, c.item HAVING count(*) >= 5")
