@@ -1,4 +1,4 @@
-"""Bin packing of item counts by length: linear grouping, few-size configurations, best fit for the rest.
+"""Bin packing of item counts by length: linear grouping, few-size configurations, best fit for small items.
 
 All of it works on how many items there are of each length, never on items: with capacity C there are
 at most C lengths, so this runs on the driver at any corpus size.
@@ -6,15 +6,37 @@ at most C lengths, so this runs on the driver at any corpus size.
 1. Large lengths are sorted downwards and cut into groups of equal cardinality; each group counts as
    its largest length.
 2. Configurations of these few sizes are optimised by column generation: a simplex over the groups
-   whose new columns come from a knapsack over the capacity.  Whole multiples are kept.
-3. Real items take the slots of their group; they are no longer than the group's size.
-4. What rounding left over and all small items go, longest first, to the bin that they fill best.
+   whose new columns come from a knapsack over the capacity.  Whole multiples are kept; what is left of
+   the groups is grouped and optimised anew until it is a few items.
+3. Real items take the slots, the longest first: the longest of the group, or one of a group above where
+   what earlier slots of the bin left free makes room for it.
+4. Small items go, longest first, to the bin that they fill best; that also fills what rounding left
+   over.  The last few large items, which make no whole configuration, go the same way before them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: A plan: (lengths in a bin, how many such bins).
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def _best_column(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most valuable multiset of ``sizes`` within ``capacity``: its value and how often it has each."""
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for j, size in enumerate(sizes.tolist()):
+        for a in range(size, capacity + 1, size):  # a block only looks at the one before
+            b = min(a + size, capacity + 1)
+            value = best[a - size : b - size] + worth[j]
+            better = value > best[a:b] + 1e-12
+            best[a:b][better], pick[a:b][better] = value[better], j
+    column, c = np.zeros(len(sizes)), capacity
+    while c > 0 and pick[c] >= 0:
+        column[pick[c]] += 1
+        c -= int(sizes[pick[c]])
+    return float(worth @ column), column
+
 
 def _configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int) -> list[tuple[np.ndarray, int]]:
     """(copies of each size in a bin, bins): whole parts of a solution of the configuration LP."""
@@ -23,25 +45,9 @@ def _configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds:
     inverse = np.linalg.inv(basis)
     x = need / np.diag(basis)
     for _ in range(rounds):
-        worth = np.maximum(inverse.sum(axis=0), 0)  # duals: every column costs one bin
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(sizes.min()), capacity + 1):
-            fits = np.flatnonzero(sizes <= c)
-            values = best[c - sizes[fits]] + worth[fits]
-            j = int(values.argmax())
-            if values[j] > best[c - 1] + 1e-12:
-                best[c], pick[c] = values[j], fits[j]
-            else:
-                best[c] = best[c - 1]
-        if best[capacity] <= 1 + 1e-7:
+        value, column = _best_column(sizes, np.maximum(inverse.sum(axis=0), 0), capacity)  # duals: every column costs one bin
+        if value <= 1 + 1e-7:
             break
-        column, c = np.zeros(k), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-                continue
-            column[pick[c]] += 1
-            c -= int(sizes[pick[c]])
         step = inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         leave = int(ratio.argmin())
@@ -58,13 +64,12 @@ def _configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds:
 
 
 def _groups(lengths: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
-    """(length, items), longest first, cut into k groups of equal cardinality."""
+    """(length, items), longest first, cut into k groups of equal cardinality; groups of one size are one."""
     total = sum(n for _, n in lengths)
     k = min(k, total)
-    out: list[list[tuple[int, int]]] = []
     ends = [total * (i + 1) // k for i in range(k)]
+    out: list[list[tuple[int, int]]] = [[] for _ in ends]
     seen, at = 0, 0
-    out = [[] for _ in ends]
     for length, n in lengths:
         while n:
             take = min(n, ends[at] - seen)
@@ -73,71 +78,89 @@ def _groups(lengths: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]
                 n, seen = n - take, seen + take
             if seen == ends[at] and at + 1 < k:
                 at += 1
-    return [g for g in out if g]
+    merged: list[list[tuple[int, int]]] = []
+    for g in filter(None, out):
+        if merged and merged[-1][0][0] == g[0][0]:
+            merged[-1] = merged[-1] + g
+        else:
+            merged.append(g)
+    return merged
 
 
-def pack_counts(counts: dict[int, int], capacity: int, groups: int = 40, small: float = 1 / 12, slack: int = 4, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
-    """Bins as (lengths in a bin, how many such bins); each item of ``counts`` is in just one bin.
+def _fill(left: np.ndarray, least: int, sizes: np.ndarray, configurations: list[tuple[np.ndarray, int]], capacity: int) -> Plan:
+    """The bins of the configurations with real items; takes them out of ``left`` (items by length).
 
-    A bin of a configuration stands if its real items leave at most ``slack`` free; the items of the
-    others go with the small ones.
+    A slot takes the longest item that fits besides the slots behind it: what rounding leaves free in one
+    slot is room for the next.  Items are those of at least ``least``.
+    """
+    below = np.arange(capacity + 1)  # below[x]: where to look for the longest length up to x that has items
+
+    def longest(x: int, used: dict[int, int]) -> int:
+        path = []
+        while x >= least and left[x] <= 0:
+            path.append(x)
+            x = int(below[x]) if below[x] < x else x - 1
+        for p in path:
+            below[p] = x
+        while x >= least and left[x] <= used.get(x, 0):
+            x -= 1
+        return x if x >= least else 0
+
+    out: Plan = []
+    for column, bins in sorted(configurations, key=lambda c: tuple(-sizes[np.flatnonzero(c[0])])):
+        slots_ = [int(sizes[j]) for j, m in enumerate(column) for _ in range(int(m))]
+        while bins > 0:
+            used: dict[int, int] = {}
+            taken, room = [], capacity - sum(slots_)
+            for size in slots_:
+                x = longest(size + room, used)
+                room += size - x
+                if x:
+                    taken.append(x)
+                    used[x] = used.get(x, 0) + 1
+            if not taken:
+                break
+            many = min(bins, *(int(left[x]) // m for x, m in used.items()))
+            for x, m in used.items():
+                left[x] -= m * many
+            out.append((tuple(taken), many))
+            bins -= many
+    return out
+
+
+def pack_counts(counts: dict[int, int], capacity: int, groups: int = 80, small: float = 1 / 4, rounds: int = 600, levels: int = 3) -> tuple[Plan, int]:
+    """Bins as (lengths in a bin, how many such bins), each item of ``counts`` in just one, and how many
+    large items configurations placed.
+
+    Items of up to ``small`` of the capacity are small.
     """
     bad = [x for x, n in counts.items() if not 0 < x <= capacity or n < 0]
     if bad:
         raise ValueError(f"lengths must be 1 to {capacity}: {bad[:5]}")
-    done: list[tuple[tuple[int, ...], int]] = [((capacity,), counts[capacity])] if counts.get(capacity) else []
+    done: Plan = [((capacity,), counts[capacity])] if counts.get(capacity) else []
     left = {x: n for x, n in counts.items() if n and x < capacity}
-    large = sorted(((x, n) for x, n in left.items() if x > small * capacity), reverse=True)
-    open_bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    placed = 0
+    open_bins: dict[int, Plan] = {}
 
     def put(lengths: tuple[int, ...], bins: int) -> None:
         room = capacity - sum(lengths)
         (open_bins.setdefault(room, []) if room else done).append((lengths, bins))
 
-    def stand(lengths: tuple[int, ...], bins: int) -> None:
-        if capacity - sum(lengths) <= slack:
-            put(lengths, bins)
-            for x in lengths:
-                left[x] -= bins
-
-    if large:
+    items, least = np.zeros(capacity + 1, np.int64), int(small * capacity) + 1
+    items[list(left)] = list(left.values())
+    for _ in range(levels):
+        large = [(x, int(items[x])) for x in range(capacity - 1, least - 1, -1) if items[x]]
+        if not large:
+            break
         by = _groups(large, groups)
-        merged: list[list[tuple[int, int]]] = []
-        for g in by:  # groups that round to one size count as one size
-            if merged and merged[-1][0][0] == g[0][0]:
-                merged[-1] = merged[-1] + g
-            else:
-                merged.append(g)
-        sizes, need = np.array([g[0][0] for g in merged]), np.array([float(sum(n for _, n in g)) for g in merged])
-        queues = [list(reversed(g)) for g in merged]
-        for column, bins in _configurations(sizes, need, capacity, rounds):
-            slots = [j for j, m in enumerate(column) for _ in range(int(m))]
-            while bins > 0:
-                want = {j: slots.count(j) for j in set(slots)}
-                slots = [j for j in slots if queues[j]]
-                if not slots:
-                    break
-                want = {j: slots.count(j) for j in set(slots)}
-                same = min(bins, *(queues[j][-1][1] // m for j, m in want.items()))
-                if same:  # all slots of a group get one length, in that many bins
-                    taken = tuple(queues[j][-1][0] for j in slots)
-                else:  # a bin where a group passes from one length to the next
-                    same, taken = 1, ()
-                    for j in slots:
-                        if queues[j]:
-                            length, n = queues[j].pop()
-                            taken += (length,)
-                            if n > 1:
-                                queues[j].append((length, n - 1))
-                    stand(taken, 1)
-                    bins -= 1
-                    continue
-                for j, m in want.items():
-                    length, n = queues[j].pop()
-                    if n > m * same:
-                        queues[j].append((length, n - m * same))
-                stand(taken, same)
-                bins -= same
+        sizes, need = np.array([g[0][0] for g in by]), np.array([float(sum(n for _, n in g)) for g in by])
+        bins = _fill(items, least, sizes, _configurations(sizes, need, capacity, rounds), capacity)
+        for lengths, n in bins:
+            put(lengths, n)
+            placed += len(lengths) * n
+        if not bins:
+            break
+    left = {int(x): int(items[x]) for x in np.flatnonzero(items)}
     for length in sorted((x for x, n in left.items() if n), reverse=True):
         n = left[length]
         while n:
@@ -159,20 +182,27 @@ def pack_counts(counts: dict[int, int], capacity: int, groups: int = 40, small:
                 n, bins = 0, bins - 1
             if bins and lengths:
                 put(lengths, bins)
-    return done + [b for room in sorted(open_bins) for b in open_bins[room]]
+    return done + [b for room in sorted(open_bins) for b in open_bins[room]], placed
 
 
-#: (groups, slack) that ``best_plan`` tries.
-CHOICES = ((40, 4), (40, 8), (80, 4))
+#: (groups, share of the capacity up to which items are small) that ``best_plan`` tries, until one reaches
+#: the bound.  Where lengths are spread evenly, large items above a half do best.
+CHOICES = ((80, 1 / 4), (320, 0.3), (320, 1 / 6), (80, 1 / 2))
 
 
-def best_plan(counts: dict[int, int], capacity: int, choices: tuple[tuple[int, int], ...] = CHOICES) -> list[tuple[tuple[int, ...], int]]:
-    """The plan with the fewest bins over several numbers of groups and slacks."""
-    plans = [pack_counts(counts, capacity, groups, slack=slack) for groups, slack in choices]
-    return min(plans, key=lambda p: sum(n for _, n in p))
+def best_plan(counts: dict[int, int], capacity: int, choices: tuple[tuple[int, float], ...] = CHOICES) -> tuple[Plan, int]:
+    """The plan with the fewest bins over several numbers of groups and limits of small items, and how many
+    items its configurations placed; of equally good ones that which placed most."""
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+    found: list[tuple[Plan, int]] = []
+    for groups, small in choices:
+        found.append(pack_counts(counts, capacity, groups, small))
+        if sum(n for _, n in found[-1][0]) <= bound:
+            break
+    return min(found, key=lambda p: (sum(n for _, n in p[0]), -p[1]))
 
 
-def slots(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slots(plan: Plan, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The plan as sorted keys ``length << 44 | first rank``, with the first bin and the offset in it.
 
     The items of a length are numbered from 0; one with number r lies in the entry with the largest

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from weftgraph.llm.binpack import best_plan, slots
 from weftgraph.llm.common import only, stored, text_of
-from weftgraph.llm.tokenizer import Encoder, read_spec
+from weftgraph.llm.tokenizer import encoder_of, read_parts
 
 #: Hash buckets within a length.
 BUCKETS = 4096
@@ -31,12 +31,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
 
     Only documents of more than ``capacity`` ids are cut; all their pieces but the first are full.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    parts = docs.sparkSession.sparkContext.broadcast(read_parts(tokenizer_path))  # a vocabulary file has a fixed size
     own = only(docs, id_col, text_col).select(F.col(id_col), text_of(text_col).alias("_text"))
     kind = own.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
+        encoder = encoder_of(parts.value)
         for batch in batches:
             where, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -74,7 +74,7 @@ def place(pieces: DataFrame, keys: list[str], capacity: int, buckets: int = BUCK
     ahead = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    plan = spark.sparkContext.broadcast(slots(best_plan(counts, capacity), capacity))
+    plan = spark.sparkContext.broadcast(slots(best_plan(counts, capacity)[0], capacity))
     within = Window.partitionBy("length", "_bucket").orderBy(*keys)
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["length", "_bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
