@@ -78,6 +78,80 @@ def test_sample_is_bounded(docs_of, spark):
     assert tox.labelled_rows(docs, tox.chain_labels(labels), "doc_id", "text", 20).count() == 20
 
 
+def plain_features(text):
+    """Feature ids of a text, byte by byte."""
+    out, whole = set(), (1 << 64) - 1
+
+    def final(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & whole
+        return x ^ (x >> 31)
+
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        w = w.lower()  # bytes: A-Z only
+        for part in [w, *(w[:n] for n in (4, 5, 6, 8) if len(w) > n)]:
+            raw = sum(b * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(part))
+            out.add(final((raw + len(part) * 0xD1B54A32D192ED03) & whole) >> 44)
+    return out
+
+
+def test_scores_are_those_of_the_fitted_weights(docs_of, spark):
+    """Each row's probabilities, worked out again text by text from the models; also of odd texts and rows."""
+    rows = toxic_rows(3, 240)
+    texts = [(i, x) for i, x, _ in rows] + [(1000 + i, x) for i, x in enumerate(ODD)] + [(None, "grobian lumpkin " * 9), (7, "grobians"), (7, "grobians")]
+    labels = spark.createDataFrame([(i, i % 3 > 0, t) for i, _, t in rows], "doc_id long, quality boolean, toxic int").selectExpr("doc_id", "cast(quality as int) quality", "toxic")
+    docs = docs_of(texts)
+    chain = tox.train(docs, tox.chain_labels(labels), "toxic")
+    weights = [dict(zip(m.ids.tolist(), m.weights.astype(np.float32).tolist())) for m in chain.models]
+
+    def brute(text):
+        p, ids = [], plain_features(text)
+        for m, w in zip(chain.models, weights):
+            z = sum(w.get(i, 0.0) for i in ids) + sum(a * b for a, b in zip(p, m.earlier)) + m.bias
+            p.append(1 / (1 + np.exp(-z)))
+        return p
+
+    found = sorted(((r["doc_id"] is None, r["doc_id"], r["p_junk"], r["p_toxic"], r["kept"]) for r in tox.score(docs, chain).collect()), key=repr)
+    want = sorted(((i is None, i, *brute(x)) for i, x in texts), key=repr)
+    by_id = {}
+    for none, i, *p in want:
+        by_id.setdefault(i, []).append(p)
+    assert len(found) == len(want)
+    for none, i, *p, kept in found:
+        assert any(np.allclose(p, q, rtol=1e-4, atol=1e-7) for q in by_id[i])
+        assert kept == (p[-1] < chain.threshold)
+    assert 0 < sum(not r[-1] for r in found) < len(found)
+    # the filter keeps just these rows, whole
+    left = tox.without_rejected(docs, chain)
+    assert left.schema == docs.schema
+    assert Count((r["doc_id"], r["text"]) for r in left.collect()) == Count((i, x) for i, x in texts if brute(x)[-1] < chain.threshold)
+
+
+def test_any_kind_of_id_and_label_name(spark):
+    rows = toxic_rows(4, 80)
+    docs = spark.createDataFrame([(f"d{i}", x, 1) for i, x, _ in rows], "key string, body string, features int")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, t) for i, _, t in rows], "key string, features int, bad int")
+    chain = tox.train(docs, labels, "bad", "key", "body")
+    found = tox.score(docs, chain, "key", "body")
+    assert found.columns == ["key", "p_features", "p_bad", "bad", "kept"] and found.count() == 80
+
+
+def test_words_do_not_depend_on_windows():
+    import pyarrow as pa
+
+    from weftgraph.llm import wordhash
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab c\té \n") for _ in range(rng.randrange(60))) for _ in range(200)] + ["z" * 300, "", " "]
+    for _, data, offsets in wordhash.slices(pa.array(texts)):
+        whole = wordhash.Words(data, offsets)
+        for window in (1, 2, 7, 64):
+            part = wordhash.Words(data, offsets, window=window)
+            for name in ("start", "end", "first", "hash"):
+                assert (getattr(part, name) == getattr(whole, name)).all()
+        assert (whole.hash[whole.end - whole.start == 3] == whole.beginning_hash(whole.start[whole.end - whole.start == 3], 3)).all()
+
+
 # ---- token counts
 
 

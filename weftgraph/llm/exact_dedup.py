@@ -6,9 +6,9 @@
    bits into blocks; blocks are shuffled and merged without loss.  A hot text is one slot with a
    counter in each partition's filter, never many rows.
 3. Fingerprints with a count above one route their documents to byte verification: whole normalised
-   texts, dealt by fingerprint and a salt of the id, are the grouping key of an aggregate that combines
-   before its own shuffle, so of a group of copies each task ships one text.  Equal fingerprints of
-   different texts part here.
+   texts are the grouping key of an aggregate that combines before its shuffle, so of a group of copies
+   each task ships one text.  Equal fingerprints of different texts part here.  Up to ``FEW`` such
+   fingerprints go to the texts; beyond that texts go to them, dealt by fingerprint and a salt of the id.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from weftgraph.llm import cqf
 from weftgraph.llm.common import normalise_space, only, stored, text_of, width
 
-#: Fingerprints that one merged block should hold, and that one partition gathers before it flushes.
-BLOCK, FLUSH = 1 << 16, 1 << 22
+#: Fingerprints that one merged block should hold at most, and that one partition gathers before it flushes.
+BLOCK, FLUSH = 1 << 21, 1 << 22
 #: Into how many parts each fingerprint's texts are dealt on their way to verification.
 SALTS = 32
+#: So many fingerprints or ids of 8 bytes are broadcast at most; a longer list is joined by a shuffle.
+FEW = 1 << 19
 
 
 def repeated_fingerprints(fps: DataFrame, block_bits: int) -> DataFrame:
@@ -79,16 +81,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = only(docs, id_col, text_col).select(F.col(id_col).alias("_id"), normalise_space(text_of(text_col)).alias("_norm"))
     own = own.withColumn("_fp", (fingerprint or F.xxhash64)(F.col("_norm")))
     narrow = stored(own.select("_id", F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha")), "exact", docs)
-    block_bits = max(0, (narrow.count() // BLOCK).bit_length() + 2)
-    repeated = repeated_fingerprints(narrow.select("fp"), block_bits).select("fp")
-    salted = repeated.select(F.col("fp").alias("_fp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    groups = (
-        own.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["_fp", "_salt"], "left_semi")
-        .groupBy("_fp", "_norm")
-        .agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("size"))
-        .select(F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha"), "keep", "size")
-    )
+    # blocks as large as a task can hold, so that filters are not a slot each; as many as tasks at least
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block_bits = max(tasks.bit_length(), (narrow.count() // BLOCK).bit_length() + 1)
+    repeated = stored(repeated_fingerprints(narrow.select("fp"), block_bits).select(F.col("fp").alias("_fp")), "repeated")
+    if repeated.count() <= FEW:
+        texts = own.join(F.broadcast(repeated), "_fp", "left_semi")  # at most FEW longs; no text moves before it is combined
+    else:
+        salted = repeated.select("_fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        texts = own.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_fp", "_salt"], "left_semi")
+    groups = texts.groupBy("_fp", "_norm").agg(F.min("_id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    groups = groups.select(F.col("_fp").alias("fp"), F.sha2("_norm", 256).alias("sha"), "keep", "size")
     return narrow.join(groups, ["fp", "sha"], "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("size").isNull(), F.col("_id")).otherwise(F.col("keep")).alias("keep_id"),
@@ -118,14 +121,18 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs``, all columns, without the rows whose id is in the one column of ``gone``.
+    """``docs``, all columns, without the rows whose id is in the one column of ``gone``, which is read more than once.
 
-    The ids are the hashed side, so whole rows are never sorted.  The anti join is planned below the
-    repartition: rows that stay are dealt once more, to as many partitions as their size asks for, which
-    are the files that a caller writes.
+    Up to ``FEW`` ids of a fixed width go to the rows.  Else rows and ids meet by a shuffle: the ids are the
+    hashed side, so whole rows are never sorted, and rows are dealt to as many partitions as their size
+    asks for, which are the files that a caller writes.
     """
+    ids = gone.toDF("_gone").distinct()
+    fixed = dict(ids.dtypes)["_gone"] in ("tinyint", "smallint", "int", "bigint")
+    if fixed and ids.limit(FEW + 1).count() <= FEW:
+        return docs.join(F.broadcast(ids), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
     n = min(width(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a size that Spark doesn't know counts as endless
     key = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("_weft_k"), c.isNull().alias("_weft_none")]
-    ids = gone.toDF("_gone").select(*key(F.col("_gone"))).distinct().repartition(n, "_weft_k", "_weft_none").hint("shuffle_hash")
+    ids = ids.select(*key(F.col("_gone"))).repartition(n, "_weft_k", "_weft_none").hint("shuffle_hash")
     rows = docs.select("*", *key(docs[id_col])).repartition(n, "_weft_k", "_weft_none")
     return rows.join(ids, ["_weft_k", "_weft_none"], "left_anti").select(*docs.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import WORD, only, stored, text_of
+from weftgraph.llm.exact_dedup import drop_ids
 
 #: Hash buckets of a leaf, as bits.
 BUCKET_BITS = 12
@@ -146,6 +147,28 @@ def mix_sources(
     return out.withColumn("kept", F.col("taken_tokens") > 0)
 
 
+#: Leaves whose ends are broadcast at most; beyond that the ids that go are joined by a shuffle.
+LEAVES = 1 << 16
+
+
+def drop_unmixed(docs: DataFrame, weights: dict[tuple[str, ...], int], domain_of: Column, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
+    """``docs``, all columns, without the rows of which ``mix_sources`` reads nothing; ids must be keys.
+
+    What a leaf reads of an epoch is all up to a place in the epoch's order, so a row is judged by its own
+    place and its leaf's last one that is read: no row moves.
+    """
+    found = stored(mix_sources(docs, weights, domain_of, seed=seed, id_col=id_col, text_col=text_col, language_col=language_col, source_col=source_col, **how), "mixed")
+    place = lambda epoch, id_: F.struct(epoch_hash(seed, epoch, id_).alias("h"), id_.alias("i"))
+    kept = found.where("kept").groupBy(*[F.col(c).alias(f"_weft_{c}") for c in LEAF])
+    ends = stored(kept.agg(F.max(place(F.col("whole_epochs"), F.col(id_col))).alias("_weft_end"), F.any_value("whole_epochs").alias("_weft_epoch")), "mix-ends")
+    if ends.count() > LEAVES:
+        return drop_ids(docs, found.where(~F.col("kept")).select(id_col), id_col)
+    leaf = [F.coalesce(c, F.lit("")) for c in (domain_of, F.col(language_col), F.col(source_col))]
+    rows = docs.withColumns({f"_weft_{c}": x for c, x in zip(LEAF, leaf)}).where(F.rlike(text_of(text_col), F.lit(WORD)))
+    rows = rows.join(F.broadcast(ends), [f"_weft_{c}" for c in LEAF])  # at most LEAVES short rows
+    return rows.where(place(F.col("_weft_epoch"), F.col(id_col)) <= F.col("_weft_end")).select(*docs.columns)
+
+
 def mixing_sql(weights: dict[tuple[str, ...], int], domain_sql: str, max_epochs: int, numerator: int, denominator: int, seed: int) -> str:
     """The same rows in DuckDB's SQL, over ``documents``."""
 

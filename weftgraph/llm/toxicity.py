@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for n in STEMS:
         long = np.flatnonzero(w.end - w.start > n)
         owners.append(owner[long])
-        ids.append(w.range_hash(w.start[long], w.start[long] + n))
+        ids.append(w.beginning_hash(w.start[long], n))
     return np.concatenate(owners), (np.concatenate(ids) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -128,13 +129,17 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int) -> DataFrame:
-    """(id, labels..., features) of at most ``max_labelled`` labelled documents, chosen by a hash of the id."""
+    """(_weft_h, label_0, label_1, ..., _weft_features) of at most ``max_labelled`` labelled documents, chosen by a hash of the id.
+
+    Labels are in the order of the columns of ``labels``; of rows that share an id the least one by labels and features counts.
+    """
     columns = [c for c in labels.columns if c != id_col]
-    order = F.xxhash64(id_col)
-    sample = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.max(F.coalesce(F.col(c), F.lit(0))).cast("int").alias(c) for c in columns]).orderBy(order, id_col).limit(max_labelled)
-    own = only(docs, id_col, text_col).select(F.col(id_col), text_of(text_col).alias("_text"))
-    chosen = own.join(F.broadcast(sample), id_col).select(id_col, *columns, "_text")  # at most max_labelled short rows
-    kind = dict(chosen.dtypes)[id_col]
+    ints = [f"label_{i}" for i in range(len(columns))]
+    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_weft_id"))
+    sample = marks.agg(*[F.max(F.coalesce(F.col(c), F.lit(0))).cast("int").alias(n) for c, n in zip(columns, ints)]).orderBy(F.xxhash64("_weft_id"), "_weft_id").limit(max_labelled)
+    own = only(docs, id_col, text_col).select(F.col(id_col).alias("_weft_id"), text_of(text_col).alias("_weft_text"))
+    chosen = own.join(F.broadcast(sample), "_weft_id").select("_weft_id", *ints, "_weft_text")  # at most max_labelled short rows
+    kind = dict(chosen.dtypes)["_weft_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,67 +150,106 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 cuts = np.searchsorted(pair >> BITS, np.arange(len(offsets)))
                 low = (pair & ((1 << BITS) - 1)).astype("<i4")
                 out += [low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "_weft_features"])
 
-    ints = ", ".join(f"`{c}` int" for c in columns)
-    found = chosen.mapInArrow(run, f"`{id_col}` {kind}, {ints}, features binary")
-    return found.dropDuplicates([id_col]).limit(max_labelled)
+    found = chosen.mapInArrow(run, f"_weft_id {kind}, " + "".join(f"{n} int, " for n in ints) + "_weft_features binary")
+    least = F.min(F.struct(*ints, "_weft_features")).alias("_weft_row")
+    return found.groupBy("_weft_id").agg(least).select(F.xxhash64("_weft_id").alias("_weft_h"), "_weft_row.*")
 
 
-def train(docs: DataFrame, labels: DataFrame, decide: str, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, n_folds: int = 5) -> tuple[list[str], list[Linear], float, np.ndarray, np.ndarray]:
-    """(categories in the chain's order, models, threshold, held-out predictions, labels).
+@dataclass
+class Chain:
+    """Fitted models by category, in the chain's order, and what decides: the last category's threshold.
 
-    ``labels`` has the id and one 0/1 column per category; ``decide`` comes last in the chain.  The
-    bounded sample is what the driver gets: at most ``max_labelled`` rows of feature ids.
+    ``held`` and ``labels`` are the sample's out-of-fold predictions and its labels.
+    """
+
+    names: list[str]
+    models: list[Linear]
+    threshold: float
+    held: np.ndarray
+    labels: np.ndarray
+
+
+def train(docs: DataFrame, labels: DataFrame, decide: str, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, n_folds: int = 5) -> Chain:
+    """Fit the chain of the 0/1 columns of ``labels``, which also has the id; ``decide`` comes last.
+
+    The bounded sample is what the driver gets: at most ``max_labelled`` rows of feature ids.
     """
     names = [*(c for c in labels.columns if c not in (id_col, decide)), decide]
     got = labelled_rows(docs, labels.select(id_col, *names), id_col, text_col, max_labelled).toArrow()
-    order = np.argsort(got.column(id_col).to_numpy(), kind="stable")
-    ids = got.column(id_col).to_numpy()[order].astype(np.int64)
-    y = np.stack([got.column(c).to_numpy()[order] > 0 for c in names], axis=1) if len(ids) else np.zeros((0, len(names)), bool)
-    raw = got.column("features")
+    h = got.column("_weft_h").to_numpy()
+    raw = got.column("_weft_features")
+    order = np.argsort(h, kind="stable")
+    y = np.stack([got.column(f"label_{i}").to_numpy()[order] > 0 for i in range(len(names))], axis=1) if len(h) else np.zeros((0, len(names)), bool)
     sample = Sample.of([np.frombuffer(raw[int(i)].as_py(), "<i4") for i in order])
     if not sample.n:
         none = [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(c), -8.0) for c in range(len(names))]
-        return names, none, 1.1, np.zeros((0, len(names))), y
-    folds = (ids * 0x9E3779B1 >> 7) % n_folds
+        return Chain(names, none, 1.1, np.zeros((0, len(names))), y)
+    folds = h[order] % n_folds
     del got, raw
     models, held = fit_chain(sample, y, folds)
-    return names, models, best_threshold(held[:, -1], y[:, -1].astype(float)), held, y
+    return Chain(names, models, best_threshold(held[:, -1], y[:, -1].astype(float)), held, y)
 
 
-def score(docs: DataFrame, names: list[str], models: list[Linear], threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, p_<category>..., <decide>, kept) of every row."""
-    table = np.zeros((len(models), 1 << BITS), np.float32)
-    for row, m in zip(table, models):
+def _scorer(chain: Chain) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
+    """What scoring needs, of a size fixed by the number of categories: a table of weights, and the rest."""
+    table = np.zeros((len(chain.models), 1 << BITS), np.float32)
+    for row, m in zip(table, chain.models):
         row[m.ids] = m.weights
-    shipped = docs.sparkSession.sparkContext.broadcast((table, [(m.earlier, m.bias) for m in models]))
+    return table, [(m.earlier, m.bias) for m in chain.models]
+
+
+def _probabilities(column: pa.Array, weights: np.ndarray, rest: list[tuple[np.ndarray, float]], used: np.ndarray) -> np.ndarray:
+    """(texts, categories): each category's probability given those before it."""
+    parts = []
+    for _, data, offsets in slices(column):
+        owner, ids = features(data, offsets)
+        hit = used[ids]
+        pair = np.unique((owner[hit] << BITS) | ids[hit])
+        owner, ids = pair >> BITS, pair & ((1 << BITS) - 1)
+        n = len(offsets) - 1
+        p = np.zeros((n, len(rest)))
+        for c, (earlier, bias) in enumerate(rest):
+            z = np.bincount(owner, weights[c][ids], n) + p[:, :c] @ earlier + bias
+            p[:, c] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        parts.append(p)
+    return np.concatenate(parts) if parts else np.zeros((0, len(rest)))
+
+
+def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, p_<category>..., <decide>, kept) of every row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_scorer(chain))
     own = only(docs, id_col, text_col).select(F.col(id_col), text_of(text_col).alias("_text"))
     kind = own.schema[0].dataType.simpleString()
-    columns = [f"p_{c}" for c in names]
+    columns = [f"p_{c}" for c in chain.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, rest = shipped.value
         used = (weights != 0).any(axis=0)
         for batch in batches:
-            parts = []
-            for _, data, offsets in slices(batch.column(1)):
-                owner, ids = features(data, offsets)
-                hit = used[ids]
-                pair = np.unique((owner[hit] << BITS) | ids[hit])
-                owner, ids = pair >> BITS, pair & ((1 << BITS) - 1)
-                n = len(offsets) - 1
-                p = np.zeros((n, len(rest)))
-                for c, (earlier, bias) in enumerate(rest):
-                    z = np.bincount(owner, weights[c][ids], n) + p[:, :c] @ earlier + bias
-                    p[:, c] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                parts.append(p)
-            p = np.concatenate(parts) if parts else np.zeros((0, len(rest)))
+            p = _probabilities(batch.column(1), weights, rest, used)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(len(rest)))], names=[id_col, *columns])
 
     found = own.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"`{c}` double" for c in columns))
-    bad = F.col(columns[-1]) >= F.lit(threshold)
-    return found.select("*", bad.alias(names[-1]), (~bad).alias("kept"))
+    bad = F.col(columns[-1]) >= F.lit(chain.threshold)
+    return found.select("*", bad.alias(chain.names[-1]), (~bad).alias("kept"))
+
+
+def without_rejected(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows whose text the chain rejects: one pass, no shuffle."""
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast((_scorer(chain), chain.threshold))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (weights, rest), threshold = shipped.value
+        used = (weights != 0).any(axis=0)
+        for batch in batches:
+            text = pc.fill_null(batch.column(at), "")
+            yield batch.filter(pa.array(_probabilities(text, weights, rest, used)[:, -1] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def chain_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -216,11 +260,15 @@ def chain_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000) -> DataFrame:
     """One row per row of ``docs``: id, p_junk, p_toxic, toxic, kept.
 
-    Null, empty and blank texts have no features and get the models' biases.  Null labels count as 0,
-    labels with a null id are left out, repeated labels of an id count as their maximum; of repeated
-    documents one is learned from.  Without labels, or with none that is toxic, nothing is rejected.
-    Null ids are scored like others.  An empty table gives an empty result.  Other columns are ignored,
-    whatever their names.
+    Null, empty and blank texts have no features and get the models' biases; very long ones are read
+    whole.  Null labels count as 0, labels with a null id are left out, repeated labels of an id count as
+    their maximum; of repeated documents one is learned from.  Without labels, or with none that is
+    toxic, nothing is rejected.  Ids may be of any type that joins that of ``labels``; null ids are scored
+    like others.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
-    names, models, threshold, _, _ = train(docs, chain_labels(labels, id_col), "toxic", id_col, text_col, max_labelled)
-    return score(docs, names, models, threshold, id_col, text_col)
+    return score(docs, train(docs, chain_labels(labels, id_col), "toxic", id_col, text_col, max_labelled), id_col, text_col)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000) -> DataFrame:
+    """``docs``, all columns, without the rows that ``toxicity`` would not keep."""
+    return without_rejected(docs, train(docs, chain_labels(labels, id_col), "toxic", id_col, text_col, max_labelled), text_col)

@@ -59,32 +59,62 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         a = b
 
 
+def _final(raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(raw + length.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of the texts of a slice.
 
     ``start``, ``end``: byte ranges; ``hash``: of the bytes; ``first``: for each text the number of its
-    first word, with the number of all words at the end.
+    first word, with the number of all words at the end.  A slice is worked on in windows of ``window``
+    bytes, and a word that several windows share is put together from its parts, so besides the text
+    only a few numbers a word are held, however long a text or a word is.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
-        n = len(data)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, window: int = SLICE):
         self.bytes = LOWER[data] if lower else data
-        gap = np.ones(n + 2, bool)
-        gap[1:-1] = IS_SPACE[data]
-        word = ~gap[1:-1]
-        bounds = np.zeros(n + 1, bool)
-        bounds[offsets] = True
-        self.start = np.flatnonzero(word & (gap[:-2] | bounds[:-1]))
-        self.end = np.flatnonzero(word & (gap[2:] | bounds[1:])) + 1
+        self.start, self.end, raw = self._words(data, offsets, window)
         self.first = np.searchsorted(self.start, offsets)
-        self._sums = np.zeros(n + 1, np.uint64)
-        power, self._inverse = _power(max(1, n))
-        np.cumsum(self.bytes.astype(np.uint64) * power[:n], out=self._sums[1:])
-        self.hash = self.range_hash(self.start, self.end)
-
-    def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self._sums[end] - self._sums[start]) * self._inverse[start] if len(start) else np.zeros(0, np.uint64)
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        self.hash = _final(raw, self.end - self.start)
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, raws = [], [], []
+        open_ = False  # whether the last word so far reaches up to this window
+        for a in range(0, len(data), window):
+            part = self.bytes[a : a + window]
+            n = len(part)
+            gap = np.ones(n + 2, bool)
+            gap[1:-1] = IS_SPACE[data[a : a + n]]
+            word = ~gap[1:-1]
+            bounds = np.zeros(n + 1, bool)
+            bounds[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + n, side="right")] - a] = True
+            start = np.flatnonzero(word & (gap[:-2] | bounds[:-1]))
+            end = np.flatnonzero(word & (gap[2:] | bounds[1:])) + 1
+            power, inverse = _power(n)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(part.astype(np.uint64) * power, out=sums[1:])
+            raw = (sums[end] - sums[start]) * inverse[start] if len(start) else np.zeros(0, np.uint64)
+            joined = bool(open_ and len(start) and start[0] == 0 and not bounds[0])
+            if joined:  # the first word goes on from the window before
+                shift = pow(BASE, int(ends[-1][-1] - starts[-1][-1]), 1 << 64)
+                raws[-1][-1:] += raw[:1] * np.uint64(shift)
+                ends[-1][-1] = a + end[0]
+                start, end, raw = start[1:], end[1:], raw[1:]
+            if len(start):
+                starts.append(start + a)
+                ends.append(end + a)
+                raws.append(raw)
+            open_ = bool(len(ends) and ends[-1][-1] == a + n)
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        return join(starts, np.int64), join(ends, np.int64), join(raws, np.uint64)
+
+    def beginning_hash(self, start: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n bytes from each ``start`` on, as of a word of these bytes."""
+        raw = np.zeros(len(start), np.uint64)
+        for j in range(n):
+            raw += self.bytes[start + j].astype(np.uint64) * np.uint64(pow(BASE, j, 1 << 64))
+        return _final(raw, np.full(len(start), n))
 
 
 _K = [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F]
