@@ -416,7 +416,7 @@ def test_pipeline_takes_odd_documents(docs_of, spark):
 def test_a_verdict_drops_its_own_row_only(docs_of, spark):
     sf = "/root/testdata/sf0.001"
     made = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    verdict = {r["doc_id"]: r["kept"] for r in corpus_pipeline.toxicity(made, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    verdict = {r["doc_id"]: r["kept"] for r in tox.toxicity(made, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     text = {r["doc_id"]: r["text"] for r in made.collect()}
     bad, good = ([text[i] for i in sorted(text) if verdict[i] == k and len(text[i]) > 200] for k in (False, True))
     rest = [(i, text[i]) for i in sorted(text)]

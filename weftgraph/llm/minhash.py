@@ -356,7 +356,12 @@ def minhash_components(
 
     second = dealt(left.unionByName(right), ["key", "_i", "_j"]).mapInArrow(across, _FOUND).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = near_links(stored(second, "pairs"), sets, num, den)
-    groups = connected_components(links.unionByName(more), "a", "b")
+    # links of the second pass join components of the first
+    of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y")).distinct()
+    over = stored(connected_components(joined, "x", "y"), "joined").withColumnsRenamed({"id": "_cid", "component": "_top"})
+    low = found.join(over, F.col("component") == F.col("_cid"), "left").select("id", F.coalesce("_top", "component").alias("component"))
+    groups = low.unionByName(over.join(found, F.col("_cid") == F.col("id"), "left_anti").select(F.col("_cid").alias("id"), F.col("_top").alias("component")))
     by_digest = classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     own = F.col(id_col).cast("long")
     empty = sigs.where("n = 0").select(id_col, F.col("n").alias("n_shingles"), own.alias("component_id"))
