@@ -12,13 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm import toxicity
 from weftgraph.llm.common import ready, stored, text_of
 from weftgraph.llm.exact_dedup import drop_exact_duplicates, drop_ids
 from weftgraph.llm.minhash import minhash_components
-from weftgraph.llm.mixing import mix_sources
+from weftgraph.llm.mixing import drop_unmixed
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.queries import WEIGHTS, domain_of, tokenizer_file
-from weftgraph.llm.toxicity import toxicity
 from weftgraph.operators.ordering import with_rank
 
 #: Of the tokens that reach the mixing stage, three in four are taken, each at most once.
@@ -41,40 +41,47 @@ def by_row(docs: DataFrame) -> DataFrame:
     return stored(ranked.withColumns({OWN_ID: F.col("doc_id"), "doc_id": F.col("_weft_row")}).drop("_weft_row"), "rows")
 
 
-def keep(rows: DataFrame, verdict: DataFrame) -> DataFrame:
-    """``rows`` of ``by_row``, with their own ids, without those that ``verdict`` (doc_id, kept) drops."""
-    left = drop_ids(rows, verdict.where(~F.col("kept")).select("doc_id"))
-    return left if OWN_ID not in rows.columns else left.withColumn("doc_id", F.col(OWN_ID)).drop(OWN_ID)
+def own_ids(rows: DataFrame) -> DataFrame:
+    """Rows of ``by_row`` with the caller's ids and columns."""
+    return rows if OWN_ID not in rows.columns else rows.withColumn("doc_id", F.col(OWN_ID)).drop(OWN_ID)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier chain holds toxic."""
-    rows, labels = by_row(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    if OWN_ID in rows.columns:  # of rows that share an id one is learned from
-        first = rows.groupBy(OWN_ID).agg(F.min("doc_id").alias("_weft_row"))
-        labels = labels.join(first, labels["doc_id"] == first[OWN_ID]).withColumn("doc_id", F.col("_weft_row")).drop("_weft_row", OWN_ID)
-    return keep(rows, toxicity(rows, labels))
+    """Without the rows whose text the classifier chain holds toxic; each row is judged by itself, so null
+    and repeated ids don't matter.  Null and empty texts are judged by the models' biases (kept where
+    labels are sound).  An empty table stays empty; columns besides doc_id and text only pass through."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without exact copies; the smallest id stays."""
+    """Without exact copies; the smallest id stays, a null id where there is no other.  Null texts are
+    empty, and all empty texts copies of each other.  Of rows that repeat an id and a text one stays.  An
+    empty table stays empty; other columns only pass through."""
     return drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates: five-word shingles, 0.8 or more."""
+    """One document, the smallest id, of each group of near duplicates: five-word shingles, 0.8 or more.
+
+    Texts without words have no near copies and stay.  Rows that share an id, or have none, are rows of
+    their own here.  An empty table stays empty; other columns only pass through."""
     rows = by_row(docs)
-    return keep(rows, minhash_components(rows, width=5, num=80, den=100))
+    verdict = minhash_components(rows, width=5, num=80, den=100)
+    return own_ids(drop_ids(rows, stored(verdict.where(~F.col("kept")).select("doc_id"), "near-copies")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix reads, whole: also the one at which a leaf's budget ends."""
-    rows = by_row(docs)
-    return keep(rows, mix_sources(rows, WEIGHTS, domain_of(), **MIX))
+    """The documents that the mix reads, whole: also the one at which a leaf's budget ends.
+
+    Texts without words are never read and go.  Rows that share an id, or have none, are rows of their
+    own.  Null languages and sources are the empty string.  An empty table stays empty; other columns
+    only pass through."""
+    return own_ids(drop_unmixed(by_row(docs), WEIGHTS, domain_of(), **MIX))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 2048 tokens."""
+    """The pieces of the documents and their places in sequences of 2048 tokens; null and empty texts are
+    an end id alone, repeated rows are packed once each, an empty table gives no pieces."""
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
