@@ -372,6 +372,67 @@ def test_deduplication_carries_all_records_over(spark, tmp_path):
     assert found["dddd"] == ("revisit", "<urn:uuid:bb>", "2020-01-04", b"")
 
 
+def warc_record(kind, name, block, *more):
+    head = [f"WARC-Type: {kind}", *([f"WARC-Record-ID: {name}"] if name else []), "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+    return ("WARC/1.1\r\n" + "\r\n".join(head)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_are_members_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i % 7} " * 50) for i in range(90)], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"), per_file=20)
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part*")]
+    seen = 0
+    for blob in files:
+        at, parts = 0, []
+        while at < len(blob):  # any record can be read from its offset
+            z = zlib.decompressobj(31)
+            parts.append(z.decompress(blob[at:]))
+            at = len(blob) - len(z.unused_data)
+        assert all(p == b"\r\n\r\n" for p in parts[1::2]) and all(p.startswith(b"WARC/1.1\r\n") for p in parts[::2])
+        assert len(parts[::2]) <= 20
+        seen += len(parts[::2])
+    assert seen == 90 and len(files) >= 5
+    warc.write_warc(pages, str(tmp_path / "v"), file_bytes=2000)
+    assert max(len(list(warc.records_in(p.read_bytes()))) for p in (tmp_path / "v").glob("part*")) <= 2000 // 400
+
+
+def test_strange_archives_are_deduplicated(spark, tmp_path):
+    """Ids of any form or none, orphans, revisits that name no digest, empty and odd types, gzip of many members."""
+    import gzip
+
+    page, other = b"HTTP/1.1 200 OK\r\n\r\npage", b"HTTP/1.1 200 OK\r\n\r\nother"
+    digest = f"WARC-Payload-Digest: sha1:{warc.digest_of(b'page')}"
+    records = [
+        warc_record("response", "<urn:uuid:b>", page), warc_record("response", "<urn:uuid:a>", page), warc_record("response", "", page), warc_record("response", "", other),
+        warc_record("revisit", "<urn:uuid:c>", b"", "WARC-Refers-To: <urn:uuid:b>"), warc_record("revisit", "", b"", digest), warc_record("revisit", "<urn:uuid:d>", b"", "WARC-Refers-To: <urn:uuid:z>"),
+        warc_record("revisit", "<urn:uuid:e>", b""), warc_record("conversion", "", b"x"), warc_record("response", "<urn:page:7>", other),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    report = {r["outcome"]: r["n"] for r in warc.deduplicate_archives(spark, str(tmp_path / "in"), f"file://{tmp_path}/out").collect()}
+    assert report == {"responses kept": 2, "responses made revisits": 3, "revisits resolved": 2, "revisits unresolved": 2, "others": 1}
+    found = [(h, b) for f in (tmp_path / "out").glob("part*") for h, b in warc.records_in(f.read_bytes())]
+    assert len(found) == len(records)
+    of = lambda kind: Count((h.get("warc-record-id"), h.get("warc-refers-to")) for h, _ in found if h["warc-type"] == kind)
+    a, seven = "<urn:uuid:a>", "<urn:page:7>"
+    assert of("response") == {(a, None): 1, (seven, None): 1}
+    assert of("revisit") == {("<urn:uuid:b>", a): 1, (None, a): 2, (None, seven): 1, ("<urn:uuid:c>", a): 1, ("<urn:uuid:d>", "<urn:uuid:z>"): 1, ("<urn:uuid:e>", None): 1}
+    payloads = [b for h, b in found if h["warc-type"] == "response"]
+    assert sorted(payloads) == sorted([page, other])
+
+
+def test_readers_hold_a_record_at_a_time(tmp_path):
+    import gzip
+
+    block = b"x" * 300_000
+    blob = b"".join(gzip.compress(warc_record("resource", f"<urn:{i}>", block)) for i in range(5))
+    pieces = (blob[i : i + 777] for i in range(0, len(blob), 777))
+    assert [len(b) for _, b in warc.records_in(pieces)] == [300_000] * 5
+    with pytest.raises(ValueError):
+        list(warc.records_in(iter([blob[:-200]])))
+    assert list(warc.records_in(b"")) == []
+
+
 def test_reader_takes_single_and_many_member_gzip():
     import gzip
 
