@@ -2,14 +2,16 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import textwrap
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm.licenses import NAMES, OPENINGS, SPELLINGS, TELLING, TEXTS, canonical_text, known_forms, known_licenses, license_scan
+from weftgraph.llm.licenses import FULL_TEXTS, NAMES, OPENINGS, SPELLINGS, TELLING, TEXTS, canonical, canonical_text, known_forms, known_licenses, license_scan
 from weftgraph.llm.mixing import leaf_budgets, mix_sources
 from weftgraph.llm.quality import binomial_cdf, quality_rules
 from weftgraph.llm.secrets import secret_scan
@@ -115,7 +117,8 @@ def test_every_known_form_is_found(docs_of):
     found = {r["doc_id"]: r["licenses"] for r in license_scan(docs_of(rows)).collect()}
     assert found == {i: name for i, (_, name) in enumerate(notices)}
     forms = known_forms()
-    assert len(forms) == len(known_licenses()) and all(re.search(TELLING, t) for t, _ in forms)
+    assert len(forms) + len(FULL_TEXTS) == len(known_licenses()) and all(re.search(TELLING, t) for t, _ in forms)
+    assert all(re.search(TELLING, t) for t in TEXTS.values())  # of a run of paragraphs one tells
     # no telling string comes from another spelling alone, so one in the canonical form is one in the text
     assert not any(re.search(TELLING, b) and not re.search(TELLING, a) for a, b in SPELLINGS)
 
@@ -123,7 +126,50 @@ def test_every_known_form_is_found(docs_of):
 def test_own_digests_are_matched_whatever_they_hold(docs_of, spark):
     known = spark.createDataFrame([(hashlib.sha256(canonical_text(t).encode()).hexdigest(), t) for t in ("Do what you like", "Free for all")], "digest string, license_id string")
     found = {r["doc_id"]: r[1:] for r in license_scan(docs_of([(1, "Do what you like!"), (2, "a\nfree for ALL\n\nb"), (3, ""), (4, None)]), known=known).collect()}
-    assert found == {1: ("Do what you like", 1, "Do what you like"), 2: (None, 1, "Free for all"), 3: (None, 0, ""), 4: (None, 0, "")}
+    assert found == {1: ("Do what you like", 1, 1, "Do what you like"), 2: (None, 1, 0, "Free for all"), 3: (None, 0, 0, ""), 4: (None, 0, 0, "")}
+
+
+def wrapped(text, width, mark):
+    """A text as a block of a source file: lines of ``width``, each behind ``mark``, paragraphs parted by a bare mark."""
+    return f"\n{mark}\n".join("\n".join(f"{mark} {line}" for line in textwrap.wrap(p, width)) for p in text.split("\n"))
+
+
+def test_texts_as_they_are_met(docs_of):
+    isc = "ISC License\n\nCopyright (c) 2004, Someone <a@b.c>\n\n" + "\n\n".join("\n".join(textwrap.wrap(p, 78)) for p in TEXTS["ISC"].split("\n")) + "\n"
+    assert any(line.startswith("copyright notice") for w in range(40, 100) for line in textwrap.wrap(TEXTS["ISC"], w))
+    bsd = TEXTS["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")
+    letters = TEXTS["BSD-3-Clause"].replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) ")
+    rows = [(w, "Copyright 2004 X\n" + "\n".join(textwrap.wrap(TEXTS["ISC"], w))) for w in range(40, 100)]
+    rows += [(200, isc), (201, "The MIT License (MIT)\n\nCopyright (c) 2015 X Y\n\n" + TEXTS["MIT"].replace("\n", "\n\n")), (202, bsd), (203, letters)]
+    rows += [(300 + i, "/*\n" + wrapped(TEXTS["MIT"], w, " *") + "\n */\n#include <x.h>\n\nint main(void) { return 0; }\n") for i, w in enumerate((50, 72, 90))]
+    rows += [(400, "import x\n\n" + wrapped("Copyright 2020 X\n" + TEXTS["BSD-3-Clause"], 70, "#") + "\n\nprint(x)\n\n" + wrapped(TEXTS["Zlib"], 60, "//"))]
+    rows += [(500, "some words\n" * 30_000 + "\n" + wrapped(TEXTS["MIT"], 60, ";;") + "\n\n" + "other words " * 90_000)]
+    rows += [(600, wrapped(TEXTS["MIT"].rsplit("\n", 1)[0], 60, "#")), (601, "The above copyright notice and this permission notice shall be included.\n\nlicence")]
+    found = {r["doc_id"]: (r["text_license"], r["n_license_blocks"], r["licenses"]) for r in license_scan(docs_of(rows)).collect()}
+    assert all(found[w][0] == "ISC" for w in range(40, 100))
+    assert found[200] == ("ISC", 1, "ISC") and found[201] == ("MIT", 1, "MIT")
+    assert found[202][::2] == ("BSD-2-Clause", "BSD-2-Clause") and found[203][::2] == ("BSD-3-Clause", "BSD-3-Clause")
+    assert all(found[300 + i] == (None, 1, "MIT") for i in range(3))
+    assert found[400] == (None, 2, "BSD-3-Clause,Zlib") and found[500] == (None, 1, "MIT")
+    assert found[600] == found[601] == (None, 0, "")  # parts of a text
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="this system keeps no licence texts")
+def test_full_texts_are_found(docs_of):
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3", "MPL-1.1": "MPL-1.1"}
+    texts = [(name, open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read()) for name, f in files.items()]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(100 + i, " ".join(t.upper().split(" "))) for i, (_, t) in enumerate(texts)]
+    found = {r["doc_id"]: r["text_license"] for r in license_scan(docs_of(rows)).collect()}
+    assert all(found[i] == found[100 + i] == name for i, (name, _) in enumerate(texts))
+
+
+def test_canonical_is_alike_in_both_places(spark):
+    rng = random.Random(8)
+    bits = ["licence", "v2", "v2", "Sub-License", " ", " ", "\n", "\n# ", "(c) ", "a) ", "2. ", ": ", "Copyright", " 2020", "©", "all rights reserved", "é", "½", "_", "copyright notice", "per cent", "**"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(25))) for _ in range(400)] + ["v2 v2 v2", "ver v2 ver v3", "1. a\n2. b"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(canonical(F.col("t"))).collect()]
+    assert got == [canonical_text(t) for t in texts]
+    assert canonical_text("v2 v2 v2") == "version 2 version 2 version 2"
 
 
 # ---- quality

@@ -1,11 +1,13 @@
 """Licence scans by canonical digest lookup (operator 3), in DataFrame functions only.
 
-A unit of text is canonical when copyright lines are gone, letters are lower case, equivalent spellings
-are one spelling and everything between runs of letters and digits is one space.  Units are whole
-documents and whole lines.  Their SHA-256 is joined to the digests of known licence texts and notices.
-Every known form of ``known_licenses`` holds one of a few telling strings in each of its spellings (a test
-goes through them all), so only units with one of these are canonicalised; that leaves nothing out.  A
-caller's own digests tell nothing of their texts, so with these every unit is.
+A unit of text is canonical when copyright lines and list marks are gone, letters are lower case,
+equivalent spellings are one spelling and everything between runs of letters and digits is one space; so
+comment signs, bullets and line breaks don't matter.  Units are whole documents, whole lines and
+paragraphs, which lines without a letter or digit part.  Their SHA-256 is joined to the digests of known
+licence texts and notices.  A text of several paragraphs is found where all of them follow each other.
+Every known form holds one of a few telling strings in each of its spellings (a test goes through them
+all), so only documents and lines with one of these are canonicalised; that leaves nothing out.  A
+caller's own digests tell nothing of their texts, so with these all are.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import only, text_of
 
-# Patterns of the canonical form, alike in Java and RE2.
-COPYRIGHT_LINE = r"(^|\n)[^\w\n]*(copyright|\(c\)|©)[^\n]*"
+# Patterns of the canonical form, on lower case, alike in Java, RE2 and Python with ASCII classes.
+#: A line that names a holder: with a year, a sign or "by"; one that only goes on with "copyright notice ..." stays.
+COPYRIGHT_LINE = r"(^|\n)[^\w\n]*((copyright|\(c\)|©)[^\n]*[0-9]{4}|copyright[^\n]*(\(c\)|©)|copyright:? by )[^\n]*"
 RESERVED_LINE = r"(^|\n)[^\w\n]*all rights reserved[^\w\n]*"
+#: Numbers and letters of lists, at the start of a line or behind a stop.
+LIST_MARK = r"(^|\n|[.:;,][^\S\n]+)[^\w\n]*([0-9]{1,2}|[a-z])[.)][^\S\n]+"
 BETWEEN = r"[^\p{L}\p{N}]+"
+#: What parts paragraphs: lines without a letter or digit.
+BLANK = r"\n([^\p{L}\p{N}\n]*\n)+"
 TELLING = r"(?i)licen|permission|warrant|released|distributed|available"
-#: The SQL looks up the forms that hold one of these only; it has no notices such as "Released under MIT".
-TELLING_SQL = r"(?i)licen|permission|warrant"
 
 # Equivalent spellings, on canonical words.
 SPELLINGS = [
@@ -103,14 +108,42 @@ TEXTS = {
 }
 
 
+# Titles above licence texts, besides the names in notices.
+TITLES = {
+    "MIT": ["The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "Expat License"],
+    "ISC": ["The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "BSD-2-Clause": ["The BSD 2-Clause License", "FreeBSD License"],
+    "BSD-3-Clause": ["The BSD 3-Clause License", "Modified BSD License"],
+    "Zlib": ["The zlib/libpng License", "zlib License", "The zlib License"],
+}
+# SHA-256 of the canonical form of published full texts, too long to be kept here.
+FULL_TEXTS = {
+    "Apache-2.0": "b8b4b7a1a3fc45a40c173b28ca0fcfde44b6289443f009fcb8d3cd6162c57d6e",
+    "Artistic-1.0-Perl": "4834e699353522cfb463bd8b374752ecf02156bb3f5dfb53d0edb502a112a651",
+    "CC0-1.0": "51c4bf27767d074bdefc84db7420b4c55e27827dac6d8de3ef0d37b2042fb6fa",
+    "GFDL-1.2": "66c938a4f3d2114cc3d60f4233a4f26e8c730064aa767788d4745dedea334da1",
+    "GFDL-1.3": "196b51c8977291f601cc4b0712d6ab94eee07ddbc100b9ceaba3df650297607c",
+    "GPL-1.0": "c2782eb348f9f68b0eda95b69ccab03d02099a4fec2c4362c552cdec537b1399",
+    "GPL-2.0": "d97a76124fa907d78ee815043140e4a5404f9270cb679869ed0ae11e7e844e5a",
+    "GPL-3.0": "1d853c80efe5ceb4de7b2f36ad97f5659946947afc9c6c75fa3fa50e20368ef2",
+    "LGPL-2.0": "76e95bde887e452fdbf364b6e132f70904f43582182b76e0f71d88a2d8911ef7",
+    "LGPL-2.1": "3c172029ca14deedef915e5d03e83bcc73647736d10c2be07d384571ca06b440",
+    "LGPL-3.0": "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45",
+    "MPL-1.1": "eba0a966528a8ede6a6847299cfaf0a84a7e032d6f03b7c57e4ee8c7e31c6042",
+    "MPL-2.0": "08b1a22856394bde458c0d6061e7d669836ba5c6beab605f27eb3758223c7586",
+}
+
+
 def canonical_text(text: str) -> str:
     """The canonical form, on the driver, for known texts and tests."""
     t = text.lower()
-    t = re.sub(RESERVED_LINE, "\n", re.sub(COPYRIGHT_LINE, "\n", t, flags=re.ASCII), flags=re.ASCII)
-    t = " " + " ".join("".join(c if c.isalpha() or c.isnumeric() else " " for c in t).split()) + " "
+    for pattern in (COPYRIGHT_LINE, RESERVED_LINE, LIST_MARK):
+        t = re.sub(pattern, "\n", t, flags=re.ASCII)
+    # two spaces between words, so that neighbouring spellings don't share one
+    t = " " + "  ".join("".join(c if c.isalpha() or c.isnumeric() else " " for c in t).split()) + " "
     for a, b in SPELLINGS:
-        t = t.replace(f" {a} ", f" {b} ")
-    return t.strip()
+        t = t.replace(f" {a.replace(' ', '  ')} ", f" {b.replace(' ', '  ')} ")
+    return " ".join(t.split())
 
 
 def known_forms() -> list[tuple[str, str]]:
@@ -118,7 +151,8 @@ def known_forms() -> list[tuple[str, str]]:
     forms: dict[str, str] = {}
     for name, text in TEXTS.items():
         forms[canonical_text(text)] = name
-        forms[canonical_text(f"{NAMES.get(name, [f'{name} License'])[0]}\n{text}")] = name
+        for title in [*NAMES.get(name, [f"{name} License"]), *TITLES.get(name, [])]:
+            forms[canonical_text(f"{title}\n{text}")] = name
     for name, words in NAMES.items():
         for opening in OPENINGS:
             for w in words:
@@ -131,17 +165,39 @@ def known_forms() -> list[tuple[str, str]]:
     return sorted((t, name) for t, name in forms.items())
 
 
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def known_licenses() -> list[tuple[str, str]]:
     """(canonical digest, licence id) of all known forms."""
-    return sorted((hashlib.sha256(t.encode()).hexdigest(), name) for t, name in known_forms())
+    return sorted([(_digest(t), name) for t, name in known_forms()] + [(d, name) for name, d in FULL_TEXTS.items()])
+
+
+def known_paragraphs() -> list[tuple[str, str, int, int, int]]:
+    """(canonical digest, licence id, way, place, of) of the paragraphs of known texts.
+
+    A text can be parted in several ways: all its lines are paragraphs, all are one, or all but the last are.
+    """
+    out: list[tuple[str, str, int, int, int]] = []
+    way = 0
+    for name, text in sorted(TEXTS.items()):
+        lines = text.split("\n")
+        for parts in {tuple(lines), (text,), ("\n".join(lines[:-1]), lines[-1])}:
+            for place, part in enumerate(parts):
+                out.append((_digest(canonical_text(part)), name, way, place, len(parts)))
+            way += 1
+    return sorted(out)
 
 
 def canonical(col: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(F.lower(col), COPYRIGHT_LINE, "\n"), RESERVED_LINE, "\n")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, BETWEEN, " ")), F.lit(" "))
+    t = F.lower(col)
+    for pattern in (COPYRIGHT_LINE, RESERVED_LINE, LIST_MARK):
+        t = F.regexp_replace(t, pattern, "\n")
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, BETWEEN, "  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def known_table(spark: SparkSession) -> DataFrame:
@@ -149,31 +205,46 @@ def known_table(spark: SparkSession) -> DataFrame:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, text_license, n_license_lines, licenses.
+    """One row per row of ``docs``: id, text_license, n_license_lines, n_license_blocks, licenses.
 
     text_license is the licence that the whole text is (else null), n_license_lines counts lines that
-    are a known text or notice, licenses lists the distinct ids of both, sorted and comma-joined (empty
-    string for none).  ``known`` has digest and license_id; where a digest has several ids the smallest
-    counts, and every text and line is looked up, whatever it holds.  Null and empty texts hold nothing.
-    Repeated rows are scanned alike, null ids are kept.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
+    are a known text or notice, n_license_blocks counts runs of paragraphs that are a known text, licenses
+    lists the distinct ids of all, sorted and comma-joined (empty string for none).  ``known`` has digest
+    and license_id; where a digest has several ids the smallest counts, and every text, line and paragraph
+    is looked up, whatever it holds.  Null and empty texts hold nothing; very long ones are read whole.
+    Repeated rows are scanned alike, null ids are kept.  An empty table gives an empty result.  Other
+    columns are ignored, whatever their names.
     """
+    spark = docs.sparkSession
     told_by = (lambda c: F.rlike(c, F.lit(TELLING))) if known is None else (lambda c: c != "")
-    known = (known if known is not None else known_table(docs.sparkSession)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    if known is None:
+        parts = spark.createDataFrame(known_paragraphs(), "digest string, license_id string, way int, place int, of int")
+    else:
+        parts = known.groupBy("digest").agg(F.min("license_id").alias("license_id")).select("*", F.lit(0).alias("way"), F.lit(0).alias("place"), F.lit(1).alias("of"))
+    known = (known if known is not None else known_table(spark)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     own = only(docs, id_col, text_col).select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     own = own.withColumn("_key", F.when(told_by(F.col("_text")), F.xxhash64("_text")))
     told = own.where(F.col("_key").isNotNull())
-    lines = F.filter(F.split("_text", "\n"), told_by)
-    units = told.select("_id", "_key", F.posexplode(F.concat(F.array("_text"), lines)).alias("_at", "_unit"))
-    digests = units.select("_id", "_key", "_at", F.sha2(canonical(F.col("_unit")), 256).alias("digest")).distinct()
-    hits = digests.join(known, "digest").groupBy("_id", "_key").agg(
-        F.max(F.when(F.col("_at") == 0, F.col("license_id"))).alias("text_license"),
-        F.count(F.when(F.col("_at") > 0, F.lit(1))).alias("n_license_lines"),
+    lines = F.transform(F.filter(F.split("_text", "\n"), told_by), canonical)
+    paragraphs = F.filter(F.transform(F.split("_text", BLANK), canonical), lambda x: x != "")
+    # kinds of units: 0 the text, 1 lines, 2 paragraphs
+    units = F.array(F.struct(F.lit(0).alias("kind"), F.array(canonical(F.col("_text"))).alias("u")), F.struct(F.lit(1).alias("kind"), lines.alias("u")), F.struct(F.lit(2).alias("kind"), paragraphs.alias("u")))
+    rows = told.select("_id", "_key", F.explode(units).alias("k")).select("_id", "_key", "k.kind", F.posexplode("k.u").alias("_at", "_unit"))
+    digests = rows.select("_id", "_key", "kind", "_at", F.sha2("_unit", 256).alias("digest")).distinct()
+    single = digests.where("kind < 2").join(known, "digest").select("_id", "_key", "kind", "_at", "license_id")
+    met = digests.where("kind = 2").join(parts, "digest").groupBy("_id", "_key", "license_id", "way", "of", (F.col("_at") - F.col("place")).alias("_at"))
+    runs = met.agg(F.count_distinct("place").alias("n")).where("n = of").select("_id", "_key", F.lit(2).alias("kind"), "_at", "license_id").distinct()
+    hits = single.unionByName(runs).groupBy("_id", "_key").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("license_id"))).alias("text_license"),
+        F.count_if(F.col("kind") == 1).alias("n_license_lines"),
+        F.count_if(F.col("kind") == 2).alias("n_license_blocks"),
         F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("licenses"),
     )
     hits = hits.withColumnsRenamed({"_id": "_hid", "_key": "_hkey"})
     rows = own.select("_id", "_key")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.join(hits, rows["_id"].eqNullSafe(hits["_hid"]) & (rows["_key"] == hits["_hkey"]), "left").select(
-        F.col("_id").alias(id_col), "text_license", F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce("licenses", F.lit("")).alias("licenses")
+        F.col("_id").alias(id_col), "text_license", zero("n_license_lines"), zero("n_license_blocks"), F.coalesce("licenses", F.lit("")).alias("licenses")
     )
 
 
@@ -182,23 +253,29 @@ def license_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(x: str) -> str:
-        t = f"regexp_replace(regexp_replace(lower({x}), {quote(COPYRIGHT_LINE)}, chr(10), 'g'), {quote(RESERVED_LINE)}, chr(10), 'g')"
-        t = f"concat(' ', trim(regexp_replace({t}, {quote(BETWEEN)}, ' ', 'g')), ' ')"
+        t = f"lower({x})"
+        for pattern in (COPYRIGHT_LINE, RESERVED_LINE, LIST_MARK):
+            t = f"regexp_replace({t}, {quote(pattern)}, chr(10), 'g')"
+        t = f"concat(' ', trim(regexp_replace({t}, {quote(BETWEEN)}, '  ', 'g')), ' ')"
         for a, b in SPELLINGS:
-            t = f"replace({t}, ' {a} ', ' {b} ')"
-        return f"trim({t})"
+            t = f"replace({t}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"trim(replace({t}, '  ', ' '))"
 
-    telling = re.compile(TELLING_SQL)
-    forms = sorted((hashlib.sha256(t.encode()).hexdigest(), name) for t, name in known_forms() if telling.search(t))
-    values = ", ".join(f"('{d}', '{n}')" for d, n in forms)
+    values = ", ".join(f"('{d}', '{n}')" for d, n in known_licenses())
+    parts = ", ".join(f"('{d}', '{n}', {w}, {p}, {of})" for d, n, w, p, of in known_paragraphs())
     return f"""
 WITH known AS (SELECT digest, min(license_id) AS license_id FROM (VALUES {values}) v(digest, license_id) GROUP BY 1),
+parts AS (SELECT * FROM (VALUES {parts}) v(digest, license_id, way, place, n_parts)),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-told AS (SELECT r, t FROM d WHERE regexp_matches(t, {quote(TELLING_SQL)})),
-units AS (SELECT r, true AS whole, t AS u FROM told UNION ALL
-          SELECT r, false, u FROM (SELECT r, unnest(string_split(t, chr(10))) AS u FROM told) WHERE regexp_matches(u, {quote(TELLING_SQL)})),
-hits AS (SELECT r, max(CASE WHEN whole THEN license_id END) AS text_license, count(*) FILTER (WHERE NOT whole) AS n,
+told AS (SELECT r, t FROM d WHERE regexp_matches(t, {quote(TELLING)})),
+units AS (SELECT r, 0 AS kind, t AS u FROM told UNION ALL
+          SELECT r, 1, u FROM (SELECT r, unnest(string_split(t, chr(10))) AS u FROM told) WHERE regexp_matches(u, {quote(TELLING)})),
+single AS (SELECT r, kind, license_id FROM (SELECT r, kind, sha256({canon('u')}) AS digest FROM units) JOIN known USING (digest)),
+paragraphs AS (SELECT r, i, {canon('u')} AS u FROM (SELECT r, unnest(s) AS u, generate_subscripts(s, 1) AS i FROM (SELECT r, string_split_regex(t, {quote(BLANK)}) AS s FROM told))),
+numbered AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY i) AS i, sha256(u) AS digest FROM paragraphs WHERE u <> ''),
+runs AS (SELECT DISTINCT r, at, license_id FROM (SELECT r, i - place AS at, license_id, way FROM numbered JOIN parts USING (digest) GROUP BY r, i - place, license_id, way, n_parts HAVING count(DISTINCT place) = n_parts)),
+hits AS (SELECT r, max(CASE WHEN kind = 0 THEN license_id END) AS text_license, count(*) FILTER (WHERE kind = 1) AS n, count(*) FILTER (WHERE kind = 2) AS b,
          string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses
-         FROM (SELECT r, whole, sha256({canon('u')}) AS digest FROM units) JOIN known USING (digest) GROUP BY r)
-SELECT doc_id, text_license, coalesce(n, 0) AS n_license_lines, coalesce(licenses, '') AS licenses FROM d LEFT JOIN hits USING (r)
+         FROM (SELECT r, kind, license_id FROM single UNION ALL SELECT r, 2, license_id FROM runs) GROUP BY r)
+SELECT doc_id, text_license, coalesce(n, 0) AS n_license_lines, coalesce(b, 0) AS n_license_blocks, coalesce(licenses, '') AS licenses FROM d LEFT JOIN hits USING (r)
 """
