@@ -249,6 +249,40 @@ def test_weak_parts_need_each_other(docs_of):
     assert dict((i, s) for i, _, s in found)[1] == "identifier:0:11,bare:16:56"
 
 
+def weak_spans(t):
+    """(start, kind, end) of identifiers, bare secrets and endpoints, by patterns of their own."""
+    out = [(m.start(), 3, m.end()) for m in re.finditer(r"""(ASIA|AROA|AIDA)[A-Z0-9]{16,}|(client_id|access_key_id|account_id|username|user)["']?[ ]*[:=][ ]*["']?[a-zA-Z0-9_.@-]{4,}""", t)]
+    bare = re.finditer(r"[A-Za-z0-9+/]+", t)
+    out += [(m.start(), 4, m.end() + len(re.match("={0,2}", t[m.end() :])[0])) for m in bare if len(m[0]) >= 32 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return out + [(m.start(), 5, m.end()) for m in re.finditer(r"(https|http|ftp|amqp|redis|mongodb|mysql|postgresql|postgres)://[^\s\"'<>]+", t, re.A)]
+
+
+def linked(t, scope):
+    base = base_spans(t)
+    kept = [w for w in weak_spans(t) if not any(b[0] == w[0] for b in base)]
+    outer = base + [w for w in kept if w[1] == 5]
+    kept = [w for w in kept if w[1] == 5 or not any(o[0] <= w[0] and w[2] <= o[2] for o in outer)]
+    role = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "end"}
+    needs = {3: {"secret"}, 4: {"id", "end"}, 5: {"secret"}}
+    apart = lambda x, y: x[2] <= y[0] or y[2] <= x[0]
+    return sorted(w for w in kept if any(role[o[1]] in needs[w[1]] and abs(o[0] - w[0]) <= scope and apart(o, w) for o in base + kept))
+
+
+def test_links_against_brute_force(docs_of):
+    rng = random.Random(6)
+    bits = ["user=robert", "client_id: 'ab12'", "ASIA" + "X9" * 8, "Ab1+" * 9, "x" * 40, "0af3" * 8, "token=abcdefgh", "https://h.example/a", "redis://u:Ab1+Ab1+Ab1+Ab1+Ab1+Ab1+Ab1+Ab1+@h", "AKIA" + "Q7" * 9, " ", " ", "\n", "words and words ", "é ", "https://h/?token=abcdefgh", "password: " + "Zz9/" * 10 + "=="]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice(["", " ", " " * 30]) for _ in range(rng.randrange(1, 14)))) for i in range(500)]
+    rows += [(900, "https://example.com/wp/content/uploads/2015/08/photograph/large/index"), (901, "https://h/?token=abcdefgh"), (902, "user=robert " * 3000 + "Ab1+" * 9), (903, "Ab1+" * 50_000)]
+    names = ("assign", "access", "hex", "identifier", "bare", "endpoint")
+    text = dict(rows)
+    for r in secret_scan(docs_of(rows), scope=60).collect():
+        t = text[r["doc_id"]]
+        spans = sorted(base_spans(t) + linked(t, 60))
+        assert r["spans"] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans), t[:300]
+        if r["doc_id"] in (900, 903):
+            assert r["spans"] == ""  # a lone address, and a lone long word, tell nothing
+
+
 def test_native_plans_have_no_python(docs_of, spark, capsys):
     docs, labels = docs_of([(1, "a b")]), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     for df in (mix_sources(docs, {}, F.lit("d")), license_scan(docs), quality_rules(docs, labels), secret_scan(docs)):

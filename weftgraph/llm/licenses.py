@@ -273,7 +273,7 @@ units AS (SELECT r, 0 AS kind, t AS u FROM told UNION ALL
 single AS (SELECT r, kind, license_id FROM (SELECT r, kind, sha256({canon('u')}) AS digest FROM units) JOIN known USING (digest)),
 paragraphs AS (SELECT r, i, {canon('u')} AS u FROM (SELECT r, unnest(s) AS u, generate_subscripts(s, 1) AS i FROM (SELECT r, string_split_regex(t, {quote(BLANK)}) AS s FROM told))),
 numbered AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY i) AS i, sha256(u) AS digest FROM paragraphs WHERE u <> ''),
-runs AS (SELECT DISTINCT r, at, license_id FROM (SELECT r, i - place AS at, license_id, way FROM numbered JOIN parts USING (digest) GROUP BY r, i - place, license_id, way, n_parts HAVING count(DISTINCT place) = n_parts)),
+runs AS (SELECT DISTINCT r, first_, license_id FROM (SELECT r, i - place AS first_, license_id, way FROM numbered JOIN parts USING (digest) GROUP BY r, i - place, license_id, way, n_parts HAVING count(DISTINCT place) = n_parts)),
 hits AS (SELECT r, max(CASE WHEN kind = 0 THEN license_id END) AS text_license, count(*) FILTER (WHERE kind = 1) AS n, count(*) FILTER (WHERE kind = 2) AS b,
          string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses
          FROM (SELECT r, kind, license_id FROM single UNION ALL SELECT r, 2, license_id FROM runs) GROUP BY r)
