@@ -71,22 +71,72 @@ def test_pagerank_is_a_distribution_and_converges(spark):
     assert len(r) == 2 and all(math.isclose(x.agg(F.sum("r")).first()[0], 1.0) for x in r)
 
 
-@pytest.mark.parametrize("kind", range(1, 7))
-def test_best_first_visits_all(spark, kind):
-    rows = [(a, b) for a, b in combinations(range(5), 2)] + [(10, 11), (11, 12)]
+def plain_best_first(nbrs, source, kind, matrix):
+    """Scores from scratch at every step; the best, then the smallest id, is placed next."""
+    places = {}
+    while len(places) < len(nbrs):
+        scores = {}
+        for u in nbrs.keys() - places.keys():
+            at = [places[x] for x in nbrs[u] if x in places]
+            if at:
+                last, n, total = max(at), len(at), sum(at)
+                three = float(total) if matrix else math.sqrt(total)
+                scores[u] = [1000.0 * (last + 1) + n, n, three, n * last - total, -1000.0 * (min(at) + 1) + 1, float((last + 1) * n)][kind - 1]
+        free = nbrs.keys() - places.keys()
+        v = min(scores, key=lambda u: (-scores[u], u)) if scores else source if not places else min(free)
+        places[v] = len(places)
+    return sorted(places, key=places.get)
+
+
+@pytest.mark.parametrize("kind, as_matrix", [*((k, False) for k in range(1, 7)), (3, True)])
+def test_best_first_against_plain_python(spark, kind, as_matrix):
+    random.seed(kind)
+    rows = sorted({tuple(sorted(random.sample(range(30), 2))) for _ in range(70)}) + [(50, 51), (51, 52), (51, 53)]
     both = edges.both_directions(spark.createDataFrame(rows, "u long, v long"))
-    out = graph.best_first_order(both, 3, kind).collect()
-    first = {r["component"]: r["id"] for r in out if r["place"] == 0}
-    assert first == {0: 3, 10: 10} and len(out) == 8
+    nbrs = {}
+    for a, b in rows:
+        nbrs.setdefault(a, set()).add(b)
+        nbrs.setdefault(b, set()).add(a)
+    comp = dict(got(components.connected_components(both)))
+    want = {}
+    for c in set(comp.values()):
+        own = {v: n for v, n in nbrs.items() if comp[v] == c}
+        for place, v in enumerate(plain_best_first(own, 7 if 7 in own else min(own), kind, as_matrix)):
+            want[v] = (c, place)
+    assert {r["id"]: (r["component"], r["place"]) for r in graph.best_first_order(both, 7, kind, as_matrix).collect()} == want
+
+
+def places(df):
+    return [r["id"] for r in df.orderBy("place").collect()]
 
 
 def test_bfs_orders(spark):
     both = edges.both_directions(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (10, 11)], "u long, v long"))
-    order = [r["id"] for r in graph.bfs_order(both, 2).orderBy("place").collect()]
-    assert order == [2, 1, 3, 0, 10, 11]
+    assert places(graph.bfs_order(both, 2)) == [2, 1, 3, 0, 10, 11]
+    assert places(graph.bfs_order(both, 11)) == [11, 10, 0, 1, 2, 3]
+    assert places(graph.bfs_order(both)) == places(graph.bfs_order(both, 999)) == [0, 1, 2, 3, 10, 11]  # no such source
+    assert graph.bfs_order(both.limit(0), 1).count() == 0
     deg = edges.degrees(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (10, 11)], "u long, v long"))
-    by = [r["id"] for r in graph.bfs_order_by_degree(both, deg, 2, 3).orderBy("place").collect()]
-    assert by[:2] == [1, 2] and sorted(by) == [0, 1, 2, 3, 10, 11]
+    assert places(graph.bfs_order_by_degree(both, deg, 2, 3)) == [1, 2, 3, 0, 10, 11]
+    assert places(graph.bfs_order_by_degree(both, deg, 2, 1)) == [1, 2, 0, 3, 10, 11]  # the source is of high degree
+    assert places(graph.bfs_order_by_degree(both, deg, 1)) == [1, 2, 0, 3, 10, 11]  # none is left for the rest
+
+
+def test_long_paths_settle(spark):
+    n = 60
+    rows = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    both = edges.both_directions(rows)
+    assert got(graph.bfs_levels(both, 0)) == [(i, i) for i in range(n)]
+    assert got(graph.shortest_paths(both.withColumn("w", F.lit(2)), 0)) == [(i, 2 * i) for i in range(n)]
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(both.withColumn("w", F.lit(2)), 0, max_rounds=9)
+
+
+def test_pagerank_chains_rounds(spark):
+    ring = [(i, (i + 1) % 5, 1.0 + i) for i in range(5)] + [(i, (i + 2) % 5, 1.0) for i in range(5)]
+    df = spark.createDataFrame(ring, "src long, dst long, w double")
+    one, many = (dict(got(graph.pagerank(df, max_iter=7, fixed=True, chain=c)[0])) for c in (1, 5))
+    assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-12) for k in one)
 
 
 def test_matrix_edge_cases(spark):

@@ -18,29 +18,6 @@ def test_query_without_sql_gives_rows(name, spark):
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
-@pytest.mark.parametrize("name", ["sssp", "pagerank", "pagerank_personalised"])
-def test_all_pairs_equal_sql_without_the_cut(name, same_rows):
-    cut = " HAVING count(*) >= 2"
-    assert _SQL[name].count(cut) == 1
-    same_rows(registry.queries()[f"{name}_all_pairs"], _SQL[name].replace(cut, ""))
-
-
-def test_all_pairs_are_symmetrised(spark, duck):
-    pairs = "FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey"
-    v = {(r, c): n for r, c, n in duck.sql(f"SELECT a.l_partkey, b.l_partkey, count(DISTINCT l_orderkey) {pairs} AND a.l_linenumber <= b.l_linenumber GROUP BY 1, 2").fetchall()}
-    both = {*v, *((c, r) for r, c in v)}
-    assert len(both) == duck.sql(f"SELECT count(DISTINCT (a.l_partkey, b.l_partkey)) {pairs}").fetchall()[0][0] > len(v)
-    x = {(r, c): (v.get((r, c), 0), v.get((c, r), 0)) for r, c in both}
-    for op, want in (("sum", {k: a + b for k, (a, b) in x.items()}), ("max", {k: max(p) for k, p in x.items()}), ("min", {k: min(p) for k, p in x.items() if min(p)}), ("avg", {k: (a + b) / 2 for k, (a, b) in x.items()})):
-        found = {(r["row"], r["col"]): r["val"] for r in registry.queries()[f"mat_symmetrise_{op}_all_pairs"](spark, "/root/testdata/sf0.001").collect()}
-        assert found == want
-
-
-def test_report_is_of_all_pairs(spark, duck):
-    degrees = dict(duck.sql("SELECT a.l_partkey, count(DISTINCT b.l_partkey) FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey GROUP BY 1").fetchall())
-    assert {r["id"]: r["degree"] for r in registry.queries()["pagerank_report"](spark, "/root/testdata/sf0.001").collect()} == degrees
-
-
 def test_entry_is_the_flagship(spark):
     import __spark_entry__
 

@@ -92,7 +92,7 @@ def test_text_readers(spark, tmp_path):
     assert (row["pos"], row["residue"], row["code"], row["psfm"][0]) == (1, "R", 1, 20)
     (tmp_path / "k.txt").write_text("1 2 3 4.5\n")
     assert got(tf.read_tensor(spark, str(tmp_path / "k.txt"))) == [(0, 1, 2, 4.5)]
-    assert tf.file_exists(str(tmp_path / "k.txt")) and tf.dir_exists(str(tmp_path))
+    assert tf.file_exists(spark, str(tmp_path / "k.txt")) and tf.dir_exists(spark, str(tmp_path))
 
 
 def test_path_parts(spark):
@@ -112,3 +112,34 @@ def test_clean_after_read(spark, tmp_path):
     e = spark.createDataFrame([(1, 2), (2, 1), (3, 3)], "src long, dst long")
     rec.write_edges(e, str(tmp_path / "d.bin"))
     assert got(edges.clean(rec.read_edges(spark, str(tmp_path / "d.bin")))) == [(1, 2)]
+
+
+def test_integers_that_do_not_fit_raise(spark, tmp_path):
+    far = spark.createDataFrame([(1, 2**31 + 5)], "src long, dst long")
+    empty = spark.createDataFrame([(1, None)], "src long, dst long")
+    for e in (far, empty):
+        with pytest.raises(Exception, match="fit|nulls"):
+            rec.write_edges(e, str(tmp_path / "x.bin"))
+    with pytest.raises(Exception, match="fit"):
+        rec.write_array(spark.range(1).select(F.col("id").alias("idx"), F.lit(-(2**31) - 1).alias("value")), str(tmp_path / "y.bin"), "i4")
+    with pytest.raises(Exception, match="fit"):
+        mf.write_matrix(far.toDF("row", "col").withColumn("val", F.lit(1.0)), str(tmp_path / "z.binrow"), "auto", 2, 2)
+    edge = [(2**31 - 1, 0), (0, 2**31 - 1)]
+    rec.write_edges(spark.createDataFrame(edge, "src long, dst long"), str(tmp_path / "w.bin"))
+    assert got(rec.read_edges(spark, str(tmp_path / "w.bin"))) == sorted(edge)
+
+
+def test_files_are_written_in_parallel_and_in_order(spark, tmp_path):
+    rows = spark.range(20_000).select(((F.col("id") * 7919) % 20_011).alias("src"), F.col("id").alias("dst")).repartition(9)
+    rec.write_edges(rows, str(tmp_path / "p.bin"))
+    back = rec.records(spark, str(tmp_path / "p.bin"), "i4,i4").orderBy("idx").collect()
+    assert [(r["f0"], r["f1"]) for r in back] == sorted((i * 7919 % 20_011, i) for i in range(20_000))
+    rec.write_edges(rows.limit(0), str(tmp_path / "e.bin"))
+    assert os.path.getsize(tmp_path / "e.bin") == 0 and rec.read_edges(spark, str(tmp_path / "e.bin")).count() == 0
+
+
+def test_values_of_csr_lines(spark, tmp_path):
+    (tmp_path / "m.csr").write_text("1 5 2 6\n\n3 7\n")
+    p = str(tmp_path / "m.csr")
+    assert got(mf.read_csr(spark, p)) == [(0, 1, 5.0), (0, 2, 6.0), (2, 3, 7.0)]
+    assert got(mf.read_csr(spark, p, None)) == [(0, 1), (0, 2), (0, 5), (0, 6), (2, 3), (2, 7)]

@@ -117,9 +117,12 @@ def max3(a: Column | str, b: Column | str, c: Column | str) -> Column:
     return F.greatest(_c(a), _c(b), _c(c))
 
 
-def random_in_range(n: int, seed: int) -> Column:
-    """Whole numbers from 0 to n - 1."""
-    return F.floor(F.rand(seed) * n).cast("long")
+def random_in_range(n: int, seed: int, key: Column | str | None = None) -> Column:
+    """Whole numbers from 0 to n - 1 (F15); with a ``key`` a row's number depends on seed and key alone, so
+    it is the same however rows are dealt and tasks are repeated."""
+    if key is None:
+        return F.floor(F.rand(seed) * n).cast("long")
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), _c(key).cast("string"))), 1, 12), 16, 10).cast("long"), F.lit(n)).cast("long")
 
 
 def with_commas(x: Column | str) -> Column:

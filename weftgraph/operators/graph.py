@@ -6,46 +6,66 @@ import heapq
 import math
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.ordering import with_rank
-from weftgraph.storage import stored
+from weftgraph.storage import discard, stored
 
 
-def pagerank(edges: DataFrame, follow: float = 0.85, eps: float = 1e-9, max_iter: int = 100, restart: DataFrame | None = None, fixed: bool = False) -> tuple[DataFrame, int]:
+def pagerank(edges: DataFrame, follow: float = 0.85, eps: float = 1e-9, max_iter: int = 100, restart: DataFrame | None = None, fixed: bool = False, chain: int = 5) -> tuple[DataFrame, int]:
     """((id, pr), rounds) of weighted edges (src, dst, w).
 
     pr' = follow (sinks r + P' pr) + (1 - follow) r with P normalised by weight and r the ``restart``
     distribution (id, r), uniform if left out; it also is the first pr.  Ends when no value moves by eps,
     or after ``max_iter`` rounds (``fixed``: just then), when rounds is one more.
+
+    Only vertices move: links stay dealt by their source, spilling to disk.  A round is stored; with a fixed
+    number of rounds and no sinks a round reads the one before once, and every ``chain`` of them are.
     """
+    spark = edges.sparkSession
     vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     if restart is None:
         restart = vertices.crossJoin(F.broadcast(vertices.agg(F.count(F.lit(1)).alias("n")))).select("id", (1 / F.col("n")).alias("r"))
     base = stored(vertices.join(restart, "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("r")), "restart")
     out = edges.groupBy("src").agg(F.sum("w").alias("_o"))
-    links = stored(edges.join(out, "src").where("_o > 0").select("src", "dst", (F.col("w") / F.col("_o")).alias("p")), "links")
-    sinks = stored(base.select("id").join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "sinks")
-    now = base.select("id", "r", F.col("r").alias("pr"))
-    for i in range(1, max_iter + 1):
-        flow = links.join(now.select(F.col("id").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("pr")).alias("_in"))
-        lost = now.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("_lost"))
-        nxt = now.join(flow, "id", "left").crossJoin(F.broadcast(lost))
-        value = follow * (F.col("_lost") * F.col("r") + F.coalesce("_in", F.lit(0.0))) + (1 - follow) * F.col("r")
-        nxt = stored(nxt.select("id", "r", value.alias("pr"), F.col("pr").alias("old")), "pagerank")
-        if not fixed and nxt.agg(F.max(F.abs(F.col("pr") - F.col("old")))).first()[0] < eps:
-            return nxt.select("id", "pr"), i
-        now = nxt.select("id", "r", "pr")
-    return now.select("id", "pr"), max_iter + (not fixed)
+    links = edges.join(out, "src").where("_o > 0").select("src", "dst", (F.col("w") / F.col("_o")).alias("p"))
+    links = stored(links, "links").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sinks = stored(base.select("id").join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "sinks")
+        closed = sinks.isEmpty()
+        now, kept = base.select("id", F.col("r").alias("pr")), None
+        for i in range(1, max_iter + 1):
+            flow = links.join(now.select(F.col("id").alias("src"), "pr"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("pr")).alias("_in"))
+            back = F.coalesce("_in", F.lit(0.0))
+            nxt = base.join(flow, "id", "left")
+            if not closed:
+                lost = now.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("_lost"))
+                nxt, back = nxt.crossJoin(F.broadcast(lost)), back + F.col("_lost") * F.col("r")  # one row on the other side
+            nxt = nxt.select("id", (follow * back + (1 - follow) * F.col("r")).alias("pr"))
+            if fixed and closed and i % chain and i < max_iter:
+                now = nxt
+                continue
+            nxt = stored(nxt, "pagerank")
+            moved = None if fixed else nxt.join(now.withColumnRenamed("pr", "old"), "id").agg(F.max(F.abs(F.col("pr") - F.col("old")))).first()[0]
+            if kept is not None:
+                discard(kept)
+            now = kept = nxt
+            if moved is not None and moved < eps:
+                return now, i
+        return now, max_iter + (not fixed)
+    finally:
+        links.unpersist()
 
 
 def random_restarts(vertices: DataFrame, n: int, seed: int) -> list[DataFrame]:
     """n random restart distributions (id, r)."""
     out = []
     for k in range(n):
-        raw = vertices.select("id", (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1_000_003)) + 1.0).alias("x"))
+        drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed + k}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+        raw = vertices.select("id", (drawn + 1.0).alias("x"))
         out.append(raw.crossJoin(F.broadcast(raw.agg(F.sum("x").alias("s")))).select("id", (F.col("x") / F.col("s")).alias("r")))
     return out
 
@@ -59,45 +79,58 @@ def pagerank_report(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("src").alias("id"), "pr").agg(F.count(F.lit(1)).alias("degree"), best.alias("b")).select("id", "pr", "degree", F.col("b.d").alias("max_diff"), (-F.col("b.m")).alias("arg"))
 
 
-def bfs_levels(edges: DataFrame, source: int) -> DataFrame:
-    """(id, level) of vertices that (src, dst) reach from ``source``."""
-    links = stored(edges.select("src", "dst").distinct(), "links")
-    seen = stored(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).alias("level")), "bfs")
-    front, level = seen, 0
+def _spread(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, level) of what (src, dst) reach from ``starts`` (id), level by level; a stored table.
+
+    Levels gather as small tables; every eight are merged, so neither plans nor files grow with the depth.
+    """
+    seen = stored(starts.select("id", F.lit(0).alias("level")), "bfs")
+    fronts, front, level = [], seen, 0
     while True:
         level += 1
         met = links.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = stored(met.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level")), "front")
-        if front.isEmpty():
+        known = seen.select("id")
+        for f in fronts:
+            known = known.unionByName(f.select("id"))
+        front = stored(met.join(known, "id", "left_anti").select("id", F.lit(level).alias("level")), "front")
+        done = front.isEmpty()
+        if done or len(fronts) == 8:
+            whole = seen
+            for f in fronts:
+                whole = whole.unionByName(f)
+            if fronts:
+                whole = stored(whole, "bfs")
+                for old in [seen, *fronts]:
+                    discard(old)
+            seen, fronts = whole, []
+        if done:
             return seen
-        seen = seen.unionByName(front)
-        if level % 8 == 0:
-            seen = stored(seen, "bfs")
+        fronts.append(front)
 
 
-def bfs_order(edges: DataFrame, source: int) -> DataFrame:
-    """(id, component, level, place): breadth-first from ``source``, then the other components by their
-    smallest id, each from that (G5); ties by id."""
-    comp = stored(connected_components(edges), "comp")
-    home = comp.where(F.col("id") == source).select("component")
-    roots = comp.where("id = component").join(home.withColumnRenamed("component", "id"), "id", "left_anti").select("id")
-    starts = roots.unionByName(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"))).distinct()
+def bfs_levels(edges: DataFrame, source: int) -> DataFrame:
+    """(id, level) of vertices that (src, dst) reach from ``source``, itself at 0 even without edges."""
     links = stored(edges.select("src", "dst").distinct(), "links")
-    seen = stored(starts.select("id", F.lit(0).alias("level")), "bfs")
-    front, level = seen, 0
-    while True:
-        level += 1
-        met = links.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = stored(met.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level")), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    rows = seen.join(comp, "id").crossJoin(F.broadcast(home.withColumnRenamed("component", "_home")))
-    return with_rank(rows.select("id", "component", "level", (F.col("component") != F.col("_home")).cast("int").alias("_far")), "_far", "component", "level", "id", name="place").drop("_far")
+    return _spread(links, edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id")))
 
 
-def bfs_order_by_degree(edges: DataFrame, deg: DataFrame, max_degree: int, source: int) -> DataFrame:
-    """(id, place): vertices of at least ``max_degree`` by falling degree, then breadth-first over the rest."""
+def bfs_order(edges: DataFrame, source: int | None = None) -> DataFrame:
+    """(id, component, level, place): breadth-first from ``source``, then the other components by their
+    smallest id, each from that (G5); ties by id.  Without a source, or with one that no edge has, the
+    order begins at the smallest id."""
+    comp = stored(connected_components(edges), "comp")
+    home = None if source is None else comp.where(F.col("id") == source).select("component").first()
+    roots = comp.where("id = component").select("id")
+    if home is not None:  # one id takes another's place
+        roots = roots.select(F.when(F.col("id") == home["component"], F.lit(source).cast("long")).otherwise(F.col("id")).alias("id"))
+    rows = _spread(stored(edges.select("src", "dst").distinct(), "links"), roots).join(comp, "id")
+    far = F.lit(1) if home is None else (F.col("component") != home["component"]).cast("int")
+    return with_rank(rows.select("id", "component", "level", far.alias("_far")), "_far", "component", "level", "id", name="place").drop("_far")
+
+
+def bfs_order_by_degree(edges: DataFrame, deg: DataFrame, max_degree: int, source: int | None = None) -> DataFrame:
+    """(id, place): vertices of at least ``max_degree`` by falling degree, then breadth-first over the rest
+    (G6), from ``source`` if it is one of the rest, else from the smallest id of the rest."""
     high = deg.where(F.col("degree") >= max_degree)
     low = deg.where(F.col("degree") < max_degree).select("id")
     inside = edges.join(low.select(F.col("id").alias("src")), "src", "left_semi").join(low.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -108,21 +141,42 @@ def bfs_order_by_degree(edges: DataFrame, deg: DataFrame, max_degree: int, sourc
 
 
 def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
-    """(id, dist) of every vertex of edges (src, dst, w), -1 where unreachable (G8); w must not be negative."""
+    """(id, dist) of every vertex of edges (src, dst, w), -1 where unreachable (G8); w must not be negative.
+
+    A round relaxes the edges of the vertices that moved in the last one and looks up only these ends;
+    distances are merged every eight rounds.  Raises where ``max_rounds`` don't settle it.
+    """
     links = stored(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), "links")
     if not links.where("w < 0").isEmpty():
         raise ValueError("weights must not be negative")
-    dist = stored(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).cast(links.schema["w"].dataType).alias("dist")), "sssp")
-    front = dist
+    zero = F.lit(0).cast(links.schema["w"].dataType)
+    dist = stored(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), zero.alias("dist")), "sssp")
+    fronts, front = [], dist
+
+    def best(ids: DataFrame | None = None) -> DataFrame:
+        rows = dist
+        for f in fronts:
+            rows = rows.unionByName(f)
+        rows = rows if ids is None else rows.join(ids, "id", "left_semi")
+        return rows.groupBy("id").agg(F.min("dist").alias("dist"))
+
     for _ in range(max_rounds):
-        step = links.join(front.select(F.col("id").alias("src"), "dist"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("_new"))
-        merged = dist.join(step, "id", "full").select("id", F.least("dist", "_new").alias("dist"), (F.col("dist").isNull() | (F.col("_new") < F.col("dist"))).alias("_moved"))
-        merged = stored(merged, "sssp")
-        dist, front = merged.select("id", "dist"), merged.where("_moved").select("id", "dist")
+        step = stored(links.join(front.select(F.col("id").alias("src"), "dist"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("_new")), "step")
+        before = best(step.select("id"))
+        front = stored(step.join(before, "id", "left").where("dist is null or _new < dist").select("id", F.col("_new").alias("dist")), "front")
+        discard(step)
         if front.isEmpty():
             break
+        fronts.append(front)
+        if len(fronts) == 8:  # the last front is read once more as it is
+            whole = stored(best(), "sssp")
+            for old in [dist, *fronts[:-1]]:
+                discard(old)
+            dist, fronts = whole, []
+    else:
+        raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
     vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return vertices.join(dist, "id", "left").select("id", F.coalesce("dist", F.lit(-1)).alias("dist"))
+    return vertices.join(best(), "id", "left").select("id", F.coalesce("dist", F.lit(-1)).alias("dist"))
 
 
 def compactness(edges: DataFrame, perm: DataFrame) -> DataFrame:
@@ -142,18 +196,27 @@ def centroid_reorder(edges: DataFrame, perm: DataFrame, pull: float = 0.5) -> Da
     return with_rank(moved, "_k", "id", name="place").select("id", "place")
 
 
-def _best_first(nbrs: dict[int, list[int]], source: int, kind: int) -> list[int]:
-    """Vertices of one component, best first.
-
-    Kinds: 1 depth-first like, 2 most closed neighbours, 3 root of the sum of places of placed
-    neighbours, 4 sum of the gaps since they were placed, 5 breadth-first with degree as priority, 6 place
-    of the last placed neighbour times their number.
-    """
+def _best_first(nbrs: dict[int, list[int]], source: int, kind: int, matrix: bool = False) -> list[int]:
+    """Vertices of one component, best first; the kinds are those of ``best_first_order``."""
     placed: dict[int, int] = {}
     inside: dict[int, int] = {v: 0 for v in nbrs}
     total: dict[int, int] = {v: 0 for v in nbrs}
-    heap: list[tuple[float, int]] = [(0.0, source)]
     current = {source: 0.0}
+
+    def score(u: int, i: int) -> float:
+        if kind == 1:
+            return 1000.0 * (i + 1) + inside[u]
+        if kind == 2:
+            return sum(1 for x in nbrs[u] if x in placed)
+        if kind == 3:
+            return float(total[u]) if matrix else math.sqrt(total[u])
+        if kind == 4:
+            return inside[u] * i - total[u]
+        if kind == 5:
+            return current[u] if u in current else -1000.0 * (i + 1) + inside[u]
+        return float((i + 1) * inside[u])
+
+    heap: list[tuple[float, int]] = [(0.0, source)]
     while len(placed) < len(nbrs):
         if not heap:
             v = min(u for u in nbrs if u not in placed)
@@ -169,23 +232,21 @@ def _best_first(nbrs: dict[int, list[int]], source: int, kind: int) -> list[int]
                 continue
             inside[u] += 1
             total[u] += i
-            score = {
-                1: 1000.0 * (i + 1) + inside[u],
-                2: sum(1 for x in nbrs[u] if x in placed),
-                3: math.sqrt(total[u]),
-                4: inside[u] * i - total[u],
-                5: -1000.0 * (placed[v] + 1) + inside[u] if u not in current else current[u],
-                6: float((i + 1) * inside[u]),
-            }[kind]
-            if current.get(u) != score:
-                current[u] = score
-                heapq.heappush(heap, (-score, u))
+            new = score(u, i)
+            if current.get(u) != new:
+                current[u] = new
+                heapq.heappush(heap, (-new, u))
     return sorted(placed, key=placed.get)
 
 
-def best_first_order(edges: DataFrame, source: int, kind: int = 2) -> DataFrame:
+def best_first_order(edges: DataFrame, source: int, kind: int = 2, matrix: bool = False) -> DataFrame:
     """(id, component, place): best-first order of each component, that of ``source`` from there and others
-    from their smallest id (G7).
+    from their smallest id (G7); of equal scores the smallest id.
+
+    A vertex is scored when a neighbour is placed.  Kinds: 1 depth-first like, 2 most placed neighbours,
+    3 root of the sum of places of placed neighbours (``matrix``: the sum itself), 4 sum of the gaps since
+    they were placed, 5 breadth-first with degree as priority, 6 place of the last placed neighbour times
+    their number.
 
     The order is sequential by nature, so a component is one task's work and must fit in its memory;
     components run side by side.
@@ -204,7 +265,7 @@ def best_first_order(edges: DataFrame, source: int, kind: int = 2) -> DataFrame:
                 nbrs[int(s)].append(int(d))
         for v in nbrs.values():
             v.sort()
-        order = _best_first(nbrs, source if source in nbrs else min(nbrs), kind)
+        order = _best_first(nbrs, source if source in nbrs else min(nbrs), kind, matrix)
         return pd.DataFrame({"id": order, "component": int(pdf["component"].iloc[0]), "place": range(len(order))})
 
     return rows.groupBy("component").applyInPandas(run, "id bigint, component bigint, place bigint")

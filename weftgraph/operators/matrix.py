@@ -86,7 +86,7 @@ def shuffle(m: DataFrame, what: str, seed: int, symmetric: bool = False) -> Data
         raise ValueError("what must be 'row', 'col' or 'both'")
 
     def perm(keys: DataFrame, salt: int) -> DataFrame:
-        return with_rank(keys.distinct(), F.xxhash64("k", F.lit(seed), F.lit(salt)), F.col("k"), name="new")
+        return with_rank(keys.distinct(), F.md5(F.concat(F.lit(f"{seed}:{salt}:"), F.col("k").cast("string"))), F.col("k"), name="new")
 
     out = m
     if symmetric:

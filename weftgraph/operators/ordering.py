@@ -52,3 +52,14 @@ def is_sorted(df: DataFrame, place: str, value: str) -> DataFrame:
     ends = rows.groupBy("_part").agg(F.min_by(value, "_mono").alias("first"), F.max_by(value, "_mono").alias("last"))
     across = ends.withColumn("_prev", F.lag("last").over(Window.orderBy("_part"))).agg(F.count_if(F.col("first") < F.col("_prev")).alias("n"))
     return inside.unionByName(across).agg(F.sum("n").cast("long").alias("violations"))
+
+
+def range_overlaps(dealt: DataFrame, key: str) -> DataFrame:
+    """(rows, overlaps, descents) of rows dealt into ranges and sorted inside: neighbouring ranges that
+    overlap, and neighbours in a range that go down; both 0 where ``dealt`` is a bucket sort."""
+    rows = stored(dealt.select(F.col(key).alias("_k")).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()), "dealt")
+    inside = rows.withColumn("_prev", F.lag("_k").over(Window.partitionBy("_part").orderBy("_mono")))
+    sums = inside.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_k") < F.col("_prev")).alias("descents"))
+    ends = rows.groupBy("_part").agg(F.min("_k").alias("low"), F.max("_k").alias("high"))  # one row a partition
+    over = ends.withColumn("_prev", F.lag("high").over(Window.orderBy("_part"))).agg(F.count_if(F.col("low") <= F.col("_prev")).alias("overlaps"))
+    return sums.crossJoin(over).select("rows", "overlaps", "descents")

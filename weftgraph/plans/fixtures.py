@@ -42,11 +42,6 @@ def strong(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, w) of strong pairs, both directions, w the number of orders."""
-    return weighted_all(spark, sf_dir).where("w >= 2")
-
-
-def weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, w) of all pairs, both directions, w the number of orders."""
     rows = _pairs(spark, sf_dir, "l_partkey").where("src <> dst").distinct()
     return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
@@ -54,7 +49,7 @@ def weighted_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries part x part, the number of orders in which the one part's line is not behind the other's:
-    all pairs, many one way only."""
+    all pairs, many one way only, with unequal values."""
     items = table(spark, sf_dir, "lineitem")
     a, b = (items.select("l_orderkey", F.col("l_partkey").alias(c), F.col("l_linenumber").alias(n)) for c, n in (("row", "n1"), ("col", "n2")))
     rows = a.join(b, "l_orderkey").where("row <> col and n1 <= n2").select("l_orderkey", "row", "col").distinct()
@@ -111,7 +106,8 @@ TRI = ORIENTED + ", tri AS (SELECT a.s, a.t, b.t AS w FROM o a JOIN o b ON a.s =
 BOTH = "b AS (SELECT u AS src, v AS dst FROM e UNION ALL SELECT v, u FROM e)"
 SUPP = "e AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS u, greatest(a.l_suppkey, b.l_suppkey) AS v FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey)"
 STRONG = "e AS (SELECT src AS u, dst AS v FROM (SELECT DISTINCT l_orderkey, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey) GROUP BY 1, 2 HAVING count(*) >= 2)"
-WEIGHTED = "wt AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT DISTINCT l_orderkey, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey) GROUP BY 1, 2 HAVING count(*) >= 2)"
+WEIGHTED = "wt AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT DISTINCT l_orderkey, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey) GROUP BY 1, 2)"
+LINE_ORDER = "m AS (SELECT r, c, count(*)::DOUBLE AS v FROM (SELECT DISTINCT l_orderkey, a.l_partkey AS r, b.l_partkey AS c FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey AND a.l_linenumber <= b.l_linenumber) GROUP BY 1, 2)"
 BIP = "e AS (SELECT DISTINCT o_custkey AS u, l_suppkey + 10000000000 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 M = "m AS (SELECT o_custkey AS r, l_partkey AS c, sum(l_quantity) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 TERMS = r"m AS (SELECT doc_id AS r, w AS c, count(*)::DOUBLE AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents) GROUP BY 1, 2)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import bitmaps, blas, scalars
 from weftgraph.operators import components, edges, graph, matrix, metrics, mining, ordering, similarity, triangles
 from weftgraph.plans import fixtures as fx
+from weftgraph.plans import source_queries
 from weftgraph.session import reach
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,7 @@ _add("extract_subgraph", lambda s, d: edges.extract_subgraph(fx.parts_both(s, d)
 _add("degree_skew", lambda s, d: edges.degree_skew(edges.degrees(fx.parts(s, d)), 32768, 16), f"WITH {fx.E}, {fx.DEG}, k AS (SELECT row_number() OVER w AS rank, sum(degree) OVER w AS cumulative FROM deg WINDOW w AS (ORDER BY degree DESC, id)) SELECT rank, cumulative::BIGINT AS cumulative, round(cumulative::DOUBLE / (SELECT count(*) FROM e), 6) AS share FROM k WHERE rank % 16 = 0 AND rank <= 32768")
 _add("group_ids", lambda s, d: edges.group_ids(fx.table(s, d, "customer"), "c_nationkey", "c_custkey"), 'SELECT c_nationkey AS "set", list(c_custkey ORDER BY c_custkey) AS ids FROM customer GROUP BY 1')
 _add("bucket_sort", lambda s, d: ordering.with_rank(edges.degrees(fx.parts(s, d)), "degree", "id", name="place"), f"WITH {fx.E}, {fx.DEG} SELECT id, degree, row_number() OVER (ORDER BY degree, id) - 1 AS place FROM deg")
+_add("bucket_ranges", lambda s, d: ordering.range_overlaps(edges.range_buckets(edges.degrees(fx.parts(s, d)), "degree", 16), "degree"), f"WITH {fx.E}, {fx.DEG} SELECT count(*) AS rows, 0::BIGINT AS overlaps, 0::BIGINT AS descents FROM deg")
 _add("sortedness", lambda s, d: ordering.is_sorted(edges.degrees(fx.parts(s, d)), "id", "degree"), f"WITH {fx.E}, {fx.DEG} SELECT count(*) AS violations FROM (SELECT degree < lag(degree) OVER (ORDER BY id) AS x FROM deg) WHERE x")
 _add("layered_graph", lambda s, d: matrix.layered_graph(fx.suppliers(s, d), 3, 10_000), f"WITH {fx.SUPP}, {fx.BOTH}, k AS (SELECT unnest(range(3)) AS c), j AS (SELECT unnest(range(2)) AS c), l AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS ps FROM b), up AS (SELECT src + c * 10000 AS src, dst + (c + 1) * 10000 AS dst FROM l, j WHERE (ps + c) % 2 = 0 UNION ALL SELECT id + c * 10000, id + (c + 1) * 10000 FROM (SELECT DISTINCT src AS id FROM b), j) SELECT src + c * 10000 AS src, dst + c * 10000 AS dst FROM b, k UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up")
 
@@ -101,20 +103,15 @@ _mat("mat_zscore", lambda m: matrix.z_score_filter(m, 900.0), f"SELECT {_OUT} FR
 _mat("mat_compact", matrix.compact_columns, 'SELECT r AS "row", n AS "col", v AS val FROM m JOIN (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS n FROM m GROUP BY c) USING (c)')
 _mat("mat_sorted_rows", lambda m: matrix.sorted_rows(m).select("key", F.transform("entries", lambda e: e["i"]).alias("cols"), F.transform("entries", lambda e: e["v"]).alias("vals")), "SELECT r AS key, list(c ORDER BY c) AS cols, list(v ORDER BY c) AS vals FROM m GROUP BY r")
 _mat("mat_blockdiag", lambda m: matrix.block_diagonal(m, 3, 100_000, 100_000), 'SELECT r + k * 100000 AS "row", c + k * 100000 AS "col", v AS val FROM m, (SELECT unnest(range(3)) AS k)')
-_W = "wt2 AS (SELECT src AS r, dst AS c, (w + (src < dst)::INT)::DOUBLE AS v FROM wt WHERE (src + 2 * dst) % 3 > 0)"
-
-
-def _uneven(s: SparkSession, d: str) -> DataFrame:
-    """Pairs, some of which are there one way only, with unequal values."""
-    w = fx.weighted(s, d).where((F.col("src") + 2 * F.col("dst")) % 3 > 0)
-    return w.select(F.col("src").alias("row"), F.col("dst").alias("col"), (F.col("w") + (F.col("src") < F.col("dst")).cast("int")).alias("val"))
-
-
-for _op, _x, _join in (("sum", "coalesce(a.v, 0) + coalesce(b.v, 0)", "FULL"), ("min", "least(a.v, b.v)", "INNER"), ("max", "greatest(a.v, b.v)", "FULL"), ("avg", "0.5::DOUBLE * (coalesce(a.v, 0) + coalesce(b.v, 0))", "FULL")):
-    _add(f"mat_symmetrise_{_op}_all_pairs", lambda s, d, op=_op: matrix.make_symmetric(fx.in_line_order(s, d), op))
-    _add(f"mat_symmetrise_{_op}", lambda s, d, op=_op: matrix.make_symmetric(_uneven(s, d), op), f'WITH {fx.WEIGHTED}, {_W} SELECT coalesce(a.r, b.c) AS "row", coalesce(a.c, b.r) AS "col", {_x} AS val FROM wt2 a {_join} JOIN wt2 b ON a.r = b.c AND a.c = b.r')
-_add("mat_symmetrise_avg_compat_all_pairs", lambda s, d: matrix.make_symmetric(fx.in_line_order(s, d), "avg", compat=True))
-_add("mat_symmetrise_avg_compat", lambda s, d: matrix.make_symmetric(_uneven(s, d), "avg", compat=True), f'WITH {fx.WEIGHTED}, {_W} SELECT coalesce(a.r, b.c) AS "row", coalesce(a.c, b.r) AS "col", CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 0.25::DOUBLE * a.v + 0.5::DOUBLE * b.v ELSE 0.5::DOUBLE * coalesce(a.v, b.v) END AS val FROM wt2 a FULL JOIN wt2 b ON a.r = b.c AND a.c = b.r')
+_BOTH_WAYS = "z AS (SELECT r, c, sum(a) AS a, sum(b) AS b FROM (SELECT r, c, v AS a, NULL AS b FROM m UNION ALL SELECT c, r, NULL, v FROM m) GROUP BY r, c)"
+for _op, _x, _where in (
+    ("sum", "coalesce(a, 0) + coalesce(b, 0)", ""),
+    ("min", "least(a, b)", " WHERE a IS NOT NULL AND b IS NOT NULL"),
+    ("max", "greatest(coalesce(a, b), coalesce(b, a))", ""),
+    ("avg", "0.5::DOUBLE * (coalesce(a, 0) + coalesce(b, 0))", ""),
+    ("avg_compat", "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 0.25::DOUBLE * a + 0.5::DOUBLE * b ELSE 0.5::DOUBLE * coalesce(a, b) END", ""),
+):
+    _mat(f"mat_symmetrise_{_op}", lambda m, op=_op: matrix.make_symmetric(m, op.removesuffix("_compat"), op.endswith("_compat")), f'SELECT r AS "row", c AS "col", {_x} AS val FROM z{_where}', fx.in_line_order, f"{fx.LINE_ORDER}, {_BOTH_WAYS}")
 for _kind, _x in {
     "maxtf": "0.5::DOUBLE + 0.5::DOUBLE * v / max(abs(v)) OVER (PARTITION BY r)",
     "maxtf2": "0.1::DOUBLE + 0.9::DOUBLE * v / max(abs(v)) OVER (PARTITION BY r)",
@@ -126,7 +123,28 @@ for _kind, _x in {
 _DF = "df AS (SELECT c, count(*) AS df FROM m GROUP BY c), a AS (SELECT count(DISTINCT r)::DOUBLE AS n, count(*)::DOUBLE AS nnz, count(DISTINCT c) AS k FROM m)"
 _mat("mat_scale_idf", lambda m: _r(matrix.scale(m, "idf"), "val"), f'SELECT r AS "row", c AS "col", round(v * ln(n / df), 6) AS val FROM m JOIN df USING (c), a', fx.terms, f"{fx.TERMS}, {_DF}")
 _mat("mat_scale_idf2", lambda m: _r(matrix.scale(m, "idf2"), "val"), f'SELECT r AS "row", c AS "col", round(v * ln((n + 2 * bg) / (bg + df)), 6) AS val FROM m JOIN df USING (c), (SELECT n, greatest(10, floor(0.5::DOUBLE * nnz / k)) AS bg FROM a)', fx.terms, f"{fx.TERMS}, {_DF}")
-_add("mat_shuffle_rows", lambda s, d: matrix.shuffle(fx.cust_part(s, d), "row", 5))
+
+
+def _places(name: str, keys: str, salt: int) -> str:
+    """CTE (k, t): a key and the key whose place it takes."""
+    by = lambda order: f"row_number() OVER (ORDER BY {order}) AS n"
+    return f"{name} AS (SELECT x.k, y.k AS t FROM (SELECT k, {by(f"md5('5:{salt}:' || k), k")} FROM ({keys})) x JOIN (SELECT k, {by('k')} FROM ({keys})) y USING (n))"
+
+
+_ROW, _COL = _places("pr", "SELECT DISTINCT r AS k FROM m", 0), _places("pc", "SELECT DISTINCT c AS k FROM m", 1)
+_mat("mat_shuffle_rows", lambda m: matrix.shuffle(m, "row", 5), f'SELECT pr.t AS "row", c AS "col", v AS val FROM m JOIN pr ON pr.k = r', cte=f"{fx.M}, {_ROW}")
+_mat("mat_shuffle_cols", lambda m: matrix.shuffle(m, "col", 5), f'SELECT r AS "row", pc.t AS "col", v AS val FROM m JOIN pc ON pc.k = c', cte=f"{fx.M}, {_COL}")
+_mat("mat_shuffle_both", lambda m: matrix.shuffle(m, "both", 5), f'SELECT pr.t AS "row", pc.t AS "col", v AS val FROM m JOIN pr ON pr.k = r JOIN pc ON pc.k = c', cte=f"{fx.M}, {_ROW}, {_COL}")
+_mat("mat_shuffle_symmetric", lambda m: matrix.shuffle(m, "both", 5, symmetric=True), 'SELECT x.t AS "row", y.t AS "col", v AS val FROM m JOIN ps x ON x.k = r JOIN ps y ON y.k = c', fx.in_line_order, f"{fx.LINE_ORDER}, {_places('ps', 'SELECT r AS k FROM m UNION SELECT c FROM m', 0)}")
+_mat("mat_reorder_symmetric", lambda m: edges.reorder(m, _by_entries(m), "row", "col"), 'SELECT x.n AS "row", y.n AS "col", v AS val FROM m JOIN p x ON x.k = r JOIN p y ON y.k = c', fx.in_line_order, f"{fx.LINE_ORDER}, p AS (SELECT k, row_number() OVER (ORDER BY count(*) DESC, k) - 1 AS n FROM (SELECT r AS k FROM m UNION ALL SELECT c FROM m) GROUP BY k)")
+
+
+def _by_entries(m: DataFrame) -> DataFrame:
+    """A permutation of a square matrix: indices by falling number of entries."""
+    n = m.select(F.explode(F.array("row", "col")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return edges.relabel_by_degree(n)
+
+
 _add("tensor_unfold", lambda s, d: matrix.unfold(fx.tensor(s, d), 100_000), 'SELECT c_nationkey::BIGINT * 100000 + l_partkey AS "row", l_suppkey AS "col", sum(l_quantity) AS val, count(*) AS copies FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2')
 _add("csrcnv_chain", lambda s, d: _r(matrix.compact_columns(matrix.normalise(matrix.low_filter(matrix.prune(matrix.prune(fx.cust_part(s, d), "col", 15, 60), "row", 5, 200), "row", 2, 0.7))), "val"), f'WITH {fx.M}, p AS (SELECT * FROM m WHERE c IN (SELECT c FROM m GROUP BY c HAVING count(*) BETWEEN 15 AND 60)), q AS (SELECT * FROM p WHERE r IN (SELECT r FROM p GROUP BY r HAVING count(*) BETWEEN 5 AND 200)), f AS (SELECT r, c, v FROM (SELECT *, coalesce(sum(v * v) OVER (PARTITION BY r ORDER BY v DESC, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(v * v) OVER (PARTITION BY r) AS t FROM q) WHERE b <= t * 0.7::DOUBLE), n AS (SELECT r, c, v / sqrt(sum(v * v) OVER (PARTITION BY r)) AS v FROM f) SELECT r AS "row", k AS "col", round(v, 6) AS val FROM n JOIN (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS k FROM n GROUP BY c) USING (c)')
 
@@ -140,40 +158,83 @@ for _kind, _x in _SCORE.items():
         for _compat in (False, True):
             _cut = " JOIN (SELECT a, b, least(max(c) FILTER (WHERE hx), max(c) FILTER (WHERE hy)) AS z FROM f GROUP BY 1, 2) USING (a, b) WHERE c <= z" if _compat else ""
             _add(f"sim_pairs_{_kind}" + "_compat" * _compat, lambda s, d, k=_kind, t=_compat: similarity.pair_similarity(fx.cust_part(s, d), fx.cust_part(s, d), fx.cust_part(s, d).where("row > 0").select(F.col("row").alias("i1"), (F.col("row") % 5).alias("i2")).distinct(), k, t), f"WITH {fx.M}, p AS (SELECT DISTINCT r AS a, r % 5 AS b FROM m WHERE r > 0), x AS (SELECT a, b, c, v FROM p JOIN m ON a = r), y AS (SELECT a, b, c, v FROM p JOIN m ON b = r), f AS (SELECT a, b, c, coalesce(x.v, 0) AS x, coalesce(y.v, 0) AS y, x.v IS NOT NULL AS hx, y.v IS NOT NULL AS hy FROM x FULL JOIN y USING (a, b, c)), g AS (SELECT a, b, sum(x * y) AS dot, sum(least(x, y)) AS low, sum(x) AS sa, sum(y) AS sb, sum(x * x) AS qa, sum(y * y) AS qb FROM f{_cut} GROUP BY 1, 2) SELECT a AS i1, b AS i2, round(coalesce(CASE WHEN isfinite({_x}) THEN {_x} END, 0), 6) AS sim FROM g")
-_add("neighbourhood_similarity", lambda s, d: similarity.compare_neighbourhoods(fx.cust_part(s, d), fx.cust_part(s, d).where("val > 10")))
 
-# --- iterative graph algorithms -------------------------------------------------------------------
-_add("components", lambda s, d: components.connected_components(fx.strong(s, d), "u", "v"), f"WITH RECURSIVE {fx.STRONG}, {fx.BOTH}, cc(id, component) USING KEY (id) AS (SELECT src, min(least(src, dst)) FROM b GROUP BY src UNION SELECT b.dst, min(cc.component) FROM cc JOIN b ON b.src = cc.id JOIN recurring.cc o ON o.id = b.dst WHERE cc.component < o.component GROUP BY b.dst) SELECT id, component FROM cc")
 
+def _near_sql(side: str, row: str, col: str) -> str:
+    """CTEs for ``side``: how alike the neighbours of a row are in m and in the part of m above 10."""
+    unit = lambda where: f"SELECT {row} AS i, {col} AS j, v / sqrt(sum(v * v) OVER (PARTITION BY {row})) AS x FROM m{where}"
+    score = lambda u: f"SELECT a.i AS q, b.i AS o, round(sum(a.x * b.x), 6) AS s FROM {u} a JOIN {u} b USING (j) WHERE a.i IN (SELECT i FROM {side}_u) AND a.i IN (SELECT i FROM {side}_w) GROUP BY 1, 2"
+    return f"""{side}_u AS ({unit('')}), {side}_w AS ({unit(' WHERE v > 10')}), {side}_p AS ({score(side + '_u')}), {side}_q AS ({score(side + '_w')}),
+{side}_c AS (SELECT q, sum(p * r) / sqrt(sum(p * p) * sum(r * r)) AS c FROM (SELECT q, o, max(p) AS p, max(r) AS r FROM (SELECT q, o, s AS p, NULL AS r FROM {side}_p UNION ALL SELECT q, o, NULL, s FROM {side}_q) GROUP BY 1, 2) GROUP BY q)"""
+
+
+_add(
+    "neighbourhood_similarity",
+    lambda s, d: similarity.compare_neighbourhoods(fx.cust_part(s, d), fx.cust_part(s, d).where("val > 10")),
+    f"WITH {fx.M}, {_near_sql('r', 'r', 'c')}, {_near_sql('k', 'c', 'r')} SELECT 'rows' AS side, round(avg(c), 6) AS mean FROM r_c UNION ALL SELECT 'cols', round(avg(c), 6) FROM k_c",
+)
+_two = lambda s, d: (fx.cust_part(s, d), matrix.scale(fx.cust_part(s, d).where("val > 10"), "maxtf"))
+_add(
+    "sim_pairs_two_matrices",
+    lambda s, d: similarity.pair_similarity(*_two(s, d), fx.cust_part(s, d).select(F.col("row").alias("i1"), (F.col("row") + 1).alias("i2")).distinct(), "cos"),
+    f"WITH {fx.M}, n AS (SELECT r, c, 0.5::DOUBLE + 0.5::DOUBLE * v / max(v) OVER (PARTITION BY r) AS v FROM m WHERE v > 10), p AS (SELECT DISTINCT r AS i1, r + 1 AS i2 FROM m), "
+    "x AS (SELECT i1, i2, c, v AS a, 0 AS b FROM p JOIN m ON r = i1 UNION ALL SELECT i1, i2, c, 0, v FROM p JOIN n ON r = i2), y AS (SELECT i1, i2, c, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2, 3) "
+    "SELECT i1, i2, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0), 0), 6) AS sim FROM y GROUP BY 1, 2",
+)
 
-def _start(s: SparkSession, d: str) -> int:
-    return int(fx.strong(s, d).agg(F.min("u")).first()[0])
+# --- iterative graph algorithms: on the whole co-purchase graph, and where its one component shows little
+# also on the graph of parts that are together in several orders
+_CC = "cc(id, component) USING KEY (id) AS (SELECT src, min(least(src, dst)) FROM b GROUP BY src UNION SELECT b.dst, min(cc.component) FROM cc JOIN b ON b.src = cc.id JOIN recurring.cc o ON o.id = b.dst WHERE cc.component < o.component GROUP BY b.dst)"
 
 
-_BFS = f"{fx.STRONG}, {fx.BOTH}, bfs(id, level) USING KEY (id) AS (SELECT min(src), 0 FROM b UNION SELECT DISTINCT b.dst, bfs.level + 1 FROM bfs JOIN b ON b.src = bfs.id WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs o WHERE o.id = b.dst))"
-_add("bfs_levels", lambda s, d: graph.bfs_levels(edges.both_directions(fx.strong(s, d)), _start(s, d)), f"WITH RECURSIVE {_BFS} SELECT id, level FROM bfs")
-_add("bfs_order", lambda s, d: graph.bfs_order(edges.both_directions(fx.strong(s, d)), _start(s, d)))
-_add("bfs_order_by_degree", lambda s, d: graph.bfs_order_by_degree(edges.both_directions(fx.strong(s, d)), edges.degrees(fx.strong(s, d)), 8, _start(s, d)))
-_add("best_first_order", lambda s, d: graph.best_first_order(edges.both_directions(fx.strong(s, d)), _start(s, d), 2))
-_add("sssp", lambda s, d: graph.shortest_paths(fx.weighted(s, d), _start(s, d)), f"WITH RECURSIVE {fx.WEIGHTED}, sp(id, dist) USING KEY (id) AS (SELECT min(src), 0::DOUBLE FROM wt WHERE src < dst UNION SELECT wt.dst, min(sp.dist + wt.w) FROM sp JOIN wt ON wt.src = sp.id LEFT JOIN recurring.sp o ON o.id = wt.dst WHERE o.id IS NULL OR sp.dist + wt.w < o.dist GROUP BY wt.dst) SELECT v.id, coalesce(dist, -1) AS dist FROM (SELECT DISTINCT src AS id FROM wt) v LEFT JOIN sp ON sp.id = v.id")
+def _spread_sql(starts: str, b: str = "b") -> str:
+    return f"bfs(id, level) USING KEY (id) AS ({starts} UNION SELECT DISTINCT {b}.dst, bfs.level + 1 FROM bfs JOIN {b} ON {b}.src = bfs.id WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs o WHERE o.id = {b}.dst))"
 
 
-def _start_all(s: SparkSession, d: str) -> int:
-    return int(fx.weighted_all(s, d).agg(F.min("src")).first()[0])
+def _end(g: DataFrame, what) -> int:
+    return int(g.agg(what).first()[0])
 
 
-# over all pairs, where the queries with SQL take those of two orders or more; tests hold them to the same SQL without that cut
-_add("sssp_all_pairs", lambda s, d: graph.shortest_paths(fx.weighted_all(s, d), _start_all(s, d)))
-_add("pagerank_all_pairs", lambda s, d: _r(graph.pagerank(fx.weighted_all(s, d), max_iter=10, fixed=True)[0], "pr"))
-_add("pagerank_personalised_all_pairs", lambda s, d: _r(graph.pagerank(fx.weighted_all(s, d), max_iter=10, fixed=True, restart=s.range(1).select(F.lit(_start_all(s, d)).cast("long").alias("id"), F.lit(1.0).alias("r")))[0], "pr"))
+for _name, _graph, _e in (("", fx.parts, fx.E), ("_strong", fx.strong, fx.STRONG)):
+    _add(f"components{_name}", lambda s, d, g=_graph: components.connected_components(g(s, d), "u", "v"), f"WITH RECURSIVE {_e}, {fx.BOTH}, {_CC} SELECT id, component FROM cc")
+    _add(f"bfs_levels{_name}", lambda s, d, g=_graph: graph.bfs_levels(edges.both_directions(g(s, d)), _end(g(s, d), F.min("u"))), f"WITH RECURSIVE {_e}, {fx.BOTH}, {_spread_sql('SELECT min(src), 0 FROM b')} SELECT id, level FROM bfs")
+    _add(
+        f"bfs_order{_name}",
+        lambda s, d, g=_graph: graph.bfs_order(edges.both_directions(g(s, d)), _end(g(s, d), F.max("v"))),
+        f"WITH RECURSIVE {_e}, {fx.BOTH}, {_CC}, h AS (SELECT max(src) AS s FROM b), home AS (SELECT component AS hc FROM cc, h WHERE id = s), "
+        f"{_spread_sql('SELECT s, 0 FROM h UNION ALL SELECT id, 0 FROM cc, home WHERE id = component AND component <> hc')} "
+        "SELECT id, component, level, row_number() OVER (ORDER BY component <> hc, component, level, id) - 1 AS place FROM bfs JOIN cc USING (id), home",
+    )
+    _least = 110 if _graph is fx.parts else 8
+    _add(
+        f"bfs_order_by_degree{_name}",
+        lambda s, d, g=_graph, n=_least: graph.bfs_order_by_degree(edges.both_directions(g(s, d)), edges.degrees(g(s, d)), n),
+        f"WITH RECURSIVE {_e}, {fx.DEG}, low AS (SELECT id FROM deg WHERE degree < {_least}), l AS (SELECT u, v FROM e WHERE u IN (SELECT id FROM low) AND v IN (SELECT id FROM low)), "
+        f"b AS (SELECT u AS src, v AS dst FROM l UNION ALL SELECT v, u FROM l UNION ALL SELECT id, id FROM low), {_CC}, {_spread_sql('SELECT id, 0 FROM cc WHERE id = component')} "
+        f"SELECT id, row_number() OVER (ORDER BY g, k, component, level, id) - 1 AS place FROM (SELECT id, 0 AS g, -degree AS k, 0 AS component, 0 AS level FROM deg WHERE degree >= {_least} UNION ALL SELECT id, 1, 0, component, level FROM bfs JOIN cc USING (id))",
+    )
+for _kind in range(1, 7):
+    _add(f"best_first_order_{_kind}", lambda s, d, k=_kind: graph.best_first_order(edges.both_directions(fx.strong(s, d)), _end(fx.strong(s, d), F.min("u")), k))
+_add("best_first_order_3_matrix", lambda s, d: graph.best_first_order(edges.both_directions(fx.strong(s, d)), _end(fx.strong(s, d), F.min("u")), 3, matrix=True))
+_add("sssp", lambda s, d: graph.shortest_paths(fx.weighted(s, d), _end(fx.weighted(s, d), F.min("src"))), f"WITH RECURSIVE {fx.WEIGHTED}, sp(id, dist) USING KEY (id) AS (SELECT min(src), 0::DOUBLE FROM wt WHERE src < dst UNION SELECT wt.dst, min(sp.dist + wt.w) FROM sp JOIN wt ON wt.src = sp.id LEFT JOIN recurring.sp o ON o.id = wt.dst WHERE o.id IS NULL OR sp.dist + wt.w < o.dist GROUP BY wt.dst) SELECT v.id, coalesce(dist, -1) AS dist FROM (SELECT DISTINCT src AS id FROM wt) v LEFT JOIN sp ON sp.id = v.id")
 
 
-def _pr_sql(restart: str) -> str:
-    return f"WITH RECURSIVE {fx.WEIGHTED}, n AS (SELECT DISTINCT src AS id FROM wt), r AS ({restart}), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM wt), k(i, id, pr) AS (SELECT 0, id, r FROM r UNION ALL SELECT i, id, pr FROM (SELECT k.i + 1 AS i, p.dst AS id, 0.85::DOUBLE * sum(k.pr * p.p) + 0.15::DOUBLE * any_value(r.r) AS pr FROM k JOIN p ON p.src = k.id JOIN r ON r.id = p.dst WHERE k.i < 10 GROUP BY k.i, p.dst)) SELECT id, round(pr, 6) AS pr FROM k WHERE i = 10"
+def _pr_sql(restart: str, more: str = "SELECT id, round(pr, 6) AS pr FROM k WHERE i = 10") -> str:
+    return f"WITH RECURSIVE {fx.WEIGHTED}, n AS (SELECT DISTINCT src AS id FROM wt), r AS ({restart}), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM wt), k(i, id, pr) AS (SELECT 0, id, r FROM r UNION ALL SELECT i, id, pr FROM (SELECT k.i + 1 AS i, p.dst AS id, 0.85::DOUBLE * sum(k.pr * p.p) + 0.15::DOUBLE * any_value(r.r) AS pr FROM k JOIN p ON p.src = k.id JOIN r ON r.id = p.dst WHERE k.i < 10 GROUP BY k.i, p.dst)) {more}"
 
 
-_add("pagerank", lambda s, d: _r(graph.pagerank(fx.weighted(s, d), max_iter=10, fixed=True)[0], "pr"), _pr_sql("SELECT id, 1::DOUBLE / (SELECT count(*) FROM n) AS r FROM n"))
-_add("pagerank_personalised", lambda s, d: _r(graph.pagerank(fx.weighted(s, d), max_iter=10, fixed=True, restart=s.range(1).select(F.lit(_start(s, d)).cast("long").alias("id"), F.lit(1.0).alias("r")))[0], "pr"), _pr_sql("SELECT id, (id = (SELECT min(src) FROM wt))::INT::DOUBLE AS r FROM n"))
+def _ranks(s: SparkSession, d: str, restart: DataFrame | None = None) -> DataFrame:
+    return graph.pagerank(fx.weighted(s, d), max_iter=10, fixed=True, restart=restart)[0]
+
+
+_UNIFORM = "SELECT id, 1::DOUBLE / (SELECT count(*) FROM n) AS r FROM n"
+_add("pagerank", lambda s, d: _r(_ranks(s, d), "pr"), _pr_sql(_UNIFORM))
+_add("pagerank_personalised", lambda s, d: _r(_ranks(s, d, s.range(1).select(F.lit(_end(fx.weighted(s, d), F.min("src"))).cast("long").alias("id"), F.lit(1.0).alias("r"))), "pr"), _pr_sql("SELECT id, (id = (SELECT min(src) FROM wt))::INT::DOUBLE AS r FROM n"))
+_add(
+    "pagerank_random_restart",
+    lambda s, d: _r(_ranks(s, d, graph.random_restarts(fx.weighted(s, d).select(F.col("src").alias("id")).distinct(), 2, 7)[1]), "pr"),
+    _pr_sql("SELECT id, x / sum(x) OVER () AS r FROM (SELECT id, ('0x' || substr(md5('8:' || id), 1, 8))::BIGINT + 1::DOUBLE AS x FROM n)"),
+)
 
 
 def _perm(s: SparkSession, d: str) -> DataFrame:
@@ -183,7 +244,11 @@ def _perm(s: SparkSession, d: str) -> DataFrame:
 _PERM = f"{fx.E}, {fx.DEG}, {fx.BOTH}, p AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) - 1 AS place FROM deg)"
 _add("bandwidth_compactness", lambda s, d: graph.compactness(fx.parts_both(s, d), _perm(s, d)), f"WITH {_PERM}, z AS (SELECT abs(x.place - y.place) AS d FROM b JOIN p x ON x.id = src JOIN p y ON y.id = dst) SELECT round(avg(d), 6) AS mean, count(*) FILTER (WHERE d = 1) AS near1, count(*) FILTER (WHERE d = 2) AS near2, count(*) FILTER (WHERE d = 3) AS near3 FROM z")
 _add("centroid_reorder", lambda s, d: graph.centroid_reorder(fx.parts_both(s, d), _perm(s, d)), f"WITH {_PERM}, z AS (SELECT src AS id, avg(y.place) AS m FROM b JOIN p y ON y.id = dst GROUP BY src) SELECT id, row_number() OVER (ORDER BY round(place + 0.5::DOUBLE * (m - place), 9), id) - 1 AS place FROM p JOIN z USING (id)")
-_add("pagerank_report", lambda s, d: graph.pagerank_report(fx.weighted_all(s, d), graph.pagerank(fx.weighted_all(s, d), max_iter=10, fixed=True)[0]).select("id", F.round("pr", 6).alias("pr"), "degree", F.round("max_diff", 6).alias("max_diff")))
+_add(
+    "pagerank_report",
+    lambda s, d: graph.pagerank_report(fx.weighted(s, d), _ranks(s, d)).select("id", F.round("pr", 6).alias("pr"), "degree", F.round("max_diff", 6).alias("max_diff")),
+    _pr_sql(_UNIFORM, "SELECT a.id, round(a.pr, 6) AS pr, count(*) AS degree, round(max(round(abs(a.pr - o.pr), 9)), 6) AS max_diff FROM k a JOIN wt ON wt.src = a.id JOIN k o ON o.id = wt.dst WHERE a.i = 10 AND o.i = 10 GROUP BY a.id, a.pr"),
+)
 
 # --- itemsets and ranked lists --------------------------------------------------------------------
 _add("frequent_itemsets", lambda s, d: mining.frequent_itemsets(fx.baskets(s, d), 5, max_len=3), f"WITH {fx.TX}, f AS (SELECT * FROM tx WHERE item IN (SELECT item FROM tx GROUP BY item HAVING count(*) >= 5)) SELECT [item] AS items, count(*) AS support FROM f GROUP BY item UNION ALL SELECT [a.item, b.item], count(*) FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= 5 UNION ALL SELECT [a.item, b.item, c.item], count(*) FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item JOIN f c ON c.tid = b.tid AND b.item < c.item GROUP BY a.item, b.item, c.item HAVING count(*) >= 5")
@@ -234,8 +299,12 @@ _add("date_format_parse", lambda s, d: fx.table(s, d, "orders").select("o_orderk
 _add("math_log2", lambda s, d: fx.table(s, d, "part").select(_P, scalars.floor_log2("p_partkey").alias("fl"), scalars.is_power_of_two("p_partkey").alias("p2"), F.round(scalars.log2(F.col("p_partkey") + 1), 6).alias("lg"), scalars.sign_of(F.col("p_size") - 25, F.col("p_size")).alias("sg"), scalars.max3("p_size", F.lit(10), F.lit(20)).alias("m3")), "SELECT p_partkey, CASE WHEN p_partkey <= 1 THEN 0 ELSE floor(log2(p_partkey))::INT END AS fl, p_partkey > 0 AND bit_count(p_partkey) = 1 AS p2, round(log2(p_partkey + 1), 6) AS lg, CASE WHEN p_size >= 25 THEN p_size ELSE -p_size END AS sg, greatest(p_size, 10, 20) AS m3 FROM part")
 _add("format_commas", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", scalars.with_commas(F.col("o_orderkey") * 1001).alias("x")), "SELECT o_orderkey, format('{:,}', o_orderkey * 1001) AS x FROM orders")
 _add("base64_roundtrip", lambda s, d: fx.table(s, d, "part").select(_P, F.rpad("p_brand", 12, "x").alias("b")).select(_P, scalars.base64_encode(F.col("b").cast("binary")).alias("coded"), scalars.base64_decode(scalars.base64_encode(F.col("b").cast("binary"))).cast("string").alias("back")), "SELECT p_partkey, base64(encode(rpad(p_brand, 12, 'x'))) AS coded, rpad(p_brand, 12, 'x') AS back FROM part")
-_add("random_permutation", lambda s, d: ordering.with_rank(fx.table(s, d, "customer").select("c_custkey"), F.xxhash64("c_custkey", F.lit(3)), "c_custkey", name="place"))
-_add("random_in_range", lambda s, d: fx.table(s, d, "customer").select("c_custkey", scalars.random_in_range(100, 5).alias("x")))
+_add("random_permutation", lambda s, d: ordering.with_rank(fx.table(s, d, "customer").select("c_custkey"), F.md5(F.concat(F.lit("3:"), F.col("c_custkey").cast("string"))), "c_custkey", name="place"), "SELECT c_custkey, row_number() OVER (ORDER BY md5('3:' || c_custkey), c_custkey) - 1 AS place FROM customer")
+_add("random_in_range", lambda s, d: fx.table(s, d, "customer").select("c_custkey", scalars.random_in_range(100, 5, "c_custkey").alias("x")), "SELECT c_custkey, ('0x' || substr(md5('5:' || c_custkey), 1, 12))::BIGINT % 100 AS x FROM customer")
+
+
+for _name, _f in source_queries.QUERIES.items():
+    _add(_name, _f, source_queries.SQL[_name])
 
 
 def queries() -> dict[str, Query]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.operators.edges import csr_offsets
 from weftgraph.sources.records import file_size, read_bytes, records, write_records
@@ -52,9 +54,14 @@ def _pairs(rows: DataFrame, skip: int, values: bool, base: int) -> DataFrame:
     return flat.select("row", (F.get("t", F.col("p")).cast("long") - base).alias("col"), value.alias("val"))
 
 
-def read_csr(spark: SparkSession, path: str, values: bool = True, one_based: bool = False) -> DataFrame:
-    """A line is a row; no header (S16, J10 input)."""
-    return _pairs(numbered_lines(spark, path).select(F.col("line").alias("row"), tokens("value").alias("t")), 0, values, int(one_based))
+def read_csr(spark: SparkSession, path: str, values: bool | None = True, one_based: bool = False) -> DataFrame:
+    """A line is a row; no header (S16, J10 input).
+
+    ``values`` True: pairs of index and value; False: indices, each with the value 1; None: indices, and
+    the result has no values: (row, col).
+    """
+    out = _pairs(numbered_lines(spark, path).select(F.col("line").alias("row"), tokens("value").alias("t")), 0, bool(values), int(one_based))
+    return out.drop("val") if values is None else out
 
 
 def read_cluto(spark: SparkSession, path: str) -> DataFrame:
@@ -188,25 +195,15 @@ def _write_binary(m: DataFrame, path: str, fmt: str, n_rows: int, n_cols: int, v
     words = words.unionByName(m.select(*word(1, major, F.col(minor), F.col(minor)))).withColumn("x", F.lit(0.0))
     if values:
         words = words.unionByName(m.select(F.lit(2).alias("s"), F.col(major).cast("long").alias("a"), F.col(minor).cast("long").alias("b"), F.lit(None).cast("int").alias("w"), F.col("val").cast("double").alias("x")))
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    from weftgraph.sources.records import _fs
-
-    rows = words.repartitionByRange("s", "a", "b").sortWithinPartitions("s", "a", "b").select("s", "w", "x").coalesce(1)
-    head = struct.pack("<ii", n_rows, n_cols)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, p = _fs(path)
-        with fs.open_output_stream(p) as out:
-            out.write(head)
-            for batch in batches:
-                s = batch.column(0).to_numpy()
-                w = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i4")
-                x = batch.column(2).to_numpy(zero_copy_only=False).astype("<f4")
-                out.write(np.where(s == 2, x.view("<i4"), w).astype("<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
-
-    rows.mapInArrow(run, "n bigint").collect()
+    big = m.where((F.col(minor) < 0) | (F.col(minor) > 2**31 - 1))
+    if not big.isEmpty():
+        raise ValueError("indices don't fit 32 bits")
+    # a word of any section is a 32-bit pattern; floats travel as theirs
+    words = words.select("s", "a", "b", F.when(F.col("s") == 2, float_bits("x")).otherwise(F.col("w")).alias("word"))
+    write_records(words, path, ["word"], "i4", ["s", "a", "b"], struct.pack("<ii", n_rows, n_cols))
+
+
+@F.pandas_udf(T.IntegerType())
+def float_bits(x: pd.Series) -> pd.Series:
+    """The bits of 32-bit floats as integers; built-in functions can't reinterpret."""
+    return pd.Series(x.fillna(0).to_numpy().astype("<f4").view("<i4"))

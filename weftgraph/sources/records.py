@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weftgraph.operators.ordering import with_rank
+
 _SQL = {"i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "bigint", "f4": "float", "f8": "double"}
 
 
@@ -89,8 +91,7 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 def read_clean_edges(spark: SparkSession, path: str) -> DataFrame:
     """(u, v) of a file that starts with a 64-bit count of pairs."""
-    (n,) = struct.unpack("<Q", read_bytes(path, 0, 8))
-    return records(spark, path, "i4,i4", 8, n).select(F.col("f0").cast("long").alias("u"), F.col("f1").cast("long").alias("v"))
+    return read_counted(spark, path, "i4,i4").select(F.col("f0").cast("long").alias("u"), F.col("f1").cast("long").alias("v"))
 
 
 def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -100,32 +101,86 @@ def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return records(spark, path, kind).select("idx", F.col("f0").alias("value"))
 
 
+def _checked(column: pa.Array, kind: str) -> np.ndarray:
+    """The values as ``kind``; raises where an integer doesn't fit, or a value is missing."""
+    if column.null_count:
+        raise ValueError("a packed record has no place for nulls")
+    values = column.to_numpy(zero_copy_only=False)
+    if kind[0] == "i" and len(values):
+        info = np.iinfo(kind)
+        if values.min() < info.min or values.max() > info.max:
+            raise ValueError(f"values from {values.min()} to {values.max()} don't fit {kind}")
+    return values.astype("<" + kind)
+
+
+def packed(batch: pa.RecordBatch, names: list[str], kinds: list[str]) -> np.ndarray:
+    """Columns of a batch as packed records."""
+    block = np.zeros(batch.num_rows, np.dtype([(f"f{i}", "<" + k) for i, k in enumerate(kinds)]))
+    for i, (n, k) in enumerate(zip(names, kinds)):
+        block[f"f{i}"] = _checked(batch.column(batch.schema.get_field_index(n)), k)
+    return block
+
+
 def write_records(df: DataFrame, path: str, columns: list[str], kinds: str, order: list[str], header: bytes = b"", counted: bool = False) -> None:
     """One packed file of ``columns`` in ``order``; ``counted`` puts a 64-bit count in front.
 
-    Sorting is distributed; a file with one layout has one writer, which streams.
+    On a mounted file system every task writes its rows at their place, which a row's rank gives, so the
+    file is written in parallel and a task that is repeated writes the same bytes again.  A store that
+    only takes streams gets one writer, which sorts (spilling to disk).  Integers that a kind can't hold,
+    and nulls, raise.
     """
-    names = [f"f{i}" for i in range(len(columns))]
-    kind = np.dtype([(n, "<" + k) for n, k in zip(names, kinds.split(","))])
-    rows = df.select(*columns, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    each, names = kinds.split(","), [f"_w{i}" for i in range(len(columns))]
+    width = sum(np.dtype(k).itemsize for k in each)
     keys = [f"_o{i}" for i in range(len(order))]
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns).coalesce(1)
-    head = header + (struct.pack("<Q", df.count()) if counted else b"")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, p = _fs(path)
-        with fs.open_output_stream(p) as out:
-            out.write(head)
-            total = 0
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    fs, plain = _fs(path)
+    done = "n bigint"
+
+    if not isinstance(fs, pafs.LocalFileSystem):
+        head = header + (struct.pack("<Q", df.count()) if counted else b"")
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            target, p = _fs(path)
+            with target.open_output_stream(p) as out:
+                out.write(head)
+                for batch in batches:
+                    out.write(packed(batch, names, each).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["n"])
+
+        rows.coalesce(1).sortWithinPartitions(*keys).select(*names).mapInArrow(stream, done).collect()
+        return
+
+    ranked = with_rank(rows, *keys, name="_at").select(*names, "_at")
+    total = ranked.count()
+    head = header + (struct.pack("<Q", total) if counted else b"")
+    with open(plain, "wb") as out:
+        out.write(head)
+        out.truncate(len(head) + total * width)
+
+    def patch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(plain, "r+b") as out:
             for batch in batches:
-                block = np.zeros(batch.num_rows, kind)
-                for n, c in zip(names, batch.columns):
-                    block[n] = c.to_numpy(zero_copy_only=False)
-                out.write(block.tobytes())
-                total += len(block)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+                at = batch.column(batch.num_columns - 1).to_numpy()
+                block = packed(batch, names, each)
+                cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if b > a:
+                        out.seek(len(head) + int(at[a]) * width)
+                        out.write(block[a:b].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["n"])
+
+    ranked.mapInArrow(patch, done).collect()
+
+
+def read_counted(spark: SparkSession, path: str, kinds: str) -> DataFrame:
+    """(idx, f0, ...) of records behind a 64-bit count of them: arrays, vectors, tuples of any width."""
+    (n,) = struct.unpack("<Q", read_bytes(path, 0, 8))
+    return records(spark, path, kinds, 8, n)
+
 
-    rows.mapInArrow(run, "n bigint").collect()
+def write_counted(df: DataFrame, path: str, columns: list[str], kinds: str, order: list[str]) -> None:
+    """A 64-bit count, then the packed records in ``order``."""
+    write_records(df, path, columns, kinds, order, counted=True)
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
@@ -133,7 +188,7 @@ def write_edges(edges: DataFrame, path: str) -> None:
 
 
 def write_clean_edges(graph: DataFrame, path: str) -> None:
-    write_records(graph, path, ["u", "v"], "i4,i4", ["u", "v"], counted=True)
+    write_counted(graph, path, ["u", "v"], "i4,i4", ["u", "v"])
 
 
 def write_array(df: DataFrame, path: str, kind: str) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +56,43 @@ def path_parts(col: Column | str) -> dict[str, Column]:
     }
 
 
-def file_exists(path: str) -> bool:
-    return os.path.isfile(path)
+def _hadoop(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
+def _status(spark: SparkSession, path: str):
+    fs, p = _hadoop(spark, path)
+    return fs.getFileStatus(p) if fs.exists(p) else None
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    """Of any file system that Spark knows, as all of these."""
+    found = _status(spark, path)
+    return found is not None and found.isFile()
+
+
+def dir_exists(spark: SparkSession, path: str) -> bool:
+    found = _status(spark, path)
+    return found is not None and found.isDirectory()
+
+
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """-1 where there is no such file."""
+    found = _status(spark, path)
+    return found.getLen() if found is not None and found.isFile() else -1
+
+
+def make_path(spark: SparkSession, path: str) -> bool:
+    """A folder and those above it."""
+    fs, p = _hadoop(spark, path)
+    return fs.mkdirs(p)
 
 
-def dir_exists(path: str) -> bool:
-    return os.path.isdir(path)
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """A folder or file with all below it; False where there is none."""
+    fs, p = _hadoop(spark, path)
+    return fs.delete(p, True)
 
 
 def read_pssm(spark: SparkSession, path: str) -> DataFrame:
