@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import documents, ready
+from weftgraph.llm.common import WORD, documents, ready
 from weftgraph.llm.exact_dedup import exact_dedup
 from weftgraph.llm.licenses import license_scan, license_sql
 from weftgraph.llm.minhash import minhash_components
@@ -58,11 +59,34 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
 
 
+ORACLE_SQL["op6_warc_revisits"] = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+s AS (SELECT page_id, p, sha1(p) AS hex FROM h),
+t AS (SELECT page_id, strlen(p) AS payload_bytes, min(page_id) OVER (PARTITION BY p) AS first_,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '') AS payload_digest FROM s)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_ THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first_ THEN first_ END AS refers_to FROM t
+"""
+
+
 @_query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(documents(spark, sf_dir), width=3, num=85, den=100)
 
 
+ORACLE_SQL["op8_minhash_near_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+b AS (SELECT x AS src, y AS dst FROM l UNION ALL SELECT y, x FROM l),
+cc(id, component) USING KEY (id) AS (SELECT src, min(least(src, dst)) FROM b GROUP BY src UNION
+  SELECT b.dst, min(cc.component) FROM cc JOIN b ON b.src = cc.id JOIN recurring.cc o ON o.id = b.dst WHERE cc.component < o.component GROUP BY b.dst)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN cc ON cc.id = d.doc_id
+"""
+
+
 @_query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
