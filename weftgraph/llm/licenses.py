@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import only, text_of
+from weftgraph.llm.common import only, stored, text_of
 
 # Patterns of the canonical form, on lower case, alike in Java, RE2 and Python with ASCII classes.
 #: A line that names a holder: with a year, a sign or "by"; one that only goes on with "copyright notice ..." stays.
@@ -29,7 +30,9 @@ LIST_MARK = r"(^|\n|[.:;,][^\S\n]+)[^\w\n]*([0-9]{1,2}|[a-z])[.)][^\S\n]+"
 BETWEEN = r"[^\p{L}\p{N}]+"
 #: What parts paragraphs: lines without a letter or digit.
 BLANK = r"\n([^\p{L}\p{N}\n]*\n)+"
-TELLING = r"(?i)licen|permission|warrant|released|distributed|available"
+#: What any known form holds.
+WORDS = ["licen", "permission", "warrant", "released", "distributed", "available"]
+TELLING = "(?i)" + "|".join(WORDS)
 
 # Equivalent spellings, on canonical words.
 SPELLINGS = [
@@ -200,6 +203,11 @@ def canonical(col: Column) -> Column:
     return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
+def _tells(col: Column) -> Column:
+    low = F.lower(col)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in WORDS])
+
+
 def known_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(known_licenses(), "digest string, license_id string")
 
@@ -216,21 +224,22 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    told_by = (lambda c: F.rlike(c, F.lit(TELLING))) if known is None else (lambda c: c != "")
+    told_by = _tells if known is None else (lambda c: c != "")
     if known is None:
         parts = spark.createDataFrame(known_paragraphs(), "digest string, license_id string, way int, place int, of int")
     else:
         parts = known.groupBy("digest").agg(F.min("license_id").alias("license_id")).select("*", F.lit(0).alias("way"), F.lit(0).alias("place"), F.lit(1).alias("of"))
     known = (known if known is not None else known_table(spark)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     own = only(docs, id_col, text_col).select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    own = own.withColumn("_key", F.when(told_by(F.col("_text")), F.xxhash64("_text")))
+    own = own.withColumn("_told", told_by(F.col("_text"))).select("_id", F.when(F.col("_told"), F.xxhash64("_text")).alias("_key"), F.when(F.col("_told"), F.col("_text")).alias("_text"))
+    own = stored(own, "licenses")  # one pass over all texts keeps those that may hold something
     told = own.where(F.col("_key").isNotNull())
     lines = F.transform(F.filter(F.split("_text", "\n"), told_by), canonical)
     paragraphs = F.filter(F.transform(F.split("_text", BLANK), canonical), lambda x: x != "")
     # kinds of units: 0 the text, 1 lines, 2 paragraphs
     units = F.array(F.struct(F.lit(0).alias("kind"), F.array(canonical(F.col("_text"))).alias("u")), F.struct(F.lit(1).alias("kind"), lines.alias("u")), F.struct(F.lit(2).alias("kind"), paragraphs.alias("u")))
     rows = told.select("_id", "_key", F.explode(units).alias("k")).select("_id", "_key", "k.kind", F.posexplode("k.u").alias("_at", "_unit"))
-    digests = rows.select("_id", "_key", "kind", "_at", F.sha2("_unit", 256).alias("digest")).distinct()
+    digests = stored(rows.select("_id", "_key", "kind", "_at", F.sha2("_unit", 256).alias("digest")), "license-units").distinct()
     single = digests.where("kind < 2").join(known, "digest").select("_id", "_key", "kind", "_at", "license_id")
     met = digests.where("kind = 2").join(parts, "digest").groupBy("_id", "_key", "license_id", "way", "of", (F.col("_at") - F.col("place")).alias("_at"))
     runs = met.agg(F.count_distinct("place").alias("n")).where("n = of").select("_id", "_key", F.lit(2).alias("kind"), "_at", "license_id").distinct()

@@ -9,12 +9,12 @@
    bucket.  These are confirmed on full sets and joined into components.  The second takes buckets where
    the first took less than all and more than one component is left.  It compares members of all but the
    largest component with everything else there, block by block, by signatures and then by sets of 32-bit
-   hashes inside the task, and gives out what is linked.  So of a group of thousands of near copies no
-   more than a few pairs for each member ever become rows, and yet no bucket's pair is left unseen.  A
-   pair is looked at in the first bucket that it shares.
+   hashes inside the task, and gives out one link for each two components that meet.  So of a group of
+   thousands of near copies no more than a few pairs for each member ever become rows, and yet no
+   bucket's pair is left unseen.  A pair is looked at in the first bucket that it shares.
 4. Similarity is estimated from the number of equal bytes, corrected for bytes that are equal by chance.
    Only pairs that lie ``z`` standard errors below the threshold are passed over.
-5. Links are confirmed exactly, and components of all links are the groups.
+5. Links are confirmed on whole sets of 64-bit hashes, and components of all links are the groups.
 """
 
 from __future__ import annotations
@@ -273,9 +273,11 @@ def minhash_components(
     classes = stored(sigs.where("n > 0").groupBy("digest").agg(F.min(F.col(id_col).cast("long")).alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "classes")
     reps = classes.where("id is not null").select("id", "n", "sig")
     keys = band_table(reps, bands, rows)
-    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # small tables by key are stored before they are joined: a join of two plain shuffles is one that adaptive
+    # execution may split where a key is hot
+    busy = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "busy")
     # bucket members with their signatures; only buckets of two or more
-    members = stored(keys.join(busy.hint("merge"), "key").join(reps.hint("merge"), "id"), "buckets")
+    members = stored(keys.join(busy, "key").join(reps.hint("merge"), "id"), "buckets")
     sets = stored(shingle_table(docs, id_col, text_col, width, members.select("id")), "sets")
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -312,12 +314,12 @@ def minhash_components(
     found = stored(connected_components(links, "a", "b"), "found")
 
     # buckets that have more to give, and in which more than one component is left
-    full = first.where("full_key is not null").select(F.col("full_key").alias("key")).unionByName(busy.where(F.col("m") > block).select("key")).distinct()
+    full = stored(first.where("full_key is not null").select(F.col("full_key").alias("key")).unionByName(busy.where(F.col("m") > block).select("key")).distinct(), "full")
     placed = members.join(full, "key", "left_semi").join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     placed = stored(placed, "placed")
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     split = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all")).where("comps > 1")
-    split = split.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("few"))
+    split = stored(split.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("few")), "split")
     short = sets.select("id", F.transform("shingles", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("short"))
     rest = placed.join(split, "key").join(short, "id")
     few_blocks = F.ceil(F.col("few") / F.lit(block)).cast("int")
@@ -335,7 +337,7 @@ def minhash_components(
             l, r = np.flatnonzero(side), np.flatnonzero(~side)
             if not len(l) or not len(r):
                 continue
-            out = []
+            out, certain = [], []
             for at in range(0, len(l), 256):
                 part = l[at : at + 256]
                 close = _close(sig[part], n[part], sig[r], n[r], band, rows, least, num, den)
@@ -348,11 +350,23 @@ def minhash_components(
                     hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
                     inter = np.add.reduceat(hit, np.cumsum([0, *(len(x) for x in theirs[:-1])]), dtype=np.int64)
                     union = len(mine) + np.array([len(x) for x in theirs]) - inter
-                    near = (inter + 2 + union // 100) * den >= num * union  # 32-bit hashes can meet by chance
+                    chance = 2 + union // 100  # 32-bit hashes can meet by chance
+                    near = (inter + chance) * den >= num * union
                     if near.any():
-                        out.append((np.full(int(near.sum()), id_[part[i]]), id_[others[near]]))
+                        out.append((np.full(int(near.sum()), part[i]), others[near]))
+                        certain.append(((inter - chance) * den >= num * (union + chance))[near])
             if out:
-                yield _give(out, [])
+                i, j, sure = (np.concatenate(x) for x in ([x for x, _ in out], [x for _, x in out], certain))
+                # one sure pair says all of its two components; without one all that may be near are looked at
+                ends = np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])], axis=1)
+                _, which = np.unique(ends, axis=0, return_inverse=True)
+                which = which.reshape(-1)
+                order = np.lexsort((~sure, which))
+                first_ = np.r_[True, which[order][1:] != which[order][:-1]]
+                said = np.zeros(int(which.max()) + 1, bool)
+                said[which[sure]] = True
+                keep = order[first_ | ~said[which[order]]]
+                yield _give([(id_[i[keep]], id_[j[keep]])], [])
 
     second = dealt(left.unionByName(right), ["key", "_i", "_j"]).mapInArrow(across, _FOUND).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = near_links(stored(second, "pairs"), sets, num, den)
