@@ -48,12 +48,13 @@ def width(like: DataFrame, target: int = 128 << 20) -> int:
 def stored(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: computed once, lineage cut.
 
-    ``like``: the table that ``df`` is a scan of, whose size bounds the number of files.  Leave it out behind
-    joins and aggregates: a task that works off several of their partitions holds the memory of all.
+    ``like``: the table that the narrow ``df`` is a scan of.  Rows are made in as many tasks as the scan has,
+    then dealt into as many files as their own size asks for, so a scan of a million splits leaves no
+    million files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df if like is None else df.coalesce(width(like))).write.parquet(path)
+    (df if like is None else df.hint("rebalance")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
