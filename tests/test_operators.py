@@ -323,3 +323,29 @@ def test_streaming_query(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got(spark.table("edges_out")) == [(1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("kind, least", [("cos", 0.3), ("jac", 0.2), ("min", 0.2), ("amin", 0.3)])
+def test_frequent_columns_change_no_neighbour(spark, kind, least):
+    random.seed(11)
+    rows = [(r, c, float(random.randrange(1, 9))) for r in range(60) for c in range(40) if random.random() < (0.9 if c < 3 else 0.12)]
+    m = entries(spark, rows)
+    plain, split = (got(similarity.neighbours(m.where("row % 3 = 0"), m, kind, 7, least, often=n)) for n in (10**6, 25))
+    assert plain == split and len(plain) > 60
+
+
+def test_hot_rows_are_filtered_alike(spark):
+    random.seed(12)
+    rows = [(0 if random.random() < 0.7 else random.randrange(1, 9), c, float(random.randrange(1, 50))) for c in range(900)]
+    m = entries(spark, rows)
+    for norm in (1, 2):
+        want = []
+        for r in {x[0] for x in rows}:
+            own = sorted((x for x in rows if x[0] == r), key=lambda x: (-x[2], x[1]))
+            total, before = sum(x[2] ** norm for x in own), 0.0
+            for x in own:
+                want += [x] if before <= total * 0.4 else []
+                before += x[2] ** norm
+        assert got(matrix.low_filter(m, "row", norm, 0.4)) == sorted(want)
+    top = [x for r in {x[0] for x in rows} for i, x in enumerate(sorted((x for x in rows if x[0] == r), key=lambda x: (-x[2], x[1]))) if i < 3 or x[2] >= 47]
+    assert got(matrix.top_k_plus(m, "row", 3, 47.0)) == sorted(top)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.ordering import with_rank
+from weftgraph.operators.ordering import grouped_running_sum, with_rank
 
 
 def _axis(what: str) -> tuple[str, str]:
@@ -47,20 +47,26 @@ def prune(m: DataFrame, what: str, low: int, high: int) -> DataFrame:
 
 def low_filter(m: DataFrame, what: str, norm: int, fraction: float) -> DataFrame:
     """Per row or column, largest values first, entries before which at most ``fraction`` of the whole sum
-    (norm 1) or squared sum (norm 2) lies; the entry that crosses it stays (P12)."""
+    (norm 1) or squared sum (norm 2) lies; the entry that crosses it stays (P12).
+
+    Entries are range-partitioned by key and value, so a hot key is many tasks' work.
+    """
     key, other = _axis(what)
     size = F.col("val") if norm == 1 else F.col("val") * F.col("val")
-    order = Window.partitionBy(key).orderBy(F.col("val").desc(), other)
-    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    total = F.sum(size).over(Window.partitionBy(key))
-    return m.withColumn("_b", before).withColumn("_t", total).where(F.col("_b") <= F.col("_t") * fraction).select("row", "col", "val")
+    rows = grouped_running_sum(m.select("row", "col", "val"), size, [key], F.col("val").desc(), F.col(other))
+    return rows.where(F.col("_before") <= F.col("_total") * fraction).select("row", "col", "val")
 
 
 def top_k_plus(m: DataFrame, what: str, k: int, keep: float) -> DataFrame:
-    """The k largest per row or column, and all others of at least ``keep``."""
+    """The k largest per row or column, and all others of at least ``keep``.
+
+    The k largest are found by a rank alone, of which each task passes on no more than k for a key.
+    """
     key, other = _axis(what)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("val").desc(), other))
-    return m.withColumn("_r", rank).where((F.col("_r") <= k) | (F.col("val") >= keep)).select("row", "col", "val")
+    least = F.coalesce(F.col("val") >= keep, F.lit(False))
+    best = m.withColumn("_r", rank).where(F.col("_r") <= k).where(~least)
+    return best.select("row", "col", "val").unionByName(m.where(least).select("row", "col", "val"))
 
 
 def z_score_filter(m: DataFrame, z: float) -> DataFrame:
@@ -140,8 +146,9 @@ def scale(m: DataFrame, kind: str, n_rows: int | None = None) -> DataFrame:
         return m.select("row", "col", F.when(v != 0, 1 + F.signum(v) * F.log2(F.abs(v))).otherwise(v).alias("val"))
     if kind in ("idf", "idf2"):
         df = m.groupBy("col").agg(F.count(F.lit(1)).alias("_df"))
-        rows = m.agg(F.count_distinct("row").alias("_rows"), F.count(F.lit(1)).alias("_nnz"), F.count_distinct("col").alias("_cols"))
-        rows = rows.withColumn("_rows", F.lit(n_rows).cast("long")) if n_rows is not None else rows
+        rows = df.agg(F.sum("_df").alias("_nnz"), F.count(F.lit(1)).alias("_cols"))
+        seen = m.select("row").distinct().agg(F.count(F.lit(1)).alias("_rows")) if n_rows is None else None
+        rows = rows.withColumn("_rows", F.lit(n_rows).cast("long")) if seen is None else rows.crossJoin(F.broadcast(seen))  # one row each
         full = m.join(df, "col").crossJoin(F.broadcast(rows))  # one row on the other side
         if kind == "idf":
             return full.select("row", "col", (v * F.log(F.col("_rows") / F.col("_df"))).alias("val"))

@@ -44,6 +44,22 @@ def running_sum(df: DataFrame, value: Column, *order: Column | str, name: str =
     return out.select(*df.columns, (F.col("_total") if inclusive else F.col("_total") - F.col("_value")).alias(name))
 
 
+def grouped_running_sum(df: DataFrame, value: Column, keys: list[str], *order: Column) -> DataFrame:
+    """``df`` with ``_before`` and ``_total``: the sums of ``value`` over the rows of the same keys that come
+    earlier in the order, and over all of them.
+
+    Rows are range-partitioned by keys and order, so many tasks share a hot key; what goes by key alone is
+    one number for each key and partition.
+    """
+    rows = _sorted(df.withColumn("_value", value), [*map(F.col, keys), *order])
+    sums = rows.groupBy(*keys, "_part").agg(F.sum("_value").alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    within = Window.partitionBy(*keys, "_part").orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_run", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(sums, [*keys, "_part"])
+    return out.select(*df.columns, (F.col("_ahead") + F.col("_run")).alias("_before"), "_total")
+
+
 def is_sorted(df: DataFrame, place: str, value: str) -> DataFrame:
     """(violations): neighbours by ``place`` whose values go down."""
     rows = _sorted(df.select(place, value), [F.col(place)])

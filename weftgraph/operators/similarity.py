@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.matrix import normalise, transpose
+from weftgraph.storage import stored
 
 KINDS = ("dotp", "cos", "jac", "min", "amin")
 
@@ -29,14 +30,48 @@ def _totals(m: DataFrame, id_: str, suffix: str) -> DataFrame:
     return m.groupBy(F.col("row").alias(id_)).agg(F.sum("val").alias(f"s{suffix}"), F.sum(F.col("val") * F.col("val")).alias(f"q{suffix}"))
 
 
-def neighbours(queries: DataFrame, m: DataFrame, kind: str = "cos", k: int | None = 100, least: float = 0.25) -> DataFrame:
+#: From so many entries on a column is frequent: rows that only meet in such columns are paired last.
+OFTEN = 10_000
+
+
+def _weak_part(q: DataFrame, frequent: DataFrame, kind: str, least: float) -> DataFrame:
+    """``q`` (query, col, x) with ``_skip``: entries in frequent columns that together can't reach ``least``.
+
+    cos >= t, which jac >= t implies, needs a dot product of t times both norms, of which entries of less
+    than t times the query's norm give too little whatever they meet; min and amin need shared minima of t
+    times the query's sum.
+    """
+    size = F.col("x") * F.col("x") if kind in ("cos", "jac") else F.greatest("x", F.lit(0.0))
+    need = F.lit(least * least if kind in ("cos", "jac") else least)
+    own = q.join(frequent, "col", "left")
+    whole, most = Window.partitionBy("query"), Window.partitionBy("query").orderBy(F.coalesce("_df", F.lit(0)).desc(), "col")
+    own = own.withColumn("_all", F.sum(size if kind in ("cos", "jac") else F.col("x")).over(whole)).withColumn("_run", F.sum(size).over(most))
+    # a little less than the bound, for rounding
+    return own.select("query", "col", "x", (F.col("_df").isNotNull() & (F.col("_run") < need * F.col("_all") * (1 - 1e-9)) & (F.col("_all") > 0)).alias("_skip"))
+
+
+def neighbours(queries: DataFrame, m: DataFrame, kind: str = "cos", k: int | None = 100, least: float = 0.25, often: int | None = None) -> DataFrame:
     """(query, row, sim) with sim >= least, the k best of each query by sim, then row.
 
-    ``queries`` and ``m`` are entries; a row of both may match itself.  ``k`` None keeps all.
+    ``queries`` and ``m`` are entries; a row of both may match itself.  ``k`` None keeps all.  Rows meet
+    in the columns that they share.  Where columns have ``often`` (``OFTEN``) entries or more, those of a
+    query's frequent columns that can't make up a similarity of ``least`` by themselves bring nobody
+    together; they only count for pairs that met elsewhere.  The result is the same.
     """
     q = queries.select(F.col("row").alias("query"), "col", F.col("val").alias("x"))
     c = m.select("row", "col", F.col("val").alias("y"))
-    met = q.join(c, "col").groupBy("query", "row").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.least("x", "y")).alias("low"))
+    sums = lambda pairs: pairs.groupBy("query", "row").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.least("x", "y")).alias("low"))
+    frequent = None
+    if kind != "dotp" and least > 0:
+        frequent = stored(c.groupBy("col").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= (OFTEN if often is None else often)), "frequent")
+    bounded = frequent is not None and not frequent.isEmpty() and (kind in ("cos", "jac") or (m.where("val < 0").isEmpty() and queries.where("val < 0").isEmpty()))
+    if not bounded:
+        met = sums(q.join(c, "col"))
+    else:
+        parts = stored(_weak_part(q, frequent, kind, least), "query-parts")
+        first = stored(sums(parts.where("not _skip").join(c, "col")), "met")
+        rest = first.select("query", "row").join(parts.where("_skip").drop("_skip"), "query").join(c, ["row", "col"])
+        met = first.unionByName(sums(rest)).groupBy("query", "row").agg(F.sum("dot").alias("dot"), F.sum("low").alias("low"))
     if kind == "dotp":  # needs no totals
         scored = met.select("query", "row", F.coalesce("dot", F.lit(0.0)).alias("sim"))
     else:
