@@ -14,7 +14,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-import corpus_pipeline
 from weftgraph.llm import toxicity as tox
 from weftgraph.llm import warc
 from weftgraph.llm.binpack import best_plan, pack_counts, slots
@@ -185,6 +184,16 @@ def test_ties_go_to_the_earlier_start():
         assert c.count(w)[1] == len(t.encode(w, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_long_words_hold_few_ends(unigram, fallback):
+    pieces = unigram[0] if fallback else unigram[0][:700]
+    t, c = library(pieces, fallback), Counter(pieces, fallback)
+    rng = random.Random(2)
+    for _ in range(20):
+        w = "".join(rng.choice("aébcthing中\U0001f600ñ") for _ in range(600))
+        assert c.count(w, keep=7) == c.count(w) and c.count(w)[1] == len(t.encode(w, add_special_tokens=False).ids)
+
+
 def test_token_count_rows(docs_of, unigram):
     rows = list(enumerate(ODD))
     t = library(*unigram)
@@ -443,55 +452,3 @@ def test_reader_takes_single_and_many_member_gzip():
         list(warc.records_in(one[:-9]))
     with pytest.raises(ValueError):
         list(warc.records_in(b"nothing\r\n\r\n"))
-
-
-# ---- pipeline
-
-
-def test_pipeline_stages_work_on_what_is_left(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = [docs]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept.append(spark.createDataFrame(stage(spark, kept[-1], sf).collect(), docs.schema))
-        assert kept[-1].columns == docs.columns
-    ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
-    assert all(b <= a for a, b in zip(ids, ids[1:])) and len(ids[2]) < len(ids[1])
-    texts = Count(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]) for r in kept[2].collect())
-    assert max(texts.values()) == 1
-    packed = corpus_pipeline.STAGES[-1][1](spark, kept[-1], sf)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids[-1]
-    assert corpus_pipeline.run(spark, sf).count() == packed.count()
-
-
-def test_pipeline_takes_odd_documents(docs_of, spark):
-    sf = "/root/testdata/sf0.001"
-    docs = docs_of([(i, x) for i, x in enumerate(ODD)] + [(None, "n"), (3, "again"), (3, "again")])
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
-
-
-def test_a_verdict_drops_its_own_row_only(docs_of, spark):
-    sf = "/root/testdata/sf0.001"
-    made = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    verdict = {r["doc_id"]: r["kept"] for r in tox.toxicity(made, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
-    text = {r["doc_id"]: r["text"] for r in made.collect()}
-    bad, good = ([text[i] for i in sorted(text) if verdict[i] == k and len(text[i]) > 200] for k in (False, True))
-    rest = [(i, text[i]) for i in sorted(text)]
-    docs = docs_of(rest + [(None, bad[0]), (None, good[0]), (900_000, bad[1]), (900_000, good[1])])
-    left = Count((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id", "text").collect())
-    assert left == Count([(i, t) for i, t in rest if verdict[i]] + [(None, good[0]), (900_000, good[1])])
-
-    words = " ".join(f"w{i}" for i in range(100))
-    rows = [(1, words), (7, words + " more"), (7, "something else by far"), (None, words + " yet more"), (None, "and one other clean text")]
-    out = corpus_pipeline.drop_near_copies(spark, docs_of(rows), sf)
-    assert Count((r["doc_id"], r["text"]) for r in out.collect()) == Count([rows[0], rows[2], rows[4]])
-    assert out.columns == docs.columns
-
-    # blank rows are never read by the mix; three in four of the other tokens are
-    rows = [(None, ""), (5, " ")] + [(i, "a b c d") for i in (None, None, 5, 5, 6, 7, 8, 9)]
-    taken = Count(r["text"] for r in corpus_pipeline.mix(spark, docs_of(rows), sf).collect())
-    assert taken == {"a b c d": 6}

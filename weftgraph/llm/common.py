@@ -35,12 +35,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch at most, but for a single longer text.
+BATCH = 8 << 20
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """The session, with workers that can import the package and Arrow batches of at most 1,000 rows.
+    """The session, with workers that can import the package and Arrow batches bounded by bytes.
 
-    Rows are whole texts here; a batch is held by the JVM and by a Python worker at once.
+    Rows are whole texts here; a batch is held by the JVM and by a Python worker at once.  The bound is a
+    setting of the session; a smaller one of the caller's stays.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= 1000:
-        spark.conf.set(key, "1000")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH:
+        spark.conf.set(key, str(BATCH))
     return reach(spark)

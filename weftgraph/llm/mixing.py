@@ -45,7 +45,9 @@ def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """
     dec = "decimal(38,0)"
     by = Window.partitionBy(*parent)
-    order = by.orderBy((F.col("cap") / F.col("weight")), name)
+    # cap / weight in order, exactly: whole part, then the rest to 19 places
+    long = "decimal(19,0)"
+    order = by.orderBy(F.expr("cap div weight"), F.expr(f"cast(cap % weight as {long}) / cast(weight as {long})"), name)
     ahead = order.rowsBetween(Window.unboundedPreceding, -1)
     n = nodes.where("weight > 0")
     n = n.withColumn("_caps", F.coalesce(F.sum("cap").over(ahead), F.lit(0))).withColumn("_weights", F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(ahead), F.lit(0)))
@@ -177,7 +179,7 @@ def mixing_sql(weights: dict[tuple[str, ...], int], domain_sql: str, max_epochs:
         return f"CASE {' '.join(cases)} ELSE 1 END" if cases else "1"
 
     def fill(name: str, nodes: str, parent: str, child: str, keys: str) -> str:
-        order = f"PARTITION BY {parent} ORDER BY cap / weight, {child}"
+        order = f"PARTITION BY {parent} ORDER BY cap // weight, (cap % weight) / weight, {child}"
         before = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
         return f"""
 {name}_a AS (SELECT *, greatest(given - coalesce(sum(cap) OVER ({before}), 0), 0)::HUGEINT AS l,

@@ -128,7 +128,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     found = stored(features(only(docs, *dict.fromkeys([id_col, text_col, stratum_col])), id_col, text_col, F.col(stratum_col)), "quality")
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("q")).where("q = 1").select("_id")
-    cuts = thresholds(found.join(marks, "_id", "left_semi"), risk, level)
+    cuts = stored(thresholds(found.join(marks, "_id", "left_semi"), risk, level), "cuts")  # one row a stratum
     failed = F.filter(F.array(*[F.when(F.col(a) * 1000 > F.col(b) * F.col(f"cut_{r}"), F.lit(r)) for r, (a, b) in RULES.items()]), lambda x: x.isNotNull())
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     out = found.join(cuts, "_stratum", "left").withColumn("failed_rules", F.array_join(failed, ",")).withColumn("base_failed", base)

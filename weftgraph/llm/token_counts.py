@@ -13,6 +13,7 @@ together with unknowns next to it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,26 +58,29 @@ class Counter:
         self._auto.make_automaton()
         self._unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self._bytes = byte_fallback
+        self._reach = max((len(p) for p, _ in pieces), default=1) + 1
 
-    def count(self, word: str) -> tuple[float, int]:
-        """(score, pieces) of the marked word."""
+    def count(self, word: str, keep: int = 1 << 16) -> tuple[float, int]:
+        """(score, pieces) of the marked word; of a long one no more than about ``keep`` ends are held."""
         text = word if word.startswith(MARK) else MARK + word
-        n = len(text)
-        best, pieces = [-np.inf] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        after_unknown = [False] * (n + 1)
+        # best[i], pieces[i]: of the text up to base + i; unknown[i]: whether it ends in an unknown
+        best, pieces, unknown, base = [0.0], [0], [False], 0
 
         def settle(end: int, top: float, number: int, single: bool) -> None:
+            nonlocal base
+            odd = False
             if not single:
-                value = best[end - 1] + self._unknown
+                value = best[-1] + self._unknown
                 if value > top:
-                    if self._bytes:
-                        number = pieces[end - 1] + len(text[end - 1].encode("utf-8"))
-                    else:
-                        number = pieces[end - 1] + (not after_unknown[end - 1])
-                    top = value
-                    after_unknown[end] = True
-            best[end], pieces[end] = top, number
+                    top, odd = value, True
+                    number = pieces[-1] + (len(text[end - 1].encode("utf-8")) if self._bytes else not unknown[-1])
+            best.append(top)
+            pieces.append(number)
+            unknown.append(odd and not self._bytes)
+            if len(best) > keep + self._reach:
+                for held in (best, pieces, unknown):
+                    del held[:keep]
+                base += keep
 
         top, number, single, at = -np.inf, 0, False, 1
         for last, (length, score) in self._auto.iter(text):  # by end, of one end the longest first
@@ -84,17 +88,18 @@ class Counter:
             while at < end:
                 settle(at, top, number, single)
                 top, number, single, at = -np.inf, 0, False, at + 1
-            value = best[end - length] + score
+            start = end - length - base
+            value = best[start] + score
             if value > top:
-                top, number = value, pieces[end - length] + 1
+                top, number = value, pieces[start] + 1
             single = single or length == 1
-        while at <= n:
+        while at <= len(text):
             settle(at, top, number, single)
             top, number, single, at = -np.inf, 0, False, at + 1
-        return best[n], pieces[n]
+        return best[-1], pieces[-1]
 
 
-_workers: dict[int, tuple[Counter, dict[int, tuple[int, float]]]] = {}
+_workers: dict[str, tuple[Counter, dict[int, tuple[int, float]]]] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool | None = None) -> DataFrame:
@@ -110,7 +115,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     shipped = docs.sparkSession.sparkContext.broadcast((pieces, fallback))
     own = only(docs, id_col, text_col).select(F.col(id_col), text_of(text_col).alias("_text"))
     kind = own.schema[0].dataType.simpleString()
-    token = hash((vocabulary_path, fallback, len(pieces)))
+    token = hashlib.sha256(repr((pieces, fallback)).encode()).hexdigest()  # what a worker knows is of these pieces only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a worker keeps what it knows about words from one task to the next
