@@ -33,7 +33,7 @@ from weftgraph.llm.wordhash import shingle_sets
 from weftgraph.operators.components import connected_components
 
 #: Members that one block of a bucket should hold, and partners that the first pass takes for each.
-BLOCK, PARTNERS = 1024, 3
+BLOCK, PARTNERS = 512, 3
 #: The bitmap that singles out the texts whose sets are needed has 2 ** FILTER bits: 4 MB.
 FILTER = 25
 #: Chance that one byte of two different minima is equal.
@@ -244,9 +244,10 @@ def _sets(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
 
-def _part(id_: str | Column, n: Column) -> Column:
-    """A block number for a member of a bucket that is dealt into n blocks."""
-    return F.pmod(F.xxhash64(id_, F.lit(7)), n).cast("int")
+def _part(n: Column) -> Column:
+    """A block number for a member of a bucket that is dealt into n blocks; each bucket deals anew, so
+    members of a group that are apart in one are together in another."""
+    return F.pmod(F.xxhash64("id", "key"), n).cast("int")
 
 
 def minhash_components(
@@ -307,7 +308,7 @@ def minhash_components(
     def dealt(df: DataFrame, by: list[str]) -> DataFrame:
         return df.repartition(tasks, *by).sortWithinPartitions(*by)
 
-    parted = members.select("key", "id", "n", "sig", _part("id", blocks).alias("_part"))
+    parted = members.select("key", "id", "n", "sig", _part(blocks).alias("_part"))
     first = stored(dealt(parted, ["key", "_part"]).mapInArrow(best, _FOUND).distinct(), "pairs")
     pairs = first.where("full_key is null").select("a", "b")
     links = stored(near_links(pairs, sets, num, den), "links")
@@ -326,8 +327,8 @@ def minhash_components(
     minor = F.col("comp") != F.col("main")
     spread = lambda n: F.sequence(F.lit(0), n - 1)
     cols = ["key", "id", "n", "sig", "comp", "short"]
-    left = rest.where(minor).select(*cols, _part("id", few_blocks).alias("_i"), F.explode(spread(blocks)).alias("_j"), F.lit(1).alias("_left"))
-    right = rest.select(*cols, F.explode(spread(few_blocks)).alias("_i"), _part("id", blocks).alias("_j"), F.lit(0).alias("_left"))
+    left = rest.where(minor).select(*cols, _part(few_blocks).alias("_i"), F.explode(spread(blocks)).alias("_j"), F.lit(1).alias("_left"))
+    right = rest.select(*cols, F.explode(spread(few_blocks)).alias("_i"), _part(blocks).alias("_j"), F.lit(0).alias("_left"))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, ["key", "_i", "_j"]):
