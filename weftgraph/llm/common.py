@@ -36,7 +36,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch at most, but for a single longer text.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
