@@ -349,3 +349,13 @@ def test_hot_rows_are_filtered_alike(spark):
         assert got(matrix.low_filter(m, "row", norm, 0.4)) == sorted(want)
     top = [x for r in {x[0] for x in rows} for i, x in enumerate(sorted((x for x in rows if x[0] == r), key=lambda x: (-x[2], x[1]))) if i < 3 or x[2] >= 47]
     assert got(matrix.top_k_plus(m, "row", 3, 47.0)) == sorted(top)
+
+
+def test_what_is_stored_is_released(spark):
+    from weftgraph.storage import released, stored
+
+    with released(spark) as keep:
+        gone, stays = stored(spark.range(5), "gone"), keep(stored(spark.range(5).where("id > 9"), "stays"))
+    assert stays.count() == 0 and spark.read.parquet(stays._weft_path).columns == ["id"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(gone._weft_path)

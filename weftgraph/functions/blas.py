@@ -54,6 +54,16 @@ def lower_bound(a: Column | str, value: Column) -> Column:
     return F.size(F.filter(a, lambda x: x < value))
 
 
+def upper_bound(a: Column | str, value: Column) -> Column:
+    """How many elements of a sorted array are not above ``value``."""
+    return F.size(F.filter(a, lambda x: x <= value))
+
+
+def place_of(a: Column | str, value: Column) -> Column:
+    """The 0-based place of ``value`` in a sorted array, -1 if it is not there."""
+    return (F.array_position(a, value) - 1).cast("int")
+
+
 def top_k(df: DataFrame, k: int, key: str, largest: bool = True, per: list[str] | None = None, tie: str | None = None) -> DataFrame:
     """The k rows of the largest (smallest) keys, of all or of each group."""
     order = [F.col(key).desc() if largest else F.col(key).asc(), *([F.col(tie)] if tie else [])]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.ordering import running_sum
+from weftgraph.operators.ordering import running_sum, running_sums
 
 
 def _positive():
@@ -34,8 +34,7 @@ def roc_n(ranked: DataFrame, max_n: int | None = None, compat: bool = False) ->
     that passes max_n ends the area.
     """
     steps = ranked.groupBy("score").agg(F.sum(_positive()).alias("tp"), F.sum(1 - _positive()).alias("fp"))
-    run = running_sum(steps, F.col("tp"), F.col("score").desc(), name="_t")
-    run = running_sum(run, F.col("fp"), F.col("score").desc(), name="_f")
+    run = running_sums(steps, {"_t": F.col("tp"), "_f": F.col("fp")}, F.col("score").desc())
     run = run if max_n is None else run.where(F.col("_f") - F.col("fp") < max_n)
     twice = F.col("fp") * (2 * F.col("_t") - F.col("tp"))
     area = F.sum(F.expr("(fp * (2 * _t - tp)) div 2")) if compat else F.sum(twice / 2)
@@ -47,8 +46,7 @@ def roc_n(ranked: DataFrame, max_n: int | None = None, compat: bool = False) ->
 def median_rfp(ranked: DataFrame, key: str = "key") -> DataFrame:
     """(rfp): the rate of false positives where half of the positives, rounded up, have been seen."""
     totals = ranked.agg(F.sum(_positive()).alias("p"), F.sum(1 - _positive()).alias("n"))
-    run = running_sum(ranked, _positive(), F.col("score").desc(), key, name="_t")
-    run = running_sum(run, 1 - _positive(), F.col("score").desc(), key, name="_f")
+    run = running_sums(ranked, {"_t": _positive(), "_f": 1 - _positive()}, F.col("score").desc(), key)
     half = run.crossJoin(F.broadcast(totals)).where(F.col("_t") >= F.floor((F.col("p") + 1) / 2))
     return half.agg(F.round(F.min("_f") / F.max("n"), 6).alias("rfp"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.storage import stored
+from weftgraph.storage import discard, stored
 
 
 def frequent_itemsets(tx: DataFrame, min_freq: int, max_freq: int = -1, min_len: int = 1, max_len: int = -1, with_tids: bool = False) -> DataFrame:
@@ -15,7 +15,8 @@ def frequent_itemsets(tx: DataFrame, min_freq: int, max_freq: int = -1, min_len:
 
     ``tx`` is (tid, item); a repeated item of a transaction counts once.  Items with support above
     ``max_freq`` take no part; -1 is no bound.  Each level extends the transactions' frequent prefixes by
-    later frequent items, so a level's rows are its occurrences, and what isn't frequent goes at once.
+    later frequent items, and keeps what is frequent without its first item, so a level's rows are
+    occurrences of candidates, and what isn't frequent goes at once.
     """
     rows = tx.where("tid is not null and item is not null").select("tid", "item").distinct()
     counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_freq)
@@ -32,8 +33,12 @@ def frequent_itemsets(tx: DataFrame, min_freq: int, max_freq: int = -1, min_len:
         if k == max_len:
             break
         good = level.join(sets.select("items"), "items", "left_semi")
-        nxt = good.join(rows, "tid").where(F.col("item") > F.element_at("items", -1))
-        level = stored(nxt.select("tid", F.concat("items", F.array("item")).alias("items")), "level")
+        nxt = good.join(rows, "tid").where(F.col("item") > F.element_at("items", -1)).select("tid", F.concat("items", F.array("item")).alias("items"))
+        if k > 1:  # what is behind the first item must be frequent too
+            nxt = nxt.withColumn("_tail", F.slice("items", 2, k)).join(sets.select(F.col("items").alias("_tail")), "_tail", "left_semi").select("tid", "items")
+        before, level = level, stored(nxt, "level")
+        if k > 1:
+            discard(before)
         k += 1
     if not found:
         return tx.sparkSession.createDataFrame([], sets.schema)

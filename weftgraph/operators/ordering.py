@@ -19,9 +19,9 @@ def _sorted(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def _offsets(parts: DataFrame, value: str) -> DataFrame:
-    """(_part, _before): the sum of ``value`` over earlier partitions; a row for each partition."""
+    """(_part, _first, _before): the sum of ``value`` over earlier partitions; a row for each partition."""
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(parts.select("_part", F.coalesce(F.sum(value).over(ahead), F.lit(0)).alias("_before")))
+    return F.broadcast(parts.select("_part", "_first", F.coalesce(F.sum(value).over(ahead), F.lit(0)).alias("_before")))
 
 
 def with_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
@@ -29,19 +29,25 @@ def with_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFr
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     rows = _sorted(df, cols)
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    table = _offsets(sizes, "_n").join(F.broadcast(sizes.select("_part", "_first")), "_part")
-    return rows.join(F.broadcast(table), "_part").select(*df.columns, (F.col("_mono") - F.col("_first") + F.col("_before")).cast("long").alias(name))
+    return rows.join(_offsets(sizes, "_n"), "_part").select(*df.columns, (F.col("_mono") - F.col("_first") + F.col("_before")).cast("long").alias(name))
 
 
-def running_sum(df: DataFrame, value: Column, *order: Column | str, name: str = "running", inclusive: bool = True) -> DataFrame:
-    """``df`` with the running sum of ``value`` in the given order (W1, W2; ``inclusive=False``: W3)."""
+def running_sums(df: DataFrame, values: dict[str, Column], *order: Column | str) -> DataFrame:
+    """``df`` with a running sum for each name of ``values``, in one order, for which rows are sorted once."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    rows = _sorted(df.withColumn("_value", value), cols)
-    sums = rows.groupBy("_part").agg(F.sum("_value").alias("_n"))
+    rows = _sorted(df.withColumns({f"_value_{i}": v for i, v in enumerate(values.values())}), cols)
+    sums = rows.groupBy("_part").agg(*[F.sum(f"_value_{i}").alias(f"_n{i}") for i in range(len(values))])  # one row a partition
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_part", *[F.coalesce(F.sum(f"_n{i}").over(ahead), F.lit(0)).alias(f"_before_{i}") for i in range(len(values))])
     upto = Window.partitionBy("_part").orderBy("_mono").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_value").over(upto) + F.col("_before")
-    out = rows.join(_offsets(sums, "_n"), "_part").withColumn("_total", total)
-    return out.select(*df.columns, (F.col("_total") if inclusive else F.col("_total") - F.col("_value")).alias(name))
+    out = rows.withColumns({f"_run_{i}": F.sum(f"_value_{i}").over(upto) for i in range(len(values))}).join(F.broadcast(before), "_part")
+    return out.select(*df.columns, *[(F.col(f"_run_{i}") + F.col(f"_before_{i}")).alias(n) for i, n in enumerate(values)])
+
+
+def running_sum(df: DataFrame, value: Column, *order: Column | str, name: str = "running", inclusive: bool = True) -> DataFrame:
+    """``df`` with the running sum of ``value`` in the given order (W1, W2; ``inclusive=False``: W3)."""
+    out = running_sums(df, {"_total": value}, *order)
+    return out.select(*df.columns, (F.col("_total") if inclusive else F.col("_total") - value).alias(name))
 
 
 def grouped_running_sum(df: DataFrame, value: Column, keys: list[str], *order: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.edges import oriented
+from weftgraph.storage import stored
 
 PLANS = ("adjacency", "wedge", "hash", "bitmap")
 
@@ -37,9 +38,10 @@ def triangles(directed: DataFrame, hint: str | None = None) -> DataFrame:
 def intersections(directed: DataFrame) -> DataFrame:
     """(s, t, common): targets that both ends of an edge have, as arrays.
 
-    With targets in order, those of s that t can share lie after t, so only that part travels.
+    With targets in order, those of s that t can share lie after t, so only that part travels.  Lists are
+    stored: they are made once, and where their size allows Spark broadcasts them instead.
     """
-    lists = out_lists(directed)
+    lists = stored(out_lists(directed), "lists")
     left = lists.select("s", "nbrs", F.posexplode("nbrs").alias("at", "t"))
     left = left.where(F.col("at") < F.size("nbrs") - 1).select("s", "t", F.slice("nbrs", F.col("at") + 2, F.size("nbrs")).alias("rest"))
     right = lists.select(F.col("s").alias("t"), F.col("nbrs").alias("theirs"))

@@ -276,6 +276,13 @@ _add("top_k_largest", lambda s, d: blas.top_k(fx.table(s, d, "orders").select("o
 _add("top_k_smallest_per_group", lambda s, d: blas.top_k(fx.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), 2, "o_totalprice", False, ["o_custkey"], "o_orderkey"), "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS n FROM orders) WHERE n <= 2")
 _add("sort_keys", lambda s, d: ordering.with_rank(fx.table(s, d, "customer").select("c_name", "c_custkey"), F.col("c_name").desc(), "c_custkey", name="place"), "SELECT c_name, c_custkey, row_number() OVER (ORDER BY c_name DESC, c_custkey) - 1 AS place FROM customer")
 
+_add(
+    "sorted_search",
+    lambda s, d: edges.adjacency(fx.parts(s, d)).select("id", blas.lower_bound("nbrs", F.col("id") + 7).alias("low"), blas.upper_bound("nbrs", F.col("id") + 7).alias("high"), blas.place_of("nbrs", F.col("id") + 7).alias("at")),
+    f"WITH {fx.E}, {fx.BOTH}, a AS (SELECT src AS id, list(dst ORDER BY dst) AS l FROM b GROUP BY src) SELECT id, len(list_filter(l, lambda x: x < id + 7))::INT AS low, len(list_filter(l, lambda x: x <= id + 7))::INT AS high, (coalesce(list_position(l, id + 7), 0) - 1)::INT AS at FROM a",
+)
+_add("incset", lambda s, d: fx.table(s, d, "part").select("p_partkey", blas.incset(F.col("p_size") - 2, 5).alias("x")), "SELECT p_partkey, range(5, 5 + greatest(p_size - 2, 0))::INT[] AS x FROM part")
+
 
 def _sets(s: SparkSession, d: str) -> DataFrame:
     line = fx.table(s, d, "lineitem").select((F.col("l_suppkey") % 128).alias("m"), (F.col("l_partkey") % 50).alias("k"), "l_returnflag")

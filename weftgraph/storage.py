@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: dict[str, str] = {}
+#: Paths handed out and not yet released, in order.
+_open: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    _open.append(path)
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     return path
@@ -55,12 +60,35 @@ def stored(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame
     spark = df.sparkSession
     path = new_path(spark, name)
     (df if like is None else df.hint("rebalance")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At its end deletes what was stored inside, but for the stored tables that the function it gives was called with.
+
+    Only for work that is done at the end: a result that still reads a deleted table is lost.
+    """
+    before, kept = len(_open), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._weft_path)
+        return df
+
+    yield keep
+    for path in [p for p in _open[before:] if p not in kept]:
+        _delete(spark, path)
+        _open.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a ``stored`` table that nothing will read again."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+        _delete(df.sparkSession, path)

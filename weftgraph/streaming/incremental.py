@@ -49,7 +49,12 @@ class GraphState:
         both = every.select(F.col("u").alias("a"), F.col("v").alias("b"), "new").unionByName(every.select(F.col("v").alias("a"), F.col("u").alias("b"), "new"))
         first = both.select(F.col("a").alias("u"), F.col("b").alias("x"), F.col("new").alias("n1"))
         second = both.select(F.col("a").alias("v"), F.col("b").alias("x"), F.col("new").alias("n2"))
-        met = new.join(first, "u").join(second, ["v", "x"])
+        # from the end of fewer neighbours, so a hub's list is walked only for edges between hubs
+        deg = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+        ends = new.join(deg.toDF("u", "du"), "u").join(deg.toDF("v", "dv"), "v")
+        low = F.struct("du", "u") < F.struct("dv", "v")
+        ends = ends.select(F.when(low, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("v"))
+        met = ends.join(first, "u").join(second, ["v", "x"])
         # seen once from each of its new edges
         found = met.agg(F.coalesce(F.sum(F.lit(1.0) / (1 + F.col("n1") + F.col("n2"))), F.lit(0.0)).alias("t"))
         found.select(F.round("t").cast("long").alias("triangles"), F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{self.path}/triangles/batch={batch_id}")
