@@ -20,6 +20,7 @@ from weftgraph.llm.mixing import drop_unmixed
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.queries import WEIGHTS, domain_of, tokenizer_file
 from weftgraph.operators.ordering import with_rank
+from weftgraph.storage import discard, released
 
 #: Of the tokens that reach the mixing stage, three in four are taken, each at most once.
 MIX = {"max_epochs": 1, "numerator": 3, "denominator": 4, "seed": 11}
@@ -98,8 +99,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order, on ``documents``."""
-    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, in order, on ``documents``.  What a stage has stored goes when its result is written, and
+    that when the next stage's is."""
+    docs, last = ready(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with released(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
