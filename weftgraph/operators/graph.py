@@ -26,6 +26,7 @@ def pagerank(edges: DataFrame, follow: float = 0.85, eps: float = 1e-9, max_iter
     number of rounds and no sinks a round reads the one before once, and every ``chain`` of them are.
     """
     spark = edges.sparkSession
+    edges = stored(edges.select("src", "dst", "w"), "edges")
     vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     if restart is None:
         restart = vertices.crossJoin(F.broadcast(vertices.agg(F.count(F.lit(1)).alias("n")))).select("id", (1 / F.col("n")).alias("r"))
@@ -175,7 +176,7 @@ def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 10_000) -> D
             dist, fronts = whole, []
     else:
         raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
-    vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    vertices = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return vertices.join(best(), "id", "left").select("id", F.coalesce("dist", F.lit(-1)).alias("dist"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.ordering import grouped_running_sum, with_rank
+from weftgraph.storage import stored
 
 
 def _axis(what: str) -> tuple[str, str]:
@@ -145,6 +146,7 @@ def scale(m: DataFrame, kind: str, n_rows: int | None = None) -> DataFrame:
     if kind == "log":
         return m.select("row", "col", F.when(v != 0, 1 + F.signum(v) * F.log2(F.abs(v))).otherwise(v).alias("val"))
     if kind in ("idf", "idf2"):
+        m = stored(m.select("row", "col", "val"), "entries")  # read three times
         df = m.groupBy("col").agg(F.count(F.lit(1)).alias("_df"))
         rows = df.agg(F.sum("_df").alias("_nnz"), F.count(F.lit(1)).alias("_cols"))
         seen = m.select("row").distinct().agg(F.count(F.lit(1)).alias("_rows")) if n_rows is None else None

@@ -12,6 +12,7 @@ from weftgraph.operators import components, edges, graph, matrix, metrics, minin
 from weftgraph.plans import fixtures as fx
 from weftgraph.plans import source_queries
 from weftgraph.session import reach
+from weftgraph.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -191,16 +192,18 @@ def _spread_sql(starts: str, b: str = "b") -> str:
     return f"bfs(id, level) USING KEY (id) AS ({starts} UNION SELECT DISTINCT {b}.dst, bfs.level + 1 FROM bfs JOIN {b} ON {b}.src = bfs.id WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs o WHERE o.id = {b}.dst))"
 
 
-def _end(g: DataFrame, what) -> int:
-    return int(g.agg(what).first()[0])
+def _from(g: DataFrame, f: Callable[[DataFrame, int], DataFrame], what, two_ways: bool = True) -> DataFrame:
+    """``f`` of a graph, made once, and of one of its ids."""
+    g = stored(g, "graph")
+    return f(edges.both_directions(g) if two_ways else g, int(g.agg(what).first()[0]))
 
 
 for _name, _graph, _e in (("", fx.parts, fx.E), ("_strong", fx.strong, fx.STRONG)):
     _add(f"components{_name}", lambda s, d, g=_graph: components.connected_components(g(s, d), "u", "v"), f"WITH RECURSIVE {_e}, {fx.BOTH}, {_CC} SELECT id, component FROM cc")
-    _add(f"bfs_levels{_name}", lambda s, d, g=_graph: graph.bfs_levels(edges.both_directions(g(s, d)), _end(g(s, d), F.min("u"))), f"WITH RECURSIVE {_e}, {fx.BOTH}, {_spread_sql('SELECT min(src), 0 FROM b')} SELECT id, level FROM bfs")
+    _add(f"bfs_levels{_name}", lambda s, d, g=_graph: _from(g(s, d), graph.bfs_levels, F.min("u")), f"WITH RECURSIVE {_e}, {fx.BOTH}, {_spread_sql('SELECT min(src), 0 FROM b')} SELECT id, level FROM bfs")
     _add(
         f"bfs_order{_name}",
-        lambda s, d, g=_graph: graph.bfs_order(edges.both_directions(g(s, d)), _end(g(s, d), F.max("v"))),
+        lambda s, d, g=_graph: _from(g(s, d), graph.bfs_order, F.max("v")),
         f"WITH RECURSIVE {_e}, {fx.BOTH}, {_CC}, h AS (SELECT max(src) AS s FROM b), home AS (SELECT component AS hc FROM cc, h WHERE id = s), "
         f"{_spread_sql('SELECT s, 0 FROM h UNION ALL SELECT id, 0 FROM cc, home WHERE id = component AND component <> hc')} "
         "SELECT id, component, level, row_number() OVER (ORDER BY component <> hc, component, level, id) - 1 AS place FROM bfs JOIN cc USING (id), home",
@@ -214,25 +217,39 @@ for _name, _graph, _e in (("", fx.parts, fx.E), ("_strong", fx.strong, fx.STRONG
         f"SELECT id, row_number() OVER (ORDER BY g, k, component, level, id) - 1 AS place FROM (SELECT id, 0 AS g, -degree AS k, 0 AS component, 0 AS level FROM deg WHERE degree >= {_least} UNION ALL SELECT id, 1, 0, component, level FROM bfs JOIN cc USING (id))",
     )
 for _kind in range(1, 7):
-    _add(f"best_first_order_{_kind}", lambda s, d, k=_kind: graph.best_first_order(edges.both_directions(fx.strong(s, d)), _end(fx.strong(s, d), F.min("u")), k))
-_add("best_first_order_3_matrix", lambda s, d: graph.best_first_order(edges.both_directions(fx.strong(s, d)), _end(fx.strong(s, d), F.min("u")), 3, matrix=True))
-_add("sssp", lambda s, d: graph.shortest_paths(fx.weighted(s, d), _end(fx.weighted(s, d), F.min("src"))), f"WITH RECURSIVE {fx.WEIGHTED}, sp(id, dist) USING KEY (id) AS (SELECT min(src), 0::DOUBLE FROM wt WHERE src < dst UNION SELECT wt.dst, min(sp.dist + wt.w) FROM sp JOIN wt ON wt.src = sp.id LEFT JOIN recurring.sp o ON o.id = wt.dst WHERE o.id IS NULL OR sp.dist + wt.w < o.dist GROUP BY wt.dst) SELECT v.id, coalesce(dist, -1) AS dist FROM (SELECT DISTINCT src AS id FROM wt) v LEFT JOIN sp ON sp.id = v.id")
+    _add(f"best_first_order_{_kind}", lambda s, d, k=_kind: _from(fx.strong(s, d), lambda e, v: graph.best_first_order(e, v, k), F.min("u")))
+_add("best_first_order_3_matrix", lambda s, d: _from(fx.strong(s, d), lambda e, v: graph.best_first_order(e, v, 3, matrix=True), F.min("u")))
+_add("sssp", lambda s, d: _from(fx.weighted(s, d), graph.shortest_paths, F.min("src"), False), f"WITH RECURSIVE {fx.WEIGHTED}, sp(id, dist) USING KEY (id) AS (SELECT min(src), 0::DOUBLE FROM wt WHERE src < dst UNION SELECT wt.dst, min(sp.dist + wt.w) FROM sp JOIN wt ON wt.src = sp.id LEFT JOIN recurring.sp o ON o.id = wt.dst WHERE o.id IS NULL OR sp.dist + wt.w < o.dist GROUP BY wt.dst) SELECT v.id, coalesce(dist, -1) AS dist FROM (SELECT DISTINCT src AS id FROM wt) v LEFT JOIN sp ON sp.id = v.id")
 
 
 def _pr_sql(restart: str, more: str = "SELECT id, round(pr, 6) AS pr FROM k WHERE i = 10") -> str:
     return f"WITH RECURSIVE {fx.WEIGHTED}, n AS (SELECT DISTINCT src AS id FROM wt), r AS ({restart}), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM wt), k(i, id, pr) AS (SELECT 0, id, r FROM r UNION ALL SELECT i, id, pr FROM (SELECT k.i + 1 AS i, p.dst AS id, 0.85::DOUBLE * sum(k.pr * p.p) + 0.15::DOUBLE * any_value(r.r) AS pr FROM k JOIN p ON p.src = k.id JOIN r ON r.id = p.dst WHERE k.i < 10 GROUP BY k.i, p.dst)) {more}"
 
 
-def _ranks(s: SparkSession, d: str, restart: DataFrame | None = None) -> DataFrame:
-    return graph.pagerank(fx.weighted(s, d), max_iter=10, fixed=True, restart=restart)[0]
+def _ranks(g: DataFrame, restart: DataFrame | None = None) -> DataFrame:
+    return graph.pagerank(g, max_iter=10, fixed=True, restart=restart)[0]
+
+
+def _one(g: DataFrame, v: int) -> DataFrame:
+    return _ranks(g, g.sparkSession.range(1).select(F.lit(v).cast("long").alias("id"), F.lit(1.0).alias("r")))
+
+
+def _drawn(s: SparkSession, d: str) -> DataFrame:
+    g = stored(fx.weighted(s, d), "graph")
+    return _ranks(g, graph.random_restarts(g.select(F.col("src").alias("id")).distinct(), 2, 7)[1])
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    g = stored(fx.weighted(s, d), "graph")
+    return graph.pagerank_report(g, _ranks(g))
 
 
 _UNIFORM = "SELECT id, 1::DOUBLE / (SELECT count(*) FROM n) AS r FROM n"
-_add("pagerank", lambda s, d: _r(_ranks(s, d), "pr"), _pr_sql(_UNIFORM))
-_add("pagerank_personalised", lambda s, d: _r(_ranks(s, d, s.range(1).select(F.lit(_end(fx.weighted(s, d), F.min("src"))).cast("long").alias("id"), F.lit(1.0).alias("r"))), "pr"), _pr_sql("SELECT id, (id = (SELECT min(src) FROM wt))::INT::DOUBLE AS r FROM n"))
+_add("pagerank", lambda s, d: _r(_ranks(fx.weighted(s, d)), "pr"), _pr_sql(_UNIFORM))
+_add("pagerank_personalised", lambda s, d: _r(_from(fx.weighted(s, d), _one, F.min("src"), False), "pr"), _pr_sql("SELECT id, (id = (SELECT min(src) FROM wt))::INT::DOUBLE AS r FROM n"))
 _add(
     "pagerank_random_restart",
-    lambda s, d: _r(_ranks(s, d, graph.random_restarts(fx.weighted(s, d).select(F.col("src").alias("id")).distinct(), 2, 7)[1]), "pr"),
+    lambda s, d: _r(_drawn(s, d), "pr"),
     _pr_sql("SELECT id, x / sum(x) OVER () AS r FROM (SELECT id, ('0x' || substr(md5('8:' || id), 1, 8))::BIGINT + 1::DOUBLE AS x FROM n)"),
 )
 
@@ -246,7 +263,7 @@ _add("bandwidth_compactness", lambda s, d: graph.compactness(fx.parts_both(s, d)
 _add("centroid_reorder", lambda s, d: graph.centroid_reorder(fx.parts_both(s, d), _perm(s, d)), f"WITH {_PERM}, z AS (SELECT src AS id, avg(y.place) AS m FROM b JOIN p y ON y.id = dst GROUP BY src) SELECT id, row_number() OVER (ORDER BY round(place + 0.5::DOUBLE * (m - place), 9), id) - 1 AS place FROM p JOIN z USING (id)")
 _add(
     "pagerank_report",
-    lambda s, d: graph.pagerank_report(fx.weighted(s, d), _ranks(s, d)).select("id", F.round("pr", 6).alias("pr"), "degree", F.round("max_diff", 6).alias("max_diff")),
+    lambda s, d: _report(s, d).select("id", F.round("pr", 6).alias("pr"), "degree", F.round("max_diff", 6).alias("max_diff")),
     _pr_sql(_UNIFORM, "SELECT a.id, round(a.pr, 6) AS pr, count(*) AS degree, round(max(round(abs(a.pr - o.pr), 9)), 6) AS max_diff FROM k a JOIN wt ON wt.src = a.id JOIN k o ON o.id = wt.dst WHERE a.i = 10 AND o.i = 10 GROUP BY a.id, a.pr"),
 )
 
