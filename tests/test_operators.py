@@ -359,3 +359,11 @@ def test_what_is_stored_is_released(spark):
     assert stays.count() == 0 and spark.read.parquet(stays._weft_path).columns == ["id"]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(gone._weft_path)
+
+
+def test_hub_lists_in_parts(spark):
+    star = spark.range(1, 500).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    rows = edges.adjacency(star, chunk=50).collect()
+    hub = [r["nbrs"] for r in rows if r["id"] == 0]
+    assert len(hub) == 10 and max(map(len, hub)) < 90 and sorted(x for n in hub for x in n) == list(range(1, 500))
+    assert all(n == sorted(n) for n in hub) and len(rows) == 10 + 499

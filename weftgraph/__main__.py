@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import components, edges, graph, matrix, mining, similarity, triangles
 from weftgraph.session import get_spark, reach
-from weftgraph.sources import matrix_files, records, text_files
+from weftgraph.sources import matrix_files, records, results, text_files
 
 
 def _graph(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -42,7 +42,7 @@ def fis(spark: SparkSession, a: argparse.Namespace) -> None:
     m = matrix_files.read_cluto(spark, a.file)
     tx = m.select(F.col("row").alias("tid"), F.col("col").alias("item"))
     sets = mining.frequent_itemsets(tx, a.minfreq, a.maxfreq, a.minlen, a.maxlen)
-    sets.select(F.concat_ws(" ", "support", F.array_join(F.transform("items", lambda x: x.cast("string")), " ")).alias("value")).write.text(a.output)
+    results.itemset_lines(sets).write.text(a.output)
 
 
 def pagerank(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -50,7 +50,7 @@ def pagerank(spark: SparkSession, a: argparse.Namespace) -> None:
     restart = spark.range(1).select(F.lit(a.source - 1).cast("long").alias("id"), F.lit(1.0).alias("r")) if a.source else None
     pr, rounds = graph.pagerank(m, a.follow, a.eps, a.rounds, restart)
     print(f"{rounds} rounds", file=sys.stderr)
-    text_files.write_lines(pr.select("id", F.format_string("%d %.4e", "id", "pr").alias("value")), a.output, line="id")
+    text_files.write_lines(results.rank_lines(pr), a.output, line="id")
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -74,7 +74,7 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
 def neighbours(spark: SparkSession, a: argparse.Namespace) -> None:
     q, c = (matrix_files.read_csr(spark, p) for p in (a.queries, a.file))
     found = similarity.neighbours(q, c, a.kind, a.k, a.least)
-    found.select(F.format_string("%8d %8d %.3f", "query", "row", "sim").alias("value")).write.text(a.output)
+    results.neighbour_lines(found).write.text(a.output)
 
 
 def connected(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -66,9 +66,18 @@ def both_directions(graph: DataFrame) -> DataFrame:
     return graph.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(graph.select(F.col("v").alias("src"), F.col("u").alias("dst")))
 
 
-def adjacency(graph: DataFrame) -> DataFrame:
-    """(id, nbrs): sorted neighbours (G1, P22).  A row holds one vertex's neighbours."""
-    return both_directions(graph).groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+def adjacency(graph: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(id, nbrs): sorted neighbours (G1, P22).  A row holds one vertex's neighbours.
+
+    With ``chunk``, (id, part, nbrs): those of a vertex of more than ``chunk`` neighbours are dealt by hash
+    into parts of about as many, so no row and no task grows with a hub.
+    """
+    both = both_directions(graph)
+    if chunk is None:
+        return both.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+    dealt = both.join(degrees(graph).withColumnRenamed("id", "src"), "src")
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / F.lit(chunk))).cast("int")
+    return dealt.groupBy(F.col("src").alias("id"), part.alias("part")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
 
 
 def csr_offsets(deg: DataFrame) -> DataFrame:

@@ -111,10 +111,10 @@ def compare_neighbourhoods(a: DataFrame, b: DataFrame, k: int | None = None, lea
     """
 
     def mean(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
-        common = x.select(F.col("row").alias("query")).distinct().intersect(y.select(F.col("row").alias("query")))
+        common = stored(x.select(F.col("row").alias("query")).distinct().intersect(y.select(F.col("row").alias("query"))), "common")
 
         def scores(m: DataFrame, name: str) -> DataFrame:
-            unit = normalise(m)
+            unit = stored(normalise(m), "unit")
             asked = unit.join(common, unit["row"] == common["query"], "left_semi")
             return neighbours(asked, unit, "dotp", k, least).withColumnRenamed("sim", name)
 
@@ -123,4 +123,5 @@ def compare_neighbourhoods(a: DataFrame, b: DataFrame, k: int | None = None, lea
         cos = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("_p") * F.col("_q"))), F.lit(0.0))
         return common.join(sums, "query", "left").agg(F.round(F.avg(cos), 6).alias("mean")).select(F.lit(side).alias("side"), "mean")
 
+    a, b = stored(a.select("row", "col", "val"), "entries"), stored(b.select("row", "col", "val"), "entries")
     return mean(a, b, "rows").unionByName(mean(transpose(a), transpose(b), "cols"))

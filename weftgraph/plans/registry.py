@@ -12,6 +12,7 @@ from weftgraph.operators import components, edges, graph, matrix, metrics, minin
 from weftgraph.plans import fixtures as fx
 from weftgraph.plans import source_queries
 from weftgraph.session import reach
+from weftgraph.sources import results
 from weftgraph.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,6 +328,12 @@ _add("random_permutation", lambda s, d: ordering.with_rank(fx.table(s, d, "custo
 _add("random_in_range", lambda s, d: fx.table(s, d, "customer").select("c_custkey", scalars.random_in_range(100, 5, "c_custkey").alias("x")), "SELECT c_custkey, ('0x' || substr(md5('5:' || c_custkey), 1, 12))::BIGINT % 100 AS x FROM customer")
 
 
+# --- results as lines, of queries above
+_add("lines_triangles", lambda s, d: results.triangle_line(_QUERIES["triangle_count"](s, d)), f"SELECT 'There are ' || triangles || ' triangles in the input graph.' AS value FROM ({_SQL['triangle_count']})")
+_add("lines_itemsets", lambda s, d: results.itemset_lines(_QUERIES["frequent_itemsets"](s, d)), f"SELECT support || ' ' || array_to_string(items, ' ') AS value FROM ({_SQL['frequent_itemsets']})")
+_add("lines_neighbours", lambda s, d: results.neighbour_lines(_QUERIES["knn_jac"](s, d)), f"SELECT printf('%8d %8d %.3f', query, \"row\", sim + 1e-12) AS value FROM ({_SQL['knn_jac']})")
+_add("lines_ranks", lambda s, d: results.rank_lines(_ranks(fx.weighted(s, d))), _pr_sql(_UNIFORM, "SELECT id, printf('%d %.4e', id, pr) AS value FROM k WHERE i = 10"))
+
 for _name, _f in source_queries.QUERIES.items():
     _add(_name, _f, source_queries.SQL[_name])
 

@@ -44,10 +44,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def width(like: DataFrame, target: int = 128 << 20) -> int:
     """Into how many files a table made from ``like`` should go: a multiple of the cluster's cores with
-    about ``target`` bytes of input each, at least one file a core."""
-    cores = max(1, like.sparkSession.sparkContext.defaultParallelism)
+    about ``target`` bytes of input each, at least one file a core; where Spark doesn't know the size, as
+    many as a shuffle has partitions."""
+    spark = like.sparkSession
+    cores = max(1, spark.sparkContext.defaultParallelism)
     size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return cores * max(1, min(1 << 20, -(-size // (target * cores))))
+    if size >= 1 << 60:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return cores * max(1, -(-size // (target * cores)))
 
 
 def stored(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
