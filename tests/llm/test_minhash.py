@@ -69,6 +69,27 @@ def test_group_that_fills_many_blocks(docs_of):
     assert sorted(map(tuple, minhash_components(docs_of(rows), width=3, num=85, den=100, block=16).collect())) == brute(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_many_components_in_large_buckets(docs_of, seed):
+    """Families around the threshold share buckets, so the second pass has many components to compare."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for f in range(14):
+        family = list(base)
+        for _ in range(rng.randrange(2, 12)):
+            family[rng.randrange(len(family))] = f"f{f}x{rng.random()}"
+        for _ in range(rng.randrange(4, 16)):
+            t = list(family)
+            for _ in range(rng.randrange(0, 5)):
+                t[rng.randrange(len(t))] = f"y{rng.random()}"
+            rows.append((len(rows), " ".join(t)))
+    rng.shuffle(rows)
+    want = brute(rows, 3, 85, 100)
+    assert len({c for *_, c, _ in want}) > 1
+    assert sorted(map(tuple, minhash_components(docs_of(rows), width=3, num=85, den=100, block=8).collect())) == want
+
+
 def test_null_ids_repeats_and_empty(docs_of):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "z y x"), (3, "q")]
     found = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_components(docs_of(rows)).collect()}

@@ -430,6 +430,19 @@ def test_strange_archives_are_deduplicated(spark, tmp_path):
     assert sorted(payloads) == sorted([page, other])
 
 
+def test_archives_that_only_spark_can_open(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    def closed(path):
+        raise ValueError("no such store")
+
+    pages = spark.createDataFrame([(i, "u", "x" * i) for i in range(30)], "page_id long, url string, html string")
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    streamed = sorted(map(tuple, warc.read_warc(spark, f"file://{tmp_path}/w").collect()), key=repr)
+    monkeypatch.setattr(warc, "pafs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=closed)))
+    assert sorted(map(tuple, warc.read_warc(spark, f"file://{tmp_path}/w").collect()), key=repr) == streamed and len(streamed) == 30
+
+
 def test_readers_hold_a_record_at_a_time(tmp_path):
     import gzip
 

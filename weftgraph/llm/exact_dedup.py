@@ -131,7 +131,7 @@ def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFr
     fixed = dict(ids.dtypes)["_weft_gone"] in ("tinyint", "smallint", "int", "bigint")
     if fixed and ids.limit(FEW + 1).count() <= FEW:
         return docs.join(F.broadcast(ids), docs[id_col].eqNullSafe(F.col("_weft_gone")), "left_anti")
-    n = min(width(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a size that Spark doesn't know counts as endless
+    n = width(docs)
     key = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("_weft_k"), c.isNull().alias("_weft_none")]
     ids = ids.select(*key(F.col("_weft_gone"))).repartition(n, "_weft_k", "_weft_none").hint("shuffle_hash")
     rows = docs.select("*", *key(docs[id_col])).repartition(n, "_weft_k", "_weft_none")

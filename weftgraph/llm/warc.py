@@ -89,7 +89,7 @@ def _write(records: DataFrame, path: str, mean_bytes: float, per_file: int, file
     most = max(1, min(per_file, int(file_bytes // max(1.0, mean_bytes))))
     # the text writer writes bytes as they are; only the separator is encoded
     rows = records.select(F.col("value").cast("string").alias("value"))
-    rows.write.option("encoding", "ISO-8859-1").option("lineSep", _END).option("maxRecordsPerFile", most).mode("overwrite").text(path)
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", _END).option("maxRecordsPerFile", most).text(path)
 
 
 def _head(kind: str, fields: list[tuple[str, str | None]], length: int) -> bytes:
