@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.licenses import FULL_TEXTS, NAMES, OPENINGS, SPELLINGS, TELLING, TEXTS, canonical, canonical_text, known_forms, known_licenses, license_scan
 from weftgraph.llm.mixing import leaf_budgets, mix_sources
+from weftgraph.llm.pii import pii_scan
 from weftgraph.llm.quality import binomial_cdf, quality_rules
 from weftgraph.llm.secrets import secret_scan
 
@@ -285,7 +286,7 @@ def test_links_against_brute_force(docs_of):
 
 def test_native_plans_have_no_python(docs_of, spark, capsys):
     docs, labels = docs_of([(1, "a b")]), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    for df in (mix_sources(docs, {}, F.lit("d")), license_scan(docs), quality_rules(docs, labels), secret_scan(docs)):
+    for df in (mix_sources(docs, {}, F.lit("d")), license_scan(docs), quality_rules(docs, labels), secret_scan(docs), pii_scan(docs)):
         df.explain()
     text = capsys.readouterr().out
     assert not re.search("Python|Pandas|InArrow|CartesianProduct", text)

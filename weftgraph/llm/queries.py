@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import WORD, documents, ready
+from weftgraph.llm.conversations import conversation_repair, conversation_sql
 from weftgraph.llm.exact_dedup import exact_dedup
 from weftgraph.llm.licenses import license_scan, license_sql
 from weftgraph.llm.minhash import minhash_components
 from weftgraph.llm.mixing import mix_sources, mixing_sql
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.pii import pii_scan, pii_sql
 from weftgraph.llm.quality import quality_rules, quality_sql
 from weftgraph.llm.secrets import secret_scan, secret_sql
 from weftgraph.llm.token_counts import token_counts
 from weftgraph.llm.toxicity import toxicity
+from weftgraph.llm.vector_codes import vector_codes, vector_sql
 from weftgraph.llm.warc import warc_round_trip
 
 
@@ -145,3 +148,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op4_quality_rules"] = quality_sql()
+
+
+@_query
+def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op11_pii_spans"] = pii_sql()
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2, scale=256)
+
+
+ORACLE_SQL["op12_vector_codes"] = vector_sql(parts=16, entries=64, rounds=2, scale=256)
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE_SQL["op13_conversation_repair"] = conversation_sql()
