@@ -1,7 +1,7 @@
 """Near-duplicate groups by b-bit MinHash (operator 8).
 
-1. Whole texts become sets of 64-bit shingle hashes.  Texts with equal sets are one class; a class has
-   one representative from here on, so copies cost nothing more.
+1. Whole texts become sets of 64-bit shingle hashes.  Texts of the same words in the same order, by a digest
+   of these, are one class; a class has one representative from here on, so copies cost nothing more.
 2. Of each set, ``bands * rows`` minima are taken and the low eight bits of each are kept: the packed
    signature.  ``rows`` bytes of it make a band key.  Classes that share a key share a bucket.
 3. Buckets give candidates in two passes.  The first deals a bucket into blocks at random and takes for
@@ -14,12 +14,12 @@
    bucket's pair is left unseen.  A pair is looked at in the first bucket that it shares.
 4. Similarity is estimated from the number of equal bytes, corrected for bytes that are equal by chance.
    Only pairs that lie ``z`` standard errors below the threshold are passed over.
-5. Links are confirmed on whole sets of 64-bit hashes, and components of all links are the groups.
+5. Links are confirmed on whole sets of 64-bit hashes that are independent of those which made the candidates,
+   and components of all links are the groups.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import only, stored, text_of
-from weftgraph.llm.wordhash import shingle_sets
+from weftgraph.llm.wordhash import sets_and_digests, shingle_sets
 from weftgraph.operators.components import connected_components
 
 #: Members that one block of a bucket should hold, and partners that the first pass takes for each.
 BLOCK, PARTNERS = 512, 3
 #: The bitmap that singles out the texts whose sets are needed has 2 ** FILTER bits: 4 MB.
 FILTER = 25
+#: Seeds of the hashes that candidates and links come from.
+FIND, CONFIRM = 0, 1
 #: Chance that one byte of two different minima is equal.
 CHANCE = 1 / 256
 
@@ -69,7 +71,7 @@ def signatures_of(sets: list[np.ndarray], k: int) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(id, n, digest, sig): set size, 128-bit digest of the set, packed signature (null for empty sets)."""
+    """(id, n, digest, sig): set size, 128-bit digest of the words, packed signature (null for empty sets)."""
     own = only(docs, id_col, text_col).select(F.col(id_col), text_of(text_col).alias("_text"))
     kind = own.schema[0].dataType.simpleString()
 
@@ -84,10 +86,10 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, width: int, k:
                 sets.clear()
 
             held = 0
-            for s in shingle_sets(batch.column(1), width):
+            for s, digest in sets_and_digests(batch.column(1), width, FIND):
                 sets.append(s)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digests.append(digest)
                 held += len(s)
                 if held > 1 << 17:
                     flush()
@@ -227,7 +229,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int, ids:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             begin, held, size = 0, [], 0
-            for s in shingle_sets(batch.column(1), width):
+            for s in shingle_sets(batch.column(1), width, CONFIRM):
                 held.append(s.view(np.int64))
                 size += len(s)
                 if size > 1 << 19:

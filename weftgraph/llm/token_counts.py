@@ -27,8 +27,8 @@ from weftgraph.llm.wordhash import Words, slices
 MARK = "▁"
 #: Fixed value of that library: what an unknown costs more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts a worker remembers before it starts anew.
-REMEMBERED = 1 << 20
+#: Words whose counts a worker remembers before it starts anew, and bytes of a word that it remembers at most.
+REMEMBERED, SHORT = 1 << 19, 64
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -99,7 +99,27 @@ class Counter:
         return best[-1], pieces[-1]
 
 
-_workers: dict[str, tuple[Counter, dict[int, tuple[int, float]]]] = {}
+_workers: dict[str, tuple[Counter, dict[bytes, tuple[int, float]]]] = {}
+
+
+def distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of words that stand for all equal ones, for each word the place of its own in these).
+
+    Words meet by hash and are then told apart by their bytes.
+    """
+    _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    n = w.end - w.start
+    twin = first[inverse]
+    same = n == n[twin]
+    for back in (False, True):  # the first and the last eight bytes, which are all of a word of sixteen
+        some = lambda k: w.lane(np.maximum(w.end[k] - 8, w.start[k]) if back else w.start[k], np.minimum(n[k], 8))
+        same &= some(np.arange(len(n))) == some(twin)
+    for i in np.flatnonzero(same & (n > 16) & (twin != np.arange(len(n)))).tolist():
+        same[i] = np.array_equal(w.bytes[w.start[i] : w.end[i]], w.bytes[w.start[twin[i]] : w.end[twin[i]]])
+    odd = np.flatnonzero(~same)  # a word of another one's hash stands for itself
+    inverse = inverse.copy()
+    inverse[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([first, odd]), inverse
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool | None = None) -> DataFrame:
@@ -131,14 +151,16 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 w = Words(data, offsets, lower=False)
                 if len(known) > REMEMBERED:
                     known.clear()
-                unique, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-                number, score = np.zeros(len(unique), np.int64), np.zeros(len(unique))
-                for i, h in enumerate(unique.tolist()):
-                    at = known.get(h)
+                ones, inverse = distinct(w)
+                number, score = np.zeros(len(ones), np.int64), np.zeros(len(ones))
+                for i, (a, b) in enumerate(zip(w.start[ones].tolist(), w.end[ones].tolist())):
+                    word = data[a:b].tobytes()
+                    at = known.get(word)
                     if at is None:
-                        k = first[i]
-                        s, c = counter.count(data[w.start[k] : w.end[k]].tobytes().decode("utf-8"))
-                        known[h] = at = (c, s)
+                        s, c = counter.count(word.decode("utf-8"))
+                        at = (c, s)
+                        if len(word) <= SHORT:
+                            known[word] = at
                     number[i], score[i] = at
                 sums = np.concatenate([[0], np.cumsum(number[inverse])])
                 words.append(np.diff(w.first))

@@ -3,7 +3,8 @@
 Categories are predicted one after another by linear models on hashed words and word beginnings; each
 later model also gets the earlier categories' probabilities.  For its training those are out-of-fold
 predictions, so a later model learns from probabilities as unsure as those it will see.  Models are
-fitted on the driver from a bounded sample of labelled rows (``max_labelled``, by hash of the id); the
+fitted on the driver from a sample of labelled rows that is bounded in rows and bytes (``max_labelled``,
+``max_bytes``, by hash of the id); the
 threshold, too, comes from out-of-fold predictions.  Scoring is one pass over whole texts with a table of weights of
 a fixed size.
 """
@@ -16,16 +17,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import only, text_of
+from weftgraph.llm.common import only, stored, text_of
 from weftgraph.llm.wordhash import Words, slices
 
 #: Feature ids have this many bits.
 BITS = 20
 #: Beginnings of words, in bytes, that are features besides the whole word.
 STEMS = (4, 5, 6, 8)
+#: Bytes of feature ids that models are fitted on, four an id: what the driver gets at most.
+MAX_BYTES = 128 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +174,25 @@ class Chain:
     labels: np.ndarray
 
 
-def train(docs: DataFrame, labels: DataFrame, decide: str, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, n_folds: int = 5) -> Chain:
+def bounded(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """``labelled_rows`` in the order of their hash as far as their features are ``max_bytes`` in all."""
+    rows = stored(rows, "labelled")
+    upto = Window.orderBy("_weft_h")  # two numbers for each of at most max_labelled rows
+    sizes = rows.select("_weft_h", F.sum(F.octet_length("_weft_features")).over(upto).alias("_weft_bytes"))
+    cut = sizes.where(F.col("_weft_bytes") > max_bytes).agg(F.min("_weft_h")).first()[0]
+    return rows if cut is None else rows.where(F.col("_weft_h") < cut)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, decide: str, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000, n_folds: int = 5, max_bytes: int = MAX_BYTES
+) -> Chain:
     """Fit the chain of the 0/1 columns of ``labels``, which also has the id; ``decide`` comes last.
 
-    The bounded sample is what the driver gets: at most ``max_labelled`` rows of feature ids.
+    The bounded sample is what the driver gets: at most ``max_labelled`` rows with feature ids of at most
+    ``max_bytes`` in all.  A document whose own features are more than that is never learned from.
     """
     names = [*(c for c in labels.columns if c not in (id_col, decide)), decide]
-    got = labelled_rows(docs, labels.select(id_col, *names), id_col, text_col, max_labelled).toArrow()
+    got = bounded(labelled_rows(docs, labels.select(id_col, *names), id_col, text_col, max_labelled), max_bytes).toArrow()
     h = got.column("_weft_h").to_numpy()
     raw = got.column("_weft_features")
     order = np.argsort(h, kind="stable")
@@ -270,5 +285,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 10_000) -> DataFrame:
-    """``docs``, all columns, without the rows that ``toxicity`` would not keep."""
+    """``docs``, all columns, without the rows that ``toxicity`` would not keep.
+
+    Each row is judged by its own text: nulls, repeats, labels and an empty table are as for ``toxicity``.
+    """
     return without_rejected(docs, train(docs, chain_labels(labels, id_col), "toxic", id_col, text_col, max_labelled), text_col)

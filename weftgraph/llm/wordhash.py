@@ -1,21 +1,21 @@
 """Words of many texts at once, as 64-bit hashes, on the bytes of an Arrow string column.
 
-Prefix sums of a polynomial hash modulo 2**64 give the hash of any byte range by one subtraction; an
-odd base has an inverse, so a range's hash doesn't depend on where it lies.  A finaliser mixes in the
-length.  No text becomes a Python string here.
+A word of up to ``LONG`` bytes is hashed in lanes of eight bytes: each lane goes into the state and the
+state through a finaliser before the next one comes, so no arithmetic of lanes cancels out, whatever
+pattern a word has.  A longer word is hashed by BLAKE2b.  Different seeds give independent hashes.  No text
+becomes a Python string here.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
+#: Longer words are hashed one by one.
+LONG = 64
 _BYTES = np.arange(256, dtype=np.uint8)
 #: A-Z become a-z; all other bytes stay.
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -24,17 +24,6 @@ IS_SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
 SLICE = 1 << 19
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        size = max(SLICE * 2, 1 << (n - 1).bit_length())
-        for name, base in (("p", BASE), ("i", _INVERSE)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _powers[name] = out
-    return _powers["p"][:n], _powers["i"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A published 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -59,84 +48,93 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         a = b
 
 
-def _final(raw: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return mix(raw + length.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+def _const(x: int) -> np.uint64:
+    return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
+
+
+_K = [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F]
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of the texts of a slice.
 
     ``start``, ``end``: byte ranges; ``hash``: of the bytes; ``first``: for each text the number of its
-    first word, with the number of all words at the end.  A slice is worked on in windows of ``window``
-    bytes, and a word that several windows share is put together from its parts, so besides the text
-    only a few numbers a word are held, however long a text or a word is.
+    first word, with the number of all words at the end.  A slice is looked through in windows of ``window``
+    bytes, so besides the text only a few numbers a word are held, however long a text or a word is.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, window: int = SLICE):
-        self.bytes = LOWER[data] if lower else data
-        self.start, self.end, raw = self._words(data, offsets, window)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, window: int = SLICE, seed: int = 0):
+        whole = np.zeros(len(data) + 8, np.uint8)  # a lane may be read from any byte
+        whole[: len(data)] = LOWER[data] if lower else data
+        self.bytes = whole[: len(data)]
+        self._lanes = np.ndarray(len(data) + 1, "<u8", whole, strides=(1,))
+        self.start, self.end = self._words(data, offsets, window)
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = _final(raw, self.end - self.start)
+        self.seed = seed
+        self.hash = self._hashes(self.start, self.end - self.start)
 
-    def _words(self, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        starts, ends, raws = [], [], []
-        open_ = False  # whether the last word so far reaches up to this window
+    @staticmethod
+    def _words(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = [], []
         for a in range(0, len(data), window):
-            part = self.bytes[a : a + window]
-            n = len(part)
+            n = min(window, len(data) - a)
             gap = np.ones(n + 2, bool)
-            gap[1:-1] = IS_SPACE[data[a : a + n]]
-            word = ~gap[1:-1]
+            lo, hi = max(a - 1, 0), min(a + n + 1, len(data))
+            gap[lo - a + 1 : hi - a + 1] = IS_SPACE[data[lo:hi]]
             bounds = np.zeros(n + 1, bool)
             bounds[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + n, side="right")] - a] = True
-            start = np.flatnonzero(word & (gap[:-2] | bounds[:-1]))
-            end = np.flatnonzero(word & (gap[2:] | bounds[1:])) + 1
-            power, inverse = _power(n)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(part.astype(np.uint64) * power, out=sums[1:])
-            raw = (sums[end] - sums[start]) * inverse[start] if len(start) else np.zeros(0, np.uint64)
-            joined = bool(open_ and len(start) and start[0] == 0 and not bounds[0])
-            if joined:  # the first word goes on from the window before
-                shift = pow(BASE, int(ends[-1][-1] - starts[-1][-1]), 1 << 64)
-                raws[-1][-1:] += raw[:1] * np.uint64(shift)
-                ends[-1][-1] = a + end[0]
-                start, end, raw = start[1:], end[1:], raw[1:]
-            if len(start):
-                starts.append(start + a)
-                ends.append(end + a)
-                raws.append(raw)
-            open_ = bool(len(ends) and ends[-1][-1] == a + n)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return join(starts, np.int64), join(ends, np.int64), join(raws, np.uint64)
+            word = ~gap[1:-1]
+            starts.append(np.flatnonzero(word & (gap[:-2] | bounds[:-1])) + a)
+            ends.append(np.flatnonzero(word & (gap[2:] | bounds[1:])) + 1 + a)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return join(starts), join(ends)
+
+    def lane(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The ``n`` bytes (0 to 8) from each ``start`` on as a number."""
+        return self._lanes[start] & _MASKS[n]
+
+    def _hashes(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        state = mix(n.astype(np.uint64) * _const(_K[0]) + _const(0xD1B54A32D192ED03 * (2 * self.seed + 1)))
+        state = mix(state ^ self.lane(start, np.minimum(n, 8)))
+        rest = np.flatnonzero((n > 8) & (n <= LONG))
+        at = 8
+        while len(rest):
+            state[rest] = mix((state[rest] ^ self.lane(start[rest] + at, np.minimum(n[rest] - at, 8))) * _const(_K[1]))
+            at += 8
+            rest = rest[n[rest] > at]
+        for i in np.flatnonzero(n > LONG).tolist():
+            digest = hashlib.blake2b(self.bytes[start[i] : start[i] + n[i]], digest_size=8, salt=self.seed.to_bytes(8, "little")).digest()
+            state[i] = int.from_bytes(digest, "little")
+        return state
 
     def beginning_hash(self, start: np.ndarray, n: int) -> np.ndarray:
         """Hashes of the n bytes from each ``start`` on, as of a word of these bytes."""
-        raw = np.zeros(len(start), np.uint64)
-        for j in range(n):
-            raw += self.bytes[start + j].astype(np.uint64) * np.uint64(pow(BASE, j, 1 << 64))
-        return _final(raw, np.full(len(start), n))
-
-
-_K = [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F]
-
-
-def _const(x: int) -> np.uint64:
-    return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
-
-
-def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """For each text, in order, the sorted distinct hashes of its shingles of ``width`` words.
-
-    A text with fewer words is one shingle of all of them; one without words has none.
-    """
-    for _, data, offsets in slices(column):
-        words = Words(data, offsets)
-        h, first = words.hash, words.first
+        return self._hashes(start, np.full(len(start), n))
+
+    def digests(self) -> Iterator[bytes]:
+        """For each text a digest of its words in order: equal for texts with the same words only."""
+        length = (self.end - self.start).astype("<u8")
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        inside = np.zeros(len(self.bytes) + 1, np.int8)
+        inside[self.start] += 1
+        np.subtract.at(inside, self.end, 1)
+        letters = self.bytes[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            own = hashlib.blake2b(length[a:b], digest_size=16)
+            own.update(letters[ends[a] : ends[b]])
+            yield own.digest()
+
+    def sets(self, width: int) -> Iterator[np.ndarray]:
+        """For each text the sorted distinct hashes of its shingles of ``width`` words.
+
+        A text with fewer words is one shingle of all of them; one without words has none.
+        """
+        h, first = self.hash, self.first
         n = max(0, len(h) - width + 1)
         rolled = np.zeros(n, np.uint64)
         for j in range(width):
-            rolled += mix(h[j : j + n] + _const(_K[j % 5] * (2 * j + 1))) * _const(_K[(j + 1) % 5])
-        rolled = mix(rolled)
+            rolled = mix((rolled ^ h[j : j + n]) * _const(_K[(j + 1) % 5]) + _const(_K[j % 5] * (2 * j + 1)))
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= width:
                 yield np.unique(rolled[a : b - width + 1])
@@ -147,3 +145,16 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield own
             else:
                 yield np.zeros(0, np.uint64)
+
+
+def shingle_sets(column: pa.Array, width: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """``Words.sets`` of each text of a column, in order."""
+    for _, data, offsets in slices(column):
+        yield from Words(data, offsets, seed=seed).sets(width)
+
+
+def sets_and_digests(column: pa.Array, width: int, seed: int = 0) -> Iterator[tuple[np.ndarray, bytes]]:
+    """``Words.sets`` and ``Words.digests`` of each text of a column, in order."""
+    for _, data, offsets in slices(column):
+        words = Words(data, offsets, seed=seed)
+        yield from zip(words.sets(width), words.digests())
