@@ -86,11 +86,19 @@ def plain_features(text):
             x = ((x ^ (x >> shift)) * factor) & whole
         return x ^ (x >> 31)
 
+    def word_hash(w):
+        if len(w) > 64:
+            return int.from_bytes(hashlib.blake2b(w, digest_size=8, salt=bytes(8)).digest(), "little")
+        state = final((len(w) * 0xA0761D6478BD642F + 0xD1B54A32D192ED03) & whole)
+        state = final(state ^ int.from_bytes(w[:8], "little"))
+        for at in range(8, len(w), 8):
+            state = final(((state ^ int.from_bytes(w[at : at + 8], "little")) * 0xE7037ED1A0B428DB) & whole)
+        return state
+
     for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
         w = w.lower()  # bytes: A-Z only
         for part in [w, *(w[:n] for n in (4, 5, 6, 8) if len(w) > n)]:
-            raw = sum(b * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(part))
-            out.add(final((raw + len(part) * 0xD1B54A32D192ED03) & whole) >> 44)
+            out.add(word_hash(part) >> 44)
     return out
 
 
