@@ -1,3 +1,4 @@
+import bisect
 import heapq
 import math
 import random
@@ -8,7 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.functions import bitmaps, scalars
+from weftgraph.functions import bitmaps, blas, scalars
 from weftgraph.functions.containers import MaxQueue, MultiMap
 from weftgraph.operators import components, edges, graph, matrix, metrics, mining, ordering, similarity
 from weftgraph.streaming.incremental import GraphState, distinct_stream
@@ -331,7 +332,86 @@ def test_frequent_columns_change_no_neighbour(spark, kind, least):
     rows = [(r, c, float(random.randrange(1, 9))) for r in range(60) for c in range(40) if random.random() < (0.9 if c < 3 else 0.12)]
     m = entries(spark, rows)
     plain, split = (got(similarity.neighbours(m.where("row % 3 = 0"), m, kind, 7, least, often=n)) for n in (10**6, 25))
-    assert plain == split and len(plain) > 60
+    assert [r[:2] for r in plain] == [r[:2] for r in split] and len(plain) > 60
+    assert [r[2] for r in plain] == pytest.approx([r[2] for r in split], rel=1e-12)
+
+
+@pytest.mark.parametrize("kind, least", [("cos", 0.6), ("jac", 0.5), ("dotp", 260.0), ("min", 0.4), ("amin", 0.5)])
+def test_candidates_lose_nothing_and_are_few(spark, kind, least):
+    """The bounded search against all pairs that share a column, in plain Python; also for values below 0 and empty norms."""
+    random.seed(13)
+    sign = (-1, 1) if kind in ("dotp", "cos", "jac") else (1,)
+    rows = {(r, c): float(random.choice(sign) * random.randrange(1, 9)) for r in range(90) for c in range(50) if random.random() < (0.9 if c < 4 else 0.12)}
+    for r in range(90, 110):  # near copies of other rows
+        rows |= {(r, c): v + (c % 7 == 0) for (q, c), v in list(rows.items()) if q == r - 90}
+    rows[200, 0] = 0.0
+    by = {}
+    for (r, c), v in rows.items():
+        by.setdefault(r, {})[c] = v
+
+    def sim(a, b):
+        dot = sum(v * b.get(c, 0) for c, v in a.items())
+        low = sum(min(v, b[c]) for c, v in a.items() if c in b)
+        sa, sb, qa, qb = sum(a.values()), sum(b.values()), sum(v * v for v in a.values()), sum(v * v for v in b.values())
+        top, below = {"dotp": (dot, 1), "cos": (dot, math.sqrt(qa * qb)), "jac": (dot, qa + qb - dot), "min": (low, sa + sb - low), "amin": (low, sa)}[kind]
+        return top / below if below else 0.0
+
+    m = entries(spark, [(*k, v) for k, v in rows.items()])
+    want = {(a, b): s for a in by for b in by if by[a].keys() & by[b].keys() and (s := sim(by[a], by[b])) >= least}
+    found = {(a, b): s for a, b, s in got(similarity.neighbours(m, m, kind, None, least, often=1))}
+    assert found == pytest.approx(want, rel=1e-9) and len(want) > 50
+    met = similarity.candidates(m, m, kind, least)[0].count()
+    meeting = sum(bool(by[a].keys() & by[b].keys()) for a in by for b in by)
+    assert len(want) <= met and (kind == "amin" or met < 0.8 * meeting)
+
+
+def test_thresholds_are_exact_on_every_path(spark):
+    """Similarities within 1e-9 of the threshold: no rounding lets one in, and no path loses one."""
+    rows, least = [(0, 0, 1.0)], 0.25
+    shifts = [-1e-7, -1e-9, 1e-9, 1e-7, 0.0]
+    for i, e in enumerate(shifts, 1):
+        x = least * (1 + e)
+        rows += [(i, 0, x), (i, i, math.sqrt(1 - x * x))]
+    m = entries(spark, rows)
+    for often in (1, 3, 10**6):
+        found = {r for q, r, _ in got(similarity.neighbours(m.where("row = 0"), m, "cos", None, least, often=often))}
+        assert found >= {0, 3, 4} and not found & {1, 2}, often
+
+
+def test_pairs_without_entries_are_rows(spark):
+    m = entries(spark, [(0, 0, 1.0), (1, 1, 2.0)])
+    pairs = spark.createDataFrame([(0, 0), (0, 1), (0, 5), (5, 6), (5, 6)], "i1 long, i2 long")
+    for compat in (False, True):
+        assert got(similarity.pair_similarity(m, m, pairs, "cos", compat)) == [(0, 0, 1.0), (0, 1, 0.0), (0, 5, 0.0), (5, 6, 0.0)]
+
+
+def test_metrics_are_not_rounded(spark):
+    df = spark.createDataFrame([(1e-8,), (3e-8,)], "x double")
+    assert tuple(metrics.mean_std(df, "x").first()) == pytest.approx((2e-8, 1e-8), rel=1e-12)
+
+
+@pytest.mark.parametrize("form", ["columns", "rows"])
+def test_neighbourhoods_by_either_form(spark, form, capsys):
+    random.seed(14)
+    a = {(random.randrange(25), random.randrange(14)): float(random.randint(1, 20)) for _ in range(140)}
+    b = {k: v for k, v in a.items() if v > 8} | {(99, 3): 3.0}
+    make = lambda m: spark.createDataFrame([(*k, v) for k, v in m.items()], "row long, col long, val double")
+    found = dict(map(tuple, similarity.compare_neighbourhoods(make(a), make(b), form=form).collect()))
+    assert found == pytest.approx(brute_neighbourhoods(a, b), abs=1e-9)
+
+
+def test_searches_take_a_step_a_bit(spark):
+    random.seed(15)
+    big = sorted(random.sample(range(10**6), 100_000))
+    asked = [big[0] - 1, big[0], big[777], big[777] + 1, big[-1], big[-1] + 1]
+    df = spark.createDataFrame([(big, x) for x in asked] + [([], 3), (None, 3), ([5], 5), ([5], 4), ([1, 1, 2, 2, 2, 3], 2)], "a array<long>, x long")
+    rows = df.select(blas.lower_bound("a", F.col("x")).alias("l"), blas.upper_bound("a", F.col("x")).alias("u"), blas.place_of("a", F.col("x")).alias("p"), "a", "x").collect()
+    for r in rows:
+        if r["a"] is None:
+            assert r["l"] is r["u"] is r["p"] is None
+            continue
+        lo, hi = bisect.bisect_left(r["a"], r["x"]), bisect.bisect_right(r["a"], r["x"])
+        assert (r["l"], r["u"], r["p"]) == (lo, hi, lo if hi > lo else -1)
 
 
 def test_hot_rows_are_filtered_alike(spark):

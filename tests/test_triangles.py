@@ -66,3 +66,63 @@ def test_no_cartesian_product_and_no_python(spark, capsys):
         triangles.triangle_count(g, plan).explain()
     text = capsys.readouterr().out
     assert "CartesianProduct" not in text and "Python" not in text and "InArrow" not in text
+
+
+def shuffled(spark, run):
+    """(result, bytes that its stages write for shuffles)."""
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = total()
+    out = run()
+    return out, sum(v for k, v in total().items() if k not in before)
+
+
+@pytest.mark.parametrize("split", [0, 64, 256, 2048])
+def test_split_points_change_no_count(spark, split):
+    rows = [(a, b) for a in range(90) for b in range(a) if (a * b + a) % 5 < 2] + [(a, a + 1) for a in range(100, 140)]
+    g = edges.clean(frame(spark, rows))
+    assert triangles.triangle_count(g, "split", split=split).first()[0] == triangles.triangle_count(g, "wedge").first()[0] > 1000
+
+
+def test_split_moves_less_than_lists(spark):
+    from weftgraph.plans import fixtures as fx
+    from weftgraph.storage import stored
+
+    g = stored(fx.parts(spark, "/root/testdata/sf0.01"), "graph")
+    (a, whole), (b, split) = (shuffled(spark, lambda p=p: triangles.triangle_count(g, p).first()[0]) for p in ("adjacency", "split"))
+    assert a == b and 0 < split < whole
+    with pytest.raises(ValueError):
+        triangles.triangle_count(g, "split", split=100)
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 1024])
+def test_blocks_change_no_intersection(spark, block):
+    rows = [(a, b) for a in range(70) for b in range(a + 1, 70) if (a * b + b) % 4 < 2] + [(0, b) for b in range(70, 150)]
+    directed = frame(spark, rows).select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct()
+    got = {}
+    for r in triangles.block_intersections(directed, block).collect():
+        got.setdefault((r["s"], r["t"]), []).extend(r["common"])
+    to = {}
+    for a, b in set(rows):
+        to.setdefault(a, set()).add(b)
+    want = {(a, b): sorted(to[a] & to.get(b, set())) for a, b in set(rows) if to[a] & to.get(b, set())}
+    assert {k: sorted(v) for k, v in got.items() if v} == want
+
+
+def test_a_hub_is_many_small_rows(spark):
+    n, k, block = 50_000, 40, 512
+    star = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("s"), F.col("id").alias("t"))
+    clique = spark.createDataFrame([(a, b) for a in range(1, k + 1) for b in range(a + 1, k + 1)], "s long, t long")
+    second = spark.range(k + 1, n + 1, 2).select(F.lit(1).cast("long").alias("s"), F.col("id").alias("t"))  # 1 is a hub as well
+    directed = star.unionByName(clique).unionByName(second)
+    found = triangles.block_intersections(directed, block).agg(F.sum(F.size("common"))).first()[0]
+    assert found == k * (k - 1) // 2 + k * (k - 1) * (k - 2) // 6 + len(range(k + 1, n + 1, 2))
+    pairs = triangles.block_pairs(triangles.out_blocks(directed, block))
+    assert pairs.agg(F.max(F.greatest(F.size("targets"), F.size("ends")))).first()[0] <= 2 * block
+    many = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("s"), F.col("id").alias("t")).unionByName(spark.range(1, n + 1).select(F.col("id").alias("s"), (F.col("id") + n).alias("t")))
+    work = triangles.block_pairs(triangles.out_blocks(many, block)).where("s = 0").repartition(16, "s", "b").groupBy(F.spark_partition_id()).agg(F.sum(F.size("targets") * F.size("ends")).alias("w")).select("w").collect()
+    sizes = sorted(r["w"] for r in work)
+    assert len(sizes) > 8 and sizes[-1] <= 10 * sizes[len(sizes) // 2]

@@ -49,19 +49,36 @@ def array_norm2(a: Column | str) -> Column:
     return F.sqrt(array_dot(a, a))
 
 
+def _search(a: Column | str, before) -> Column:
+    """How many elements of a sorted array ``before`` holds for, which are its first: a step for each bit of the size.
+
+    The place goes up by a power of two where the element in front of the new place is one of them; there
+    is nothing to branch on, and 31 steps do for any array.
+    """
+    a = F.col(a) if isinstance(a, str) else a
+    steps = F.sequence(F.ceil(F.log2(F.size(a) + 1)).cast("int") - 1, F.lit(0), F.lit(-1))
+
+    def step(at: Column, bit: Column) -> Column:
+        to = at + F.pow(F.lit(2), bit).cast("int")
+        return at + F.when((to <= F.size(a)) & before(F.get(a, to - 1)), to - at).otherwise(0)
+
+    return F.when(F.size(a) > 0, F.aggregate(steps, F.lit(0), step)).when(F.size(a) == 0, 0)
+
+
 def lower_bound(a: Column | str, value: Column) -> Column:
     """How many elements of a sorted array are below ``value``."""
-    return F.size(F.filter(a, lambda x: x < value))
+    return _search(a, lambda x: x < value)
 
 
 def upper_bound(a: Column | str, value: Column) -> Column:
     """How many elements of a sorted array are not above ``value``."""
-    return F.size(F.filter(a, lambda x: x <= value))
+    return _search(a, lambda x: x <= value)
 
 
 def place_of(a: Column | str, value: Column) -> Column:
     """The 0-based place of ``value`` in a sorted array, -1 if it is not there."""
-    return (F.array_position(a, value) - 1).cast("int")
+    at = lower_bound(a, value)
+    return F.when(F.get(a, at) == value, at).otherwise(F.when(F.col(a).isNotNull() if isinstance(a, str) else a.isNotNull(), F.lit(-1)))
 
 
 def top_k(df: DataFrame, k: int, key: str, largest: bool = True, per: list[str] | None = None, tie: str | None = None) -> DataFrame:

@@ -115,7 +115,7 @@ def degree_skew(deg: DataFrame, top: int, every: int) -> DataFrame:
     best = deg.orderBy(F.col("degree").desc(), "id").limit(top)  # top-k, bounded by `top`
     order = Window.orderBy(F.col("degree").desc(), "id")
     run = best.select(F.row_number().over(order).alias("rank"), F.sum("degree").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"))
-    return run.where(F.col("rank") % every == 0).crossJoin(F.broadcast(edges)).select(F.col("rank").cast("long").alias("rank"), "cumulative", F.round(F.col("cumulative") / F.col("m"), 6).alias("share"))
+    return run.where(F.col("rank") % every == 0).crossJoin(F.broadcast(edges)).select(F.col("rank").cast("long").alias("rank"), "cumulative", (F.col("cumulative") / F.col("m")).alias("share"))
 
 
 def group_ids(df: DataFrame, set_col: str, id_col: str) -> DataFrame:

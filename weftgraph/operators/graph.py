@@ -76,7 +76,7 @@ def pagerank_report(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     other = ranks.select(F.col("id").alias("dst"), F.col("pr").alias("_q"))
     rows = edges.join(ranks.select(F.col("id").alias("src"), "pr"), "src").join(other, "dst")
     diff = F.abs(F.col("pr") - F.col("_q"))
-    best = F.max(F.struct(F.round(diff, 9).alias("d"), (-F.col("dst")).alias("m")))
+    best = F.max(F.struct(diff.alias("d"), (-F.col("dst")).alias("m")))
     return rows.groupBy(F.col("src").alias("id"), "pr").agg(F.count(F.lit(1)).alias("degree"), best.alias("b")).select("id", "pr", "degree", F.col("b.d").alias("max_diff"), (-F.col("b.m")).alias("arg"))
 
 
@@ -186,14 +186,14 @@ def compactness(edges: DataFrame, perm: DataFrame) -> DataFrame:
     b = perm.select(F.col("id").alias("dst"), F.col("place").alias("_b"))
     d = F.abs(F.col("_a") - F.col("_b"))
     near = [F.count_if(d == i).alias(f"near{i}") for i in (1, 2, 3)]
-    return edges.join(a, "src").join(b, "dst").agg(F.round(F.avg(d), 6).alias("mean"), *near)
+    return edges.join(a, "src").join(b, "dst").agg(F.avg(d).alias("mean"), *near)
 
 
 def centroid_reorder(edges: DataFrame, perm: DataFrame, pull: float = 0.5) -> DataFrame:
     """(id, place): vertices moved towards the mean place of their neighbours and ranked again."""
     b = perm.select(F.col("id").alias("dst"), F.col("place").alias("_b"))
     mean = edges.join(b, "dst").groupBy(F.col("src").alias("id")).agg(F.avg("_b").alias("_m"))
-    moved = perm.join(mean, "id", "left").select("id", F.round(F.col("place") + F.lit(pull) * (F.coalesce("_m", F.col("place")) - F.col("place")), 9).alias("_k"))
+    moved = perm.join(mean, "id", "left").select("id", (F.col("place") + F.lit(pull) * (F.coalesce("_m", F.col("place")) - F.col("place"))).alias("_k"))
     return with_rank(moved, "_k", "id", name="place").select("id", "place")
 
 

@@ -24,7 +24,7 @@ def accuracy(ranked: DataFrame, key: str = "key") -> DataFrame:
     totals = ranked.agg(F.sum(_positive()).alias("p"), F.sum(1 - _positive()).alias("n"))
     run = running_sum(ranked, 2 * _positive() - 1, F.col("score").desc(), key, name="_gain")
     best = run.agg(F.max("_gain").alias("g"))
-    return best.crossJoin(totals).select(F.round(100.0 * (F.col("g") + F.col("n")) / (F.col("p") + F.col("n")), 6).alias("accuracy"))
+    return best.crossJoin(F.broadcast(totals)).select((100.0 * (F.col("g") + F.col("n")) / (F.col("p") + F.col("n"))).alias("accuracy"))
 
 
 def roc_n(ranked: DataFrame, max_n: int | None = None, compat: bool = False) -> DataFrame:
@@ -40,7 +40,7 @@ def roc_n(ranked: DataFrame, max_n: int | None = None, compat: bool = False) ->
     area = F.sum(F.expr("(fp * (2 * _t - tp)) div 2")) if compat else F.sum(twice / 2)
     totals = run.agg(area.alias("a"), F.max("_t").alias("t"), F.max("_f").alias("f"))
     whole = ranked.agg(F.sum(_positive()).alias("p"))
-    return totals.crossJoin(whole).select(F.round(F.when(F.col("t") * F.col("f") == 0, F.lit(0.0)).otherwise(F.col("a") / (F.col("p") * F.col("f"))), 6).alias("roc"))
+    return totals.crossJoin(F.broadcast(whole)).select(F.when(F.col("t") * F.col("f") == 0, F.lit(0.0)).otherwise(F.col("a") / (F.col("p") * F.col("f"))).alias("roc"))
 
 
 def median_rfp(ranked: DataFrame, key: str = "key") -> DataFrame:
@@ -48,9 +48,9 @@ def median_rfp(ranked: DataFrame, key: str = "key") -> DataFrame:
     totals = ranked.agg(F.sum(_positive()).alias("p"), F.sum(1 - _positive()).alias("n"))
     run = running_sums(ranked, {"_t": _positive(), "_f": 1 - _positive()}, F.col("score").desc(), key)
     half = run.crossJoin(F.broadcast(totals)).where(F.col("_t") >= F.floor((F.col("p") + 1) / 2))
-    return half.agg(F.round(F.min("_f") / F.max("n"), 6).alias("rfp"))
+    return half.agg((F.min("_f") / F.max("n")).alias("rfp"))
 
 
 def mean_std(df: DataFrame, value: str) -> DataFrame:
     """(mean, std): mean and population deviation."""
-    return df.agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"))
+    return df.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

@@ -30,53 +30,87 @@ def _totals(m: DataFrame, id_: str, suffix: str) -> DataFrame:
     return m.groupBy(F.col("row").alias(id_)).agg(F.sum("val").alias(f"s{suffix}"), F.sum(F.col("val") * F.col("val")).alias(f"q{suffix}"))
 
 
-#: From so many entries on a column is frequent: rows that only meet in such columns are paired last.
+#: From so many entries of its most frequent column on a matrix is searched by bounds.
 OFTEN = 10_000
 
 
-def _weak_part(q: DataFrame, frequent: DataFrame, kind: str, least: float) -> DataFrame:
-    """``q`` (query, col, x) with ``_skip``: entries in frequent columns that together can't reach ``least``.
+def _by_bound(m: DataFrame, df: DataFrame, kind: str, least: float, most: float) -> DataFrame:
+    """``m`` (id, col, x) with ``_skip`` and ``_rest``, columns taken from the most frequent one on.
 
-    cos >= t, which jac >= t implies, needs a dot product of t times both norms, of which entries of less
-    than t times the query's norm give too little whatever they meet; min and amin need shared minima of t
-    times the query's sum.
+    ``_skip``: the entries up to this one can't make up ``least`` whatever they meet; ``_rest``: how much
+    those of the row can give at most.  For cos, and for jac, which is no larger, a row's entries count by
+    their norm over its own; for dotp by their norm times ``most``, the largest norm of the other side;
+    for min and amin by their sum over the row's.
     """
-    size = F.col("x") * F.col("x") if kind in ("cos", "jac") else F.greatest("x", F.lit(0.0))
-    need = F.lit(least * least if kind in ("cos", "jac") else least)
-    own = q.join(frequent, "col", "left")
-    whole, most = Window.partitionBy("query"), Window.partitionBy("query").orderBy(F.coalesce("_df", F.lit(0)).desc(), "col")
-    own = own.withColumn("_all", F.sum(size if kind in ("cos", "jac") else F.col("x")).over(whole)).withColumn("_run", F.sum(size).over(most))
-    # a little less than the bound, for rounding
-    return own.select("query", "col", "x", (F.col("_df").isNotNull() & (F.col("_run") < need * F.col("_all") * (1 - 1e-9)) & (F.col("_all") > 0)).alias("_skip"))
+    whole, upto = Window.partitionBy("id"), Window.partitionBy("id").orderBy(F.col("_df").desc(), "col")
+    size = F.greatest("x", F.lit(0.0)) if kind in ("min", "amin") else F.col("x") * F.col("x")
+    own = m.join(df, "col").withColumn("_run", F.sum(size).over(upto))
+    if kind == "dotp":
+        gives = F.sqrt("_run") * F.lit(most)
+    else:
+        own = own.withColumn("_all", F.sum("x" if kind in ("min", "amin") else size).over(whole))
+        share = F.coalesce(F.try_divide(F.col("_run"), F.col("_all")), F.lit(float("inf")))
+        gives = F.when(F.col("_all") > 0, share if kind in ("min", "amin") else F.sqrt(share)).otherwise(F.lit(float("inf")))
+    own = own.withColumn("_gives", gives).withColumn("_skip", F.col("_gives") < F.lit(least * (1 - 1e-9)))  # a little less, for rounding
+    return own.select("id", "col", "x", "_skip", F.coalesce(F.max(F.when(F.col("_skip"), F.col("_gives"))).over(whole), F.lit(0.0)).alias("_rest"))
+
+
+def _norm(m: DataFrame) -> float:
+    return m.groupBy("row").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("n")).agg(F.max("n")).first()[0] or 0.0
+
+
+def candidates(queries: DataFrame, m: DataFrame, kind: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs (query, row), entries of the queries (id, col, x, _skip, _rest), those of ``m``): the pairs that may
+    reach ``least`` > 0 (N3).
+
+    Columns are in one order, the most frequent first.  Of each row the longest beginning that can't
+    give ``least`` by itself is left out.  The rarest column that a pair shares lies in neither beginning
+    if the pair reaches ``least``, so only what is left over is joined: frequent columns bring nobody together.
+    A pair then has a partial score, and goes on only if that and what the beginnings can give reach ``least``.
+    """
+    df = m.groupBy("col").agg(F.count(F.lit(1)).alias("_df"))
+    big = (_norm(m), _norm(queries)) if kind == "dotp" else (1.0, 1.0)
+    entries = lambda x: x.select(F.col("row").alias("id"), "col", F.col("val").alias("x"))
+    q = stored(_by_bound(entries(queries), df, kind, least, big[0]), "bounded")
+    c = stored(_by_bound(entries(m), df, kind, 0.0 if kind == "amin" else least, big[1]), "bounded")  # amin says nothing of the other row's sum
+    left = q.where("not _skip").select(F.col("id").alias("query"), "col", "x", F.col("_rest").alias("_ra"))
+    right = c.where("not _skip").select(F.col("id").alias("row"), "col", F.col("x").alias("y"), F.col("_rest").alias("_rb"))
+    met = left.join(right, "col").groupBy("query", "row").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.max(F.greatest("_ra", "_rb")).alias("_rest"))
+    if kind in ("cos", "jac"):
+        met = met.join(_totals(queries, "query", "a"), "query").join(_totals(m, "row", "b"), "row")
+        met = met.withColumn("dot", F.coalesce(F.try_divide("dot", F.sqrt(F.col("qa") * F.col("qb"))), F.lit(0.0)))
+    # what isn't in both parts lies in the beginning that goes on longer, and gives no more than that one's bound
+    if kind in ("dotp", "cos", "jac"):
+        met = met.where(F.col("dot") + F.col("_rest") >= F.lit(least * (1 - 1e-9)))
+    return met.select("query", "row"), q, c
 
 
 def neighbours(queries: DataFrame, m: DataFrame, kind: str = "cos", k: int | None = 100, least: float = 0.25, often: int | None = None) -> DataFrame:
     """(query, row, sim) with sim >= least, the k best of each query by sim, then row.
 
     ``queries`` and ``m`` are entries; a row of both may match itself.  ``k`` None keeps all.  Rows meet
-    in the columns that they share.  Where columns have ``often`` (``OFTEN``) entries or more, those of a
-    query's frequent columns that can't make up a similarity of ``least`` by themselves bring nobody
-    together; they only count for pairs that met elsewhere.  The result is the same.
+    in the columns that they share.  Where a column has ``often`` (``OFTEN``) entries or more and ``least`` is
+    above 0, only ``candidates`` are scored, in full; the result is the same but for the order of sums.
     """
     q = queries.select(F.col("row").alias("query"), "col", F.col("val").alias("x"))
     c = m.select("row", "col", F.col("val").alias("y"))
     sums = lambda pairs: pairs.groupBy("query", "row").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.least("x", "y")).alias("low"))
-    frequent = None
-    if kind != "dotp" and least > 0:
-        frequent = stored(c.groupBy("col").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= (OFTEN if often is None else often)), "frequent")
-    bounded = frequent is not None and not frequent.isEmpty() and (kind in ("cos", "jac") or (m.where("val < 0").isEmpty() and queries.where("val < 0").isEmpty()))
-    if not bounded:
-        met = sums(q.join(c, "col"))
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
+    bounded = least > 0 and not c.groupBy("col").count().where(F.col("count") >= (OFTEN if often is None else often)).isEmpty()
+    if bounded and kind in ("min", "amin"):
+        bounded = m.where("val < 0").isEmpty() and queries.where("val < 0").isEmpty()
+    if bounded:
+        pairs, own, theirs = candidates(queries, m, kind, least)
+        pairs = stored(pairs, "candidates")
+        met = sums(pairs.join(own.select(F.col("id").alias("query"), "col", "x"), "query").join(theirs.select(F.col("id").alias("row"), "col", F.col("x").alias("y")), ["row", "col"]))
     else:
-        parts = stored(_weak_part(q, frequent, kind, least), "query-parts")
-        first = stored(sums(parts.where("not _skip").join(c, "col")), "met")
-        rest = first.select("query", "row").join(parts.where("_skip").drop("_skip"), "query").join(c, ["row", "col"])
-        met = first.unionByName(sums(rest)).groupBy("query", "row").agg(F.sum("dot").alias("dot"), F.sum("low").alias("low"))
+        met = sums(q.join(c, "col"))
     if kind == "dotp":  # needs no totals
         scored = met.select("query", "row", F.coalesce("dot", F.lit(0.0)).alias("sim"))
     else:
         scored = met.join(_totals(queries, "query", "a"), "query").join(_totals(m, "row", "b"), "row").select("query", "row", _score(kind).alias("sim"))
-    out = scored.withColumn("sim", F.round("sim", 6)).where(F.col("sim") >= least)
+    out = scored.where(F.col("sim") >= least)
     if k is None:
         return out
     order = Window.partitionBy("query").orderBy(F.col("sim").desc(), "row")
@@ -99,29 +133,57 @@ def pair_similarity(a: DataFrame, b: DataFrame, pairs: DataFrame, kind: str = "c
     sums = both.groupBy("i1", "i2").agg(
         F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.least("x", "y")).alias("low"), F.sum("x").alias("sa"), F.sum("y").alias("sb"), sq("x").alias("qa"), sq("y").alias("qb")
     )
-    return sums.select("i1", "i2", F.round(_score(kind), 6).alias("sim"))
+    # rows without entries are as far from each other as rows that share nothing
+    return pairs.select("i1", "i2").distinct().join(sums, ["i1", "i2"], "left").select("i1", "i2", _score(kind).alias("sim"))
 
 
-def compare_neighbourhoods(a: DataFrame, b: DataFrame, k: int | None = None, least: float = 0.0) -> DataFrame:
+def _pairs_of(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(row, c1, c2, v): products of a row's entries in ``x`` and in ``y``."""
+    return x.select("row", F.col("col").alias("c1"), F.col("val").alias("v1")).join(y.select("row", F.col("col").alias("c2"), F.col("val").alias("v2")), "row").select("row", "c1", "c2", (F.col("v1") * F.col("v2")).alias("v"))
+
+
+def _form(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
+    """(row, name): the sum over all rows o of (x_row . x_o) (y_row . y_o), by the table of column pairs x'y."""
+    pairs = _pairs_of(x, y)
+    gram = pairs.groupBy("c1", "c2").agg(F.sum("v").alias("g"))
+    return pairs.join(gram, ["c1", "c2"]).groupBy("row").agg(F.sum(F.col("v") * F.col("g")).alias(name))
+
+
+def compare_neighbourhoods(a: DataFrame, b: DataFrame, k: int | None = None, least: float = 0.0, form: str | None = None) -> DataFrame:
     """(side, mean): how alike the neighbours of a row are in a and in b.
 
     Each row's neighbours, itself among them, are a vector of cosines of at least ``least``; ``k`` None
     keeps all, else the k best count.  The mean is over the rows that have entries in both matrices;
     where their lists don't meet the row counts as 0.  ``rows`` compares rows, ``cols`` columns.
+
+    Where all neighbours count and no value is negative, no two rows need to meet: with unit rows the sum
+    over o of (a_q . a_o) (b_q . b_o) is a quadratic form of a_q and b_q over the table of column pairs, so
+    work goes by the squares of the rows' sizes (``form`` "columns").  Where the squares of the columns'
+    sizes are less, rows meet in columns ("rows"); left out, the smaller one is taken.
     """
 
-    def mean(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
+    def squares(m: DataFrame, by: str) -> int:
+        return int(m.groupBy(by).count().agg(F.sum(F.col("count").cast("decimal(38,0)") * F.col("count"))).first()[0] or 0)
+
+    a, b = stored(a.select("row", "col", "val"), "entries"), stored(b.select("row", "col", "val"), "entries")
+    plain = k is None and least <= 0 and a.where("val < 0").isEmpty() and b.where("val < 0").isEmpty()
+    by_row, by_col = (squares(a, x) + squares(b, x) for x in ("row", "col")) if plain and form is None else (0, 0)
+
+    def mean(x: DataFrame, y: DataFrame, side: str, cheap: bool) -> DataFrame:
         common = stored(x.select(F.col("row").alias("query")).distinct().intersect(y.select(F.col("row").alias("query"))), "common")
+        units = [stored(normalise(m), "unit") for m in (x, y)]
 
-        def scores(m: DataFrame, name: str) -> DataFrame:
-            unit = stored(normalise(m), "unit")
+        def scores(unit: DataFrame, name: str) -> DataFrame:
             asked = unit.join(common, unit["row"] == common["query"], "left_semi")
             return neighbours(asked, unit, "dotp", k, least).withColumnRenamed("sim", name)
 
-        met = scores(x, "p").join(scores(y, "q"), ["query", "row"], "full").groupBy("query")
-        sums = met.agg(F.sum(F.col("p") * F.col("q")).alias("dot"), F.sum(F.col("p") * F.col("p")).alias("_p"), F.sum(F.col("q") * F.col("q")).alias("_q"))
+        if plain and (form == "columns" or (form is None and cheap)):
+            u, w = units
+            sums = _form(u, w, "dot").join(_form(u, u, "_p"), "row").join(_form(w, w, "_q"), "row").withColumnRenamed("row", "query")
+        else:
+            met = scores(units[0], "p").join(scores(units[1], "q"), ["query", "row"], "full").groupBy("query")
+            sums = met.agg(F.sum(F.col("p") * F.col("q")).alias("dot"), F.sum(F.col("p") * F.col("p")).alias("_p"), F.sum(F.col("q") * F.col("q")).alias("_q"))
         cos = F.coalesce(F.try_divide(F.col("dot"), F.sqrt(F.col("_p") * F.col("_q"))), F.lit(0.0))
-        return common.join(sums, "query", "left").agg(F.round(F.avg(cos), 6).alias("mean")).select(F.lit(side).alias("side"), "mean")
+        return common.join(sums, "query", "left").agg(F.avg(F.coalesce(cos, F.lit(0.0))).alias("mean")).select(F.lit(side).alias("side"), "mean")
 
-    a, b = stored(a.select("row", "col", "val"), "entries"), stored(b.select("row", "col", "val"), "entries")
-    return mean(a, b, "rows").unionByName(mean(transpose(a), transpose(b), "cols"))
+    return mean(a, b, "rows", by_row <= by_col).unionByName(mean(transpose(a), transpose(b), "cols", by_col <= by_row))

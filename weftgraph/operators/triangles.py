@@ -6,13 +6,19 @@ is met once and no vertex starts more than sqrt(2 m) edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.edges import oriented
+from weftgraph.operators.edges import degrees, oriented, relabel_by_degree, reorder
 from weftgraph.storage import stored
 
-PLANS = ("adjacency", "wedge", "hash", "bitmap")
+PLANS = ("adjacency", "wedge", "hash", "bitmap", "split", "blocks")
+#: Vertices of highest degree whose neighbourhoods are bitmaps in the plan "split": 64 for each column of a row.
+SPLIT = 512
+#: Targets of a block in the plan "blocks", about.
+BLOCK = 1024
 
 
 def out_lists(directed: DataFrame) -> DataFrame:
@@ -59,8 +65,109 @@ def bitmap_words(directed: DataFrame, bits: int = 64) -> DataFrame:
     return directed.groupBy("s", F.floor(F.col("t") / bits).cast("long").alias("word")).agg(F.bit_or(at).alias("mask"))
 
 
-def triangle_count(graph: DataFrame, plan: str = "adjacency") -> DataFrame:
-    """(triangles) of clean edges (u, v) (A1, A2, A5)."""
+def ranked(graph: DataFrame, descending: bool = True) -> DataFrame:
+    """(s, t) of clean edges under dense ids by degree, from the end of lower degree to the other; 32-bit ids
+    where there are few enough vertices."""
+    perm = stored(relabel_by_degree(degrees(graph), descending), "ranks")
+    kind = "int" if perm.count() < 1 << 31 else "bigint"
+    pair = reorder(graph.select("u", "v"), perm.withColumn("new_id", F.col("new_id").cast(kind)))
+    low, high = F.least("u", "v"), F.greatest("u", "v")
+    return pair.select((high if descending else low).alias("s"), (low if descending else high).alias("t"))
+
+
+def split_lists(directed: DataFrame, split: int) -> DataFrame:
+    """(s, tail, h0, h1, ...): the targets of ``ranked`` edges, those below ``split`` as words of 64 bits, a column
+    each, the others as a sorted array."""
+    heads = [F.coalesce(F.bit_or(F.when((F.col("t") >= 64 * i) & (F.col("t") < 64 * (i + 1)), F.expr(f"shiftleft(1L, cast(t - {64 * i} as int))"))), F.lit(0)).cast("long").alias(f"h{i}") for i in range(split // 64)]
+    return directed.groupBy("s").agg(F.sort_array(F.collect_list(F.when(F.col("t") >= split, F.col("t")))).alias("tail"), *heads)
+
+
+def split_sides(directed: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
+    """(edges s -> t with what s has for t to share, what each t has), to meet in t."""
+    lists = stored(split_lists(directed, split), "split-lists")
+    words = [f"h{i}" for i in range(split // 64)]
+    none = F.array().cast(lists.schema["tail"].dataType)
+    # only what lies below t can be a target of both: of the words all, of the tail what comes before t
+    tails = lists.select("s", *words, "tail", F.posexplode("tail").alias("at", "t")).select("t", *words, F.slice("tail", F.lit(1), F.col("at")).alias("rest"))
+    flat = lists.select("s", *words).select("*", F.explode(F.array(*[F.struct(F.lit(64 * i).alias("first"), F.col(w).alias("word")) for i, w in enumerate(words)])).alias("h")) if words else None
+    left = tails
+    if flat is not None:
+        bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(F.col("h.word"), b) == 1)
+        heads = flat.where("h.word <> 0").select(*words, "h.first", F.explode(bits).alias("_bit")).select((F.col("first") + F.col("_bit")).cast(directed.schema["t"].dataType).alias("t"), *words, none.alias("rest"))
+        left = tails.unionByName(heads)
+    right = lists.select(F.col("s").alias("t"), F.col("tail").alias("theirs"), *[F.col(w).alias(f"o{i}") for i, w in enumerate(words)])
+    return left, right
+
+
+def count_split(directed: DataFrame, split: int) -> DataFrame:
+    """(triangles) of ``ranked`` edges by one plan of two parts (A1, J7): common targets among the ``split`` vertices
+    of highest degree by AND and bit counts, those of the tail by intersecting arrays."""
+    left, right = split_sides(directed, split)
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"h{i}").bitwiseAND(F.col(f"o{i}"))) for i in range(split // 64)], F.lit(0))
+    both = F.when((F.size("rest") > 0) & (F.size("theirs") > 0), F.size(F.array_intersect("rest", "theirs"))).otherwise(0)
+    return left.join(right, "t").agg(F.coalesce(F.sum(bits + both), F.lit(0)).cast("long").alias("triangles"))
+
+
+def _piece(x: Column, level: Column) -> Column:
+    """The block of a target at a level: the low bits of its hash, so a block of a level is cut in two by the next."""
+    return F.pmod(F.xxhash64(x), F.pow(F.lit(2), level).cast("long")).cast("int")
+
+
+def out_blocks(directed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(s, level, b, targets, ends, hubs): out-lists of edges (s, t) in 2**level blocks of about ``block`` targets; a
+    light vertex has one.  ``ends``: the targets that have targets themselves, without which an edge is in no
+    triangle; ``hubs``: those of several blocks, with their levels."""
+    out = directed.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("n") <= block, 0).otherwise(F.ceil(F.log2(F.col("n") / F.lit(block)))).cast("int")
+    levels = stored(out.select("s", level.alias("level")), "levels")
+    known = levels.select(F.col("s").alias("t"), F.col("level").alias("lt"))
+    rows = directed.select("s", "t").join(known, "t", "left").join(levels, "s").withColumn("b", _piece(F.col("t"), F.col("level")))
+    some = lambda test, x: F.collect_list(F.when(test, x))
+    ends, hubs = some(F.col("lt").isNotNull(), F.col("t")), some(F.col("lt") > 0, F.struct("t", "lt"))
+    return rows.groupBy("s", "level", "b").agg(F.sort_array(F.collect_list("t")).alias("targets"), ends.alias("ends"), hubs.alias("hubs"))
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(s, level, b, ends, hubs, targets): each block of ends of s with each block of its targets; no row is longer
+    than two blocks, and a hub's pairs are dealt by both."""
+    many = F.pow(F.lit(2), F.col("level")).cast("int")
+    light = blocks.where("level = 0").select("s", "level", "b", "ends", "hubs", "targets")
+    heavy = blocks.where("level > 0")
+    ends = heavy.where(F.size("ends") > 0).select("s", F.col("b").alias("p"), "ends", "hubs", F.explode(F.sequence(F.lit(0), many - 1)).alias("b"))
+    targets = heavy.select("s", "level", "b", "targets", F.explode(F.sequence(F.lit(0), many - 1)).alias("p"))
+    return light.unionByName(ends.join(targets, ["s", "p", "b"]).select("s", "level", "b", "ends", "hubs", "targets"))
+
+
+def block_intersections(directed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(s, t, common): targets that both ends of an edge s -> t have, in parts, for edges whose ids go up.
+
+    Out-lists are cut into blocks; an edge's blocks of s meet the blocks of t that hold the same part of
+    the hashes.  No list is a row, and no task lists all edges of a hub with all of its targets.
+    """
+    blocks = stored(out_blocks(directed, block), "blocks")
+    pairs = block_pairs(blocks).select("s", "level", "b", "hubs", "targets", F.explode("ends").alias("t"))
+    hub = F.get(F.filter("hubs", lambda h: h["t"] == F.col("t")), F.lit(0))
+    left = pairs.select("s", "t", "level", "b", F.coalesce(hub["lt"], F.lit(0)).alias("lt"), F.filter("targets", lambda w: w > F.col("t")).alias("rest")).where(F.size("rest") > 0)
+    # a block of s lies in one block of t, or is cut into those of t that it has a part in
+    coarse = left.where("level >= lt").select("s", "t", F.pmod("b", F.pow(F.lit(2), F.col("lt")).cast("int")).alias("b"), "rest")
+    fine = left.where("level < lt").withColumn("b", F.explode(F.array_distinct(F.transform("rest", lambda w: _piece(w, F.col("lt"))))))
+    fine = fine.select("s", "t", "b", F.filter("rest", lambda w: _piece(w, F.col("lt")) == F.col("b")).alias("rest"))
+    right = blocks.select(F.col("s").alias("t"), "b", F.col("targets").alias("theirs"))
+    return coarse.unionByName(fine).join(right, ["t", "b"]).select("s", "t", F.array_intersect("rest", "theirs").alias("common"))
+
+
+def triangle_count(graph: DataFrame, plan: str = "adjacency", split: int = SPLIT, block: int = BLOCK) -> DataFrame:
+    """(triangles) of clean edges (u, v) (A1, A2, A5).
+
+    ``split``, a multiple of 64, is for the plan "split": so many vertices of highest degree are bits.
+    ``block`` is for the plan "blocks".
+    """
+    if plan == "split":
+        if split % 64 or split < 0:
+            raise ValueError("split is a multiple of 64")
+        return count_split(ranked(graph), split)
+    if plan == "blocks":
+        return block_intersections(ranked(graph, descending=False), block).agg(F.coalesce(F.sum(F.size("common")), F.lit(0)).cast("long").alias("triangles"))
     directed = oriented(graph)
     if plan == "adjacency":
         return intersections(directed).agg(F.coalesce(F.sum(F.size("common")), F.lit(0)).cast("long").alias("triangles"))
@@ -110,7 +217,7 @@ def workload_stats(graph: DataFrame, bits: int = 64) -> DataFrame:
     rows = directed.select("s", "t").join(a, "s").join(b, "t", "left")
     n = F.count(F.lit(1))
     total, length = F.sum(F.coalesce("wt", F.lit(0))).cast("long"), F.sum(F.col("d") + F.coalesce("dt2", F.lit(0))).cast("long")
-    return rows.agg(n.alias("edges"), total.alias("words"), length.alias("merge_length"), F.round(total / n, 6).alias("avg_words"), F.round(length / n, 6).alias("avg_merge"))
+    return rows.agg(n.alias("edges"), total.alias("words"), length.alias("merge_length"), (total / n).alias("avg_words"), (length / n).alias("avg_merge"))
 
 
 def lookup_intersection(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -56,7 +56,7 @@ def _reordered(s: SparkSession, d: str) -> DataFrame:
 
 _add("reorder_graph", _reordered, f"WITH {fx.E}, {fx.DEG}, p AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) - 1 AS n FROM deg) SELECT least(a.n, b.n) AS u, greatest(a.n, b.n) AS v FROM e JOIN p a ON a.id = u JOIN p b ON b.id = v")
 _add("extract_subgraph", lambda s, d: edges.extract_subgraph(fx.parts_both(s, d), 50, 100), f"WITH {fx.E}, {fx.BOTH} SELECT src - 50 AS src, dst FROM b WHERE src BETWEEN 50 AND 149")
-_add("degree_skew", lambda s, d: edges.degree_skew(edges.degrees(fx.parts(s, d)), 32768, 16), f"WITH {fx.E}, {fx.DEG}, k AS (SELECT row_number() OVER w AS rank, sum(degree) OVER w AS cumulative FROM deg WINDOW w AS (ORDER BY degree DESC, id)) SELECT rank, cumulative::BIGINT AS cumulative, round(cumulative::DOUBLE / (SELECT count(*) FROM e), 6) AS share FROM k WHERE rank % 16 = 0 AND rank <= 32768")
+_add("degree_skew", lambda s, d: _r(edges.degree_skew(edges.degrees(fx.parts(s, d)), 32768, 16), "share"), f"WITH {fx.E}, {fx.DEG}, k AS (SELECT row_number() OVER w AS rank, sum(degree) OVER w AS cumulative FROM deg WINDOW w AS (ORDER BY degree DESC, id)) SELECT rank, cumulative::BIGINT AS cumulative, round(cumulative::DOUBLE / (SELECT count(*) FROM e), 6) AS share FROM k WHERE rank % 16 = 0 AND rank <= 32768")
 _add("group_ids", lambda s, d: edges.group_ids(fx.table(s, d, "customer"), "c_nationkey", "c_custkey"), 'SELECT c_nationkey AS "set", list(c_custkey ORDER BY c_custkey) AS ids FROM customer GROUP BY 1')
 _add("bucket_sort", lambda s, d: ordering.with_rank(edges.degrees(fx.parts(s, d)), "degree", "id", name="place"), f"WITH {fx.E}, {fx.DEG} SELECT id, degree, row_number() OVER (ORDER BY degree, id) - 1 AS place FROM deg")
 _add("bucket_ranges", lambda s, d: ordering.range_overlaps(edges.range_buckets(edges.degrees(fx.parts(s, d)), "degree", 16), "degree"), f"WITH {fx.E}, {fx.DEG} SELECT count(*) AS rows, 0::BIGINT AS overlaps, 0::BIGINT AS descents FROM deg")
@@ -66,12 +66,14 @@ _add("layered_graph", lambda s, d: matrix.layered_graph(fx.suppliers(s, d), 3, 1
 # --- triangles ------------------------------------------------------------------------------------
 _COUNT = f"WITH {fx.E}, {fx.TRI} SELECT count(*) AS triangles FROM tri"
 _add("triangle_count", lambda s, d: triangles.triangle_count(fx.parts(s, d)), _COUNT)
-for _plan in ("wedge", "hash", "bitmap"):
+for _plan in ("wedge", "hash", "bitmap", "split", "blocks"):
     _add(f"triangle_count_{_plan}", lambda s, d, plan=_plan: triangles.triangle_count(fx.parts(s, d), plan), _COUNT)
+for _split in (64, 2048):
+    _add(f"triangle_count_split_{_split}", lambda s, d, n=_split: triangles.triangle_count(fx.parts(s, d), "split", split=n), _COUNT)
 _add("triangles_per_vertex", lambda s, d: triangles.triangles_per_vertex(fx.parts(s, d)), f"WITH {fx.E}, {fx.TRI} SELECT id, count(*) AS triangles FROM (SELECT s AS id FROM tri UNION ALL SELECT t FROM tri UNION ALL SELECT w FROM tri) GROUP BY id")
 _add("edge_support", lambda s, d: triangles.edge_support(fx.parts(s, d)), f"WITH {fx.E}, {fx.TRI} SELECT least(a, b) AS u, greatest(a, b) AS v, count(*) AS support FROM (SELECT s AS a, t AS b FROM tri UNION ALL SELECT s, w FROM tri UNION ALL SELECT t, w FROM tri) GROUP BY 1, 2")
 _add("probe_count", lambda s, d: triangles.probe_count(fx.parts(s, d)), f"WITH {fx.E}, {fx.ORIENTED} SELECT count(*) AS probes FROM o a JOIN o b ON a.s = b.s AND (a.dt, a.t) < (b.dt, b.t) WHERE a.t IN (SELECT s FROM o)")
-_add("workload_stats", lambda s, d: triangles.workload_stats(fx.parts(s, d)), f"WITH {fx.E}, {fx.ORIENTED}, p AS (SELECT s, count(*) AS d, count(DISTINCT t // 64) AS w FROM o GROUP BY s) SELECT count(*) AS edges, sum(coalesce(b.w, 0))::BIGINT AS words, sum(a.d + coalesce(b.d, 0))::BIGINT AS merge_length, round(sum(coalesce(b.w, 0))::DOUBLE / count(*), 6) AS avg_words, round(sum(a.d + coalesce(b.d, 0))::DOUBLE / count(*), 6) AS avg_merge FROM o JOIN p a ON a.s = o.s LEFT JOIN p b ON b.s = o.t")
+_add("workload_stats", lambda s, d: _r(triangles.workload_stats(fx.parts(s, d)), "avg_words", "avg_merge"), f"WITH {fx.E}, {fx.ORIENTED}, p AS (SELECT s, count(*) AS d, count(DISTINCT t // 64) AS w FROM o GROUP BY s) SELECT count(*) AS edges, sum(coalesce(b.w, 0))::BIGINT AS words, sum(a.d + coalesce(b.d, 0))::BIGINT AS merge_length, round(sum(coalesce(b.w, 0))::DOUBLE / count(*), 6) AS avg_words, round(sum(a.d + coalesce(b.d, 0))::DOUBLE / count(*), 6) AS avg_merge FROM o JOIN p a ON a.s = o.s LEFT JOIN p b ON b.s = o.t")
 _add("bitmap_words", lambda s, d: triangles.bitmap_words(edges.oriented(fx.parts(s, d)), 32), f"WITH {fx.E}, {fx.ORIENTED} SELECT s, t // 32 AS word, bit_or(1::BIGINT << (t % 32)::INT) AS mask FROM o GROUP BY 1, 2")
 _add("neighbour_intersection", lambda s, d: triangles.intersections(edges.oriented(fx.parts(s, d))).where("size(common) > 0").select("s", "t", F.size("common").cast("long").alias("n")), f"WITH {fx.E}, {fx.TRI} SELECT s, t, count(*) AS n FROM tri GROUP BY s, t")
 _add("complete_graph_triangles", lambda s, d: triangles.triangle_count(fx.suppliers(s, d)), f"WITH {fx.SUPP}, {fx.TRI} SELECT count(*) AS triangles FROM tri")
@@ -154,31 +156,31 @@ _add("csrcnv_chain", lambda s, d: _r(matrix.compact_columns(matrix.normalise(mat
 _SCORE = {"dotp": "dot", "cos": "dot / sqrt(qa * qb)", "jac": "dot / (qa + qb - dot)", "min": "low / (sa + sb - low)", "amin": "low / sa"}
 _LEAST = {"dotp": 900.0, "cos": 0.2, "jac": 0.1, "min": 0.1, "amin": 0.15}
 for _kind, _x in _SCORE.items():
-    _add(f"knn_{_kind}", lambda s, d, k=_kind: similarity.neighbours(fx.cust_part(s, d).where("row % 20 = 0"), fx.cust_part(s, d), k, 10, _LEAST[k]), f'WITH {fx.M}, q AS (SELECT * FROM m WHERE r % 20 = 0), t AS (SELECT r, sum(v) AS s, sum(v * v) AS q FROM m GROUP BY r), p AS (SELECT q.r AS a, m.r AS b, sum(q.v * m.v) AS dot, sum(least(q.v, m.v)) AS low FROM q JOIN m USING (c) GROUP BY 1, 2), z AS (SELECT a, b, round({_x}, 6) AS sim FROM (SELECT a, b, dot, low, x.s AS sa, x.q AS qa, y.s AS sb, y.q AS qb FROM p JOIN t x ON x.r = a JOIN t y ON y.r = b)) SELECT a AS query, b AS "row", sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM z WHERE sim >= {_LEAST[_kind]}::DOUBLE) WHERE n <= 10')
+    _add(f"knn_{_kind}", lambda s, d, k=_kind: _r(similarity.neighbours(fx.cust_part(s, d).where("row % 20 = 0"), fx.cust_part(s, d), k, 10, _LEAST[k]), "sim"), f'WITH {fx.M}, q AS (SELECT * FROM m WHERE r % 20 = 0), t AS (SELECT r, sum(v) AS s, sum(v * v) AS q FROM m GROUP BY r), p AS (SELECT q.r AS a, m.r AS b, sum(q.v * m.v) AS dot, sum(least(q.v, m.v)) AS low FROM q JOIN m USING (c) GROUP BY 1, 2), z AS (SELECT a, b, {_x} AS sim FROM (SELECT a, b, dot, low, x.s AS sa, x.q AS qa, y.s AS sb, y.q AS qb FROM p JOIN t x ON x.r = a JOIN t y ON y.r = b)) SELECT a AS query, b AS "row", round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM z WHERE sim >= {_LEAST[_kind]}::DOUBLE) WHERE n <= 10')
 for _kind, _x in _SCORE.items():
     if _kind != "dotp":
         for _compat in (False, True):
             _cut = " JOIN (SELECT a, b, least(max(c) FILTER (WHERE hx), max(c) FILTER (WHERE hy)) AS z FROM f GROUP BY 1, 2) USING (a, b) WHERE c <= z" if _compat else ""
-            _add(f"sim_pairs_{_kind}" + "_compat" * _compat, lambda s, d, k=_kind, t=_compat: similarity.pair_similarity(fx.cust_part(s, d), fx.cust_part(s, d), fx.cust_part(s, d).where("row > 0").select(F.col("row").alias("i1"), (F.col("row") % 5).alias("i2")).distinct(), k, t), f"WITH {fx.M}, p AS (SELECT DISTINCT r AS a, r % 5 AS b FROM m WHERE r > 0), x AS (SELECT a, b, c, v FROM p JOIN m ON a = r), y AS (SELECT a, b, c, v FROM p JOIN m ON b = r), f AS (SELECT a, b, c, coalesce(x.v, 0) AS x, coalesce(y.v, 0) AS y, x.v IS NOT NULL AS hx, y.v IS NOT NULL AS hy FROM x FULL JOIN y USING (a, b, c)), g AS (SELECT a, b, sum(x * y) AS dot, sum(least(x, y)) AS low, sum(x) AS sa, sum(y) AS sb, sum(x * x) AS qa, sum(y * y) AS qb FROM f{_cut} GROUP BY 1, 2) SELECT a AS i1, b AS i2, round(coalesce(CASE WHEN isfinite({_x}) THEN {_x} END, 0), 6) AS sim FROM g")
+            _add(f"sim_pairs_{_kind}" + "_compat" * _compat, lambda s, d, k=_kind, t=_compat: _r(similarity.pair_similarity(fx.cust_part(s, d), fx.cust_part(s, d), fx.cust_part(s, d).where("row > 0").select(F.col("row").alias("i1"), (F.col("row") % 5).alias("i2")).distinct(), k, t), "sim"), f"WITH {fx.M}, p AS (SELECT DISTINCT r AS a, r % 5 AS b FROM m WHERE r > 0), x AS (SELECT a, b, c, v FROM p JOIN m ON a = r), y AS (SELECT a, b, c, v FROM p JOIN m ON b = r), f AS (SELECT a, b, c, coalesce(x.v, 0) AS x, coalesce(y.v, 0) AS y, x.v IS NOT NULL AS hx, y.v IS NOT NULL AS hy FROM x FULL JOIN y USING (a, b, c)), g AS (SELECT a, b, sum(x * y) AS dot, sum(least(x, y)) AS low, sum(x) AS sa, sum(y) AS sb, sum(x * x) AS qa, sum(y * y) AS qb FROM f{_cut} GROUP BY 1, 2) SELECT a AS i1, b AS i2, round(coalesce(CASE WHEN isfinite({_x}) THEN {_x} END, 0), 6) AS sim FROM g")
 
 
 def _near_sql(side: str, row: str, col: str) -> str:
     """CTEs for ``side``: how alike the neighbours of a row are in m and in the part of m above 10."""
     unit = lambda where: f"SELECT {row} AS i, {col} AS j, v / sqrt(sum(v * v) OVER (PARTITION BY {row})) AS x FROM m{where}"
-    score = lambda u: f"SELECT a.i AS q, b.i AS o, round(sum(a.x * b.x), 6) AS s FROM {u} a JOIN {u} b USING (j) WHERE a.i IN (SELECT i FROM {side}_u) AND a.i IN (SELECT i FROM {side}_w) GROUP BY 1, 2"
+    score = lambda u: f"SELECT a.i AS q, b.i AS o, sum(a.x * b.x) AS s FROM {u} a JOIN {u} b USING (j) WHERE a.i IN (SELECT i FROM {side}_u) AND a.i IN (SELECT i FROM {side}_w) GROUP BY 1, 2"
     return f"""{side}_u AS ({unit('')}), {side}_w AS ({unit(' WHERE v > 10')}), {side}_p AS ({score(side + '_u')}), {side}_q AS ({score(side + '_w')}),
 {side}_c AS (SELECT q, sum(p * r) / sqrt(sum(p * p) * sum(r * r)) AS c FROM (SELECT q, o, max(p) AS p, max(r) AS r FROM (SELECT q, o, s AS p, NULL AS r FROM {side}_p UNION ALL SELECT q, o, NULL, s FROM {side}_q) GROUP BY 1, 2) GROUP BY q)"""
 
 
 _add(
     "neighbourhood_similarity",
-    lambda s, d: similarity.compare_neighbourhoods(fx.cust_part(s, d), fx.cust_part(s, d).where("val > 10")),
+    lambda s, d: _r(similarity.compare_neighbourhoods(fx.cust_part(s, d), fx.cust_part(s, d).where("val > 10")), "mean"),
     f"WITH {fx.M}, {_near_sql('r', 'r', 'c')}, {_near_sql('k', 'c', 'r')} SELECT 'rows' AS side, round(avg(c), 6) AS mean FROM r_c UNION ALL SELECT 'cols', round(avg(c), 6) FROM k_c",
 )
 _two = lambda s, d: (fx.cust_part(s, d), matrix.scale(fx.cust_part(s, d).where("val > 10"), "maxtf"))
 _add(
     "sim_pairs_two_matrices",
-    lambda s, d: similarity.pair_similarity(*_two(s, d), fx.cust_part(s, d).select(F.col("row").alias("i1"), (F.col("row") + 1).alias("i2")).distinct(), "cos"),
+    lambda s, d: _r(similarity.pair_similarity(*_two(s, d), fx.cust_part(s, d).select(F.col("row").alias("i1"), (F.col("row") + 1).alias("i2")).distinct(), "cos"), "sim"),
     f"WITH {fx.M}, n AS (SELECT r, c, 0.5::DOUBLE + 0.5::DOUBLE * v / max(v) OVER (PARTITION BY r) AS v FROM m WHERE v > 10), p AS (SELECT DISTINCT r AS i1, r + 1 AS i2 FROM m), "
     "x AS (SELECT i1, i2, c, v AS a, 0 AS b FROM p JOIN m ON r = i1 UNION ALL SELECT i1, i2, c, 0, v FROM p JOIN n ON r = i2), y AS (SELECT i1, i2, c, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2, 3) "
     "SELECT i1, i2, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0), 0), 6) AS sim FROM y GROUP BY 1, 2",
@@ -260,23 +262,23 @@ def _perm(s: SparkSession, d: str) -> DataFrame:
 
 
 _PERM = f"{fx.E}, {fx.DEG}, {fx.BOTH}, p AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) - 1 AS place FROM deg)"
-_add("bandwidth_compactness", lambda s, d: graph.compactness(fx.parts_both(s, d), _perm(s, d)), f"WITH {_PERM}, z AS (SELECT abs(x.place - y.place) AS d FROM b JOIN p x ON x.id = src JOIN p y ON y.id = dst) SELECT round(avg(d), 6) AS mean, count(*) FILTER (WHERE d = 1) AS near1, count(*) FILTER (WHERE d = 2) AS near2, count(*) FILTER (WHERE d = 3) AS near3 FROM z")
-_add("centroid_reorder", lambda s, d: graph.centroid_reorder(fx.parts_both(s, d), _perm(s, d)), f"WITH {_PERM}, z AS (SELECT src AS id, avg(y.place) AS m FROM b JOIN p y ON y.id = dst GROUP BY src) SELECT id, row_number() OVER (ORDER BY round(place + 0.5::DOUBLE * (m - place), 9), id) - 1 AS place FROM p JOIN z USING (id)")
+_add("bandwidth_compactness", lambda s, d: _r(graph.compactness(fx.parts_both(s, d), _perm(s, d)), "mean"), f"WITH {_PERM}, z AS (SELECT abs(x.place - y.place) AS d FROM b JOIN p x ON x.id = src JOIN p y ON y.id = dst) SELECT round(avg(d), 6) AS mean, count(*) FILTER (WHERE d = 1) AS near1, count(*) FILTER (WHERE d = 2) AS near2, count(*) FILTER (WHERE d = 3) AS near3 FROM z")
+_add("centroid_reorder", lambda s, d: graph.centroid_reorder(fx.parts_both(s, d), _perm(s, d)), f"WITH {_PERM}, z AS (SELECT src AS id, avg(y.place) AS m FROM b JOIN p y ON y.id = dst GROUP BY src) SELECT id, row_number() OVER (ORDER BY place + 0.5::DOUBLE * (m - place), id) - 1 AS place FROM p JOIN z USING (id)")
 _add(
     "pagerank_report",
     lambda s, d: _report(s, d).select("id", F.round("pr", 6).alias("pr"), "degree", F.round("max_diff", 6).alias("max_diff")),
-    _pr_sql(_UNIFORM, "SELECT a.id, round(a.pr, 6) AS pr, count(*) AS degree, round(max(round(abs(a.pr - o.pr), 9)), 6) AS max_diff FROM k a JOIN wt ON wt.src = a.id JOIN k o ON o.id = wt.dst WHERE a.i = 10 AND o.i = 10 GROUP BY a.id, a.pr"),
+    _pr_sql(_UNIFORM, "SELECT a.id, round(a.pr, 6) AS pr, count(*) AS degree, round(max(abs(a.pr - o.pr)), 6) AS max_diff FROM k a JOIN wt ON wt.src = a.id JOIN k o ON o.id = wt.dst WHERE a.i = 10 AND o.i = 10 GROUP BY a.id, a.pr"),
 )
 
 # --- itemsets and ranked lists --------------------------------------------------------------------
 _add("frequent_itemsets", lambda s, d: mining.frequent_itemsets(fx.baskets(s, d), 5, max_len=3), f"WITH {fx.TX}, f AS (SELECT * FROM tx WHERE item IN (SELECT item FROM tx GROUP BY item HAVING count(*) >= 5)) SELECT [item] AS items, count(*) AS support FROM f GROUP BY item UNION ALL SELECT [a.item, b.item], count(*) FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= 5 UNION ALL SELECT [a.item, b.item, c.item], count(*) FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item JOIN f c ON c.tid = b.tid AND b.item < c.item GROUP BY a.item, b.item, c.item HAVING count(*) >= 5")
 _add("frequent_itemsets_maxfreq", lambda s, d: mining.frequent_itemsets(fx.baskets(s, d), 4, 600, 2, 2, True), f"WITH {fx.TX}, f AS (SELECT * FROM tx WHERE item IN (SELECT item FROM tx GROUP BY item HAVING count(*) BETWEEN 4 AND 600)) SELECT [a.item, b.item] AS items, count(*) AS support, list(a.tid ORDER BY a.tid) AS tids FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= 4")
-_add("rank_accuracy", lambda s, d: metrics.accuracy(fx.ranked(s, d)), f"WITH {fx.RANKED}, z AS (SELECT sum(CASE WHEN label > 0 THEN 1 ELSE -1 END) OVER (ORDER BY score DESC, key) AS g FROM r) SELECT round(100::DOUBLE * (max(g) + (SELECT count(*) FROM r WHERE label <= 0)) / (SELECT count(*) FROM r), 6) AS accuracy FROM z")
+_add("rank_accuracy", lambda s, d: _r(metrics.accuracy(fx.ranked(s, d)), "accuracy"), f"WITH {fx.RANKED}, z AS (SELECT sum(CASE WHEN label > 0 THEN 1 ELSE -1 END) OVER (ORDER BY score DESC, key) AS g FROM r) SELECT round(100::DOUBLE * (max(g) + (SELECT count(*) FROM r WHERE label <= 0)) / (SELECT count(*) FROM r), 6) AS accuracy FROM z")
 for _n, _compat in ((None, False), (50, False), (50, True)):
     _half = "sum((fp * (2 * t - tp)) // 2)" if _compat else "sum(fp * (2 * t - tp) / 2::DOUBLE)"
-    _add("rank_roc" + (f"_{_n}" if _n else "") + "_compat" * _compat, lambda s, d, n=_n, c=_compat: metrics.roc_n(fx.ranked(s, d), n, c), f"WITH {fx.RANKED}, g AS (SELECT score, count(*) FILTER (WHERE label > 0) AS tp, count(*) FILTER (WHERE label <= 0) AS fp FROM r GROUP BY score), z AS (SELECT *, sum(tp) OVER (ORDER BY score DESC) AS t, sum(fp) OVER (ORDER BY score DESC) AS f FROM g) SELECT round({_half}::DOUBLE / ((SELECT count(*) FROM r WHERE label > 0) * max(f)), 6) AS roc FROM z" + (f" WHERE f - fp < {_n}" if _n else ""))
-_add("rank_median_rfp", lambda s, d: metrics.median_rfp(fx.ranked(s, d)), f"WITH {fx.RANKED}, z AS (SELECT sum((label > 0)::INT) OVER w AS t, sum((label <= 0)::INT) OVER w AS f FROM r WINDOW w AS (ORDER BY score DESC, key)) SELECT round(min(f)::DOUBLE / (SELECT count(*) FROM r WHERE label <= 0), 6) AS rfp FROM z WHERE t >= (SELECT (count(*) + 1) // 2 FROM r WHERE label > 0)")
-_add("mean_std", lambda s, d: metrics.mean_std(fx.table(s, d, "orders"), "o_totalprice"), "SELECT round(avg(o_totalprice), 6) AS mean, round(stddev_pop(o_totalprice), 6) AS std FROM orders")
+    _add("rank_roc" + (f"_{_n}" if _n else "") + "_compat" * _compat, lambda s, d, n=_n, c=_compat: _r(metrics.roc_n(fx.ranked(s, d), n, c), "roc"), f"WITH {fx.RANKED}, g AS (SELECT score, count(*) FILTER (WHERE label > 0) AS tp, count(*) FILTER (WHERE label <= 0) AS fp FROM r GROUP BY score), z AS (SELECT *, sum(tp) OVER (ORDER BY score DESC) AS t, sum(fp) OVER (ORDER BY score DESC) AS f FROM g) SELECT round({_half}::DOUBLE / ((SELECT count(*) FROM r WHERE label > 0) * max(f)), 6) AS roc FROM z" + (f" WHERE f - fp < {_n}" if _n else ""))
+_add("rank_median_rfp", lambda s, d: _r(metrics.median_rfp(fx.ranked(s, d)), "rfp"), f"WITH {fx.RANKED}, z AS (SELECT sum((label > 0)::INT) OVER w AS t, sum((label <= 0)::INT) OVER w AS f FROM r WINDOW w AS (ORDER BY score DESC, key)) SELECT round(min(f)::DOUBLE / (SELECT count(*) FROM r WHERE label <= 0), 6) AS rfp FROM z WHERE t >= (SELECT (count(*) + 1) // 2 FROM r WHERE label > 0)")
+_add("mean_std", lambda s, d: _r(metrics.mean_std(fx.table(s, d, "orders"), "o_totalprice"), "mean", "std"), "SELECT round(avg(o_totalprice), 6) AS mean, round(stddev_pop(o_totalprice), 6) AS std FROM orders")
 
 # --- vectors, sets, scalars -----------------------------------------------------------------------
 
