@@ -194,6 +194,35 @@ def test_itemsets_against_brute_force(spark):
     assert mining.frequent_itemsets(df, 1000).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 60, 10**6])
+def test_projected_itemsets_are_the_levels(spark, most):
+    random.seed(2)
+    rows = [(f"t{t:02}", f"i{i}") for t in range(60) for i in random.sample(range(9), random.randrange(1, 7)) * 2]
+    rows += [("t00", f"i{i}") for i in range(40)] + [(None, "i1"), ("t01", None)]
+    df = spark.createDataFrame(rows, "tid string, item string")
+    plain = lambda r: {tuple(x["items"]): (x["support"], x["tids"]) for x in r.collect()}
+    for limits in ({}, {"min_len": 2, "max_len": 3}, {"max_freq": 30}, {"max_len": 1}, {"max_len": 2}):
+        found = mining.projected_itemsets(df, 4, with_tids=True, most=most, **limits)
+        assert found.count() == len(plain(found)) and plain(found) == plain(mining.frequent_itemsets(df, 4, with_tids=True, **limits))
+    assert mining.projected_itemsets(df.limit(0), 1).count() == mining.projected_itemsets(df, 1000).count() == 0
+    with pytest.raises(ValueError):
+        mining.projected_itemsets(df, 0)
+
+
+def test_jobs_of_projected_itemsets_do_not_grow_with_the_length(spark):
+    def jobs(longest):
+        tx = spark.range(5 * longest).select((F.col("id") % 5).alias("tid"), F.floor(F.col("id") / 5).alias("item"))
+        spark.sparkContext.setJobGroup(f"len-{longest}", "")
+        try:
+            found = mining.projected_itemsets(tx, 5)
+            assert found.count() == 2**longest - 1
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"len-{longest}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs(9) == jobs(4)
+
+
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame([(1, 9, 1), (2, 8, 0), (3, 7, 1), (4, 6, 0)], "key long, score long, label int")
     assert metrics.accuracy(df).first()[0] == 75.0

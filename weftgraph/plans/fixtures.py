@@ -83,6 +83,12 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tid"), F.col("l_suppkey").alias("item")).distinct()
 
 
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tid, item): orders and the nations of their suppliers."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(F.col("l_orderkey").alias("tid"), F.col("s_nationkey").alias("item"))
+
+
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("score"), F.col("quality").alias("label"))
 
@@ -113,4 +119,5 @@ M = "m AS (SELECT o_custkey AS r, l_partkey AS c, sum(l_quantity) AS v FROM orde
 TERMS = r"m AS (SELECT doc_id AS r, w AS c, count(*)::DOUBLE AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents) GROUP BY 1, 2)"
 EMB = "m AS (SELECT vec_id AS r, (p - 1)::BIGINT AS c, v::DOUBLE AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings))"
 TX = "tx AS (SELECT DISTINCT l_orderkey AS tid, l_suppkey AS item FROM lineitem)"
+NATIONS = "tx AS (SELECT DISTINCT l_orderkey AS tid, s_nationkey AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
 RANKED = "r AS (SELECT doc_id AS key, n_chars AS score, quality AS label FROM documents JOIN labels USING (doc_id))"

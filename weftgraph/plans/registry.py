@@ -273,6 +273,19 @@ _add(
 # --- itemsets and ranked lists --------------------------------------------------------------------
 _add("frequent_itemsets", lambda s, d: mining.frequent_itemsets(fx.baskets(s, d), 5, max_len=3), f"WITH {fx.TX}, f AS (SELECT * FROM tx WHERE item IN (SELECT item FROM tx GROUP BY item HAVING count(*) >= 5)) SELECT [item] AS items, count(*) AS support FROM f GROUP BY item UNION ALL SELECT [a.item, b.item], count(*) FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= 5 UNION ALL SELECT [a.item, b.item, c.item], count(*) FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item JOIN f c ON c.tid = b.tid AND b.item < c.item GROUP BY a.item, b.item, c.item HAVING count(*) >= 5")
 _add("frequent_itemsets_maxfreq", lambda s, d: mining.frequent_itemsets(fx.baskets(s, d), 4, 600, 2, 2, True), f"WITH {fx.TX}, f AS (SELECT * FROM tx WHERE item IN (SELECT item FROM tx GROUP BY item HAVING count(*) BETWEEN 4 AND 600)) SELECT [a.item, b.item] AS items, count(*) AS support, list(a.tid ORDER BY a.tid) AS tids FROM f a JOIN f b ON a.tid = b.tid AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= 4")
+
+
+def _all_sets(tx: str, least: int, kept: str = "true") -> str:
+    """SQL of the itemsets of any length as occurrences f(items, tid), longer and longer."""
+    return (
+        f"WITH RECURSIVE {tx}, ok AS (SELECT item FROM tx GROUP BY item HAVING count(*) >= {least} AND {kept}), t AS (SELECT tid, item FROM tx WHERE item IN (SELECT item FROM ok)), "
+        f"f(items, tid) AS (SELECT [item], tid FROM t UNION ALL SELECT items, tid FROM (SELECT list_append(items, item) AS items, tid, count(*) OVER (PARTITION BY list_append(items, item)) AS n "
+        f"FROM f JOIN t USING (tid) WHERE item > items[-1]) WHERE n >= {least}) "
+    )
+
+
+_add("itemsets_projected", lambda s, d: mining.projected_itemsets(fx.nations(s, d), 12), _all_sets(fx.NATIONS, 12) + "SELECT items, count(*) AS support FROM f GROUP BY items")
+_add("itemsets_projected_tids", lambda s, d: mining.projected_itemsets(fx.baskets(s, d), 4, 600, 2, -1, True), _all_sets(fx.TX, 4, "count(*) <= 600") + "SELECT items, count(*) AS support, list(tid ORDER BY tid) AS tids FROM f WHERE len(items) > 1 GROUP BY items")
 _add("rank_accuracy", lambda s, d: _r(metrics.accuracy(fx.ranked(s, d)), "accuracy"), f"WITH {fx.RANKED}, z AS (SELECT sum(CASE WHEN label > 0 THEN 1 ELSE -1 END) OVER (ORDER BY score DESC, key) AS g FROM r) SELECT round(100::DOUBLE * (max(g) + (SELECT count(*) FROM r WHERE label <= 0)) / (SELECT count(*) FROM r), 6) AS accuracy FROM z")
 for _n, _compat in ((None, False), (50, False), (50, True)):
     _half = "sum((fp * (2 * t - tp)) // 2)" if _compat else "sum(fp * (2 * t - tp) / 2::DOUBLE)"
