@@ -61,6 +61,58 @@ def test_shortest_paths_against_dijkstra(spark):
         graph.shortest_paths(df.withColumn("w", -F.col("w")), 0)
 
 
+def plain_rounds(rows, source):
+    """Distances by rounds over the vertices that moved, and the edges that they relax."""
+    nbrs, dist, moved, relaxed = {}, {source: 0}, {source}, 0
+    for (a, b), w in rows.items():
+        nbrs.setdefault(a, []).append((b, w))
+    while moved:
+        new = {}
+        for a in moved:
+            for b, w in nbrs.get(a, ()):
+                relaxed += 1
+                new[b] = min(new.get(b, math.inf), dist[a] + w)
+        moved = {b for b, d in new.items() if d < dist.get(b, math.inf)}
+        dist.update({b: new[b] for b in moved})
+    return dist, relaxed
+
+
+def test_delta_stepping_relaxes_a_third(spark):
+    random.seed(6)
+    rows = {}
+    for _ in range(12_000):
+        a, b = random.sample(range(400), 2)
+        rows.setdefault((a, b), random.randint(1, 10_000))
+    rows |= {(i, i + 1): 1 for i in range(15)}  # a long light way
+    want, plain = plain_rounds(rows, 0)
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()] + [(900, 901, 5)], "src long, dst long, w long")
+    found, relaxed = graph.delta_stepping(df, 0)
+    assert dict(got(found)) == {**want, 900: -1, 901: -1}
+    assert len(rows) <= relaxed <= plain / 3
+
+
+@pytest.mark.parametrize("delta", [None, 0.25, 3.0, 1e9])
+def test_delta_stepping_against_rounds(spark, delta):
+    random.seed(8)
+    rows = {(random.randrange(25), random.randrange(25)): random.choice([0.0, 0.5, 1.0, 7.25]) for _ in range(70)}
+    want, _ = plain_rounds(rows, 0)
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items() for w in (w, w + 1)], "src long, dst long, w double")
+    ids = {x for pair in rows for x in pair}
+    assert dict(got(graph.delta_stepping(df, 0, delta)[0])) == {v: want.get(v, -1) for v in ids}
+
+
+def test_delta_stepping_at_the_edges(spark):
+    df = spark.createDataFrame([(1, 2, 0), (2, 3, 0)], "src long, dst long, w int")
+    assert got(graph.delta_stepping(df, 1)[0]) == [(1, 0), (2, 0), (3, 0)]
+    assert got(graph.delta_stepping(df, 7)[0]) == [(1, -1), (2, -1), (3, -1)]  # no such source
+    assert graph.delta_stepping(df.limit(0), 1)[0].count() == 0
+    for bad in (df.withColumn("w", F.lit(-1)), df.withColumn("w", F.lit(None).cast("int"))):
+        with pytest.raises(ValueError):
+            graph.delta_stepping(bad, 1)
+    with pytest.raises(ValueError):
+        graph.delta_stepping(df, 1, 0.0)
+
+
 def test_pagerank_is_a_distribution_and_converges(spark):
     rows = [(0, 1, 1.0), (1, 2, 2.0), (2, 0, 1.0), (2, 3, 1.0)]  # 3 is a sink
     df = spark.createDataFrame(rows, "src long, dst long, w double")

@@ -180,6 +180,78 @@ def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 10_000) -> D
     return vertices.join(best(), "id", "left").select("id", F.coalesce("dist", F.lit(-1)).alias("dist"))
 
 
+def delta_stepping(edges: DataFrame, source: int, delta: float | None = None) -> tuple[DataFrame, int]:
+    """((id, dist), relaxed): the rows of ``shortest_paths`` and how many edges were relaxed for them.
+
+    Vertices settle in bands of distance ``delta`` wide (left out: twice the largest weight by the mean
+    out-degree; narrower bands relax fewer edges in more jobs).  Inside a band only edges lighter than ``delta`` are relaxed, until no vertex of it moves;
+    then its vertices relax their other edges, once, with distances that are final.  So heavy edges never
+    carry a distance that changes later, which is what makes plain rounds relax edges again and again.
+    Weights must be neither negative nor missing.
+
+    A phase reads the links of the vertices that moved and looks up only the ends it met; what improved is
+    kept as small tables, merged every eight.
+    """
+    links = stored(edges.groupBy("src", "dst").agg(F.min("w").alias("w"), F.count_if(F.col("w").isNull()).alias("_gone")), "links")
+    seen = links.agg(F.min("w").alias("low"), F.max("w").alias("high"), F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("sources"), F.sum("_gone").alias("gone")).first()
+    if seen["gone"] or (seen["n"] and seen["low"] < 0):
+        raise ValueError("weights must be neither negative nor missing")
+    if delta is None:
+        delta = 2.0 * seen["high"] * seen["sources"] / seen["n"] if seen["n"] else 1.0
+        delta = delta or 1.0  # all weights are 0
+    if not 0 < delta < math.inf:
+        raise ValueError("delta is a positive number")
+    kind = links.schema["w"].dataType
+    links = links.drop("_gone")
+    light, heavy = links.where(F.col("w") < delta), links.where(F.col("w") >= delta)
+    first = stored(edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).cast(kind).alias("dist")), "sssp")
+    dist, news, waiting, relaxed = first, [], [first], 0
+
+    def every(tables: list[DataFrame]) -> DataFrame:
+        rows = tables[0]
+        for t in tables[1:]:
+            rows = rows.unionByName(t)
+        return rows
+
+    def relax(some: DataFrame, moved: DataFrame) -> DataFrame:
+        """A stored table of the vertices that edges of ``moved`` bring nearer."""
+        nonlocal dist, relaxed
+        met = some.join(moved.withColumnRenamed("id", "src"), "src")
+        step = stored(met.groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).cast(kind).alias("_new"), F.count(F.lit(1)).alias("_edges")), "step")
+        relaxed += step.agg(F.coalesce(F.sum("_edges"), F.lit(0))).first()[0]
+        known = every([dist, *news]).join(step.select("id"), "id", "left_semi").groupBy("id").agg(F.min("dist").alias("dist"))
+        nearer = stored(step.join(known, "id", "left").where("dist is null or _new < dist").select("id", F.col("_new").alias("dist")), "nearer")
+        discard(step)
+        news.append(nearer)
+        if len(news) == 8:
+            dist = stored(every([dist, *news]).groupBy("id").agg(F.min("dist").alias("dist")), "sssp")
+            news.clear()
+        return nearer
+
+    while True:
+        # what still waits at its best distance; a vertex that came nearer waits there instead
+        queue = every(waiting).groupBy("id").agg(F.min("dist").alias("dist"))
+        best = every([dist, *news]).join(queue.select("id"), "id", "left_semi").groupBy("id").agg(F.min("dist").alias("_best"))
+        queue = stored(queue.join(best, "id").where("dist = _best").select("id", "dist"), "queue")
+        low = queue.agg(F.min("dist")).first()[0]
+        if low is None:
+            break
+        end = (math.floor(low / delta) + 1) * delta
+        end = end if end > low else math.nextafter(float(low), math.inf)  # where a band is too narrow for the number
+        inside, beyond = F.col("dist") < end, F.col("dist") >= end
+        moved, band, waiting = queue.where(inside), [], [queue.where(beyond)]
+        while not moved.isEmpty():
+            band.append(moved)
+            nearer = relax(light, moved)
+            waiting.append(nearer.where(beyond))
+            moved = nearer.where(inside)
+        settled = stored(every(band).groupBy("id").agg(F.min("dist").alias("dist")), "band")
+        waiting.append(relax(heavy, settled))
+    vertices = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    last = every([dist, *news]).groupBy("id").agg(F.min("dist").alias("dist"))
+    return vertices.join(last, "id", "left").select("id", F.coalesce("dist", F.lit(-1)).alias("dist")), relaxed
+
+
 def compactness(edges: DataFrame, perm: DataFrame) -> DataFrame:
     """(mean, near1, near2, near3): how far apart ends lie under a permutation (id, place)."""
     a = perm.select(F.col("id").alias("src"), F.col("place").alias("_a"))

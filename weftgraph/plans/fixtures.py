@@ -47,6 +47,14 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, w) of all pairs, both directions, w from 1 to 10,000 by the greatest product of their prices in whole units."""
+    items = table(spark, sf_dir, "lineitem")
+    a, b = (items.select("l_orderkey", F.col("l_partkey").alias(c), F.floor("l_extendedprice").cast("long").alias(p)) for c, p in (("src", "p"), ("dst", "q")))
+    rows = a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.max(F.col("p") * F.col("q")).alias("x"))
+    return rows.select("src", "dst", (F.col("x") % 10_000 + 1).cast("double").alias("w"))
+
+
 def in_line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries part x part, the number of orders in which the one part's line is not behind the other's:
     all pairs, many one way only, with unequal values."""
@@ -113,6 +121,7 @@ BOTH = "b AS (SELECT u AS src, v AS dst FROM e UNION ALL SELECT v, u FROM e)"
 SUPP = "e AS (SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS u, greatest(a.l_suppkey, b.l_suppkey) AS v FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey)"
 STRONG = "e AS (SELECT src AS u, dst AS v FROM (SELECT DISTINCT l_orderkey, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey) GROUP BY 1, 2 HAVING count(*) >= 2)"
 WEIGHTED = "wt AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT DISTINCT l_orderkey, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey) GROUP BY 1, 2)"
+PRICED = "wt AS (SELECT src, dst, (max(p * q) % 10000 + 1)::DOUBLE AS w FROM (SELECT a.l_partkey AS src, b.l_partkey AS dst, floor(a.l_extendedprice)::BIGINT AS p, floor(b.l_extendedprice)::BIGINT AS q FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey) GROUP BY 1, 2)"
 LINE_ORDER = "m AS (SELECT r, c, count(*)::DOUBLE AS v FROM (SELECT DISTINCT l_orderkey, a.l_partkey AS r, b.l_partkey AS c FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey AND a.l_linenumber <= b.l_linenumber) GROUP BY 1, 2)"
 BIP = "e AS (SELECT DISTINCT o_custkey AS u, l_suppkey + 10000000000 AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 M = "m AS (SELECT o_custkey AS r, l_partkey AS c, sum(l_quantity) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"

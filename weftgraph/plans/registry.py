@@ -222,7 +222,10 @@ for _name, _graph, _e in (("", fx.parts, fx.E), ("_strong", fx.strong, fx.STRONG
 for _kind in range(1, 7):
     _add(f"best_first_order_{_kind}", lambda s, d, k=_kind: _from(fx.strong(s, d), lambda e, v: graph.best_first_order(e, v, k), F.min("u")))
 _add("best_first_order_3_matrix", lambda s, d: _from(fx.strong(s, d), lambda e, v: graph.best_first_order(e, v, 3, matrix=True), F.min("u")))
-_add("sssp", lambda s, d: _from(fx.weighted(s, d), graph.shortest_paths, F.min("src"), False), f"WITH RECURSIVE {fx.WEIGHTED}, sp(id, dist) USING KEY (id) AS (SELECT min(src), 0::DOUBLE FROM wt WHERE src < dst UNION SELECT wt.dst, min(sp.dist + wt.w) FROM sp JOIN wt ON wt.src = sp.id LEFT JOIN recurring.sp o ON o.id = wt.dst WHERE o.id IS NULL OR sp.dist + wt.w < o.dist GROUP BY wt.dst) SELECT v.id, coalesce(dist, -1) AS dist FROM (SELECT DISTINCT src AS id FROM wt) v LEFT JOIN sp ON sp.id = v.id")
+_PATHS = "sp(id, dist) USING KEY (id) AS (SELECT min(src), 0::DOUBLE FROM wt WHERE src < dst UNION SELECT wt.dst, min(sp.dist + wt.w) FROM sp JOIN wt ON wt.src = sp.id LEFT JOIN recurring.sp o ON o.id = wt.dst WHERE o.id IS NULL OR sp.dist + wt.w < o.dist GROUP BY wt.dst) SELECT v.id, coalesce(dist, -1) AS dist FROM (SELECT DISTINCT src AS id FROM wt) v LEFT JOIN sp ON sp.id = v.id"
+_add("sssp", lambda s, d: _from(fx.weighted(s, d), graph.shortest_paths, F.min("src"), False), f"WITH RECURSIVE {fx.WEIGHTED}, {_PATHS}")
+_add("sssp_delta", lambda s, d: _from(fx.weighted(s, d), lambda e, v: graph.delta_stepping(e, v)[0], F.min("src"), False), f"WITH RECURSIVE {fx.WEIGHTED}, {_PATHS}")
+_add("sssp_delta_priced", lambda s, d: _from(fx.priced(s, d), lambda e, v: graph.delta_stepping(e, v)[0], F.min("src"), False), f"WITH RECURSIVE {fx.PRICED}, {_PATHS}")
 
 
 def _pr_sql(restart: str, more: str = "SELECT id, round(pr, 6) AS pr FROM k WHERE i = 10") -> str:
