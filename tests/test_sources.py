@@ -57,6 +57,13 @@ def test_formats_by_extension():
         mf.determine_format("x", "nothing")
 
 
+def test_formats_of_a_column_are_those_of_strings(spark):
+    paths = [f"a/b.{e}" for e in mf.EXTENSIONS] + ["a.CSR", "x", "", "a.b/", "n.metis//", ".graph", "a.ijv.txt"]
+    df = spark.createDataFrame([(p,) for p in paths] + [(None,)], "path string")
+    found = {r["path"]: r["f"] for r in df.select("path", mf.format_of("path").alias("f")).collect()}
+    assert found == {**{p: mf.determine_format(p) for p in paths}, None: "csr"}
+
+
 def test_binary_edges(spark, tmp_path):
     e = spark.createDataFrame(PAIRS, "src long, dst long")
     path = str(tmp_path / "e.bin")
@@ -108,6 +115,32 @@ def test_lines_keep_their_order(spark, tmp_path):
     assert [r["value"] for r in back] == [f"v{i + 1}" for i in range(1000)]
 
 
+def test_numbering_lines_exchanges_no_text(spark, tmp_path):
+    lines = {f"f{k}": [f"{k}-{i}" + "x" * (i % 50) for i in range(900 * k)] for k in (0, 1, 3, 2)}
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("".join(f"{r}\n" for r in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)  # many splits a file
+    spark.conf.set("spark.sql.files.openCostInBytes", 100)
+    try:
+        whole, odd = tf.numbered_lines(spark, str(tmp_path)), tf.numbered_lines(spark, str(tmp_path), F.expr("length(value) % 2 = 1"))
+        want = [r for name in sorted(lines) for r in lines[name]]
+        assert got(whole) == list(enumerate(want))
+        assert got(odd) == list(enumerate(r for r in want if len(r) % 2))
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "rangepartitioning" not in plan and "hashpartitioning" not in plan
+        tf.SPLITS, kept = 1, tf.SPLITS
+        try:
+            assert got(tf.numbered_lines(spark, str(tmp_path))) == list(enumerate(want))
+        finally:
+            tf.SPLITS = kept
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.txt").write_text("")
+    assert tf.numbered_lines(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_clean_after_read(spark, tmp_path):
     e = spark.createDataFrame([(1, 2), (2, 1), (3, 3)], "src long, dst long")
     rec.write_edges(e, str(tmp_path / "d.bin"))

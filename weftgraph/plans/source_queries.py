@@ -133,13 +133,15 @@ def _metis_vertices(s: SparkSession, d: str) -> DataFrame:
     return matrix_files.read_metis(s, path)[1]
 
 
-# Names of files and the formats that they stand for.
-_NAMED = [("a.csr", "csr"), ("b/c.ijv", "ijv"), ("d.clu", "cluto"), ("e.graph", "metis"), ("f.metis", "metis"), ("g.binrow", "binrow"), ("h.bincol", "bincol"), ("i.bijv", "bijv"), ("j.txt", "csr"), ("k", "csr")]
+# Ends of file names and the formats that they stand for.
+_NAMED = [("a.csr", "csr"), ("b/c.ijv", "ijv"), ("d.clu", "cluto"), ("e.graph", "metis"), ("f.METIS", "metis"), ("g.binrow", "binrow"), ("h.bincol/", "bincol"), ("i.bijv", "bijv"), ("j.txt", "csr"), ("k", "csr")]
 
 
-@_query("src_formats", f"SELECT * FROM (VALUES {', '.join(map(str, _NAMED))}) v(path, format)")
+@_query("src_formats", f"SELECT p_partkey, p_brand || '/' || path AS path, format FROM part JOIN (VALUES {', '.join(str((i, *x)) for i, x in enumerate(_NAMED))}) v(i, path, format) ON p_partkey % {len(_NAMED)} = i")
 def _formats(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([(p, matrix_files.determine_format(p)) for p, _ in _NAMED], "path string, format string")
+    ends = F.array(*[F.lit(end) for end, _ in _NAMED])
+    rows = fx.table(s, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.get(ends, (F.col("p_partkey") % len(_NAMED)).cast("int"))).alias("path"))
+    return rows.withColumn("format", matrix_files.format_of("path"))
 
 
 @_query("src_tensor", "SELECT c_nationkey::BIGINT AS k, l_partkey AS i, l_suppkey AS j, l_quantity AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey")
@@ -192,12 +194,12 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", *[c.alias(n) for n, c in text_files.path_parts("path").items()])
 
 
-@_query("src_paths", "SELECT * FROM (VALUES ('made', 1), ('folder', 1), ('folder is a file', 0), ('file', 1), ('bytes', 12), ('removed', 1), ('left', 0), ('bytes of nothing', -1)) v(what, n)")
+@_query("src_paths", "SELECT * FROM (VALUES ('made', 1), ('folder', 1), ('folder is a file', 0), ('file', 1), ('bytes', (SELECT 4 * count(*) FROM part)), ('removed', 1), ('left', 0), ('bytes of nothing', -1)) v(what, n)")
 def _folders(s: SparkSession, d: str) -> DataFrame:
     folder = _file(s, "a/b")
     made = text_files.make_path(s, folder)
-    path = f"{folder}/three.bin"
-    records.write_array(s.range(3).select(F.col("id").alias("idx"), F.col("id").alias("value")), path, "i4")
+    path = f"{folder}/keys.bin"
+    records.write_array(fx.table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_partkey").alias("value")), path, "i4")
     rows = [("made", made), ("folder", text_files.dir_exists(s, folder)), ("folder is a file", text_files.file_exists(s, folder)), ("file", text_files.file_exists(s, path)), ("bytes", text_files.file_bytes(s, path))]
     rows += [("removed", text_files.remove_path(s, folder)), ("left", text_files.dir_exists(s, folder)), ("bytes of nothing", text_files.file_bytes(s, path))]
     return s.createDataFrame([(what, int(n)) for what, n in rows], "what string, n int")

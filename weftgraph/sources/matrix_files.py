@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,19 +27,28 @@ def determine_format(path: str, fmt: str = "auto") -> str:
     return EXTENSIONS.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), "csr")
 
 
-def _header(lines: DataFrame) -> tuple[int, list[int]]:
-    row = lines.where("not startswith(ltrim(value), '%')").orderBy("line").select("line", tokens("value").alias("t")).first()
+def format_of(path: Column | str) -> Column:
+    """The format of each path of a column, by its extension; csr for others."""
+    last = F.lower(F.substring_index(F.rtrim(path, F.lit("/")), ".", -1))
+    named = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(named, last), F.lit("csr"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) without comments, so the header is line 0."""
+    return numbered_lines(spark, path, ~F.startswith(F.ltrim("value"), F.lit("%")))
+
+
+def _header(lines: DataFrame) -> list[int]:
+    row = lines.where("line = 0").select(tokens("value").alias("t")).first()
     if row is None:
         raise ValueError("the file has no header")
-    return row["line"], [int(x) for x in row["t"]]
-
+    return [int(x) for x in row["t"]]
 
-def _body(lines: DataFrame, header_line: int) -> DataFrame:
-    """(row, t): token lines behind the header, comments left out, numbered from 0."""
-    from weftgraph.operators.ordering import with_rank
 
-    rest = lines.where((F.col("line") > header_line) & ~F.startswith(F.ltrim("value"), F.lit("%")))
-    return with_rank(rest, "line", name="row").select("row", tokens("value").alias("t"))
+def _body(lines: DataFrame) -> DataFrame:
+    """(row, t): token lines behind the header, numbered from 0."""
+    return lines.where("line > 0").select((F.col("line") - 1).alias("row"), tokens("value").alias("t"))
 
 
 def _pairs(rows: DataFrame, skip: int, values: bool, base: int) -> DataFrame:
@@ -66,9 +75,9 @@ def read_csr(spark: SparkSession, path: str, values: bool | None = True, one_bas
 
 def read_cluto(spark: SparkSession, path: str) -> DataFrame:
     """Header ``rows cols entries``, then 1-based pairs a row."""
-    lines = numbered_lines(spark, path)
-    at, _ = _header(lines)
-    return _pairs(_body(lines, at), 0, True, 1)
+    lines = _lines(spark, path)
+    _header(lines)
+    return _pairs(_body(lines), 0, True, 1)
 
 
 def read_metis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -78,13 +87,13 @@ def read_metis(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     edge weights.  Indices are 1-based; entries without a weight have 1.  A wrong number of entries and
     negative sizes or weights raise.
     """
-    lines = numbered_lines(spark, path)
-    at, head = _header(lines)
+    lines = _lines(spark, path)
+    head = _header(lines)
     n, m = head[0], head[1]
     fmt = f"{head[2]:03d}" if len(head) > 2 else "000"
     sizes, weights, valued = (int(c) for c in fmt[-3:])
     ncon = (head[3] if len(head) > 3 else 1) if weights else 0
-    rows = _body(lines, at).where(F.col("row") < n)
+    rows = _body(lines).where(F.col("row") < n)
     entries = _pairs(rows, sizes + ncon, bool(valued), 1)
     found = entries.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("val") < 0).alias("neg")).first()
     if found["n"] != 2 * m:

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.ordering import with_rank
+from weftgraph.storage import stored
+
+#: Up to so many splits of files, their line counts (one row each, some hundred bytes) are broadcast.
+SPLITS = 500_000
 
 #: Fixed value: the residue alphabet of a PSSM file, by index.
 RESIDUES = "ARNDCQEGHILKMFPSTWYVBZX*"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines numbered from 0 in the order of file names and places."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
-    return with_rank(raw, "_f", "_b", "_m", name="line").select("line", "value")
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(line, value): lines numbered from 0 in the order of file names and places.
+
+    ``keep``: only the lines for which this is true are there and count.  No line is sorted or exchanged:
+    the scan's own tasks write the lines down, so that splits stay what they are whatever becomes of
+    executors, and the place of a line is its place in its split plus the lines of the splits before.
+    Only one row for each split goes through a single task.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    raw = raw if keep is None else raw.where(keep)
+    rows = stored(raw.withColumn("_m", F.monotonically_increasing_id()), "lines")
+    splits = stored(rows.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first")), "splits")
+    ahead = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("_f", "_b", (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first")).alias("_shift"))
+    before = F.broadcast(before) if splits.count() <= SPLITS else before
+    return rows.join(before, ["_f", "_b"]).select((F.col("_m") + F.col("_shift")).alias("line"), "value")
 
 
 def read_scalars(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
@@ -35,7 +50,7 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
     n = F.size(tokens("value"))
     sums = spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_tokens"))
     size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))  # reads no content
-    return sums.crossJoin(size)
+    return sums.crossJoin(F.broadcast(size))  # a row each
 
 
 def write_lines(df: DataFrame, path: str, line: str = "line", value: str = "value") -> None:
