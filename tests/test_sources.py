@@ -171,6 +171,37 @@ def test_files_are_written_in_parallel_and_in_order(spark, tmp_path):
     assert os.path.getsize(tmp_path / "e.bin") == 0 and rec.read_edges(spark, str(tmp_path / "e.bin")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_a_failed_write_leaves_what_was_there(spark, tmp_path, parts):
+    path, rows = str(tmp_path / "kept.bin"), spark.range(5000).select("id", (F.col("id") * 3).alias("x")).repartition(7)
+    rec.write_records(rows, path, ["id", "x"], "i4,i8", ["id"], counted=True, parts=parts)
+    want = [(i, i, 3 * i) for i in range(5000)]
+    assert got(rec.read_counted(spark, path, "i4,i8")) == want and rec.file_size(path) == 8 + 12 * 5000
+    far = rows.withColumn("x", F.when(F.col("id") == 4321, 2**40).otherwise(0))
+    with pytest.raises(Exception, match="fit"):
+        rec.write_records(far, path, ["id", "x"], "i4,i4", ["id"], counted=True, parts=parts)
+    assert got(rec.read_counted(spark, path, "i4,i8")) == want
+    files = list((tmp_path / "kept.bin").iterdir()) if parts else list(tmp_path.iterdir())
+    assert parts or [f.name for f in files] == ["kept.bin"]
+    rec.write_records(rows.where("id < 9"), path, ["id", "x"], "i4,i8", ["id"], counted=True, parts=parts)
+    assert got(rec.read_counted(spark, path, "i4,i8")) == want[:9]
+    rec.write_records(rows.limit(0), path, ["id", "x"], "i4,i8", ["id"], counted=True, parts=parts)
+    assert rec.read_counted(spark, path, "i4,i8").count() == 0
+
+
+def test_the_sink_is_a_format(spark, tmp_path):
+    path = str(tmp_path / "made")
+    spark.dataSource.register(rec.PackedRecords)
+    rows = spark.range(0, 1000, 1, 6).select(F.col("id").cast("int").alias("a"), (F.col("id") / 4).alias("b"))
+    writer = lambda: rows.write.format("weft_records").option("kinds", "i4,f8")
+    writer().mode("overwrite").save(path)
+    writer().mode("overwrite").save(path)
+    assert got(rec.records(spark, path, "i4,f8", range_bytes=500)) == [(i, i, i / 4) for i in range(1000)]
+    assert len(list((tmp_path / "made").iterdir())) == 8  # six parts, head and manifest
+    with pytest.raises(Exception, match="overwrite"):
+        writer().mode("append").save(path)
+
+
 def test_values_of_csr_lines(spark, tmp_path):
     (tmp_path / "m.csr").write_text("1 5 2 6\n\n3 7\n")
     p = str(tmp_path / "m.csr")
