@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.components import connected_components
 from weftgraph.operators.ordering import with_rank
+from weftgraph.operators.search import direction_search
 from weftgraph.storage import discard, stored
 
 
@@ -80,39 +81,14 @@ def pagerank_report(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("src").alias("id"), "pr").agg(F.count(F.lit(1)).alias("degree"), best.alias("b")).select("id", "pr", "degree", F.col("b.d").alias("max_diff"), (-F.col("b.m")).alias("arg"))
 
 
-def _spread(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """(id, level) of what (src, dst) reach from ``starts`` (id), level by level; a stored table.
-
-    Levels gather as small tables; every eight are merged, so neither plans nor files grow with the depth.
-    """
-    seen = stored(starts.select("id", F.lit(0).alias("level")), "bfs")
-    fronts, front, level = [], seen, 0
-    while True:
-        level += 1
-        met = links.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        known = seen.select("id")
-        for f in fronts:
-            known = known.unionByName(f.select("id"))
-        front = stored(met.join(known, "id", "left_anti").select("id", F.lit(level).alias("level")), "front")
-        done = front.isEmpty()
-        if done or len(fronts) == 8:
-            whole = seen
-            for f in fronts:
-                whole = whole.unionByName(f)
-            if fronts:
-                whole = stored(whole, "bfs")
-                for old in [seen, *fronts]:
-                    discard(old)
-            seen, fronts = whole, []
-        if done:
-            return seen
-        fronts.append(front)
-
-
 def bfs_levels(edges: DataFrame, source: int) -> DataFrame:
     """(id, level) of vertices that (src, dst) reach from ``source``, itself at 0 even without edges."""
-    links = stored(edges.select("src", "dst").distinct(), "links")
-    return _spread(links, edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id")))
+    return search_report(edges, source)[0]
+
+
+def search_report(edges: DataFrame, source: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``bfs_levels``, and for each level which way it went and what it read (``direction_search``)."""
+    return direction_search(edges, edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id")))
 
 
 def bfs_order(edges: DataFrame, source: int | None = None) -> DataFrame:
@@ -124,7 +100,7 @@ def bfs_order(edges: DataFrame, source: int | None = None) -> DataFrame:
     roots = comp.where("id = component").select("id")
     if home is not None:  # one id takes another's place
         roots = roots.select(F.when(F.col("id") == home["component"], F.lit(source).cast("long")).otherwise(F.col("id")).alias("id"))
-    rows = _spread(stored(edges.select("src", "dst").distinct(), "links"), roots).join(comp, "id")
+    rows = direction_search(edges, roots)[0].join(comp, "id")
     far = F.lit(1) if home is None else (F.col("component") != home["component"]).cast("int")
     return with_rank(rows.select("id", "component", "level", far.alias("_far")), "_far", "component", "level", "id", name="place").drop("_far")
 

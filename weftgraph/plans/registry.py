@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import bitmaps, blas, scalars
-from weftgraph.operators import components, edges, graph, matrix, metrics, mining, ordering, similarity, triangles
+from weftgraph.operators import components, edges, graph, matrix, metrics, mining, ordering, packed, similarity, triangles
 from weftgraph.plans import fixtures as fx
 from weftgraph.plans import source_queries
 from weftgraph.session import reach
@@ -219,6 +219,16 @@ for _name, _graph, _e in (("", fx.parts, fx.E), ("_strong", fx.strong, fx.STRONG
         f"b AS (SELECT u AS src, v AS dst FROM l UNION ALL SELECT v, u FROM l UNION ALL SELECT id, id FROM low), {_CC}, {_spread_sql('SELECT id, 0 FROM cc WHERE id = component')} "
         f"SELECT id, row_number() OVER (ORDER BY g, k, component, level, id) - 1 AS place FROM (SELECT id, 0 AS g, -degree AS k, 0 AS component, 0 AS level FROM deg WHERE degree >= {_least} UNION ALL SELECT id, 1, 0, component, level FROM bfs JOIN cc USING (id))",
     )
+    _add(
+        f"bfs_search_report{_name}",
+        lambda s, d, g=_graph: _from(g(s, d), lambda e, v: graph.search_report(e, v)[1], F.min("u")),
+        f"WITH RECURSIVE {_e}, {fx.BOTH}, {_spread_sql('SELECT min(src), 0 FROM b')}, n AS (SELECT level, count(*) AS vertices FROM bfs GROUP BY 1), "
+        "ends AS (SELECT x.level AS lx, y.level AS ly FROM b LEFT JOIN bfs x ON x.id = b.src LEFT JOIN bfs y ON y.id = b.dst), "
+        "f AS (SELECT level, vertices, (SELECT count(*) FROM ends WHERE lx = level) AS edges_out, (SELECT count(*) FROM ends WHERE ly IS NULL OR ly > level) AS edges_rest FROM n), "
+        "w AS (SELECT *, CASE WHEN edges_out = 0 OR edges_rest = 0 THEN 'none' WHEN edges_out > edges_rest THEN 'bottom-up' ELSE 'top-down' END AS way FROM f), "
+        "k AS (SELECT *, coalesce(max(level) FILTER (WHERE way = 'bottom-up') OVER (ORDER BY level), -1) AS kept FROM w) "
+        "SELECT level, vertices, edges_out, edges_rest, way, CASE way WHEN 'none' THEN 0 WHEN 'bottom-up' THEN edges_rest ELSE (SELECT count(*) FROM ends WHERE lx = level AND ly > kept) END AS edges_read FROM k",
+    )
 for _kind in range(1, 7):
     _add(f"best_first_order_{_kind}", lambda s, d, k=_kind: _from(fx.strong(s, d), lambda e, v: graph.best_first_order(e, v, k), F.min("u")))
 _add("best_first_order_3_matrix", lambda s, d: _from(fx.strong(s, d), lambda e, v: graph.best_first_order(e, v, 3, matrix=True), F.min("u")))
@@ -228,8 +238,8 @@ _add("sssp_delta", lambda s, d: _from(fx.weighted(s, d), lambda e, v: graph.delt
 _add("sssp_delta_priced", lambda s, d: _from(fx.priced(s, d), lambda e, v: graph.delta_stepping(e, v)[0], F.min("src"), False), f"WITH RECURSIVE {fx.PRICED}, {_PATHS}")
 
 
-def _pr_sql(restart: str, more: str = "SELECT id, round(pr, 6) AS pr FROM k WHERE i = 10") -> str:
-    return f"WITH RECURSIVE {fx.WEIGHTED}, n AS (SELECT DISTINCT src AS id FROM wt), r AS ({restart}), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM wt), k(i, id, pr) AS (SELECT 0, id, r FROM r UNION ALL SELECT i, id, pr FROM (SELECT k.i + 1 AS i, p.dst AS id, 0.85::DOUBLE * sum(k.pr * p.p) + 0.15::DOUBLE * any_value(r.r) AS pr FROM k JOIN p ON p.src = k.id JOIN r ON r.id = p.dst WHERE k.i < 10 GROUP BY k.i, p.dst)) {more}"
+def _pr_sql(restart: str, more: str = "SELECT id, round(pr, 6) AS pr FROM k WHERE i = 10", wt: str = fx.WEIGHTED) -> str:
+    return f"WITH RECURSIVE {wt}, n AS (SELECT DISTINCT src AS id FROM wt), r AS ({restart}), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM wt), k(i, id, pr) AS (SELECT 0, id, r FROM r UNION ALL SELECT i, id, pr FROM (SELECT k.i + 1 AS i, p.dst AS id, 0.85::DOUBLE * sum(k.pr * p.p) + 0.15::DOUBLE * any_value(r.r) AS pr FROM k JOIN p ON p.src = k.id JOIN r ON r.id = p.dst WHERE k.i < 10 GROUP BY k.i, p.dst)) {more}"
 
 
 def _ranks(g: DataFrame, restart: DataFrame | None = None) -> DataFrame:
@@ -260,6 +270,15 @@ _add(
 )
 
 
+def _packed(s: SparkSession, d: str, f: Callable[[packed.PackedGraph], DataFrame]) -> DataFrame:
+    return f(packed.pack_graph(fx.parts_both(s, d)))
+
+
+_add("packed_edges", lambda s, d: _packed(s, d, packed.unpack), f"WITH {fx.E}, {fx.BOTH} SELECT src, dst FROM b")
+_add("packed_degrees", lambda s, d: _packed(s, d, packed.out_degrees), f"WITH {fx.E}, {fx.BOTH} SELECT src AS id, count(*) AS degree FROM b GROUP BY 1")
+_add("packed_pagerank", lambda s, d: _r(_packed(s, d, lambda g: packed.pagerank(g, rounds=10)), "pr"), _pr_sql(_UNIFORM, wt=f"{fx.E}, {fx.BOTH}, wt AS (SELECT src, dst, 1::DOUBLE AS w FROM b)"))
+
+
 def _perm(s: SparkSession, d: str) -> DataFrame:
     return edges.relabel_by_degree(edges.degrees(fx.parts(s, d))).toDF("id", "place")
 
