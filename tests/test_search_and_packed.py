@@ -23,7 +23,7 @@ def plain_search(pairs, starts):
         out = sum(a in front for a, _ in links)
         rest = sum(b not in level for _, b in links)
         way = "none" if not out or not rest else "bottom-up" if out > rest else "top-down"
-        kept = at if way == "bottom-up" else kept
+        kept = at if report and report[-1][4] == "bottom-up" else kept
         fewer = {(a, b) for a, b in links if level.get(b, math.inf) > kept}
         read = 0 if way == "none" else rest if way == "bottom-up" else sum(a in front for a, _ in fewer)
         report.append((at, len(front), out, rest, way, read))

@@ -40,9 +40,10 @@ def direction_search(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, Da
     and starts are ignored, repeats and loops don't matter.  Ids are longs, also negative ones.
 
     A level goes top-down, over the edges that leave the frontier, unless these outnumber the edges that
-    lead to vertices not yet reached.  Then it goes bottom-up: only the edges of the latter kind are kept, in
-    a new and smaller table which all later levels read, and an end is reached where a frontier lies on the
-    other side.  So the few levels that hold most of a graph don't carry edges between vertices long known.
+    lead to vertices not yet reached.  Then it goes bottom-up: it takes only the edges of the latter kind, and
+    an end is reached where the frontier lies on the other side.  Where the search goes on behind such a
+    level, what is left of the edges becomes a new and smaller table, which later levels read.  So the few
+    levels that hold most of a graph don't carry edges between vertices long known.
 
     Frontiers and the visited set are tables of (word, bits), 64 ids a row: ends met are made distinct by
     or-ing bits, known ones go by and-ing, and what moves is a sixty-fourth of the ids where ids are dense.
@@ -62,9 +63,10 @@ def direction_search(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, Da
     fronts, front, level, shrunk, report = [], seen, 0, False, []
 
     def reached() -> DataFrame:
+        """(word, bits, level); the last of ``fronts`` is of ``level``."""
         rows = seen
-        for f in fronts:
-            rows = rows.unionByName(f)
+        for i, f in enumerate(fronts, level - len(fronts) + 1):
+            rows = rows.unionByName(f.withColumn("level", F.lit(i)))
         return rows
 
     def unreached(rows: DataFrame) -> DataFrame:
@@ -81,21 +83,22 @@ def direction_search(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, Da
         report.append([level, n, out, rest, way, 0])
         if way == "none":
             break
-        if way == "bottom-up":
+        if level and report[-2][4] == "bottom-up":
             fewer = stored(unreached(links), "links")
             discard(links)
             links, shrunk = fewer, True
+        read = unreached(links) if way == "bottom-up" else links
         at = front.select(F.col("word").alias("_w"), F.col("bits").alias("_f"))
-        met = links.join(at, word_of("src") == F.col("_w")).where(holds("_f", "src"))
+        met = read.join(at, word_of("src") == F.col("_w")).where(holds("_f", "src"))
         met = met.groupBy(word_of("dst").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(dst & 63 as int))")).alias("_met"), F.count(F.lit(1)).alias("_edges"))
         known = reached().groupBy("word").agg(F.bit_or("bits").alias("_v"))
         new = F.col("_met").bitwiseAND(F.bitwise_not(F.coalesce("_v", F.lit(0).cast("long"))))
+        step = stored(met.join(known, "word", "left").select("word", new.alias("bits"), "_edges"), "front")
         level += 1
-        step = stored(met.join(known, "word", "left").select("word", new.alias("bits"), F.lit(level).alias("level"), "_edges"), "front")
         report[-1][5] = rest if way == "bottom-up" else out if not shrunk else step.agg(F.coalesce(F.sum("_edges"), F.lit(0))).first()[0]
         front = step.where("bits <> 0").drop("_edges")
         fronts.append(front)
-        if len(fronts) == 8:
+        if len(fronts) == 8:  # levels stay what they are: the last front is of this one
             whole = stored(reached(), "search")
             for old in [seen, *fronts[:-1]]:  # the last front is read once more
                 discard(old)

@@ -226,7 +226,8 @@ for _name, _graph, _e in (("", fx.parts, fx.E), ("_strong", fx.strong, fx.STRONG
         "ends AS (SELECT x.level AS lx, y.level AS ly FROM b LEFT JOIN bfs x ON x.id = b.src LEFT JOIN bfs y ON y.id = b.dst), "
         "f AS (SELECT level, vertices, (SELECT count(*) FROM ends WHERE lx = level) AS edges_out, (SELECT count(*) FROM ends WHERE ly IS NULL OR ly > level) AS edges_rest FROM n), "
         "w AS (SELECT *, CASE WHEN edges_out = 0 OR edges_rest = 0 THEN 'none' WHEN edges_out > edges_rest THEN 'bottom-up' ELSE 'top-down' END AS way FROM f), "
-        "k AS (SELECT *, coalesce(max(level) FILTER (WHERE way = 'bottom-up') OVER (ORDER BY level), -1) AS kept FROM w) "
+        "p AS (SELECT *, lag(way) OVER (ORDER BY level) AS before FROM w), "
+        "k AS (SELECT *, coalesce(max(level) FILTER (WHERE before = 'bottom-up') OVER (ORDER BY level), -1) AS kept FROM p) "
         "SELECT level, vertices, edges_out, edges_rest, way, CASE way WHEN 'none' THEN 0 WHEN 'bottom-up' THEN edges_rest ELSE (SELECT count(*) FROM ends WHERE lx = level AND ly > kept) END AS edges_read FROM k",
     )
 for _kind in range(1, 7):
