@@ -438,6 +438,21 @@ def test_strange_archives_are_deduplicated(spark, tmp_path):
     assert sorted(payloads) == sorted([page, other])
 
 
+def test_foreign_digests_are_resolved_by_reference(spark, tmp_path):
+    page, far = b"HTTP/1.1 200 OK\r\n\r\npage", "WARC-Payload-Digest: sha256:" + "0" * 64
+    records = [
+        warc_record("response", "<urn:uuid:a>", page, far), warc_record("revisit", "<urn:uuid:b>", b"", far, "WARC-Refers-To: <urn:uuid:a>"), warc_record("revisit", "<urn:uuid:c>", b"", far, "WARC-Refers-To: <urn:uuid:z>"),
+        warc_record("revisit", "<urn:uuid:d>", b"", "WARC-Payload-Digest: sha1:" + "A" * 32, "WARC-Refers-To: <urn:uuid:a>"),  # says itself that it is another
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc").write_bytes(b"".join(records))
+    report = {r["outcome"]: r["n"] for r in warc.deduplicate_archives(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
+    assert report == {"responses kept": 1, "revisits resolved": 1, "revisits unresolved": 2}
+    found = {h["warc-record-id"]: h for f in (tmp_path / "out").glob("part*") for h, _ in warc.records_in(f.read_bytes())}
+    assert found["<urn:uuid:b>"]["warc-payload-digest"] == f"sha1:{warc.digest_of(b'page')}" and found["<urn:uuid:b>"]["warc-refers-to"] == "<urn:uuid:a>"
+    assert found["<urn:uuid:c>"]["warc-payload-digest"] == "sha256:" + "0" * 64
+
+
 def test_archives_that_only_spark_can_open(spark, tmp_path, monkeypatch):
     from types import SimpleNamespace
 

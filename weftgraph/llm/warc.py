@@ -335,8 +335,8 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, min_byte
     """Read archives, keep one response per payload of at least ``min_bytes`` bytes, write fresh headers.
 
     Of equal payloads the response of the smallest page number stays, then of the smallest record id, then
-    one without an id; the others become revisits of it.  So do revisits whose digest, or where they name none whose WARC-Refers-To,
-    is that of a response in the source.  Ids (of any form, also missing), dates, URIs and HTTP headers stay.
+    one without an id; the others become revisits of it.  So do revisits whose digest, or where they name none or one of another
+    form (sha256, hexadecimal) whose WARC-Refers-To, is that of a response in the source.  Ids (of any form, also missing), dates, URIs and HTTP headers stay.
     Revisits whose original is elsewhere, and records of other types, are written as they are.  Sources are
     read twice, headers first; only headers meet by a shuffle.
 
@@ -347,8 +347,9 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, min_byte
     responses = heads.where("_type = 'response'")
     firsts = responses.groupBy("_digest").agg(F.min(order)["_id"].alias("_first"), F.max("_bytes").alias("_size"))
     named = responses.where("_id is not null").groupBy(F.col("_id").alias("_refers")).agg(F.min("_digest").alias("_theirs"))
+    comparable = F.col("_digest").rlike("^[A-Z2-7]{32}$")  # the form of those that are worked out here
     narrow = heads.where("_type in ('response', 'revisit')").join(named, "_refers", "left")
-    narrow = narrow.withColumn("_own", F.col("_digest")).withColumn("_digest", F.coalesce("_digest", F.when(F.col("_type") == "revisit", F.col("_theirs"))))
+    narrow = narrow.withColumn("_own", F.col("_digest")).withColumn("_digest", F.when(F.col("_type") == "revisit", F.coalesce(F.when(comparable, F.col("_digest")), F.col("_theirs"), F.col("_digest"))).otherwise(F.col("_digest")))
     met = narrow.join(firsts, "_digest", "left")
     again = F.coalesce(F.when(F.col("_type") == "revisit", F.col("_size").isNotNull()).otherwise((F.col("_size") >= min_bytes) & ~F.col("_id").eqNullSafe(F.col("_first"))), F.lit(False))
     # a record is found again by id, type and digest; of repeated records all are alike
