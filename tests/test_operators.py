@@ -481,6 +481,23 @@ def test_neighbourhoods_by_either_form(spark, form, capsys):
     assert found == pytest.approx(brute_neighbourhoods(a, b), abs=1e-9)
 
 
+@pytest.mark.parametrize("form", ["columns", "rows"])
+@pytest.mark.parametrize("small", [False, True])
+def test_neighbourhoods_make_no_row_for_a_pair(spark, form, small, monkeypatch):
+    random.seed(16)
+    a = {(random.randrange(60), random.randrange(20)): float(random.randint(1, 20)) for _ in range(900)}
+    b = {k: v for k, v in a.items() if v > 8} | {(99, 3): 3.0}
+    for name, value in (("BLOCK", 100), ("LISTED", 200), ("AT_ONCE", 50)) if small else ():  # many blocks, lists in pieces
+        monkeypatch.setattr(similarity, name, value)
+    make = lambda m: spark.createDataFrame([(*k, v) for k, v in m.items()], "row long, col long, val double")
+    seen, sums = [], similarity._sums
+    monkeypatch.setattr(similarity, "_sums", lambda *args: seen.append(sums(*args)) or seen[-1])
+    found = dict(map(tuple, similarity.compare_neighbourhoods(make(a), make(b), form=form).collect()))
+    assert found == pytest.approx(brute_neighbourhoods(a, b), abs=1e-9)
+    if not small:  # one block gives one row for each row and column
+        assert [x.count() for x in seen] == [61 + 20]
+
+
 def test_searches_take_a_step_a_bit(spark):
     random.seed(15)
     big = sorted(random.sample(range(10**6), 100_000))
