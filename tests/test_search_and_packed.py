@@ -123,3 +123,17 @@ def test_packed_edges_are_small_and_stay(spark):
     scan = next(i for i, x in enumerate(lines) if g.name in x)
     join = max(i for i, x in enumerate(lines[:scan]) if "SortMergeJoin" in x or "ShuffledHashJoin" in x)
     assert not any("Exchange" in x for x in lines[join:scan])  # from the table to the join no edge is moved
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_links_are_made_in_as_many_tasks_as_edges_ask_for(spark, monkeypatch, kept):
+    rows = [(i, (i * 7 + k) % 500, float(k)) for i in range(500) for k in (3, 2)] + [(5, None, 1.0), (-200, 70, 1.0)]
+    df = spark.createDataFrame(rows, "src long, dst long, w double")
+    df = stored(df, "edges") if kept else df
+    few = {tuple(r) for r in graph._links(df, F.min("w").alias("w")).collect()}
+    monkeypatch.setattr(graph, "PER_SET", 25)
+    links = graph._links(df, F.min("w").alias("w"))
+    assert len(links.inputFiles()) > 30  # 1,002 edges in 41 tasks
+    assert {tuple(r) for r in links.collect()} == few and len(few) == 1002
+    found = {r["id"] for r in graph._vertices(links).collect()}
+    assert found == {x for a, b, _ in rows for x in (a, b)} and graph._vertices(links).count() == len(found)
