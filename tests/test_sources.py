@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +208,19 @@ def test_values_of_csr_lines(spark, tmp_path):
     p = str(tmp_path / "m.csr")
     assert got(mf.read_csr(spark, p)) == [(0, 1, 5.0), (0, 2, 6.0), (2, 3, 7.0)]
     assert got(mf.read_csr(spark, p, None)) == [(0, 1), (0, 2), (0, 5), (0, 6), (2, 3), (2, 7)]
+
+
+def test_lists_of_lines_are_made_in_as_many_tasks_as_entries_ask_for(spark, tmp_path, monkeypatch):
+    rows = [(i, (i * 7 + k) % 90, float(k + 1)) for i in range(90) for k in range(4)]
+    m = spark.createDataFrame(rows, "row long, col long, val double")
+    plans, write = [], mf.write_lines
+
+    def seen(lines, path):
+        plans.append(lines._jdf.queryExecution().executedPlan().toString())
+        write(lines, path)
+
+    monkeypatch.setattr(mf, "write_lines", seen)
+    monkeypatch.setattr(mf, "PER_TASK", 10)
+    mf.write_matrix(m, str(tmp_path / "g.metis"), "auto", 90, 90)
+    assert re.search(r"hashpartitioning\(row#\d+L, 36\), REPARTITION_BY_NUM", plans[0])
+    assert got(mf.read_metis(spark, str(tmp_path / "g.metis"))[0]) == got(m)
