@@ -3,6 +3,7 @@
 import pytest
 
 from weftgraph.plans import fixtures as fx
+from weftgraph.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,10 @@ def test_pairs_go_in_as_many_tasks_as_lines_ask_for(spark, monkeypatch, name):
 @pytest.mark.parametrize("name", ["bipartite", "cust_part"])
 def test_orders_and_lines_are_not_broadcast(spark, name):
     assert "Broadcast" not in _plan(getattr(fx, name)(spark, SF))
+
+
+def test_order_by_degree_makes_its_graph_once(spark, monkeypatch):
+    made, pairs = [], fx._pairs
+    monkeypatch.setattr(fx, "_pairs", lambda *x, **y: made.append(x) or pairs(*x, **y))
+    df = registry.queries()["bfs_order_by_degree_strong"](spark, SF)
+    assert len(made) == 1 and "lineitem" not in _plan(df)
