@@ -137,3 +137,20 @@ def test_links_are_made_in_as_many_tasks_as_edges_ask_for(spark, monkeypatch, ke
     assert {tuple(r) for r in links.collect()} == few and len(few) == 1002
     found = {r["id"] for r in graph._vertices(links).collect()}
     assert found == {x for a, b, _ in rows for x in (a, b)} and graph._vertices(links).count() == len(found)
+
+
+def test_components_are_ordered_in_as_many_tasks_as_edges_ask_for(spark, monkeypatch):
+    many = [(4 * i + a, 4 * i + b) for i in range(1, 2001) for a, b in ((0, 2), (2, 1), (1, 3))]
+    large = [(20_000 + i, 20_001 + i) for i in range(300)]
+    rows = [x for e in many + large for x in (e, e[::-1])] + [(3, 3), (5, None), (None, 2**60 + 1)]
+    df = spark.createDataFrame(rows, "src long, dst long")
+    monkeypatch.setattr(graph, "PER_ORDER", 300)
+    monkeypatch.setattr(graph, "BATCH", 7)
+    order = graph.best_first_order(df, 20_299, 5)
+    assert order.rdd.getNumPartitions() == 43  # 12,601 edges
+    assert "FlatMapGroups" not in order._jdf.queryExecution().executedPlan().toString()  # a group for each component has its price
+    found = {r["id"]: (r["component"], r["place"]) for r in order.collect()}
+    want = {4 * i + a: (4 * i, k) for i in range(1, 2001) for k, a in enumerate((0, 2, 1, 3))} | {3: (3, 0)}
+    assert {v: p for v, p in found.items() if v < 20_000} == want
+    chain = [found[20_000 + i] for i in range(301)]
+    assert {c for c, _ in chain} == {20_000} and sorted(p for _, p in chain) == list(range(301)) and chain[299][1] == 0 and len(found) == 8302
