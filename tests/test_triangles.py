@@ -1,9 +1,11 @@
+import os
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import edges, triangles
+from weftgraph.storage import dealt_by_part
 
 
 def complete(n, first=0):
@@ -175,3 +177,33 @@ def test_wedges_travel_as_arrays(spark, plan):
 def test_ids_beyond_32_bits(spark, plan):
     g = spark.createDataFrame([(a + (a % 2) * (1 << 40), b + (b % 2) * (1 << 40)) for a, b in complete(8)], "src long, dst long")
     assert triangles.triangle_count(edges.clean(g), plan).first()[0] == 56
+
+
+@pytest.mark.parametrize("held", [1_000_000, 100])
+def test_lists_meet_in_a_grid_of_tasks(spark, monkeypatch, held):
+    """Many lists: counts, counts of vertices and of edges are the same, whatever the shape of the grid."""
+    rows = [(a + (a % 3 == 0) * (1 << 40), b + (b % 3 == 0) * (1 << 40)) for a in range(-20, 40) for b in range(a + 1, 40) if (a * a + b * b) % 7 < 4]
+    g = edges.clean(frame(spark, rows))
+    found = lambda: (triangles.triangle_count(g).first()[0], sorted(map(tuple, triangles.triangles_per_vertex(g).collect())), sorted(map(tuple, triangles.edge_support(g).collect())))
+    want = found()
+    assert want[0] == triangles.triangle_count(g, "wedge").first()[0] > 1000
+    for name, value in (("LISTED", 0), ("HELD", held), ("SUMMED", 10_000)):
+        monkeypatch.setattr(triangles, name, value)
+    assert found() == want
+
+
+def test_a_list_goes_to_a_task_once(spark, monkeypatch):
+    """Cliques of neighbouring ids: what is shuffled is a small part of the wedges, and gone when the count is there."""
+    rows = spark.range(20).select((F.col("id") * 1000).alias("k")).crossJoin(spark.range(150).select(F.col("id").alias("a"))).crossJoin(spark.range(150).select(F.col("id").alias("b")))
+    g = rows.where("a < b").select((F.col("k") + F.col("a")).alias("u"), (F.col("k") + F.col("b")).alias("v"))
+    monkeypatch.setattr(triangles, "LISTED", 1)
+    lists = triangles._lists(g)
+    with dealt_by_part(spark):
+        one, sent = shuffled(spark, lambda: triangles.shared(lists).agg(F.sum(F.size("common"))).first()[0])
+    directed = edges.oriented(g)
+    two, whole = shuffled(spark, lambda: triangles.intersections(directed).agg(F.sum(F.size("common"))).first()[0])
+    assert one == two == 20 * 150 * 149 * 148 // 6 and 0 < 3 * sent < whole
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    before = files()
+    assert triangles.triangle_count(g).first()[0] == one
+    assert sum(os.path.getsize(f) for f in files() - before) < sent / 10
