@@ -545,3 +545,18 @@ def test_hub_lists_in_parts(spark):
     hub = [r["nbrs"] for r in rows if r["id"] == 0]
     assert len(hub) == 10 and max(map(len, hub)) < 90 and sorted(x for n in hub for x in n) == list(range(1, 500))
     assert all(n == sorted(n) for n in hub) and len(rows) == 10 + 499
+
+
+def test_links_of_neighbouring_ids_are_summed_where_they_lie(spark, monkeypatch):
+    """Copies of a graph with shifted ids: a round sends about the vertices, not the links, and its files go."""
+    from test_triangles import shuffled
+
+    from weftgraph.storage import stored
+
+    copies = spark.range(40).select((F.col("id") * 5000).alias("k"))
+    pair = spark.range(100).select(F.col("id").alias("a")).crossJoin(spark.range(100).select(F.col("id").alias("b"))).where("a <> b")
+    links = stored(copies.crossJoin(pair).select((F.col("k") + F.col("a")).alias("src"), (F.col("k") + F.col("b")).alias("dst"), F.lit(1.0).alias("w")), "links")
+    monkeypatch.setattr(graph, "PER_TASK", 50_000)
+    (few, one), (many, two) = (shuffled(spark, lambda r=r: graph.pagerank(links, max_iter=r, fixed=True)[0].agg(F.min("pr"), F.max("pr"), F.count("id")).first()) for r in (2, 12))
+    assert few[2] == many[2] == 4000 and abs(many[0] - 1 / 4000) < 1e-12 and abs(many[1] - 1 / 4000) < 1e-12
+    assert (two - one) / 10 < 4000 * 60  # of 396,000 links
