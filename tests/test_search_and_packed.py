@@ -154,3 +154,21 @@ def test_components_are_ordered_in_as_many_tasks_as_edges_ask_for(spark, monkeyp
     assert {v: p for v, p in found.items() if v < 20_000} == want
     chain = [found[20_000 + i] for i in range(301)]
     assert {c for c, _ in chain} == {20_000} and sorted(p for _, p in chain) == list(range(301)) and chain[299][1] == 0 and len(found) == 8302
+
+
+def test_flows_of_a_block_are_added_up_before_they_leave():
+    """A block's rows give one batch with each end once, near ends or far ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    for step in (1, 1 << 40):
+        rows, want = [], {}
+        for part in range(3):
+            src = np.repeat(np.arange(4), 5)
+            dst = np.tile(np.arange(part, part + 5) * step, 4)
+            rows.append((0, *packed.pack_lists(0, src, dst), [0, 1, 2, 3], [1.0, 2.0, 0.0, 4.0]))
+            for a, b in zip(src, dst):
+                want[int(b)] = want.get(int(b), 0.0) + [1.0, 2.0, 0.0, 4.0][a]
+        names = ["block", "vertices", "neighbours", "ids", "shares"]
+        out = list(packed._flows(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[:2])], names=names), pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[2:])], names=names)])))
+        assert len(out) == 1 and dict(zip(*(c.to_pylist() for c in out[0].columns))) == want
